@@ -17,6 +17,8 @@ repeated or null ids, ties and other columns have no effect.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,8 @@ VOCABULARY = "word_bpe_49k.json"
 CUT_MASK = 1023
 #: Bytes the rolling hash looks back over (a power of two).
 CUT_WINDOW = 32
-#: Characters of words and chunks that a task remembers before it starts afresh.
-MEMORY_CHARS = 24_000_000
+#: About so many bytes of words and chunks a worker remembers before it starts afresh; texts whose new words it learns together.
+MEMORY_BYTES, TOGETHER = 240_000_000, 512
 _GEAR = np.random.default_rng(20240607).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -42,12 +44,111 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts of these characters only are split here; case, composition and the split's classes are plain for them.
+SIMPLE = re.compile(r"[\n\t\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: The vocabulary's split of such a text in lower case (fixed values: the contractions).
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Longest piece, in bytes, that is merged together with others.
+PIECE_BYTES = 48
+_NONE = np.iinfo(np.int32).max
+
+
+class Merges:
+    """Byte-pair merges of many pieces at a time: in each round every piece makes its best merge."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary = model["vocab"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+        end = model["end_of_word_suffix"]
+        self.inner = np.array([vocabulary[letters[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocabulary[letters[b] + end] for b in range(256)], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in pairs], np.int64)
+        self.merged = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        self.levels: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        left, bits = np.arange(len(key)), 18
+        while len(left):  # what collides goes to the next, smaller table
+            shift = np.uint64(64 - bits)
+            keys, ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32)
+            slot = self._slot(key[left], shift)
+            keys[slot], ranks[slot] = key[left], left
+            self.levels.append((shift, keys, ranks))
+            left, bits = left[keys[slot] != key[left]], max(8, bits - 2)
+        # pairs of first symbols: the letters' ids are the smallest ones, -1 stands for none
+        base = int(max(self.inner.max(), self.last.max())) + 2
+        a, b = np.divmod(np.arange(base * base), base)
+        self.first = self.rank(a - 1, b - 1).reshape(base, base)
+
+    @staticmethod
+    def _slot(key: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return ((key.view(np.uint64) * (np.uint64(0x9E3779B97F4A7C15) + (shift << np.uint64(33)))) >> shift).view(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of a and b; _NONE if there is none or either is -1."""
+        key = a.astype(np.int64) << 16 | b
+        key[b < 0] = -2
+        out = np.full(len(key), _NONE, np.int32)
+        for shift, keys, ranks in self.levels:
+            slot = self._slot(key, shift)
+            hit = keys[slot] == key
+            out[hit] = ranks[slot[hit]]
+        return out
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (1 to PIECE_BYTES bytes) as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.array([len(p) for p in pieces])
+        for low, high in ((1, 4), (5, 8), (9, 12), (13, 18), (19, 28), (29, PIECE_BYTES)):
+            group = np.flatnonzero((sizes >= low) & (sizes <= high))
+            for at in range(0, len(group), 8192):
+                self._merge(pieces, group[at : at + 8192], sizes, high, out)
+        return out
+
+    def _merge(self, pieces: list[bytes], which: np.ndarray, sizes: np.ndarray, width: int, out: list[bytes]) -> None:
+        n = sizes[which]
+        raw = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in which]), np.uint8).reshape(-1, width)
+        column = np.arange(width)
+        symbols = np.where(column < n[:, None], self.inner[raw], -1)
+        symbols[np.arange(len(n)), n - 1] = self.last[raw[np.arange(len(n)), n - 1]]
+        symbols = np.pad(symbols, ((0, 0), (0, 1)), constant_values=-1)
+        ranks = np.pad(self.first[symbols[:, :-1] + 1, symbols[:, 1:] + 1], ((0, 0), (0, 1)), constant_values=_NONE)
+        column = np.arange(width + 1)
+        while len(which):
+            row = np.arange(len(which))
+            best = ranks.argmin(1)
+            rank = ranks[row, best]
+            done = rank == _NONE
+            if done.any():
+                ended = np.flatnonzero(done)
+                counts = (symbols[ended] >= 0).sum(1)
+                for i, s, k in zip(which[ended].tolist(), symbols[ended].astype("<u4"), counts.tolist()):
+                    out[i] = s[:k].tobytes()
+                go = ~done
+                which, symbols, ranks, best, rank = which[go], symbols[go], ranks[go], best[go], rank[go]
+                row = np.arange(len(which))
+                if not len(which):
+                    break
+            shift = np.minimum(column + (column > best[:, None]), width)
+            symbols = np.take_along_axis(symbols, shift, 1)
+            ranks = np.take_along_axis(ranks, shift, 1)
+            new = self.merged[rank]
+            symbols[row, best] = new
+            ranks[row, best] = self.rank(new, symbols[row, np.minimum(best + 1, width)])
+            left = np.flatnonzero(best > 0)
+            ranks[left, best[left] - 1] = self.rank(symbols[left, best[left] - 1], new[left])
+
+
 class Encoder:
-    """Ids (little-endian unsigned 32-bit) and decoded text, by white-space delimited words.
+    """Ids (little-endian unsigned 32-bit) and decoded text of a text.
 
-    The vocabulary's normaliser and splitter never join characters across a blank
-    or a line feed and give no token for them, so the ids of a text are those of
-    its words in order.  Each word is encoded once by the library.
+    The vocabulary's tokens never span the pieces of its split, so the ids of a
+    text are those of its pieces in order, and each distinct piece is encoded
+    once.  Texts of plain characters are split here; others go word by word
+    (between blanks and line feeds, which give no token and join nothing)
+    through the library itself.
     """
 
     def __init__(self, path: str):
@@ -56,39 +157,76 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.ids: dict[str, bytes] = {"": b""}
-        self.texts: dict[str, str] = {}
-        self.chunks: dict[str, tuple[bytes, list[str]]] = {}
-        self.chars = 0
+        self.merges = Merges(path)
+        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        shown = [f"{names[i]} ".encode() if i in names else b"" for i in range(max(names) + 1)]
+        self.name_bytes = np.frombuffer(b"".join(shown), np.uint8)
+        self.name_sizes = np.array([len(x) for x in shown])
+        self.name_begins = np.cumsum(self.name_sizes) - self.name_sizes
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.kept = 0
 
     def forget(self) -> None:
-        if self.chars > MEMORY_CHARS:
-            self.ids, self.texts, self.chunks, self.chars = {"": b""}, {}, {}, 0
+        if self.kept > MEMORY_BYTES:
+            self.clear()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
-        self.chars += sum(map(len, new)) + 60 * len(new)
+        """Encode new words together."""
+        new = [w for w in words if w not in self.words]
+        plain, other = [], []
+        for w in new:
+            (plain if SIMPLE.fullmatch(w) and "<|" not in w else other).append(w)
+        split = [PIECES.findall(w.lower()) for w in plain]
+        pieces = self.pieces
+        fresh = list({p for parts in split for p in parts if p not in pieces})
+        raw = [p.encode() for p in fresh]
+        short = [k for k, r in enumerate(raw) if len(r) <= PIECE_BYTES]
+        for k, ids in zip(short, self.merges.ids([raw[k] for k in short])):
+            pieces[fresh[k]] = ids
+        if len(short) < len(raw):
+            self._through_library([p for p, r in zip(fresh, raw) if len(r) > PIECE_BYTES], pieces)
+        for w, parts in zip(plain, split):
+            self.words[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        if other:
+            self._through_library(other, self.words)
+        self.kept += sum(map(len, new)) + 170 * len(new) + 150 * len(fresh)
+
+    def _through_library(self, new: list[str], known: dict[str, bytes]) -> None:
         for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            ids = found.ids
-            self.ids[word] = np.array(ids, "<u4").tobytes()
-            if ids:
-                self.texts[word] = " ".join([self.names[i] for i in ids])
+            known[word] = np.array(found.ids, "<u4").tobytes()
+
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """The texts' words, all of them learned."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        self.learn(set().union(*split))
+        return split
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        known = self.ids
         try:
-            return b"".join([known[w] for w in words])
+            return self.joined(words)
         except KeyError:
             self.learn(set(words))
-            return b"".join([known[w] for w in words])
+            return self.joined(words)
+
+    def joined(self, words: list[str]) -> bytes:
+        known = self.words
+        return b"".join([known[w] for w in words])
 
-    def both(self, text: str) -> tuple[bytes, list[str]]:
-        """Ids, and the decoded words (to be joined by blanks)."""
-        ids = self.encode(text)
-        shown = self.texts
-        return ids, [shown[w] for w in text.replace("\n", " ").split(" ") if w in shown]
+    def decode(self, ids: bytes) -> bytes:
+        """UTF-8 of the library's decoding: without a decoder it joins the tokens by blanks."""
+        at = np.frombuffer(ids, "<u4")
+        if not len(at):
+            return b""
+        size = self.name_sizes[at]
+        end = np.cumsum(size)
+        place = np.arange(end[-1]) + np.repeat(self.name_begins[at] - end + size, size)
+        return self.name_bytes[place][:-1].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -129,30 +267,24 @@ def _safe(chunk: str) -> tuple[int, int]:
     return (min(first), max(chunk.rfind(" "), chunk.rfind("\n"))) if first else (-1, -1)
 
 
-def encode_chunked(enc: Encoder, text: str, mask: int = CUT_MASK) -> tuple[bytes, list[str]]:
-    """Ids and decoded words of a text out of its chunks' and the repaired joins'."""
+def encode_chunked(enc: Encoder, text: str, mask: int = CUT_MASK) -> bytes:
+    """Ids of a text out of its chunks' and the repaired joins'."""
     ids: list[bytes] = []
-    words: list[str] = []
     open_end = ""
-
-    def put(piece: tuple[bytes, list[str]]) -> None:
-        ids.append(piece[0])
-        words.extend(piece[1])
-
     for chunk in chunks_of(text, mask):
         first, last = _safe(chunk)
         if first < 0:  # no agreement inside this chunk: the stretch goes on
             open_end += chunk
             continue
-        put(enc.both(open_end + chunk[:first]))
+        ids.append(enc.encode(open_end + chunk[:first]))
         body = enc.chunks.get(chunk)
         if body is None:
-            body = enc.chunks[chunk] = enc.both(chunk[first : last + 1])
-            enc.chars += 6 * len(chunk)
-        put(body)
+            body = enc.chunks[chunk] = enc.encode(chunk[first : last + 1])
+            enc.kept += 6 * len(chunk) + 200
+        ids.append(body)
         open_end = chunk[last + 1 :]
-    put(enc.both(open_end))
-    return b"".join(ids), words
+    ids.append(enc.encode(open_end))
+    return b"".join(ids)
 
 
 def least_chunk(text: str) -> int:
@@ -173,13 +305,16 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         enc = encoder(path)
         for batch in batches:
             out: list[list] = [[] for _ in range(6 if keep_ids else 4)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, words = encode_chunked(enc, text)
-                decoded = " ".join(words)
-                row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids, decoded)
-                for column, value in zip(out, row):
-                    column.append(value)
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), TOGETHER):
                 enc.forget()
+                enc.prepare(texts[at : at + TOGETHER])
+                for doc_id, text in zip(ids_of[at : at + TOGETHER], texts[at : at + TOGETHER]):
+                    ids = encode_chunked(enc, text)
+                    decoded = enc.decode(ids)
+                    row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids, decoded)
+                    for column, value in zip(out, row):
+                        column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
             names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], list(names[: len(out)]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rotaspark.llm.bpe import encoder, vocabulary_path
+from rotaspark.llm.bpe import TOGETHER, encoder, vocabulary_path
 from rotaspark.llm.common import materialize, read, salt, shuffle_partitions, text_of
 
 CAPACITY = 2048
@@ -43,13 +43,15 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
         enc = encoder(path)
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text) + END
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first in range(0, len(texts), TOGETHER):
                 enc.forget()
+                for doc_id, words in zip(ids_of[first : first + TOGETHER], enc.prepare(texts[first : first + TOGETHER])):
+                    ids = enc.joined(words) + END
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

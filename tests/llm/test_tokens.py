@@ -15,7 +15,9 @@ from .util import ODD, frame
 
 
 def library(text):
-    t = library.__dict__.setdefault("t", Tokenizer.from_file(bpe.vocabulary_path()))
+    if not hasattr(library, "tokenizer"):
+        library.tokenizer = Tokenizer.from_file(bpe.vocabulary_path())
+    t = library.tokenizer
     ids = t.encode(text or "", add_special_tokens=False).ids
     return ids, t.decode(ids, skip_special_tokens=False)
 
@@ -48,10 +50,10 @@ def test_all_documents_match_the_library(spark, sf):
 def test_joins_are_exact_whatever_the_cut(text):
     enc = bpe.encoder(bpe.vocabulary_path())
     for mask in (1, 3, 1023):
-        ids, words = bpe.encode_chunked(enc, text, mask)
+        ids = bpe.encode_chunked(enc, text, mask)
         want, decoded = library(text)
         assert ids == np.array(want, "<u4").tobytes()
-        assert " ".join(words) == decoded
+        assert enc.decode(ids) == decoded.encode()
         assert "".join(bpe.chunks_of(text, mask)) == text
 
 
