@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,15 +58,52 @@ def salt(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.lit(17)), F.lit(n)).cast("int")
 
 
-def salted_groups(df: DataFrame, keys: list[str], id_col: str, salts: int) -> DataFrame:
-    """df with group_keep (largest id of its keys) and group_size, without gathering a group.
+def salted_groups(df: DataFrame, keys: list[str], id_col: str, salts: int, best: str = "max", sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with group_keep (largest or smallest id of its keys), group_size and sums, without gathering a group.
 
     Three aggregations of narrow rows: by (keys, salt), by keys over at most
     `salts` rows a group, and back by (keys, salt), so that a group that holds
     a third of all rows is dealt over `salts` tasks at every step.
     """
+    pick = F.max if best == "max" else F.min
     salted = df.withColumn("__salt", salt(salts, id_col))
-    slots = salted.groupBy(*keys, "__salt").agg(F.max(id_col).alias("__top"), F.count(F.lit(1)).alias("__n"))
-    totals = slots.groupBy(*keys).agg(F.max("__top").alias("group_keep"), F.sum("__n").alias("group_size"))
+    slots = salted.groupBy(*keys, "__salt").agg(pick(id_col).alias("__top"), F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    totals = slots.groupBy(*keys).agg(pick("__top").alias("group_keep"), F.sum("__n").alias("group_size"), *[F.sum(f"__{c}").alias(f"group_{c}") for c in sums])
     slots = slots.select(*keys, "__salt").join(totals, keys)
     return salted.join(slots, [*keys, "__salt"]).drop("__salt")
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, salts: int, how: str = "inner") -> DataFrame:
+    """big joined to small, which has one row a key, when very many rows of big may share a key.
+
+    small's rows are repeated once for each salt that big has with their key.
+    """
+    salted = big.withColumn("__salt", salt(salts, spread))
+    wanted = salted.select(*keys, "__salt").distinct().join(small, keys)
+    return salted.join(wanted, [*keys, "__salt"], how).drop("__salt")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of the first `keys` integer columns, of batches that are sorted by them.
+
+    Meant for groups whose size the caller has bounded.
+    """
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        begins = [0, *np.flatnonzero(new).tolist()]
+        for b, e in zip(begins, [*begins[1:], batch.num_rows]):
+            here = tuple(c[b].item() for c in columns)
+            if here != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = here
+            held.append(batch.slice(b, e - b))
+    if held:
+        yield key, pa.Table.from_batches(held)

@@ -7,15 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rotaspark.llm.bpe import op3_bpe
+from rotaspark.llm.cover_tree import op9_cover_tree
 from rotaspark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from rotaspark.llm.html_extract import op5_html
+from rotaspark.llm.line_dedup import op6_line_dedup
+from rotaspark.llm.near_join import op2_ngram_jaccard
 from rotaspark.llm.packing import op1_packing
+from rotaspark.llm.suffix_dedup import op4_suffix_dedup
+from rotaspark.llm.toxicity import op10_toxicity
+from rotaspark.llm.warc import op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_bpe": op3_bpe,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_html": op5_html,
+        "op6_line_dedup": op6_line_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_warc": op8_warc,
+        "op9_cover_tree": op9_cover_tree,
+        "op10_toxicity": op10_toxicity,
     }
 
 
