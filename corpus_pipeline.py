@@ -1,7 +1,60 @@
-"""Corpus pipeline."""
+"""A corpus pipeline out of five operators: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rotaspark.llm.common import materialize, read
+from rotaspark.llm.exact_dedup import drop_exact_copies
+from rotaspark.llm.near_join import drop_near_copies
+from rotaspark.llm.packing import pack_documents
+from rotaspark.llm.suffix_dedup import cut_repeats
+from rotaspark.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, does not reject."""
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return drop_exact_copies(docs)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has as well."""
+    return cut_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("suffix-array dedup", suffix_dedup),
+    ("best-fit packing", packing),
+]
+
+#: No SQL expresses the trained classifier or best-fit packing; tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
