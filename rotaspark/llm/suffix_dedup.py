@@ -20,7 +20,7 @@ left open:
 3. suffixes: stretches that are first of their kind, but whose anchor has other
    kinds as well (where copies begin and end), are ordered suffix by suffix.
 
-Names are 128-bit hashes.  Texts are dealt once, into a bucketed table of blocks
+Names are hashes of 96 bits (stretches) and 128 bits (suffixes).  Texts are dealt once, into a bucketed table of blocks
 that all passes read in place; only names move between blocks and name buckets,
 at most one for each block and name, so a passage in a third of all documents
 costs each bucket no more than one entry a block.
@@ -49,7 +49,7 @@ GRAM = 32
 #: Positions of a stretch at most: two LENGTH-byte strings must cover it.
 STRETCH = 32
 #: Bytes of text hashed at a time, and bytes of text in a block (about).
-SLICE, BLOCK_BYTES = 1 << 20, 24_000_000
+SLICE, BLOCK_BYTES = 1 << 20, 12_000_000
 LAST = np.iinfo(np.int64).max
 
 _TABLE = np.random.default_rng(977).integers(0, 2**64, 256, dtype=np.uint64)
@@ -127,7 +127,7 @@ def _hash_slice(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: in
     head, tail = over(length, p), over(length, p + counts - 1)
     name = _mixed(head * np.uint64(0xC2B2AE3D27D4EB4F) + tail + counts.astype(np.uint64), 0x9FB21C651E98DF25)
     row = some[np.searchsorted(offset, heads, "right") - 1]
-    return Stretches(row + first, p - begins[row], counts, anchor[heads], name)
+    return Stretches((row + first).astype(np.int32), (p - begins[row]).astype(np.int32), counts.astype(np.int32), anchor[heads], name)
 
 
 def stretches_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Stretches:
@@ -143,13 +143,18 @@ def stretches_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
             found.append(_hash_slice(np.frombuffer(b"".join(texts[i:j]), np.uint8), begins, ends, i, length, gram))
         i = j
     if not found:
-        empty = np.empty(0, np.int64)
-        return Stretches(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
+        empty, none = np.empty(0, np.int32), np.empty(0, np.uint64)
+        return Stretches(empty, empty, empty, none, none)
     return Stretches(*[np.concatenate(x) for x in zip(*found)])
 
 
+def _upper(a: np.ndarray) -> np.ndarray:
+    """The upper half of each hash."""
+    return (a >> np.uint64(32)).astype(np.uint32)
+
+
 class Pairs:
-    """Sorted 128-bit names with the smallest id seen for each."""
+    """Sorted names of two parts with the smallest id seen for each."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray):
         order = np.lexsort((ids, b, a))
@@ -170,10 +175,14 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
 
+_KINDS = {"u": np.dtype(np.uint64), "i": np.dtype(np.int64), "h": np.dtype(np.uint32)}
+
+
 def _unpack(data: bytes, kinds: str) -> list[np.ndarray]:
-    """8-byte columns, u: unsigned, i: signed."""
-    n = len(data) // (8 * len(kinds))
-    return [np.frombuffer(data, np.uint64 if k == "u" else np.int64, n, 8 * n * j) for j, k in enumerate(kinds)]
+    """Columns, u: unsigned of 8 bytes, i: signed, h: unsigned of 4 bytes."""
+    sizes = [_KINDS[k].itemsize for k in kinds]
+    n = len(data) // sum(sizes)
+    return [np.frombuffer(data, _KINDS[k], n, n * sum(sizes[:j])) for j, k in enumerate(kinds)]
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -208,7 +217,7 @@ def _gather(table: pa.Table, kind: int, kinds: str) -> tuple[list[np.ndarray], n
     """All entries of one kind, and the block (column at) each came from."""
     rows = [(at, d) for at, k, d in zip(table["at"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist()) if k == kind]
     parts = [_unpack(d, kinds) for _, d in rows]
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.uint64 if k == "u" else np.int64) for k in kinds]
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, _KINDS[k]) for k in kinds]
     return columns, np.repeat([at for at, _ in rows], [len(p[0]) for p in parts]).astype(np.int64)
 
 
@@ -276,7 +285,7 @@ def blocks_table(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tu
 
 
 def _first_names(block: Block, s: Stretches) -> tuple[Pairs, np.ndarray]:
-    pairs = Pairs(s.name, s.anchor, block.ids[s.doc])
+    pairs = Pairs(s.name, _upper(s.anchor), block.ids[s.doc])
     return pairs, pairs.smallest()
 
 
@@ -343,16 +352,19 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             s = block.candidates(many)
             pairs, _ = _first_names(block, s)
             out.deal(n, at, NAMES, pairs.a, pairs.a, pairs.b, pairs.ids)
-            order = np.lexsort((pairs.a, pairs.b))
-            anchor, begin, count = np.unique(pairs.b[order], return_index=True, return_counts=True)
-            out.deal(n, at, KINDS, anchor, anchor, np.where(count == 1, pairs.a[order][begin], np.uint64(0)))
-            out.rows.append((at, at, ANCHORS, many.tobytes()))  # the block's note to itself
+            order = np.lexsort((s.name, s.anchor))
+            anchor, begin = np.unique(s.anchor[order], return_index=True)
+            end = np.append(begin[1:], len(order)) - 1
+            kind = s.name[order[begin]]
+            out.deal(n, at, KINDS, anchor, anchor, np.where(kind == s.name[order[end]], kind | np.uint64(1), np.uint64(0)))
+            # The block's note to itself: a bit for each of its anchors.
+            out.rows.append((at, at, ANCHORS, np.packbits(np.isin(np.unique(block.all.anchor), many, assume_unique=True)).tobytes()))
         return out.table()
 
     def settle(table: pa.Table) -> pa.Table:
         """To each block: names that an earlier document elsewhere has; anchors with several kinds of stretches."""
         out = Messages()
-        (name, anchor, ids), at = _gather(table, NAMES, "uui")
+        (name, anchor, ids), at = _gather(table, NAMES, "uhi")
         least = Pairs(name, anchor, ids).smallest()
         later = np.flatnonzero(least < ids)
         for block, w in _by_bucket(at[later]):
@@ -372,11 +384,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def opened(block: Block, answers: pa.Table) -> tuple[Stretches, np.ndarray, np.ndarray]:
         """The block's candidates, the smallest id of each one's name, and those to order suffix by suffix."""
-        (many,), _ = _gather(answers, ANCHORS, "u")
-        s = block.candidates(np.sort(many))
+        note = next(d for k, d in zip(answers["kind"].to_pylist(), answers["data"].to_pylist()) if k == ANCHORS)
+        mine = np.unique(block.all.anchor)
+        s = block.candidates(mine[np.unpackbits(np.frombuffer(note, np.uint8), count=len(mine)).astype(bool)])
         _, least = _first_names(block, s)
-        (name, anchor, ids), _ = _gather(answers, NAMES, "uui")
-        least = _lookup(s.name, s.anchor, Pairs(name, anchor, ids), least)
+        (name, anchor, ids), _ = _gather(answers, NAMES, "uhi")
+        least = _lookup(s.name, _upper(s.anchor), Pairs(name, anchor, ids), least)
         (several,), _ = _gather(answers, KINDS, "u")
         first = least == block.ids[s.doc]
         return s, least, np.flatnonzero(first & np.isin(s.anchor, several))
