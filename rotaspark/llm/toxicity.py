@@ -39,6 +39,8 @@ BUCKETS, WIDTH, STATE = 1 << 15, 16, 8
 #: Labelled rows of each class that train the network, and characters of text they may hold together.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 12_000_000
 EPOCHS, BATCH, RATE = 3, 48, 0.05
+#: Steps of training at least, however few the labelled rows are.
+STEPS = 200
 #: Training texts that must share a row of the hashed tables for it to be trained.
 SHARED = 4
 THRESHOLD = 0.7
@@ -211,7 +213,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Network | float:
     rare = np.bincount(table.grams, np.repeat(in_docs, table.counts), 2 * BUCKETS) + np.bincount(table.own, in_docs, 2 * BUCKETS) < SHARED
     sums = {k: np.full_like(v, 1e-3) for k, v in net.w.items()}
     row_sums = np.full(2 * BUCKETS, 1e-3, np.float32)
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // len(docs)))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
