@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAME = F.col("_metadata.file_name")
+FILE = "_metadata.file_name"
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -50,19 +50,19 @@ def parse_config(line: Column) -> dict[str, Column]:
 
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     """A row a file: its dimensions and what its log says."""
-    raw = spark.read.option("wholetext", True).text(path).select(NAME.alias("file"), "value")
+    raw = spark.read.option("wholetext", True).text(path).select(F.col(FILE).alias("file"), "value")
     return raw.select("file", *[c.alias(k) for k, c in (dimensions(F.col("file")) | parse_log(F.col("value"))).items()])
 
 
 def scan_times(spark: SparkSession, path: str) -> DataFrame:
     """A row a line: dimensions and time_sec (null for NA)."""
-    raw = spark.read.text(path).select(NAME.alias("file"), F.trim("value").alias("value")).filter("value <> ''")
+    raw = spark.read.text(path).select(F.col(FILE).alias("file"), F.trim("value").alias("value")).filter("value <> ''")
     return raw.select("file", *[c.alias(k) for k, c in dimensions(F.col("file")).items()], F.col("value").try_cast("double").alias("time_sec"))
 
 
 def scan_config(spark: SparkSession, path: str) -> DataFrame:
     """file, key, values."""
-    raw = spark.read.text(path).select(NAME.alias("file"), "value")
+    raw = spark.read.text(path).select(F.col(FILE).alias("file"), "value")
     return raw.select("file", *[c.alias(k) for k, c in parse_config(F.col("value")).items()]).filter("key is not null")
 
 
