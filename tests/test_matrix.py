@@ -43,45 +43,62 @@ def test_tiny_matrix(spark):
     assert np.allclose([r.val for r in rows[8:13]], [0.82096213327, 0.399748270393, 0.293455739815, 0.091364320365, 0.267878304063], atol=1e-11)
 
 
+def plain_run(entries, x, n, iterations=500, epoch=25):
+    """The loop one element after the other, in numpy: (rayleigh, x)."""
+    row, col, val = (np.array([r[k] for r in entries]) for k in ("row", "col", "val"))
+    x = np.array(x) / np.linalg.norm(x)
+
+    def product(x, shift):
+        y = np.zeros(n)
+        np.add.at(y, (row + shift) % n, val * x[col])
+        return y
+
+    for k in range(iterations):
+        y = product(x, schedule.shift_at(k, n, epoch))
+        x = y / np.linalg.norm(y)
+    return float(x @ product(x, schedule.final_shift(n, iterations, epoch))), x
+
+
 @pytest.mark.parametrize("case", GOLDEN, ids=lambda c: f"{c[0]}-{c[1]}-{c[3]}")
-def test_golden_runs(spark, case):
+def test_golden_matrices(spark, case):
     n, nz, seed, mode, least, most, value, first, total = case
-    a = generated.matrix(spark, n, nz, mode, seed).cache()
-    stats = generated.matrix_stats(a, n).first()
-    assert (stats.total_nnz, stats.min_nnz, stats.max_nnz) == (nz, least, most)
-    found = power_iterate(a, generated.raw_vector(spark, n, seed), n, strategy="barrier", tasks=3)
-    result, x = found.result.first(), [r.v for r in found.x.orderBy("i").collect()]
-    assert math.isclose(result.rayleigh, value, rel_tol=1e-9)
-    assert result.final_row_shift == 19 * schedule.shift_step(n) % n
-    assert math.isclose(x[0], first, rel_tol=1e-9) and math.isclose(sum(x), total, rel_tol=1e-9)
-    a.unpersist()
+    entries = generated.matrix(spark, n, nz, mode, seed).collect()
+    sizes = np.bincount([r.row for r in entries], minlength=n)
+    assert (len(entries), sizes.min(), sizes.max()) == (nz, least, most)
+    assert len({(r.row, r.col) for r in entries}) == nz
+    got, x = plain_run(entries, [r.v for r in generated.raw_vector(spark, n, seed).orderBy("i").collect()], n)
+    assert math.isclose(got, value, rel_tol=1e-9)
+    assert math.isclose(x[0], first, rel_tol=1e-9) and math.isclose(x.sum(), total, rel_tol=1e-9)
+
+
+def test_fold_golden(spark):
+    n, nz = 16, 200
+    found = power_iterate(generated.matrix(spark, n, nz, "irregular", 7), generated.raw_vector(spark, n, 7), n)
+    assert math.isclose(found.result.first().rayleigh, 2.84520916806669, rel_tol=1e-9)
+    assert found.result.first().final_row_shift == 9
 
 
 def test_strategies_agree(spark):
-    n = 64
-    a = generated.matrix(spark, n, 512).cache()
+    n = 40
+    a = generated.matrix(spark, n, 200).cache()
     x0 = generated.raw_vector(spark, n)
-    runs = {s: power_iterate(a, x0, n, 11, 3, s) for s in ("fold", "barrier", "join")}
-    xs = {s: np.array([r.v for r in f.x.orderBy("i").collect()]) for s, f in runs.items()}
-    assert all(np.allclose(xs["join"], x, rtol=1e-9) for x in xs.values())
-    assert len({(round(f.result.first().rayleigh, 9), f.result.first().final_row_shift) for f in runs.values()}) == 1
+    value, want = plain_run(a.collect(), [r.v for r in x0.orderBy("i").collect()], n, 7, 3)
+    for s in ("fold", "blocks", "join"):
+        found = power_iterate(a, x0, n, 7, 3, s)
+        row = found.result.first()
+        assert math.isclose(row.rayleigh, value, rel_tol=1e-9) and row.final_row_shift == schedule.final_shift(n, 7, 3)
+        assert np.allclose([r.v for r in found.x.orderBy("i").collect()], want, rtol=1e-9)
     with pytest.raises(ValueError):
         power_iterate(a, x0, n, strategy="other")
     with pytest.raises(ValueError):
         power_iterate(a, x0, 10**9, strategy="fold")
 
 
-def test_fold_golden(spark):
-    n, nz = 16, 200
-    found = power_iterate(generated.matrix(spark, n, nz, "irregular", 7), generated.raw_vector(spark, n, 7), n)
-    assert math.isclose(found.result.first().rayleigh, 2.84520916806669, rel_tol=1e-9)
-
-
 def test_empty_rows_are_zero(spark):
     a = spark.createDataFrame([(0, 1, 1.0), (2, 0, 1.0)], "row long, col long, val double")
     x0 = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0)], "i long, v double")
     want = None
-    for s in ("fold", "barrier", "join"):
+    for s in ("fold", "blocks", "join"):
         got = power_iterate(a, x0, 3, 2, 25, s)
         x = {r.i: r.v for r in got.x.collect() if r.v}
         want = want or x
