@@ -6,8 +6,12 @@ block element gives one line of text.  Then the lengths of the lines that are
 not links are summed over sliding windows of lines.  The text surges where the
 sum first rises above the threshold and dives where it last falls below it; all
 lines between the surge and the dive of the largest stretch are kept, and the
-headings right above it.  If a page marks its article, only lines inside it
-count in the sums, and any of them is a surge.
+headings right above it.
+
+Article marks (article, main, role=main, articleBody) only settle the edges.  A
+marked element that holds at least half of the stretch the sums chose is kept
+whole, and lines outside it count FOREIGN of their length.  If no element holds
+so much, but lines outside all marks do, small marked ones (teasers) count FOREIGN.
 
 Null and empty pages give the empty text.  Pages are treated one by one:
 repeated or null ids, ties and other columns have no effect.  Unclosed elements
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,6 +36,10 @@ from rotaspark.llm.common import read, text_of
 #: Lines in a window, and the part of the largest window sum that counts as text.
 WINDOW = 3
 THRESHOLD = 0.2
+#: What a line counts on the other side of an article's edge.
+FOREIGN = 0.25
+#: Part of the stretch below which a marked element beside unmarked text is no part of the article.
+TEASER = 0.1
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -45,6 +54,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = frozenset("nav footer aside form button menu dialog noframes header fieldset".split())
 ARTICLE = frozenset("article main".split())
+CONTAINERS = frozenset("body div section article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted "
@@ -61,7 +71,15 @@ class Line(NamedTuple):
     text: str
     linked: int
     heading: bool
-    article: bool
+    mark: int  # the innermost marked element around it, 0: none
+
+
+class Page(NamedTuple):
+    """Lines, and of each marked element (0: the page) the one around it and whether it is an article."""
+
+    lines: list[Line]
+    around: list[int]
+    article: list[bool]
 
 
 def _attributes(text: str) -> tuple[dict[str, str], set[str]]:
@@ -82,9 +100,16 @@ def _hides(name: str, found: dict[str, str], words: set[str], in_article: bool)
 
 def lines_of(page: str) -> list[Line]:
     """The lines of a page: its blocks' texts, white space folded, empty ones left out."""
+    return parsed(page).lines
+
+
+def parsed(page: str) -> Page:
     lines: list[Line] = []
     parts: list[str] = []
-    linked = depth = article = link = 0
+    around, is_article = [0], [False]
+    opened: list[tuple[str, int]] = []  # containers: name, the marked element inside it
+    count: Counter[str] = Counter()
+    linked = depth = mark = link = 0
     heading = False
     hidden = ""
     at = 0
@@ -101,7 +126,7 @@ def lines_of(page: str) -> list[Line]:
         if parts:
             line = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if line:
-                lines.append(Line(line, linked, heading, article > 0))
+                lines.append(Line(line, linked, heading, mark))
             parts.clear()
         linked = 0
 
@@ -127,34 +152,44 @@ def lines_of(page: str) -> list[Line]:
             elif name == "br":
                 text(" ")
             found, words = _attributes("" if closes else m["attributes"] or "")
-            if words and not closes and _hides(name, found, words, article > 0):
+            if words and not closes and _hides(name, found, words, mark > 0):
                 hidden, depth = name, 1
             continue
         end()
         heading = name in HEADINGS and not closes
         if closes:
-            if name in ARTICLE:
-                article = max(0, article - 1)
+            if count[name]:  # with the unclosed ones inside it
+                inner = ""
+                while inner != name:
+                    inner = opened.pop()[0]
+                    count[inner] -= 1
+                mark = opened[-1][1] if opened else 0
             continue
         found, words = _attributes(m["attributes"] or "")
-        if name in ARTICLE or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody":
-            article += 1
-        elif _hides(name, found, words, article > 0) and not (m["attributes"] or "").endswith("/"):
+        body = found.get("itemprop", "").lower() == "articlebody"
+        marks = name in ARTICLE or found.get("role", "").lower() == "main" or body
+        if not marks and _hides(name, found, words, mark > 0) and not (m["attributes"] or "").endswith("/"):
             hidden, depth, link = name, 1, 0
+            continue
+        if marks and not (body and is_article[mark]):
+            around.append(mark)
+            is_article.append(name == "article" or body or is_article[mark])
+            mark = len(around) - 1
+        if name in CONTAINERS or marks:
+            opened.append((name, mark))
+            count[name] += 1
     text(page[at:])
     end()
-    return lines
+    return Page(lines, around, is_article)
 
 
-def main_stretch(lines: list[Line]) -> tuple[int, int]:
+def _stretch(lines: list[Line], weights: list[float]) -> tuple[int, int]:
     """First line and the one after the last, between the surge and the dive."""
-    marked = any(x.article for x in lines)
-    weights = [(x.article or not marked) * (len(x.text) if marked else max(0, len(x.text) - x.linked)) for x in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     if not sums or not max(sums):
         return 0, 0
-    threshold = 0 if marked else THRESHOLD * max(sums)
-    best, begin, i = (0, 0, 0), None, 0
+    threshold = THRESHOLD * max(sums)
+    best, begin = (0, 0, 0), None
     for i, total in enumerate([*sums, -1]):
         if total > threshold and begin is None:
             begin = i
@@ -167,20 +202,55 @@ def main_stretch(lines: list[Line]) -> tuple[int, int]:
                 last -= 1
             best = max(best, (sum(weights[first : last + 1]), first, last + 1))
             begin = None
-    _, first, after = best
-    if marked:  # the article may be in several stretches
-        inside = [k for k, w in enumerate(weights) if w]
-        return inside[0], inside[-1] + 1
+    return best[1:]
+
+
+def _inside(page: Page, weights: list[float]) -> tuple[list[bool], bool]:
+    """The lines on the article's side of its edge, and whether a marked element is the article."""
+    own = [0.0] * len(page.around)
+    for x, w in zip(page.lines, weights):
+        own[x.mark] += w
+    whole, children = list(own), [[] for _ in own]
+    for k in range(len(own) - 1, 0, -1):
+        whole[page.around[k]] += whole[k]
+        children[page.around[k]].append(k)
+    at, half = 0, whole[0] / 2
+    while not page.article[at]:
+        inner = max(children[at], key=whole.__getitem__, default=0)
+        if not inner or whole[inner] < half:
+            break
+        at = inner
+    cards = not page.article[at] and 2 * own[at] >= whole[at]
+    within = [at == 0] + [False] * (len(own) - 1)
+    for k in range(1, len(own)):
+        within[k] = k == at or within[page.around[k]] and not (cards and page.around[k] == at and whole[k] < TEASER * whole[0])
+    return [within[x.mark] for x in page.lines], at > 0
+
+
+def main_stretch(page: Page) -> tuple[int, int]:
+    """First line and the one after the last of the main text."""
+    lines = page.lines
+    weights: list[float] = [max(0, len(x.text) - x.linked) for x in lines]
+    if not any(weights):  # links only: those that are marked
+        weights = [len(x.text) * (x.mark > 0) for x in lines]
+    first, after = _stretch(lines, weights)
+    if len(page.around) > 1:
+        inside, is_marked = _inside(page, [w * (first <= i < after) for i, w in enumerate(weights)])
+        first, after = _stretch(lines, [w if x else FOREIGN * w for w, x in zip(weights, inside)])
+        if is_marked:
+            places = [i for i, x in enumerate(inside) if x]
+            if after <= places[0] or first > places[-1]:
+                first, after = places[0], places[-1] + 1
+            first, after = min(first, places[0]), max(after, places[-1] + 1)
     while first > 0 and lines[first - 1].heading:
         first -= 1
     return first, after
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    first, after = main_stretch(lines)
-    marked = any(x.article for x in lines)
-    return "\n".join(x.text for x in lines[first:after] if x.article or not marked)
+    found = parsed(page or "")
+    first, after = main_stretch(found)
+    return "\n".join(x.text for x in found.lines[first:after])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -48,3 +48,22 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     assert {(r.page_id, r.n_chars) for r in extract_pages(df).collect()} == {(1, len(main_text(PAGE))), (None, 0)}
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def paragraphs(n, size=170, word="story"):
+    return [f"{word} {i} ".ljust(size - 1, "x") + "." for i in range(n)]
+
+
+def page_of(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_story_beside_teaser_articles():
+    story = paragraphs(8)
+    cards = "".join(f"<article class=teaser><h3><a href='#'>Card {i}</a></h3><p>Blurb {i} in brief.</p></article>" for i in range(6))
+    for a, b in (("<div class=story>", "</div>"), ("<main><div>", "</div></main>"), ("<article>", "</article>"), ("<main><article>", "</article></main>")):
+        for page in (a + page_of(story) + b + cards, cards + a + page_of(story) + b):
+            assert main_text(page) == "\n".join(story)
+    assert main_text("<div role=main>" + page_of(story) + "<p><a href='#'>Source</a></p></div><div>Imprint, all rights</div>") == "\n".join([*story, "Source"])
+    beyond = paragraphs(6, 250, "beyond")
+    assert main_text("<article>" + page_of(story) + "</article><div>" + page_of(beyond) + "</div>") == "\n".join(story + beyond)
