@@ -5,8 +5,10 @@ class or id that they hold no article text go with their contents, and each
 block element gives one line of text.  Then the lengths of the lines that are
 not links are summed over sliding windows of lines.  The text surges where the
 sum first rises above the threshold and dives where it last falls below it; all
-lines between the surge and the dive of the largest stretch are kept, and the
-headings right above it.
+lines between the first surge and the last dive are kept, and the headings right
+above them.  Lines count CLIP characters at most for the threshold, so a long one
+cannot raise it.  Lines that are no links and touch kept text are kept too, those
+of the windows at the edges and those of the same containers.
 
 Article marks (article, main, role=main, articleBody) only settle the edges.  A
 marked element that holds at least half of the stretch the sums chose is kept
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 
 from rotaspark.llm.common import read, text_of
 
-#: Lines in a window, and the part of the largest window sum that counts as text.
+#: Lines in a window, the part of the largest window sum that counts as text, and a line's length in it at most.
 WINDOW = 3
 THRESHOLD = 0.2
+CLIP = 100
 #: What a line counts on the other side of an article's edge.
 FOREIGN = 0.25
 #: Part of the stretch below which a marked element beside unmarked text is no part of the article.
@@ -72,6 +75,7 @@ class Line(NamedTuple):
     linked: int
     heading: bool
     mark: int  # the innermost marked element around it, 0: none
+    container: int  # the innermost container's number
 
 
 class Page(NamedTuple):
@@ -107,9 +111,9 @@ def parsed(page: str) -> Page:
     lines: list[Line] = []
     parts: list[str] = []
     around, is_article = [0], [False]
-    opened: list[tuple[str, int]] = []  # containers: name, the marked element inside it
+    opened: list[tuple[str, int, int]] = []  # containers: name, number, the marked element inside it
     count: Counter[str] = Counter()
-    linked = depth = mark = link = 0
+    linked = depth = mark = link = container = numbers = 0
     heading = False
     hidden = ""
     at = 0
@@ -126,7 +130,7 @@ def parsed(page: str) -> Page:
         if parts:
             line = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if line:
-                lines.append(Line(line, linked, heading, mark))
+                lines.append(Line(line, linked, heading, mark, container))
             parts.clear()
         linked = 0
 
@@ -163,7 +167,7 @@ def parsed(page: str) -> Page:
                 while inner != name:
                     inner = opened.pop()[0]
                     count[inner] -= 1
-                mark = opened[-1][1] if opened else 0
+                _, container, mark = opened[-1] if opened else ("", 0, 0)
             continue
         found, words = _attributes(m["attributes"] or "")
         body = found.get("itemprop", "").lower() == "articlebody"
@@ -176,33 +180,40 @@ def parsed(page: str) -> Page:
             is_article.append(name == "article" or body or is_article[mark])
             mark = len(around) - 1
         if name in CONTAINERS or marks:
-            opened.append((name, mark))
+            container = numbers = numbers + 1
+            opened.append((name, container, mark))
             count[name] += 1
     text(page[at:])
     end()
     return Page(lines, around, is_article)
 
 
-def _stretch(lines: list[Line], weights: list[float]) -> tuple[int, int]:
-    """First line and the one after the last, between the surge and the dive."""
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    if not sums or not max(sums):
-        return 0, 0
-    threshold = THRESHOLD * max(sums)
-    best, begin = (0, 0, 0), None
-    for i, total in enumerate([*sums, -1]):
-        if total > threshold and begin is None:
+def _stretch(lines: list[Line], weights: list[float], threshold: float, inside: list[bool]) -> tuple[int, int]:
+    """First line and the one after the last, between the first surge and the last dive of windows with lines inside."""
+    core: list[int] = []
+    begin = None
+    for i in range(len(weights) + 1):
+        surges = sum(weights[i : i + WINDOW]) > threshold
+        if surges and begin is None:
             begin = i
-        elif total <= threshold and begin is not None:
-            first, last = begin, i - 1
-            while first < last and weights[first] * WINDOW <= threshold:
-                first += 1
-            last = min(len(lines) - 1, last + WINDOW - 1)
-            while last > first and weights[last] * WINDOW <= threshold:
-                last -= 1
-            best = max(best, (sum(weights[first : last + 1]), first, last + 1))
+        elif not surges and begin is not None:  # a window that surges has a line of more than a WINDOWth
+            part = [k for k in range(begin, min(len(lines), i + WINDOW - 1)) if weights[k] * WINDOW > threshold]
+            if any(inside[k] for k in part):
+                core += part
             begin = None
-    return best[1:]
+    if not core:
+        return 0, 0
+    kept = {lines[k].container for k in core}
+
+    def touches(k: int, edge: int) -> bool:
+        return inside[k] and 2 * lines[k].linked < len(lines[k].text) and (abs(k - edge) < WINDOW or lines[k].container in kept)
+
+    first, last = core[0], core[-1]
+    while first > 0 and touches(first - 1, core[0]):
+        first -= 1
+    while last + 1 < len(lines) and touches(last + 1, core[-1]):
+        last += 1
+    return first, last + 1
 
 
 def _inside(page: Page, weights: list[float]) -> tuple[list[bool], bool]:
@@ -233,15 +244,17 @@ def main_stretch(page: Page) -> tuple[int, int]:
     weights: list[float] = [max(0, len(x.text) - x.linked) for x in lines]
     if not any(weights):  # links only: those that are marked
         weights = [len(x.text) * (x.mark > 0) for x in lines]
-    first, after = _stretch(lines, weights)
-    if len(page.around) > 1:
+    clipped = [min(CLIP, w) for w in weights]
+    threshold = THRESHOLD * max((sum(clipped[i : i + WINDOW]) for i in range(len(clipped))), default=0)
+    first, after = _stretch(lines, weights, threshold, [True] * len(lines))
+    if len(page.around) > 1 and first < after:
         inside, is_marked = _inside(page, [w * (first <= i < after) for i, w in enumerate(weights)])
-        first, after = _stretch(lines, [w if x else FOREIGN * w for w, x in zip(weights, inside)])
+        begin, end = _stretch(lines, [w if x else FOREIGN * w for w, x in zip(weights, inside)], threshold, inside)
         if is_marked:
             places = [i for i, x in enumerate(inside) if x]
-            if after <= places[0] or first > places[-1]:
-                first, after = places[0], places[-1] + 1
-            first, after = min(first, places[0]), max(after, places[-1] + 1)
+            first, after = (min(begin, places[0]), max(end, places[-1] + 1)) if end else (places[0], places[-1] + 1)
+        elif end:
+            first, after = begin, end
     while first > 0 and lines[first - 1].heading:
         first -= 1
     return first, after

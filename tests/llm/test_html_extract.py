@@ -67,3 +67,20 @@ def test_story_beside_teaser_articles():
     assert main_text("<div role=main>" + page_of(story) + "<p><a href='#'>Source</a></p></div><div>Imprint, all rights</div>") == "\n".join([*story, "Source"])
     beyond = paragraphs(6, 250, "beyond")
     assert main_text("<article>" + page_of(story) + "</article><div>" + page_of(beyond) + "</div>") == "\n".join(story + beyond)
+
+
+def test_nothing_in_the_article_is_dropped():
+    menu = "<ul>" + "".join(f"<li><a href='#'>Item {i}</a></li>" for i in range(30)) + "</ul>"
+    short = ["Why?", "So."]
+    for lines in (
+        ["x" * 5000, *paragraphs(10, 100)],
+        [*paragraphs(10, 100), "x" * 5000],
+        [*paragraphs(4, 300), *["item"] * 20, *paragraphs(2, 100)],
+        [*short, *paragraphs(5), *short, *short, *short],
+        [*paragraphs(3), *[f"<a href='#'>{x}</a>" for x in paragraphs(6, 60, "linked")], *paragraphs(2, 90)],
+    ):
+        want = "\n".join(x.removeprefix("<a href='#'>").removesuffix("</a>") for x in lines)
+        assert main_text(f"<body>{menu}<div>{page_of(lines)}</div>{menu}</body>") == want
+    assert main_text(f"<article>{page_of(paragraphs(8))}</article><div>{page_of(paragraphs(3, 900, 'beyond'))}</div>").count("\n") == 10
+    labels = "".join(f"<div>Item {i}</div>" for i in range(20))
+    assert main_text(f"{labels}{menu}<div>{page_of(paragraphs(6))}</div>{menu}{labels}") == "\n".join(paragraphs(6))
