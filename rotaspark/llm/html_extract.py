@@ -1,8 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped first: scripts, styles and elements that say by their name,
-class or id that they hold no article text go with their contents, and each
-block element gives one line of text.  Then the lengths of the lines that are
+class or id that they hold no article text go with their contents, unless they
+hold the article or most of the page's text, and each block element gives one
+line of text.  A class or id says so as a whole: all words of `cookie-notice` do,
+those of `has-sidebar` don't.  Then the lengths of the lines that are
 not links are summed over sliding windows of lines.  The text surges where the
 sum first rises above the threshold and dives where it last falls below it; all
 lines between the first surge and the last dive are kept, and the headings right
@@ -52,7 +54,7 @@ TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)[^>]*+>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = frozenset("nav footer aside form button menu dialog noframes header fieldset".split())
@@ -65,6 +67,10 @@ NOT_TEXT = frozenset(
     "cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup login paywall popup modal overlay "
     "comment comments commentlist disqus replies respond share sharing social related recommended recommendations outbrain taboola tags toolbar skip".split()
 )
+#: Words that may stand beside those above in one class or id.
+BESIDE = frozenset("area bar block box button buttons container inner item items left link links list bottom outer right section top unit wrap wrapper".split())
+#: Elements that never hold the article because they hold most of the text.
+ASIDE = frozenset("nav footer aside button menu dialog noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -76,6 +82,18 @@ class Line(NamedTuple):
     heading: bool
     mark: int  # the innermost marked element around it, 0: none
     container: int  # the innermost container's number
+    hide: int  # the innermost element around it that says it holds no article text, 0: none
+
+
+class Hide(NamedTuple):
+    """An element that says it holds no article text, and what is restored when it ends."""
+
+    name: str
+    number: int
+    opened: list[tuple[str, int, int]]
+    count: Counter[str]
+    base: tuple[str, int, int]
+    link: int
 
 
 class Page(NamedTuple):
@@ -87,8 +105,15 @@ class Page(NamedTuple):
 
 
 def _attributes(text: str) -> tuple[dict[str, str], set[str]]:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text else {}
-    words = {w.lower() for k in ("class", "id") for w in WORD.findall(found.get(k, ""))}
+    """Attributes by name, the first of each, and the words among classes and id that speak for the whole class."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text) if text else ():
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    words: set[str] = set()
+    for token in (found.get("class", "") + " " + found.get("id", "")).split():
+        parts = {w.lower() for w in WORD.findall(token) if not w.isdigit()}
+        if all(w in NOT_TEXT or w in BESIDE or w == "header" for w in parts):
+            words |= parts - BESIDE
     return found, words
 
 
@@ -109,30 +134,53 @@ def lines_of(page: str) -> list[Line]:
 
 def parsed(page: str) -> Page:
     lines: list[Line] = []
-    parts: list[str] = []
-    around, is_article = [0], [False]
+    parts: dict[int, list[str]] = {}  # by hiding element
+    linked: Counter[int] = Counter()
+    around, is_article, mark_hide = [0], [False], [0]
+    hide_around, hide_name = [0], [""]
+    hides: list[Hide] = []
+    depth: list[int] = []  # of each in hides, elements of its name that are open
+    hiding: Counter[str] = Counter()
+    last_close: dict[str, int] = {}
     opened: list[tuple[str, int, int]] = []  # containers: name, number, the marked element inside it
     count: Counter[str] = Counter()
-    linked = depth = mark = link = container = numbers = 0
+    base = ("", 0, 0)
+    mark = link = container = numbers = hide = 0
     heading = False
-    hidden = ""
     at = 0
 
     def text(piece: str) -> None:
-        nonlocal linked
-        if piece and not hidden:
-            parts.append(piece)
+        if piece:
+            parts.setdefault(hide, []).append(piece)
             if link:
-                linked += len(piece.strip())
+                linked[hide] += len(piece.strip())
 
     def end() -> None:
-        nonlocal linked
-        if parts:
-            line = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        for k, pieces in parts.items():
+            line = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if line:
-                lines.append(Line(line, linked, heading, mark, container))
+                lines.append(Line(line, linked[k], heading, mark, container, k))
+        if parts:
             parts.clear()
-        linked = 0
+            linked.clear()
+
+    def begin_hide(name: str) -> None:
+        nonlocal opened, count, base, container, numbers, link, hide
+        hide_around.append(hide)
+        hide_name.append(name)
+        hides.append(Hide(name, hide, opened, count, base, link))
+        depth.append(1)
+        hiding[name] += 1
+        hide = len(hide_around) - 1
+        container = numbers = numbers + 1
+        opened, count, base = [], Counter(), ("", container, mark)
+
+    def end_hide() -> None:
+        nonlocal opened, count, base, container, mark, link, hide
+        name, hide, opened, count, base, link = hides.pop()
+        depth.pop()
+        hiding[name] -= 1
+        _, container, mark = opened[-1] if opened else base
 
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -141,15 +189,25 @@ def parsed(page: str) -> Page:
         if not name:  # a comment, a declaration or an element whose contents are no text
             continue
         closes = bool(m["close"] or m["close2"])
-        if hidden:
-            if name == hidden:
-                depth += -1 if closes else 1
-                if depth == 0:
-                    hidden = ""
-            elif name in ARTICLE and not closes and not re.compile(rf"</{re.escape(hidden)}\b", re.I).search(page, at):
-                hidden = ""  # never closed: it must not hide the article
-            if hidden or name not in ARTICLE:
-                continue
+        if hides:
+            if hiding[name]:
+                k = max(k for k, x in enumerate(hides) if x.name == name) if hides[-1].name != name else len(hides) - 1
+                depth[k] += -1 if closes else 1
+                if depth[k] == 0:
+                    if name not in INLINE:
+                        end()
+                    while len(hides) > k:
+                        end_hide()
+                    continue
+            elif name in ARTICLE and not closes:
+                while hides:  # never closed: it must not hide the article
+                    hidden = hides[-1].name
+                    if hidden not in last_close:
+                        last_close[hidden] = max((x.start() for x in re.finditer(rf"</{re.escape(hidden)}\b", page, re.I)), default=-1)
+                    if last_close[hidden] >= at:
+                        break
+                    end()
+                    end_hide()
         if name in INLINE:
             if name == "a":
                 link = 0 if closes else 1
@@ -157,7 +215,7 @@ def parsed(page: str) -> Page:
                 text(" ")
             found, words = _attributes("" if closes else m["attributes"] or "")
             if words and not closes and _hides(name, found, words, mark > 0):
-                hidden, depth = name, 1
+                begin_hide(name)
             continue
         end()
         heading = name in HEADINGS and not closes
@@ -167,17 +225,19 @@ def parsed(page: str) -> Page:
                 while inner != name:
                     inner = opened.pop()[0]
                     count[inner] -= 1
-                _, container, mark = opened[-1] if opened else ("", 0, 0)
+                _, container, mark = opened[-1] if opened else base
             continue
         found, words = _attributes(m["attributes"] or "")
         body = found.get("itemprop", "").lower() == "articlebody"
         marks = name in ARTICLE or found.get("role", "").lower() == "main" or body
         if not marks and _hides(name, found, words, mark > 0) and not (m["attributes"] or "").endswith("/"):
-            hidden, depth, link = name, 1, 0
+            begin_hide(name)
+            link = 0
             continue
         if marks and not (body and is_article[mark]):
             around.append(mark)
             is_article.append(name == "article" or body or is_article[mark])
+            mark_hide.append(hide)
             mark = len(around) - 1
         if name in CONTAINERS or marks:
             container = numbers = numbers + 1
@@ -185,9 +245,41 @@ def parsed(page: str) -> Page:
             count[name] += 1
     text(page[at:])
     end()
+    if len(hide_around) > 1:
+        hidden_now = _hidden(lines, around, mark_hide, hide_around, hide_name)
+        lines = [x for x in lines if not hidden_now[x.hide]]
     return Page(lines, around, is_article)
 
 
+def _hidden(lines: list[Line], around: list[int], mark_hide: list[int], hide_around: list[int], hide_name: list[str]) -> list[bool]:
+    """Of each element that says it holds no article text, whether it is hidden; none that holds the article or most of the text is."""
+    marked, held, visible = [0] * len(around), [0] * len(hide_around), 0
+    for x in lines:
+        weight = max(0, len(x.text) - x.linked)
+        marked[x.mark] += weight
+        held[x.hide] += weight
+        visible += weight * (x.hide == 0 and x.mark > 0)
+    outside, article = held[0], 0
+    for k in range(len(around) - 1, 0, -1):
+        if around[k]:
+            marked[around[k]] += marked[k]
+        if marked[k] > (marked[article] if article else 0):
+            article = k
+    for k in range(len(hide_around) - 1, 0, -1):
+        held[hide_around[k]] += held[k]
+    shown = set()
+    if article and marked[article] >= outside:
+        k = mark_hide[article]
+        while k:
+            shown.add(k)
+            k = hide_around[k]
+    hidden = [False] * len(hide_around)
+    for k in range(1, len(hide_around)):
+        most = hide_name[k] not in ASIDE and 2 * held[k] > held[0] and held[k] > 4 * visible
+        hidden[k] = hidden[hide_around[k]] or not (k in shown or most)
+    return hidden
+
+
 def _stretch(lines: list[Line], weights: list[float], threshold: float, inside: list[bool]) -> tuple[int, int]:
     """First line and the one after the last, between the first surge and the last dive of windows with lines inside."""
     core: list[int] = []

@@ -84,3 +84,20 @@ def test_nothing_in_the_article_is_dropped():
     assert main_text(f"<article>{page_of(paragraphs(8))}</article><div>{page_of(paragraphs(3, 900, 'beyond'))}</div>").count("\n") == 10
     labels = "".join(f"<div>Item {i}</div>" for i in range(20))
     assert main_text(f"{labels}{menu}<div>{page_of(paragraphs(6))}</div>{menu}{labels}") == "\n".join(paragraphs(6))
+
+
+def test_wrappers_hide_nothing():
+    story = paragraphs(5)
+    ad = "<div class=ad>Buy</div><nav>Menu of this site</nav>"
+    want = "\n".join(story)
+    for kind in (
+        "class='site has-sidebar'", "class='content no-comments'", "class='layout with-nav'", "title='the hidden costs'", "data-state='hidden'",
+        "data-testid='sidebar'", "data-x='a' data-class=\"sidebar\"", "class='sidebar'", "class=comments id=widget", "style='display: none'",
+    ):
+        for a, b in (("<article>", "</article>"), ("<div>", "</div>"), ("", "")):
+            assert main_text(f"<body>{ad}<div {kind}>{ad}{a}{page_of(story)}{b}{ad}</div><footer>End of it</footer></body>") == want
+    assert main_text(f"<form>{ad}{page_of(story)}</form>") == want
+    for kind in ("class='ad'", "id='cookie-notice'", "class='x sidebar-left'", "hidden", "title=\"a 'b'\" hidden", "class='AdBox'", "aria-hidden=true", "class=a class=b role=banner"):
+        assert main_text(f"<div>{page_of(story)}</div><div {kind}><p>Not of the story</p></div>") == want
+    assert main_text(f"<div>{page_of(story)}</div><div class=related><article><p>Not of the story</p></article></div>") == want
+    assert main_text("<p>One <span class=ad>Buy <b>it</b></span> two <a href=x>three <i class=ad>x</i> four</a></p><nav><div class=ad>x</nav><p>Five") == "One two three four\nFive"
