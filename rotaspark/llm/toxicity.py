@@ -3,7 +3,9 @@
 A word enters as the sum of its own vector and of the vectors of its character
 n-grams (hashed tables), so unseen words are known by their characters.  Two
 gated recurrent units read a window of words in both directions, attention
-pools the states, and a linear layer gives the window's logit.  A text is cut
+pools the states, and a linear layer gives the window's logit.  Runs of more
+than LONGEST word characters are read as several words, overlapping pieces of
+PIECE characters, so writing without blanks is read to its end.  A text is cut
 into overlapping windows that cover all of it; its score is the sigmoid of the
 largest window logit.
 
@@ -44,6 +46,8 @@ STEPS = 200
 #: Training texts that must share a row of the hashed tables for it to be trained.
 SHARED = 4
 THRESHOLD = 0.7
+#: Characters of the longest word read as one; longer ones (writing without blanks) are read in pieces that overlap.
+LONGEST, PIECE, OVERLAP = 40, 16, 8
 #: Windows scored at a time, texts whose new words are learned at a time, distinct words a worker remembers.
 SCORE_WINDOWS, TOGETHER, MEMORY_WORDS = 2048, 256, 400_000
 
@@ -51,7 +55,14 @@ WORDS = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    """Runs of word characters in small letters; those longer than LONGEST as overlapping pieces that cover all of them."""
+    words = WORDS.findall(text.lower())
+    if len(text) <= LONGEST or max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[str] = []
+    for w in words:
+        out += [w] if len(w) <= LONGEST else [w[at : at + PIECE] for at in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+    return out
 
 
 class Features(NamedTuple):
@@ -72,7 +83,7 @@ class Features(NamedTuple):
 def features(words: list[str]) -> Features:
     """Rows by hash: the words' own, and their 3- to 6-grams of UTF-8 bytes between marks."""
     own = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], np.int64) % BUCKETS
-    marked = [b"<%b>" % w[:40].encode("utf-8", "replace") for w in words]
+    marked = [b"<%b>" % w.encode("utf-8", "replace") for w in words]
     sizes = np.array([len(m) for m in marked], np.int64)
     raw = np.frombuffer(b"".join(marked) + bytes(8), np.uint8).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), sizes)

@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from rotaspark.llm.toxicity import WINDOW, Network, Scorer, drop_toxic, fit, op10_toxicity, score_documents, train, window_starts
+from rotaspark.llm.toxicity import LONGEST, OVERLAP, WINDOW, Network, Scorer, drop_toxic, fit, op10_toxicity, score_documents, train, window_starts, words_of
 
 from .util import ODD, frame
 
@@ -85,3 +85,26 @@ def test_odd(spark):
     kept = drop_toxic(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == len(ODD)
     assert drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_long_runs_are_read_to_their_end():
+    for n in (1, 40, 41, 48, 49, 300):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        words = words_of(f"a {run} b")
+        assert words[0] == "a" and words[-1] == "b" and max(map(len, words)) <= LONGEST
+        read = {w[i : i + k] for w in words for k in range(1, OVERLAP + 1) for i in range(len(w) - k + 1)}
+        assert {run[i : i + k] for k in range(1, OVERLAP + 1) for i in range(n - k + 1)} <= read
+    assert words_of("x" * 40) == ["x" * 40]
+
+
+def test_toxic_term_after_character_40_of_a_run():
+    rng = np.random.default_rng(5)
+
+    def run(toxic):
+        chars = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 60, int(rng.integers(60, 300))))
+        at = int(rng.integers(45, len(chars)))
+        return chars[:at] + "毒毒骂" * toxic + chars[at:]
+
+    net = train([(run(i % 3 == 0), int(i % 3 == 0)) for i in range(900)])
+    y = np.arange(200) % 2 == 0
+    assert np.mean((Scorer(net).scores([run(int(t)) for t in y]) >= 0.7) == y) > 0.95
