@@ -10,9 +10,16 @@ run that starts there is repeated) and take no part in the next round.  Rounds
 end when no interval is left, so they grow with the logarithm of the longest
 repeated run.
 
+Then the exact length of every later copy is found from the largest power of two
+down: copies that share a run of c lines form a class, which is split by the name
+of the next 2^k lines; all but the first of a part are copies of c + 2^k lines and
+go on in a class of their own, with the first as their partner, and the firsts of
+the parts stay.  So each position looks for earlier ones in one class at a time.
+
 In an interval the occurrence with the smallest (doc_id, line) is the original,
 all others are later copies, and a line is deleted if it lies in a later copy
-of a run of at least MIN_LINES lines; touching copies join to maximal runs.
+of a run of at least MIN_LINES lines.  A copy is maximal if the one that starts
+a line before does not reach its end; n_runs counts stretches of deleted lines.
 
 Null text is the empty text, a document of no lines.  Null ids come last.  Rows
 that repeat an id come in the order of the hash of their text; rows that repeat
@@ -50,61 +57,92 @@ def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _intervals(runs: DataFrame, n: int) -> DataFrame:
-    """doc, line, name, copy for the runs (doc, line, name) whose name occurs again; copy: not the first of them."""
+    """doc, line, name, run, copy, source for the runs (doc, line, name, run: lines) whose name occurs again; copy: not the first of them, the source."""
     placed = runs.withColumn("place", F.struct("doc", "line"))
     found = salted_groups(placed, ["name"], "place", n, "min").filter("group_size > 1")
-    return found.select("doc", "line", "name", (F.col("place") != F.col("group_keep")).alias("copy"))
+    return found.select("doc", "line", "name", "run", (F.col("place") != F.col("group_keep")).alias("copy"), F.col("group_keep").alias("source"))
 
 
-def _doubled(runs: DataFrame, step: int) -> DataFrame:
-    """Runs of twice the lines, where both halves are in runs; the second begins `step` lines later."""
-    second = runs.select("doc", (F.col("line") - step).alias("line"), F.col("name").alias("second"))
+def _doubled(runs: DataFrame) -> DataFrame:
+    """Runs of twice the lines, where both halves are in runs; the second begins where the first ends."""
+    second = runs.select("doc", (F.col("line") - F.col("run")).alias("line"), F.col("name").alias("second"))
     name = F.struct(F.xxhash64("name", "second").alias("a"), F.xxhash64("second", "name", F.lit(1)).alias("b"))
-    return runs.select("doc", "line", "name").join(second, ["doc", "line"]).select("doc", "line", name.alias("name"))
+    return runs.select("doc", "line", "name", "run").join(second, ["doc", "line"]).select("doc", "line", name.alias("name"), (2 * F.col("run")).alias("run"))
+
+
+def _extended(threads: DataFrame, level: DataFrame, n: int) -> DataFrame:
+    """Threads (doc, line, class, size, source) after the test whether their copies go on for a run of the level; source null: a partner only."""
+    following = level.select("doc", F.col("line").alias("at"), F.col("name").alias("found"), F.col("run").alias("step"))
+    alone = F.struct(F.xxhash64("doc", "line").alias("a"), F.lit(0).cast("long").alias("b"))
+    tested = threads.withColumn("at", F.col("line") + F.col("size")).join(following, ["doc", "at"], "left")
+    tested = tested.select("doc", "line", "class", "size", "source", "step", F.coalesce("found", alone).alias("next"), F.struct("doc", "line").alias("place"))
+    groups = salted_groups(tested, ["class", "next"], "place", n, "min")
+    part = F.struct(F.xxhash64("class", "next").alias("a"), F.xxhash64("next", "class", F.lit(1)).alias("b"))
+    kind = threads.schema["source"].dataType
+
+    def state(name: Column, size: Column, source: Column) -> Column:
+        return F.struct(name.alias("class"), size.alias("size"), source.cast(kind).alias("source"))
+
+    longer = F.col("size") + F.col("step")
+    stays = state(F.col("class"), F.col("size"), F.col("source"))
+    states = F.when(F.col("place") != F.col("group_keep"), F.array(state(part, longer, F.col("group_keep"))))
+    states = states.when(F.col("group_size") > 1, F.array(stays, state(part, longer, F.lit(None)))).otherwise(F.array(stays))
+    return groups.select("doc", "line", F.explode(states).alias("state")).select("doc", "line", "state.*")
 
 
 def copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """doc, line, size: runs of `size` lines that are later copies and together cover all those of min_lines and more.
+    """doc, line, size, source: the longest run from each line that is a later copy, of min_lines and more, and its first occurrence.
 
-    The sizes are min_lines and the powers of two above it.
+    A line may have shorter runs as well.
     """
     n = shuffle_partitions(docs.sparkSession)
-    level = materialize(_intervals(line_ids(docs, id_col, text_col), n), "lines-1")
-    size, found = 1, None
+    levels = [materialize(_intervals(line_ids(docs, id_col, text_col).withColumn("run", F.lit(1)), n), "lines-1")]
     while True:
-        if size >= min_lines:
-            part = level.filter("copy").select("doc", "line", F.lit(size).alias("size"))
-            found = part if found is None else found.unionByName(part)
-        elif 2 * size > min_lines:  # min_lines is no power of two: two overlapping runs
-            part = materialize(_intervals(_doubled(level, min_lines - size), n), f"lines-{min_lines}")
-            part = part.filter("copy").select("doc", "line", F.lit(min_lines).alias("size"))
-            found = part if found is None else found.unionByName(part)
-        following = materialize(_intervals(_doubled(level, size), n), f"lines-{2 * size}")
+        # Lengths are columns, so all rounds share their compiled code.
+        following = materialize(_intervals(_doubled(levels[-1]), n), f"lines-{1 << len(levels)}")
         if not following.head(1):
             break
-        level, size = following, 2 * size
-    return found if found is not None else level.filter("false").select("doc", "line", F.lit(size).alias("size"))
+        levels.append(following)
+    threads = None
+    for k in range(len(levels) - 1, -1, -1):
+        if threads is not None:
+            threads = _extended(threads, levels[k], n)
+        if k:  # single lines are extended no further
+            new = levels[k]
+            if k + 1 < len(levels):  # those that are copies of twice the lines look there
+                new = new.join(levels[k + 1].filter("copy").select("doc", "line"), ["doc", "line"], "left_anti")
+            new = new.select("doc", "line", F.col("name").alias("class"), F.col("run").alias("size"), F.when(F.col("copy"), F.col("source")).alias("source"))
+            threads = new if threads is None else threads.unionByName(new)
+        if threads is not None:
+            threads = materialize(threads, f"copies-{1 << k}")
+    runs = levels[0].filter("copy").select("doc", "line", F.lit(1).alias("size"), "source")
+    if threads is not None:
+        runs = runs.unionByName(threads.filter("source is not null").select("doc", "line", "size", "source"))
+    return runs.filter(F.col("size") >= min_lines)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines, without blank ones), n_runs (maximal), longest_run, kept_sha256; with keep_text also kept.
+    """doc_id, n_lines, n_removed (lines, without blank ones), n_runs (stretches of them), longest_run, longest_copy, copies, kept_sha256; with keep_text also kept.
 
-    longest_run: lines of the longest run found to be a later copy, a power of two or min_lines.
+    longest_copy: lines of the longest run that is a later copy.  longest_run: the same, rounded down to a power of two or min_lines.
+    copies: the maximal ones, with the first occurrence of each; lines are numbered from 0, without blank ones.
     """
     runs = copied_runs(docs, id_col, text_col, min_lines)
-    # At most one row a line and size of the one document.
-    spans = runs.groupBy("doc").agg(F.collect_list(F.struct("line", "size")).alias("spans"))
+    # At most two rows a line of the one document.
+    spans = runs.groupBy("doc").agg(F.collect_list(F.struct("line", "size", "source.doc.id", F.col("source.line").alias("from"))).alias("spans"))
     texts = docs.select(*_document(id_col, text_col), text_of(text_col).alias("text"))
-    joined = texts.join(spans, "doc", "left").select("doc_id", "text", F.col("spans.line").alias("at"), F.col("spans.size").alias("size"))
-    schema = "doc_id long, n_lines long, n_removed long, n_runs long, longest_run long, kept_sha256 string" + (", kept string" if keep_text else "")
+    joined = texts.join(spans, "doc", "left").select("doc_id", "text", "spans.line", "spans.size", "spans.id", "spans.from")
+    schema = "doc_id long, n_lines long, n_removed long, n_runs long, longest_run long, longest_copy long, copies array<struct<line:long,size:long,source_id:long,source_line:long>>, kept_sha256 string" + (", kept string" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_cut(*row) for row in zip(*[c.to_pylist() for c in batch.columns])]
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_lines", "n_removed", "n_runs", "longest_run", "kept_sha256", "kept"]
-            k = 7 if keep_text else 6
+            rows = [_cut(min_lines, *row) for row in zip(*[c.to_pylist() for c in batch.columns])]
+            columns = list(zip(*rows)) if rows else [()] * 9
+            long = pa.int64()
+            copies = pa.list_(pa.struct([(x, long) for x in ("line", "size", "source_id", "source_line")]))
+            kinds = (long, long, long, long, long, long, copies, pa.string(), pa.string())
+            names = ["doc_id", "n_lines", "n_removed", "n_runs", "longest_run", "longest_copy", "copies", "kept_sha256", "kept"]
+            k = 9 if keep_text else 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:k], kinds)], names[:k])
 
     return joined.mapInArrow(run, schema)
@@ -114,11 +152,24 @@ def _blank(line: str) -> bool:
     return not line.strip(" \t\r\x0b\x0c")
 
 
-def _cut(doc_id: int | None, text: str, at: list[int] | None, size: list[int] | None) -> tuple:
+def _rounded(size: int, min_lines: int) -> int:
+    """The largest power of two up to size, min_lines at least."""
+    return max(min_lines, 1 << (size.bit_length() - 1))
+
+
+def _cut(min_lines: int, doc_id: int | None, text: str, at: list[int] | None, size: list[int] | None, ids: list[int | None] | None, lines_from: list[int] | None) -> tuple:
     lines = text.split("\n")
     full = [i for i, x in enumerate(lines) if not _blank(x)]
     if not at:
-        return doc_id, len(full), 0, 0, 0, hashlib.sha256(text.encode()).hexdigest(), text
+        return doc_id, len(full), 0, 0, 0, 0, [], hashlib.sha256(text.encode()).hexdigest(), text
+    longest: dict[int, tuple[int, int | None, int]] = {}
+    for p, *found in sorted(zip(at, size, range(len(at))), key=lambda x: x[:2]):  # the longest from each line comes last
+        longest[p] = (found[0], ids[found[1]], lines_from[found[1]])
+    copies = [
+        {"line": p, "size": x[0], "source_id": x[1], "source_line": x[2]}
+        for p, x in longest.items()
+        if p - 1 not in longest or longest[p - 1][0] != x[0] + 1
+    ]
     edge = np.zeros(len(full) + 1, np.int64)
     np.add.at(edge, np.array(at), 1)
     np.add.at(edge, np.array(at) + np.array(size), -1)
@@ -128,7 +179,7 @@ def _cut(doc_id: int | None, text: str, at: list[int] | None, size: list[int] |
         keep[full[k - 1] + 1 if k else 0 : full[k] + 1] = False
     kept = "\n".join([x for x, k in zip(lines, keep) if k])
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return doc_id, len(full), int(gone.sum()), runs, max(size), hashlib.sha256(kept.encode()).hexdigest(), kept
+    return doc_id, len(full), int(gone.sum()), runs, _rounded(max(size), min_lines), max(size), copies, hashlib.sha256(kept.encode()).hexdigest(), kept
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

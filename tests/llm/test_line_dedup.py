@@ -58,3 +58,35 @@ def test_odd(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
     null = docs.selectExpr("cast(null as long) doc_id", "text").limit(3)
     assert dedup_lines(null).count() == 3
+
+
+def brute_copies(rows, k):
+    """By id: the maximal copies as (line, size, source id, source line)."""
+    out, before = {}, []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        ids = [x for x in (t or "").split("\n") if not _blank(x)]
+        best = []
+        for p in range(len(ids)):
+            size, source = 0, None
+            for j, q, other in [*before, *((i, q, ids[q:]) for q in range(p))]:
+                same = next((n for n, (a, b) in enumerate(zip(ids[p:], other)) if a != b), min(len(ids) - p, len(other)))
+                if same > size:
+                    size, source = same, (j, q)
+            best.append((size, source))
+        out[i] = [(p, n, *o) for p, (n, o) in enumerate(best) if n >= k and (p == 0 or best[p - 1][0] != n + 1)]
+        before += [(i, q, ids[q:]) for q in range(len(ids))]
+    return out
+
+
+def test_exact_maximal_copies(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice("aab\nc") for _ in range(rng.randrange(30))) for _ in range(25)]
+    block = [f"line {i}" for i in range(13)]
+    texts += ["\n".join(block), "\n".join(["z", *block[:11], "y", *block[3:], "w"]), "\n".join([*block[:11], "y", "v"]), "\n".join(["b"] * 37)]
+    docs = frame(spark, texts)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k in (1, 3):
+        want = brute_copies(rows, k)
+        got = dedup_lines(docs, min_lines=k).collect()
+        assert {r.doc_id: [tuple(c) for c in r.copies] for r in got} == want
+        assert {r.doc_id: r.longest_copy for r in got} == {i: max([c[1] for c in x], default=0) for i, x in want.items()}
