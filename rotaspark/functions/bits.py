@@ -1,16 +1,16 @@
-"""Unsigned 64-bit arithmetic on LONG columns: mixing, random draws, units.
+"""Unsigned 64-bit arithmetic: mixing, random draws, units.
 
-A LONG holds the bit pattern.  Products and sums wrap, so columns of this module
-must be resolved inside `wrapping(spark)`; the plan keeps that meaning later.
+Numpy functions take arrays of unsigned 64-bit numbers, whose sums and products
+wrap; the columns made of them (LONG columns that hold the bit pattern) run over
+Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 #: Fixed values of the generator: state increment and the two multipliers of the mixer.
 GAMMA = 0x9E3779B97F4A7C15
@@ -18,60 +18,48 @@ MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 MASK = 2**64 - 1
 
 
-def signed(u: int) -> int:
-    u &= MASK
-    return u - 2**64 if u >= 2**63 else u
-
-
-def u64(value: int) -> Column:
-    return F.lit(signed(value)).cast("long")
-
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MULTIPLIERS[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MULTIPLIERS[1])
+    return x ^ (x >> np.uint64(31))
 
-@contextmanager
-def wrapping(spark: SparkSession) -> Iterator[None]:
-    """Overflow wraps for what is resolved inside; the session's setting comes back after."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
 
+def drawn(seed: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th draws (from 1) of generators with these seeds; no state is needed."""
+    return mixed(seed + np.atleast_1d(k) * np.uint64(GAMMA))
 
-def let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Draws as doubles in [0, 1)."""
+    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
-def mix(x: Column) -> Column:
-    def stage(shift: int, times: int):
-        return lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, shift)) * u64(times)
 
-    return let(let(let(x, stage(30, MULTIPLIERS[0])), stage(27, MULTIPLIERS[1])), lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, 31)))
+def _unsigned(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(np.int64).view(np.uint64)
 
 
-def draw(seed: Column, k: Column) -> Column:
-    """The k-th draw (from 1) of a generator with this seed; no state is needed."""
-    return mix(seed + k * u64(GAMMA))
+@F.pandas_udf(LongType())
+def mix(x: pd.Series) -> pd.Series:
+    return pd.Series(mixed(_unsigned(x)).view(np.int64))
 
 
-def unit(x: Column) -> Column:
-    """A draw as a double in [0, 1)."""
-    return F.shiftrightunsigned(x, 11).cast("double") * F.lit(2.0**-53)
+@F.pandas_udf(LongType())
+def draw(seed: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series(drawn(_unsigned(seed), _unsigned(k)).view(np.int64))
 
 
-def umod(x: Column, n: int) -> Column:
-    """x modulo n (positive), x taken as unsigned."""
-    half = F.shiftrightunsigned(x, 1) % F.lit(n)
-    return (half * 2 + x.bitwiseAND(F.lit(1).cast("long"))) % F.lit(n)
+@F.pandas_udf(DoubleType())
+def unit(x: pd.Series) -> pd.Series:
+    return pd.Series(units(_unsigned(x)))
 
 
-def bits(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df and the bit pattern of a double column, as LONG."""
-    return df.withColumn(name, F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.col(column)).cast("long"))
+@F.pandas_udf(LongType())
+def element_mark(i: pd.Series, v: pd.Series) -> pd.Series:
+    """mix(bits of v ^ mix(i)): what an element adds to a vector's checksum."""
+    return pd.Series(mixed(v.to_numpy(np.float64).view(np.uint64) ^ mixed(_unsigned(i))).view(np.int64))
 
 
-def py_mix(x: int) -> int:
-    x = ((x ^ (x >> 30)) * MULTIPLIERS[0]) & MASK
-    x = ((x ^ (x >> 27)) * MULTIPLIERS[1]) & MASK
-    return x ^ (x >> 31)
+@F.pandas_udf(LongType())
+def whole_mark(i: pd.Series, w: pd.Series) -> pd.Series:
+    """mix(w ^ mix(i)) for an integer w."""
+    return pd.Series(mixed(_unsigned(w) ^ mixed(_unsigned(i))).view(np.int64))

@@ -1,16 +1,14 @@
 """Power iteration with a matrix whose rows rotate at every epoch.
 
-One query, three ways to run it:
+The matrix is written once; two ways to run the iterations over it:
 
-join     one grouped join an iteration; the vector is written to the shared
-         folder at every epoch.  Takes vectors of any length.
 blocks   one small job an iteration over cached blocks of rows, with the vector
          broadcast to them and its parts brought back.  For vectors of at most
          BLOCK_ROWS rows; the matrix never leaves its blocks.
-fold     higher-order functions over one row, for matrices of at most FOLD_ROWS
-         rows and columns.
+join     one grouped join an iteration; the vector is written to the shared
+         folder every few of them.  Takes vectors of any length.
 
-`auto` takes the first of fold, blocks and join whose bound the size meets.
+`auto` takes blocks where the bound is met.
 """
 
 from __future__ import annotations
@@ -28,8 +26,12 @@ from rotaspark.operators.linear import normalize, rayleigh, spmv
 from rotaspark.plans.schedule import EPOCH, ITERATIONS, final_shift, shift_at
 from rotaspark.sources.scratch import materialize
 
-#: Rows of a vector that may be broadcast and brought back (8 bytes each), and of a matrix in one row.
-BLOCK_ROWS, FOLD_ROWS = 1_000_000, 512
+#: Rows of a vector that may be broadcast and brought back (8 bytes each).
+BLOCK_ROWS = 1_000_000
+#: Entries of a block at least (but for a smaller matrix): a task must be worth its start.
+BLOCK_ENTRIES = 250_000
+#: Iterations of the join between two times the vector is scaled and written: short plans, no overflow.
+JOINED = 5
 
 
 @dataclass
@@ -43,83 +45,57 @@ class Iterated:
 def power_iterate(a: DataFrame, x0: DataFrame, n: int, iterations: int = ITERATIONS, epoch: int = EPOCH, strategy: str = "auto", tasks: int | None = None) -> Iterated:
     """iterations times y = shift(A) x, x = y / |y|; a is (row, col, val) and may have (pos)."""
     if strategy == "auto":
-        strategy = "fold" if n <= FOLD_ROWS else "blocks" if n <= BLOCK_ROWS else "join"
-    run = {"join": _join, "blocks": _blocks, "fold": _fold}.get(strategy)
+        strategy = "blocks" if n <= BLOCK_ROWS else "join"
+    run = {"join": _join, "blocks": _blocks}.get(strategy)
     if run is None:
-        raise ValueError(f"strategy must be auto, join, blocks or fold, not {strategy!r}")
-    if strategy == "blocks" and n > BLOCK_ROWS or strategy == "fold" and n > FOLD_ROWS:
+        raise ValueError(f"strategy must be auto, join or blocks, not {strategy!r}")
+    if strategy == "blocks" and n > BLOCK_ROWS:
         raise ValueError(f"n = {n} is beyond the bound of strategy {strategy}")
-    return run(a, x0, n, iterations, epoch, tasks)
-
-
-def _with_result(a: DataFrame, x: DataFrame, n: int, iterations: int, epoch: int) -> Iterated:
-    s = final_shift(n, iterations, epoch)
-    return Iterated(x, rayleigh(a, x, n, s).withColumn("final_row_shift", F.lit(s).cast("long")))
+    return run(materialize(a, "matrix"), x0, n, iterations, epoch, tasks)
 
 
 def unrolled(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int) -> DataFrame:
-    """A few iterations as one lazy plan.
+    """A few iterations as one lazy plan over a, which is written first.
 
     The norm is taken once at the end: it is linear in the steps before it.
     """
-    x = x0
+    a, x = materialize(a, "matrix"), x0
     for k in range(iterations):
         x = spmv(a, x, n, shift_at(k, n, epoch))
-    return normalize(x)
+    return normalize(materialize(x, "power"))
 
 
 def _join(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
-    x = materialize(normalize(x0), "power")
-    for at in range(0, iterations, 5):  # short plans, and a vector that is normalised before it overflows
-        for k in range(at, min(at + 5, iterations)):
+    x = normalize(materialize(x0, "power"))
+    for at in range(0, iterations, JOINED):
+        for k in range(at, min(at + JOINED, iterations)):
             x = spmv(a, x, n, shift_at(k, n, epoch))
-        x = materialize(normalize(x), "power")
-    return _with_result(a, x, n, iterations, epoch)
-
-
-def _fold(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
-    entries = a.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), "val"))).alias("entries"))
-    whole = entries.agg(F.map_from_entries(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), "entries"))).alias("m"))
-    start = x0.agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "v"))).alias("m0"))
-    places = F.sequence(F.lit(0), F.lit(n - 1))
-    both = whole.join(F.broadcast(start))  # one row each, of at most FOLD_ROWS entries
-    dense = both.select(
-        F.transform(places, lambda r: F.coalesce(F.col("m")[r], F.array().cast("array<struct<col:int,val:double>>"))).alias("rows"),
-        F.transform(places, lambda i: F.coalesce(F.col("m0")[i], F.lit(0.0))).alias("x"),
-    )
-    steps = F.transform(F.sequence(F.lit(0), F.lit(max(iterations - 1, 0))), lambda k: F.floor(k / epoch))
-
-    def unit(y):
-        size = F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + v * v))
-        return F.element_at(F.transform(F.array(size), lambda z: F.when(z > 0, F.transform(y, lambda v: v * (F.lit(1.0) / z))).otherwise(y)), 1)
-
-    def step(x, e):
-        y = F.transform(places, lambda i: F.aggregate(F.get("rows", ((i - e * shift_at(epoch, n, epoch)) % n + n).cast("int") % n), F.lit(0.0), lambda s, t: s + t["val"] * F.get(x, t["col"])))
-        return F.element_at(F.transform(F.array(y), unit), 1)
-
-    first = F.element_at(F.transform(F.array("x"), unit), 1)
-    folded = F.aggregate(steps, first, step) if iterations else first
-    x = dense.select(F.posexplode(folded).alias("i", "v")).select(F.col("i").cast("long").alias("i"), "v")
-    return _with_result(a, x, n, iterations, epoch)
+        x = normalize(materialize(x, "power"))
+    s = final_shift(n, iterations, epoch)
+    x = materialize(x, "power")
+    return Iterated(x, rayleigh(a, x, n, s).withColumn("final_row_shift", F.lit(s).cast("long")))
 
 
-def _blocks(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
-    spark = a.sparkSession
-    p = max(1, min(tasks or spark.sparkContext.defaultParallelism, n))
+def _packed(a: DataFrame, parts: int) -> DataFrame:
+    """Ranges of rows with about equally many entries, a record each: row numbers, where each row begins, columns, values."""
     pos = F.col("pos") if "pos" in a.columns else F.col("col")
     entries = a.select(F.col("row").cast("long").alias("row"), pos.cast("long").alias("pos"), F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's rows as one record: row numbers, where each begins, columns, values."""
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            table = pa.Table.from_batches(parts)
+        found = [b for b in batches if b.num_rows]
+        if found:
+            table = pa.Table.from_batches(found)
             row, col, val = (table[c].to_numpy() for c in ("row", "col", "val"))
             heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (row[heads], heads, col, val)], ["rows", "heads", "col", "val"])
 
-    # Sampled splitters over the entries' rows give ranges of rows with about equal numbers of entries.
-    packed = entries.repartitionByRange(p, "row").sortWithinPartitions("row", "pos", "col").mapInArrow(pack, "rows binary, heads binary, col binary, val binary").persist()
+    return entries.repartitionByRange(parts, "row").sortWithinPartitions("row", "pos", "col").mapInArrow(pack, "rows binary, heads binary, col binary, val binary")
+
+
+def _blocks(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
+    spark = a.sparkSession
+    # A cached block that is lost with its executor is made again from the written matrix.
+    packed = _packed(a, tasks or max(1, min(a.count() // BLOCK_ENTRIES, spark.sparkContext.defaultParallelism, n))).persist()
 
     def product(x: np.ndarray, shift: int) -> np.ndarray:
         sent = spark.sparkContext.broadcast(x)
@@ -134,16 +110,19 @@ def _blocks(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, ta
         y = np.zeros(n)
         for rows, z in packed.mapInArrow(multiply, "rows binary, z binary").collect():
             y[(np.frombuffer(rows, np.int64) + shift) % n] = np.frombuffer(z)
-        sent.unpersist()
+        sent.destroy()
         return y
 
-    begin = normalize(x0).toPandas()  # at most BLOCK_ROWS rows
+    def scaled(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt(x @ x)
+        return x * (1 / size) if size > 0 else x
+
+    begin = x0.toPandas()  # at most BLOCK_ROWS rows
     x = np.zeros(n)
     x[begin["i"].to_numpy(np.int64)] = begin["v"].to_numpy()
+    x = scaled(x)
     for k in range(iterations):
-        x = product(x, shift_at(k, n, epoch))
-        size = np.sqrt(x @ x)
-        x = x * (1 / size) if size > 0 else x
+        x = scaled(product(x, shift_at(k, n, epoch)))
     last = final_shift(n, iterations, epoch)
     value = float(x @ product(x, last))
     packed.unpersist()

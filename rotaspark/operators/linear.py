@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rotaspark.functions.bits import bits, mix, wrapping
+from rotaspark.functions.bits import element_mark, whole_mark
 
 #: A vector of at most so many rows may be broadcast (16 bytes each: 32 MB).
 BROADCAST_ROWS = 2_000_000
@@ -44,7 +44,7 @@ def l2_norm(x: DataFrame) -> DataFrame:
 
 
 def normalize(x: DataFrame) -> DataFrame:
-    """x scaled to unit length; a zero vector stays."""
+    """x scaled to unit length; a zero vector stays.  x is read twice: give a cheap or a written one."""
     scaled = F.when(F.col("norm") > 0, F.col("v") * (F.lit(1.0) / F.col("norm"))).otherwise(F.col("v"))
     return x.join(F.broadcast(l2_norm(x))).select("i", scaled.alias("v"))  # one row is broadcast
 
@@ -62,21 +62,14 @@ def rayleigh(a: DataFrame, x: DataFrame, n: int, shift: int) -> DataFrame:
 
 def checksum(x: DataFrame) -> DataFrame:
     """One row: the xor over i of mix(bits(v) ^ mix(i)), in lower-case hex without leading zeros."""
-    with wrapping(x.sparkSession):
-        marked = bits(x, "v", "__bits").select("i", "__bits")
-        terms = marked.select(mix(F.col("__bits").bitwiseXOR(mix(F.col("i")))).alias("t"))
-        out = terms.agg(F.lower(F.hex(F.coalesce(F.bit_xor("t"), F.lit(0).cast("long")))).alias("checksum"))
-        out.schema  # noqa: B018
-    return out
+    terms = x.select(element_mark(F.col("i").cast("long"), F.col("v").cast("double")).alias("t"))
+    return terms.agg(F.lower(F.hex(F.coalesce(F.bit_xor("t"), F.lit(0).cast("long")))).alias("checksum"))
 
 
 def whole_checksum(x: DataFrame, digits: int = 6) -> DataFrame:
     """The checksum of values rounded to integers of 10**-digits: equal wherever values agree to that."""
     scaled: Column = F.round(F.col("v") * 10**digits).cast("long")
-    with wrapping(x.sparkSession):
-        out = x.select(mix(scaled.bitwiseXOR(mix(F.col("i")))).alias("t")).agg(F.bit_xor("t").alias("checksum"))
-        out.schema  # noqa: B018
-    return out
+    return x.select(whole_mark(F.col("i").cast("long"), scaled).alias("t")).agg(F.bit_xor("t").alias("checksum"))
 
 
 def compare_vectors(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -17,6 +17,21 @@ from pyspark.sql import functions as F
 MODES = ("regular", "irregular")
 
 
+def least(a, b):
+    """The smaller of two ints, arrays or columns."""
+    if isinstance(a, Column) or isinstance(b, Column):
+        return F.least(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b)])
+    return np.minimum(a, b) if isinstance(a, np.ndarray) or isinstance(b, np.ndarray) else min(a, b)
+
+
+def greatest(a, b):
+    return -least(-a, -b)
+
+
+def floored(a, by: int):
+    return F.floor(a / by) if isinstance(a, Column) else a // by
+
+
 def validate(n: int, nz: int, mode: str) -> None:
     """Raises ValueError for a shape or mode that has no matrix."""
     if n <= 0:
@@ -42,19 +57,13 @@ class Class:
     last: int
 
     def below(self, i):
-        """Members below row i; i is an int or a column."""
+        """Members below row i."""
         wide = self.last - self.first
 
         def count(x):  # numbers below x with a remainder in [first, last)
-            if isinstance(x, Column):
-                return F.floor(x / 16) * wide + F.least(F.greatest(x % 16 - self.first, F.lit(0)), F.lit(wide))
-            return x // 16 * wide + min(max(x % 16 - self.first, 0), wide)
+            return floored(x, 16) * wide + least(greatest(x % 16 - self.first, 0), wide)
 
-        if isinstance(i, Column):
-            inside = F.least(F.greatest(i, F.lit(self.low)), F.lit(self.high))
-        else:
-            inside = min(max(i, self.low), self.high)
-        return count(inside) - count(self.low)
+        return count(least(greatest(i, self.low), self.high)) - count(self.low)
 
     @property
     def size(self) -> int:
@@ -71,7 +80,7 @@ def classes(n: int) -> list[Class]:
 
 
 class Pattern:
-    """nnz(i) and row_ptr(i) for row numbers given as ints or columns."""
+    """nnz(i) and row_ptr(i) for row numbers given as ints, arrays or columns."""
 
     def __init__(self, n: int, nz: int, mode: str = "irregular"):
         validate(n, nz, mode)
@@ -101,10 +110,10 @@ class Pattern:
 
     def _taken_before(self, i):
         """Rows below i that got a leftover unit."""
-        total = F.lit(0) if isinstance(i, Column) else 0
+        total = i * 0
         for members, units in self.takes:
             before = sum((self.parts[k].below(i) for k in members[1:]), self.parts[members[0]].below(i))
-            total = total + (F.least(before, F.lit(units)) if isinstance(i, Column) else min(before, units))
+            total = total + least(before, units)
         return total
 
     def _before_fill(self, i):
@@ -115,14 +124,11 @@ class Pattern:
     def row_ptr(self, i):
         """Nonzeros of all rows below i."""
         if self.mode == "regular":
-            return i * self.base + (F.least(i, F.lit(self.rest)) if isinstance(i, Column) else min(i, self.rest))
+            return i * self.base + least(i, self.rest)
         before = self._before_fill(i)
-        room = i * self.n - before
-        return before + (F.least(room, F.lit(self.left)) if isinstance(i, Column) else min(room, self.left))
+        return before + least(i * self.n - before, self.left)
 
     def nnz(self, i):
-        if self.mode == "regular":
-            return F.lit(self.base) + (i < self.rest).cast("long") if isinstance(i, Column) else self.base + (i < self.rest)
         return self.row_ptr(i + 1) - self.row_ptr(i)
 
     def first_row_with(self, target: int) -> int:

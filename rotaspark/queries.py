@@ -66,10 +66,7 @@ KEYS = "(SELECT o_orderkey, o_orderkey::UBIGINT AS x FROM orders)"
 
 @query(f"SELECT o_orderkey, {sql_signed('m')} AS mixed FROM {sql_mix(KEYS, 'x', 'm')}")
 def g_splitmix_mix(spark, sf_dir):
-    with b.wrapping(spark):
-        out = read(spark, sf_dir, "orders").select("o_orderkey", b.mix(F.col("o_orderkey")).alias("mixed"))
-        out.schema  # noqa: B018
-    return out
+    return read(spark, sf_dir, "orders").select("o_orderkey", b.mix("o_orderkey").alias("mixed"))
 
 
 DRAWS = f"(SELECT o_orderkey, {sql_plus(sql_times('o_orderkey', b.GAMMA), '111')} AS x FROM orders)"
@@ -78,11 +75,8 @@ DRAWS = f"(SELECT o_orderkey, {sql_plus(sql_times('o_orderkey', b.GAMMA), '111')
 @query(f"SELECT o_orderkey, {sql_signed('m')} AS draw, {sql_unit('m')} AS unit FROM {sql_mix(DRAWS, 'x', 'm')}")
 def g_splitmix_unit(spark, sf_dir):
     """Draw number o_orderkey of the generator with seed 111."""
-    with b.wrapping(spark):
-        x = b.draw(b.u64(111), F.col("o_orderkey"))
-        out = read(spark, sf_dir, "orders").select("o_orderkey", x.alias("draw"), b.unit(x).alias("unit"))
-        out.schema  # noqa: B018
-    return out
+    x = b.draw(F.lit(111).cast("long"), "o_orderkey")
+    return read(spark, sf_dir, "orders").select("o_orderkey", x.alias("draw"), b.unit(x).alias("unit"))
 
 
 VECTOR = f"""vec AS (SELECT i, {sql_unit('m')} AS v FROM {sql_mix(
@@ -153,8 +147,8 @@ def g_matrix_coo(spark, sf_dir):
 
 @query(f"WITH {PATTERN} SELECT count(*) AS rows, sum(nnz)::BIGINT AS total_nnz, min(nnz)::BIGINT AS min_nnz, max(nnz)::BIGINT AS max_nnz, round(sum(nnz)::DOUBLE / count(*), 3) AS avg_nnz FROM pattern")
 def g_matrix_stats(spark, sf_dir):
-    n = count(spark, sf_dir, "part")
-    return generated.matrix_stats(generated.matrix(spark, n, count(spark, sf_dir, "lineitem")), n)
+    n, nz = count(spark, sf_dir, "part"), count(spark, sf_dir, "lineitem")
+    return generated.matrix_stats(generated.pattern_counts(spark, n, nz), n, nz)
 
 
 # --- linear algebra ---------------------------------------------------------
@@ -250,26 +244,47 @@ def l_rayleigh_k3(spark, sf_dir):
     return linear.rayleigh(a, x, NATIONS, 38 % NATIONS).select(F.round("rayleigh", 8).alias("rayleigh"))
 
 
-@query()
+def sql_power(n: str, a: str, x: str) -> str:
+    """Recursive CTEs: power (k, i, v) holds iteration k's unit vector; a (row, col, val) and x (i, v) are given."""
+    step = f"(SELECT CASE WHEN m % {n} = 0 THEN 1 ELSE m % {n} END FROM (SELECT CASE WHEN ({n} // 16 + 17) % 2 = 0 THEN {n} // 16 + 18 ELSE {n} // 16 + 17 END AS m))"
+    return f"""power AS (SELECT 0 AS k, i, v / sqrt(sum(v * v) OVER ()) AS v FROM {x} UNION ALL
+  SELECT k + 1, i, v / sqrt(sum(v * v) OVER ()) FROM (SELECT k, ({a}.row + {step} * (k // 25)) % {n} AS i, sum(val * v) AS v FROM power JOIN {a} ON {a}.col = i WHERE k < 500 GROUP BY k, {a}.row)),
+last AS (SELECT i, v FROM power WHERE k = 500), final AS (SELECT {step} * 19 % {n} AS shift)"""
+
+
+def sql_vector(n: str) -> str:
+    return f"(SELECT i, {sql_unit('m')} AS v FROM {sql_mix(f"(SELECT i, {sql_plus(sql_times('i + 1', b.GAMMA), u(111 ^ generated.VECTOR_SEED))} AS x FROM (SELECT unnest(range({n})) AS i))", 'x', 'm')})"
+
+
+TRADE_500 = f"""WITH RECURSIVE raw AS MATERIALIZED (SELECT c_nationkey::BIGINT AS row, s_nationkey::BIGINT AS col, sum(l_extendedprice * (1 - l_discount)) AS val
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+a AS MATERIALIZED (SELECT row, col, val / sqrt(sum(val * val) OVER (PARTITION BY row)) AS val FROM raw), x AS {sql_vector('25')}, {sql_power('25', 'a', 'x')}"""
+
+
+@query(f"{TRADE_500} SELECT i, n_name, round(v, 8) AS v, row_number() OVER (ORDER BY v DESC, i)::INT AS place FROM last JOIN nation ON i = n_nationkey")
 def l_power_500(spark, sf_dir):
     """500 iterations over the trade matrix, with the nations' names."""
     x = power_iterate(_trade(spark, sf_dir), generated.raw_vector(spark, NATIONS), NATIONS).x
     names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"), "n_name")
-    return x.join(F.broadcast(names), "i").select("i", "n_name", F.round("v", 8).alias("v"), F.row_number().over(Window.orderBy(F.desc("v"), "i")).alias("place"))
+    return x.join(names, "i").select("i", "n_name", F.round("v", 8).alias("v"), F.row_number().over(Window.orderBy(F.desc("v"), "i")).alias("place"))
 
 
-@query()
+@query(f"{TRADE_500} SELECT round(sum(val * p.v * q.v), 8) AS rayleigh, max(shift)::BIGINT AS final_row_shift FROM a JOIN last p ON a.col = p.i JOIN final ON true JOIN last q ON (a.row + shift) % 25 = q.i")
 def l_rayleigh_500(spark, sf_dir):
     found = power_iterate(_trade(spark, sf_dir), generated.raw_vector(spark, NATIONS), NATIONS).result
     return found.select(F.round("rayleigh", 8).alias("rayleigh"), "final_row_shift")
 
 
-@query()
+PARTS = "(SELECT count(*) FROM part)"
+
+
+@query(f"""{_matrix_sql().replace("WITH ", "WITH RECURSIVE ", 1)}, a AS MATERIALIZED (SELECT row, col, val / sqrt(sum(val * val) OVER (PARTITION BY row)) AS val FROM raw),
+x AS {sql_vector(PARTS)}, {sql_power(PARTS, 'a', 'x')} SELECT i, round(v, 9) AS v FROM last""")
 def l_power_generated(spark, sf_dir):
-    """Two epochs over the generated matrix with a row a part and a nonzero a line item."""
+    """500 iterations over the generated matrix with a row a part and a nonzero a line item."""
     n, nz = count(spark, sf_dir, "part"), count(spark, sf_dir, "lineitem")
-    x = power_iterate(generated.matrix(spark, n, nz), generated.raw_vector(spark, n), n, 2 * schedule.EPOCH).x
-    return x.select("i", F.round("v", 10).alias("v"))
+    x = power_iterate(generated.matrix(spark, n, nz), generated.raw_vector(spark, n), n).x
+    return x.select("i", F.round("v", 9).alias("v"))
 
 
 @query()

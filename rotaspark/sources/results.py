@@ -50,7 +50,7 @@ def parse_config(line: Column) -> dict[str, Column]:
 
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     """A row a file: its dimensions and what its log says."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col(FILE).alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col(FILE).alias("file"), "value")
     return raw.select("file", *[c.alias(k) for k, c in (dimensions(F.col("file")) | parse_log(F.col("value"))).items()])
 
 

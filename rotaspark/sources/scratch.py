@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder named by spark.checkpoint.dir and read back: a short plan that survives lost executors."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A session on one machine that names none (as in tests) gets a folder of its
+    own; elsewhere a missing setting is an error, since no local folder is shared.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:  # a session on one machine, as in tests
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return place.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: a short plan that survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

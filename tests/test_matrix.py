@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rotaspark.functions.bits import GAMMA, MASK, draw, mix, py_mix, u64, umod, unit, wrapping
+from rotaspark.functions.bits import GAMMA, MASK, MULTIPLIERS, draw, mix, mixed, unit, units
 from rotaspark.operators import linear
 from rotaspark.operators.iterate import power_iterate
 from rotaspark.plans import schedule
@@ -28,12 +28,12 @@ GOLDEN = [
 
 
 def test_generator_vectors(spark):
-    with wrapping(spark):
-        row = spark.range(1).select(draw(u64(111), F.lit(1).cast("long")), mix(F.lit(1).cast("long")), mix(F.lit(2).cast("long")), umod(u64(MASK), 1000)).first()
-    assert [x % 2**64 for x in row] == [0xF9364C1F89270349, 0x5692161D100B05E5, 0xDBD238973A2B148A, MASK % 1000]
-    units = [r.v for r in generated.raw_vector(spark, 3).orderBy("i").collect()]
-    assert units == [0.3362305835600484, 0.566904920010844, 0.31665195232946886]
-    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    one = F.lit(1).cast("long")
+    row = spark.range(1).select(draw(F.lit(111).cast("long"), one), mix(one), mix(F.lit(2).cast("long")), unit(draw(F.lit(111).cast("long"), one))).first()
+    assert [x % 2**64 for x in row[:3]] == [0xF9364C1F89270349, 0x5692161D100B05E5, 0xDBD238973A2B148A]
+    assert row[3] == (0xF9364C1F89270349 >> 11) * 2.0**-53
+    found = [r.v for r in generated.raw_vector(spark, 3).orderBy("i").collect()]
+    assert found == [0.3362305835600484, 0.566904920010844, 0.31665195232946886]
 
 
 def test_tiny_matrix(spark):
@@ -71,19 +71,30 @@ def test_golden_matrices(spark, case):
     assert math.isclose(x[0], first, rel_tol=1e-9) and math.isclose(x.sum(), total, rel_tol=1e-9)
 
 
-def test_fold_golden(spark):
+def test_iterated_golden(spark):
     n, nz = 16, 200
     found = power_iterate(generated.matrix(spark, n, nz, "irregular", 7), generated.raw_vector(spark, n, 7), n)
     assert math.isclose(found.result.first().rayleigh, 2.84520916806669, rel_tol=1e-9)
     assert found.result.first().final_row_shift == 9
 
 
+def test_long_rows_and_small_batches():
+    from rotaspark.sources.generated import entries
+
+    for n, nz in ((40, 900), (7, 49), (1, 1), (90, 1200)):
+        pattern = Pattern(n, nz)
+        whole = [np.concatenate(c) for c in zip(*entries(0, n, pattern, 5))]
+        for batch in (1, 3, 16, 100):
+            small = [np.concatenate(c) for c in zip(*entries(0, n, pattern, 5, batch))]
+            assert all((a == b).all() for a, b in zip(whole[:3], small[:3])) and np.allclose(whole[3], small[3], rtol=1e-13)
+
+
 def test_strategies_agree(spark):
     n = 40
     a = generated.matrix(spark, n, 200).cache()
     x0 = generated.raw_vector(spark, n)
     value, want = plain_run(a.collect(), [r.v for r in x0.orderBy("i").collect()], n, 7, 3)
-    for s in ("fold", "blocks", "join"):
+    for s in ("blocks", "join"):
         found = power_iterate(a, x0, n, 7, 3, s)
         row = found.result.first()
         assert math.isclose(row.rayleigh, value, rel_tol=1e-9) and row.final_row_shift == schedule.final_shift(n, 7, 3)
@@ -91,14 +102,14 @@ def test_strategies_agree(spark):
     with pytest.raises(ValueError):
         power_iterate(a, x0, n, strategy="other")
     with pytest.raises(ValueError):
-        power_iterate(a, x0, 10**9, strategy="fold")
+        power_iterate(a, x0, 10**9, strategy="blocks")
 
 
 def test_empty_rows_are_zero(spark):
     a = spark.createDataFrame([(0, 1, 1.0), (2, 0, 1.0)], "row long, col long, val double")
     x0 = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0)], "i long, v double")
     want = None
-    for s in ("fold", "blocks", "join"):
+    for s in ("blocks", "join"):
         got = power_iterate(a, x0, 3, 2, 25, s)
         x = {r.i: r.v for r in got.x.collect() if r.v}
         want = want or x
@@ -130,7 +141,7 @@ def test_pattern_in_closed_form(n, data):
     p = Pattern(n, nz)
     want = brute_pattern(n, nz)
     assert [p.nnz(i) for i in range(n)] == want
-    assert [p.row_ptr(i) for i in range(n + 1)] == list(np.cumsum([0, *want]))
+    assert [p.row_ptr(i) for i in range(n + 1)] == list(np.cumsum([0, *want])) == p.row_ptr(np.arange(n + 1)).tolist()
     regular = Pattern(n, nz, "regular")
     assert sum(regular.nnz(i) for i in range(n)) == nz == regular.row_ptr(n)
     for parts in (1, 3, 8):
@@ -139,17 +150,23 @@ def test_pattern_in_closed_form(n, data):
             assert p.first_row_with(target) == next(r for r in range(n + 1) if p.row_ptr(r) >= target)
 
 
-@given(st.integers(0, 2**64 - 1), st.integers(1, 5000))
-def test_strides_are_prime_to_n(raw, n):
-    s = generated.py_stride(raw, n)
-    assert math.gcd(s, n) == 1 and 1 <= s <= max(1, n)
+def plain_stride(raw, n):
+    """One draw after the other: odd if it can be, and prime to n."""
+    if n <= 1:
+        return 1
+    s = raw % n or 1
+    if s % 2 == 0:
+        s = s + 1 if s + 1 < n else 1
+    while math.gcd(s, n) != 1:
+        s = s + 2 if s + 2 < n else 1
+    return s
 
 
-def test_stride_column(spark):
-    for n in (1, 2, 17, 210, 2310, 30030):
-        with wrapping(spark):
-            rows = spark.range(200).select(mix(F.col("id")).alias("r")).select("r", generated.stride(F.col("r"), n).alias("s")).collect()
-        assert [r.s for r in rows] == [generated.py_stride(r.r % 2**64, n) for r in rows]
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.integers(1, 5000))
+def test_strides_are_prime_to_n(raw, n):
+    found = generated.strides(np.array(raw, np.uint64), n).tolist()
+    assert found == [plain_stride(r, n) for r in raw]
+    assert all(math.gcd(s, n) == 1 and 1 <= s <= max(1, n) for s in found)
 
 
 @pytest.mark.parametrize("shape", [(0, 1, "regular"), (2**32, 2**33, "regular"), (4, 3, "regular"), (4, 17, "regular"), (4, 4, "odd")])
@@ -158,11 +175,25 @@ def test_validation(shape):
         validate(*shape)
 
 
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * MULTIPLIERS[0]) & MASK
+    x = ((x ^ (x >> 27)) * MULTIPLIERS[1]) & MASK
+    return x ^ (x >> 31)
+
+
 def test_draws_are_stateless():
     state, seed = 5, 5
     for k in range(1, 50):
         state = (state + GAMMA) & MASK
-        assert py_mix(state) == py_mix((seed + k * GAMMA) & MASK)
+        assert plain_mix(state) == plain_mix((seed + k * GAMMA) & MASK) == int(mixed(np.array([state], np.uint64))[0])
+
+
+def test_total_is_checked(spark):
+    counts = generated.pattern_counts(spark, 50, 400)
+    row = generated.matrix_stats(counts, 50, 400).first()
+    assert row == generated.matrix_stats(generated.row_counts(generated.matrix(spark, 50, 400)), 50).first() and row.total_nnz == 400
+    with pytest.raises(Exception, match="should hold 401"):
+        generated.matrix_stats(counts, 50, 401).collect()
 
 
 def test_worked_product(spark):
@@ -218,7 +249,5 @@ def test_files(spark, tmp_path):
     assert linear.compare_vectors(x, scan_dump(spark, str(tmp_path / "dump"))).first().verdict == "identical"
 
 
-def test_units_are_below_one(spark):
-    with wrapping(spark):
-        row = spark.range(1).select(unit(u64(MASK)), unit(u64(0))).first()
-    assert row[0] == 1 - 2.0**-53 and row[1] == 0
+def test_units_are_below_one():
+    assert units(np.array([MASK, 0], np.uint64)).tolist() == [1 - 2.0**-53, 0]
