@@ -2,32 +2,30 @@
 
 A position's longest previous factor is the longest match of its suffix with a
 suffix of an earlier document.  In suffix order the candidates are the previous
-and the next position with a smaller document id, and the factor reaches LENGTH
-exactly if one of these two agrees over LENGTH bytes, that is, if the class of
-suffixes that agree over LENGTH bytes (a stretch of the suffix order) holds a
-smaller id.  So suffixes are brought in the order of their first LENGTH bytes'
-name, equal ones stand together, and the class's smallest id decides.
+and the next position with a smaller document id, and a byte goes if it lies in
+a string of LENGTH bytes whose factor reaches LENGTH.
 
-Ordering all suffixes would move fifty bytes for each byte of text.  The order
-is therefore built sparsely and in three levels, each over what the one before
-left open:
+Ordering all suffixes would move fifty bytes for each byte of text, so positions
+without a previous factor are left out first:
 
 1. anchors: of the GRAM-byte strings inside a LENGTH-byte string the one with
    the smallest hash; equal strings have equal anchors.  Positions whose anchor
    occurs in one document only have no previous factor and go no further.
-2. stretches: neighbouring positions with one anchor (about ten) make a stretch;
-   equal stretches in document order settle the insides of copies at once.
-3. suffixes: stretches that are first of their kind, but whose anchor has other
-   kinds as well (where copies begin and end), are ordered suffix by suffix.
+2. stretches: neighbouring positions with one anchor (about fourteen) go as one
+   byte string to their anchor's bucket; a block sends each stretch once, with
+   its smallest id (later documents of the block are settled by comparing bytes).
+3. suffixes: equal stretches of a bucket are one kind.  The suffixes of anchors
+   that have several kinds (where copies begin and end) are sorted by their bytes,
+   and previous and next smaller ids in that order give the factors.
 
-Names are hashes of 96 bits (stretches) and 128 bits (suffixes).  Texts are dealt once, into a bucketed table of blocks
-that all passes read in place; only names move between blocks and name buckets,
-at most one for each block and name, so a passage in a third of all documents
-costs each bucket no more than one entry a block.
+Hashes choose what is compared; what is removed is decided by bytes.  Texts are
+dealt once, into a bucketed table of blocks that all passes read in place, so a
+passage in a third of all documents costs a bucket one entry a block and kind.
 
 Null text is the empty text.  Matches never cross documents and never come from
 the same doc_id (rows that repeat an id do not remove each other's bytes; null
-ids count as larger than any id and as equal).  Other columns are ignored.
+ids count as larger than any id and as equal).  A document of any length is
+hashed SLICE bytes at a time.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,23 +43,22 @@ from pyspark.sql import functions as F
 from rotaspark.llm.common import materialize, read, shuffle_partitions, text_of
 
 LENGTH = 50
-GRAM = 32
-#: Positions of a stretch at most: two LENGTH-byte strings must cover it.
+GRAM = 24
+#: Positions of a stretch at most: one bit each.
 STRETCH = 32
 #: Bytes of text hashed at a time, and bytes of text in a block (about).
 SLICE, BLOCK_BYTES = 1 << 20, 12_000_000
+#: Stretches of a bucket compared at a time, at least all of one anchor.
+TOGETHER = 150_000
 LAST = np.iinfo(np.int64).max
 
 _TABLE = np.random.default_rng(977).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_OTHER = np.random.default_rng(978).integers(0, 2**64, LENGTH, dtype=np.uint64) | np.uint64(1)
 
 
-def _mixed(h: np.ndarray, by: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(by)
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(32))
 
 
@@ -70,7 +67,7 @@ def _power(n: int) -> np.uint64:
 
 
 class Stretches(NamedTuple):
-    """Parallel arrays, in text order: row of the document, first position, positions, anchor, name."""
+    """Parallel arrays, in text order: row of the document, first position, positions, anchor, hash of the bytes."""
 
     doc: np.ndarray
     start: np.ndarray
@@ -78,9 +75,15 @@ class Stretches(NamedTuple):
     anchor: np.ndarray
     name: np.ndarray
 
+    def of(self, which: np.ndarray) -> Stretches:
+        return Stretches(*[c[which] for c in self])
 
-def _hash_slice(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: int, length: int, gram: int) -> Stretches:
-    """Stretches of the documents [begins, ends) in raw; rows count from first."""
+
+def _hash_slice(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> Stretches:
+    """Stretches of pieces (row, offset in the document, bytes)."""
+    raw = np.frombuffer(b"".join([p[2] for p in pieces]), np.uint8)
+    ends = np.cumsum([len(p[2]) for p in pieces])
+    begins = ends - [len(p[2]) for p in pieces]
     levels = [_TABLE[raw]]  # levels[k]: hash of the 2**k bytes from each position
     span = 1
     while 2 * span <= max(gram, length):
@@ -90,11 +93,9 @@ def _hash_slice(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: in
 
     def over(n: int, at: np.ndarray | None = None) -> np.ndarray:
         """Hash of n bytes from the positions at (from all where it fits)."""
-        bits = [k for k in range(len(levels) - 1, -1, -1) if n >> k & 1]
-        m = len(raw) - n + 1
         out, done = None, 0
-        for k in bits:
-            part = levels[k][done : done + m] if at is None else levels[k][at + done]
+        for k in [k for k in range(len(levels) - 1, -1, -1) if n >> k & 1]:
+            part = levels[k][done : done + len(raw) - n + 1] if at is None else levels[k][at + done]
             done += 1 << k
             out = part if out is None else out * _power(1 << k) + part
         return out
@@ -107,7 +108,7 @@ def _hash_slice(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: in
         span *= 2
     if reach > span:
         least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
-    # least[i]: anchor of the string of `length` bytes at i; those that leave their document don't count.
+    # least[i]: anchor of the string of `length` bytes at i; those that leave their piece don't count.
     sizes = np.maximum(ends - begins - length + 1, 0)
     some = np.flatnonzero(sizes)
     offset = np.cumsum(sizes[some]) - sizes[some]
@@ -124,65 +125,51 @@ def _hash_slice(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: in
         heads = np.flatnonzero(inside % STRETCH == 0)
         counts = np.diff(heads, append=len(at))
     p = at[heads]
-    head, tail = over(length, p), over(length, p + counts - 1)
-    name = _mixed(head * np.uint64(0xC2B2AE3D27D4EB4F) + tail + counts.astype(np.uint64), 0x9FB21C651E98DF25)
-    row = some[np.searchsorted(offset, heads, "right") - 1]
-    return Stretches((row + first).astype(np.int32), (p - begins[row]).astype(np.int32), counts.astype(np.int32), anchor[heads], name)
+    name = _mixed(over(length, p) * np.uint64(0xC2B2AE3D27D4EB4F) + over(length, p + counts - 1) + counts.astype(np.uint64))
+    piece = some[np.searchsorted(offset, heads, "right") - 1]
+    row, from_ = (np.array([x[k] for x in pieces], np.int64) for k in (0, 1))
+    return Stretches(row[piece].astype(np.int32), (p - begins[piece] + from_[piece]).astype(np.int64), counts.astype(np.uint8), anchor[heads], name)
 
 
 def stretches_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Stretches:
-    found, i = [], 0
-    while i < len(texts):
-        j, total = i, 0
-        while j < len(texts) and (j == i or total + len(texts[j]) <= SLICE):
-            total += len(texts[j])
-            j += 1
-        if total >= length:
-            ends = np.cumsum([len(t) for t in texts[i:j]])
-            begins = ends - [len(t) for t in texts[i:j]]
-            found.append(_hash_slice(np.frombuffer(b"".join(texts[i:j]), np.uint8), begins, ends, i, length, gram))
-        i = j
+    """Long texts are cut in pieces that overlap by length - 1 bytes, so no position is lost or met twice."""
+    found: list[Stretches] = []
+    held: list[tuple[int, int, bytes]] = []
+    total = 0
+    for row, text in enumerate(texts):
+        for off in range(0, max(1, len(text) - length + 1), SLICE):
+            piece = text[off : off + SLICE + length - 1] if len(text) > SLICE else text
+            if held and total + len(piece) > SLICE:
+                found.append(_hash_slice(held, length, gram))
+                held, total = [], 0
+            if len(piece) >= length:
+                held.append((row, off, piece))
+                total += len(piece)
+    if held:
+        found.append(_hash_slice(held, length, gram))
     if not found:
-        empty, none = np.empty(0, np.int32), np.empty(0, np.uint64)
-        return Stretches(empty, empty, empty, none, none)
+        none = np.empty(0, np.uint64)
+        return Stretches(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint8), none, none)
     return Stretches(*[np.concatenate(x) for x in zip(*found)])
 
 
-def _upper(a: np.ndarray) -> np.ndarray:
-    """The upper half of each hash."""
-    return (a >> np.uint64(32)).astype(np.uint32)
-
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, or a last one of bytes, under compression."""
+    body = b"".join(a.tobytes() for a in arrays)
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
-class Pairs:
-    """Sorted names of two parts with the smallest id seen for each."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, b, a))
-        a, b, ids = a[order], b[order], ids[order]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.group = np.cumsum(first) - 1  # of the ordered entries
-        self.order, self.a, self.b, self.ids = order, a[first], b[first], ids[first]
-
-    def smallest(self) -> np.ndarray:
-        """For each entry as given, the smallest id of its name."""
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = self.ids[self.group]
-        return out
+def _spread(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(a.tobytes() for a in arrays)
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences as 32-bit numbers, byte plane by byte plane."""
+    return np.ascontiguousarray(np.diff(a, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T)
 
 
-_KINDS = {"u": np.dtype(np.uint64), "i": np.dtype(np.int64), "h": np.dtype(np.uint32)}
-
-
-def _unpack(data: bytes, kinds: str) -> list[np.ndarray]:
-    """Columns, u: unsigned of 8 bytes, i: signed, h: unsigned of 4 bytes."""
-    sizes = [_KINDS[k].itemsize for k in kinds]
-    n = len(data) // sum(sizes)
-    return [np.frombuffer(data, _KINDS[k], n, n * sum(sizes[:j])) for j, k in enumerate(kinds)]
+def _summed(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel().astype(np.int64))
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -194,82 +181,114 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 MESSAGE = "to int, at int, kind int, data binary"
-#: Kinds of messages: anchors with their count; stretch names; one name an anchor; suffix names.
-ANCHORS, NAMES, KINDS, SUFFIXES = range(4)
-
-
-class Messages:
-    """Rows (to, at, kind, data) of a batch."""
-
-    def __init__(self) -> None:
-        self.rows: list[tuple[int, int, int, bytes]] = []
-
-    def deal(self, n: int, at: int, kind: int, key: np.ndarray, *columns: np.ndarray) -> None:
-        for to, where in _by_bucket((key % np.uint64(n)).astype(np.int64)):
-            self.rows.append((to, at, kind, _pack(*[c[where] for c in columns])))
-
-    def table(self) -> pa.Table:
-        columns = list(zip(*self.rows)) if self.rows else [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["to", "at", "kind", "data"])
-
-
-def _gather(table: pa.Table, kind: int, kinds: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """All entries of one kind, and the block (column at) each came from."""
-    rows = [(at, d) for at, k, d in zip(table["at"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist()) if k == kind]
-    parts = [_unpack(d, kinds) for _, d in rows]
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, _KINDS[k]) for k in kinds]
-    return columns, np.repeat([at for at, _ in rows], [len(p[0]) for p in parts]).astype(np.int64)
-
-
-class Block:
-    """A block's documents and what the name buckets have answered so far."""
-
-    def __init__(self, table: pa.Table, length: int, gram: int):
-        self.length = length
-        self.ids = np.array([LAST if i is None else i for i in table["doc_id"].to_pylist()], np.int64)
-        self.doc_ids = table["doc_id"].to_pylist()
-        self.texts = table["data"].to_pylist()
-        self.all = stretches_of(self.texts, length, gram)
-
-    def candidates(self, repeated: np.ndarray) -> Stretches:
-        """Stretches whose anchor is in the sorted array repeated."""
-        at = np.searchsorted(repeated, self.all.anchor)
-        keep = np.flatnonzero(repeated[np.minimum(at, len(repeated) - 1)] == self.all.anchor) if len(repeated) else np.empty(0, np.int64)
-        return Stretches(*[c[keep] for c in self.all])
-
-    def suffixes(self, s: Stretches, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two names, row and position of each suffix of the stretches which."""
-        size = s.size[which]
-        doc = np.repeat(s.doc[which], size)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        start = np.repeat(s.start[which], size) + inside
-        one, two = np.empty(len(doc), np.uint64), np.empty(len(doc), np.uint64)
-        weights = np.array([_power(self.length - 1 - j) for j in range(self.length)], np.uint64)
-        other = np.resize(_OTHER, self.length)
-        begins = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1]) if len(doc) else np.empty(0, np.int64)
-        for b, e in zip(begins, [*begins[1:], len(doc)]):
-            view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(self.texts[doc[b]], np.uint8), self.length)
-            for c in range(b, e, 20_000):
-                bytes_at = _TABLE[view[start[c : min(e, c + 20_000)]]]
-                one[c : min(e, c + 20_000)] = bytes_at @ weights
-                two[c : min(e, c + 20_000)] = (bytes_at ^ (bytes_at >> np.uint64(31))) @ other
-        return _mixed(one), _mixed(two), doc, start
-
-
-def _lookup(a: np.ndarray, b: np.ndarray, known: Pairs, otherwise: np.ndarray) -> np.ndarray:
-    """The ids known for the names (a, b), or otherwise."""
-    out = otherwise.copy()
-    if not len(known.a) or not len(a):
-        return out
-    # names are hashes: the pairs with one first part are few
-    at = np.searchsorted(known.a, a)
-    for step in range(int(np.unique(known.a, return_counts=True)[1].max())):
-        k = np.minimum(at + step, len(known.a) - 1)
-        hit = (known.a[k] == a) & (known.b[k] == b)
-        out[hit] = np.minimum(out[hit], known.ids[k[hit]])
+#: Kinds of messages: anchors; stretches; a block's note to itself; positions with a previous factor.
+ANCHORS, STRETCHES, NOTE, FACTORS = range(4)
+
+
+def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["to", "at", "kind", "data"])
+
+
+def _of_kind(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    """Sender and data."""
+    return [(at, d) for at, k, d in zip(table["at"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist()) if k == kind]
+
+
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array([LAST if i is None else i for i in column.to_pylist()], np.int64)
+
+
+def _bytes_at(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The strings of these sizes one after the other."""
+    ends = np.cumsum(sizes)
+    return raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)]
+
+
+def _table_of(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """The strings as rows, filled up with zeros."""
+    place = np.arange(width)
+    rows = raw[np.minimum(begins[:, None] + place, len(raw) - 1)]
+    rows[place >= sizes[:, None]] = 0
+    return rows
+
+
+def grouped(raw: np.ndarray, begins: np.ndarray, s: Stretches, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each stretch its group of equal ones, and of each group the stretch with the smallest id; begins: in raw."""
+    order = np.lexsort((ids[s.doc], s.size, s.name, s.anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (s.anchor[order[1:]] != s.anchor[order[:-1]]) | (s.name[order[1:]] != s.name[order[:-1]]) | (s.size[order[1:]] != s.size[order[:-1]])
+    number = np.cumsum(new) - 1
+    first = order[new]
+    group = np.empty(len(order), np.int64)
+    group[order] = number
+    # Equal hashes stand for equal bytes only where the bytes are equal.
+    others = np.flatnonzero(first[group] != np.arange(len(group)))
+    apart = []
+    for at in range(0, len(others), 20_000):
+        mine = others[at : at + 20_000]
+        sizes = s.size[mine].astype(np.int64) + length - 1
+        width = int(sizes.max())
+        differ = (_table_of(raw, begins[mine], sizes, width) != _table_of(raw, begins[first[group[mine]]], sizes, width)).any(1)
+        apart.append(mine[differ])
+    if apart and (odd := np.concatenate(apart)).size:
+        group[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
+    return group, first
+
+
+def previous_smaller(ids: np.ndarray, agrees: np.ndarray) -> np.ndarray:
+    """Of each place in suffix order, the nearest one before it with a smaller id; -1 if there is none.
+
+    agrees[i]: suffix i has the first bytes of suffix i - 1; the search ends where it is false.
+    """
+    at = np.where(agrees, np.arange(len(ids)) - 1, -1)
+    while True:
+        open_ = np.flatnonzero((at >= 0) & (ids[np.maximum(at, 0)] >= ids))
+        if not len(open_):
+            return at
+        at[open_] = at[at[open_]]
+
+
+def has_factor(suffixes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For suffixes (rows of bytes), whether one with a smaller id has the same bytes."""
+    keys = np.ascontiguousarray(suffixes).view(f"S{suffixes.shape[1]}").ravel()  # of one length, so zeros at the end don't matter
+    order = np.argsort(keys, kind="stable")
+    agrees = np.append(False, keys[order[1:]] == keys[order[:-1]]) if len(order) else np.empty(0, bool)
+    sorted_ids = ids[order]
+    before = previous_smaller(sorted_ids, agrees) >= 0
+    after = previous_smaller(sorted_ids[::-1], np.append(False, agrees[:0:-1]) if len(order) else agrees)[::-1] >= 0
+    out = np.empty(len(order), bool)
+    out[order] = before | after
     return out
 
 
+def _full(size: np.ndarray) -> np.ndarray:
+    return ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+
+
+def factors_of(anchor: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+    """For stretches of whole anchors, a bit for each position with a previous factor of `length` bytes."""
+    sizes = size.astype(np.int64) + length - 1
+    rows = np.concatenate([size[:, None], _table_of(raw, begins, sizes, int(sizes.max()))], 1)
+    keys = rows.view(f"S{rows.shape[1]}").ravel()  # the size comes first, so zeros at the end don't matter
+    order = np.lexsort((ids, keys, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    first = order[new]  # of each kind, the one with the smallest id
+    bits = np.zeros(len(first), np.uint32)
+    _, which, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[which] > 1)
+    if len(several):
+        windows = np.lib.stride_tricks.sliding_window_view(rows[first[several], 1:], length, 1)
+        row, place = np.nonzero(np.arange(windows.shape[1]) < size[first[several], None])
+        found = has_factor(windows[row, place], ids[first[several]][row])
+        np.bitwise_or.at(bits, several[row[found]], np.uint32(1) << place[found].astype(np.uint32))
+    return np.where(ids > ids[first[kind]], _full(size), bits[kind])
+
+
 def blocks_table(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[str, int]:
     """A bucketed table (block, doc_id, data); its buckets are read in place by every pass."""
     spark = docs.sparkSession
@@ -284,11 +303,6 @@ def blocks_table(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tu
     return name, n
 
 
-def _first_names(block: Block, s: Stretches) -> tuple[Pairs, np.ndarray]:
-    pairs = Pairs(s.name, _upper(s.anchor), block.ids[s.doc])
-    return pairs, pairs.smallest()
-
-
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept (text, without characters cut in two) and carried (the other columns)."""
     spark = docs.sparkSession
@@ -296,23 +310,21 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = spark.table(name)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One entry for each anchor and part of a block: the anchor, and whether two documents of the part have it."""
+        """31 bits of each anchor of a part of a block, and one whether two documents of the part have it."""
         for batch in batches:
             where = batch.column(0).to_numpy(zero_copy_only=False)
             for at in np.unique(where):
-                rows = np.flatnonzero(where == at)
-                part = batch.take(pa.array(rows))
-                s = stretches_of(part.column(1).to_pylist(), length, gram)
+                part = batch.take(pa.array(np.flatnonzero(where == at)))
+                s = stretches_of(part.column(2).to_pylist(), length, gram)
                 if not len(s.doc):
                     continue
+                ids = _ids(part.column(1))[s.doc]
                 order = np.argsort(s.anchor, kind="stable")
                 anchor, begin = np.unique(s.anchor[order], return_index=True)
-                end = np.append(begin[1:], len(order)) - 1
-                out = Messages()
-                short = (anchor >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | (s.doc[order[begin]] != s.doc[order[end]])
-                for to, w in _by_bucket((anchor % np.uint64(n)).astype(np.int64)):
-                    out.rows.append((to, int(at), ANCHORS, short[w].astype(np.uint32).tobytes()))
-                yield from out.table().to_batches()
+                several = np.minimum.reduceat(ids[order], begin) != np.maximum.reduceat(ids[order], begin)
+                short = (anchor >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | several
+                rows = [(to, int(at), ANCHORS, short[w].astype(np.uint32).tobytes()) for to, w in _by_bucket((anchor % np.uint64(n)).astype(np.int64))]
+                yield from _messages(rows).to_batches()
 
     def repeated(table: pa.Table) -> pa.Table:
         """To each block, which of its anchors another document has as well."""
@@ -324,128 +336,116 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         key = every & np.uint32(0xFFFFFFFE)
         found, count = np.unique(key, return_counts=True)
         many = np.union1d(found[count > 1], key[(every & np.uint32(1)) == 1])
-        out = Messages()
+        rows = []
         for block, parts in sent.items():
             mine = np.unique(np.concatenate(parts) & np.uint32(0xFFFFFFFE))
             mine = mine[np.isin(mine, many, assume_unique=True)]
             if len(mine):
-                out.rows.append((block, to, ANCHORS, mine.tobytes()))
-        return out.table()
-
-    def repeated_anchors(block: Block, answers: pa.Table) -> np.ndarray:
-        """The full anchors of the block that are repeated (their upper bits were sent)."""
-        mine = np.unique(block.all.anchor)
-        keys = (mine % np.uint64(n)) << np.uint64(32) | (mine >> np.uint64(32) & np.uint64(0xFFFFFFFE))
-        sent = [(b, np.frombuffer(d, np.uint32)) for b, k, d in zip(answers["at"].to_pylist(), answers["kind"].to_pylist(), answers["data"].to_pylist()) if k == ANCHORS]
-        if not sent:
-            return mine[:0]
-        known = np.concatenate([np.uint64(b) << np.uint64(32) | d.astype(np.uint64) for b, d in sent])
-        return mine[np.isin(keys, known)]
-
-    def names(left: pa.Table, answers: pa.Table) -> pa.Table:
-        """Of the stretches with repeated anchors: each name with its smallest id, each anchor with its one name or none."""
-        out = Messages()
-        if left.num_rows and answers.num_rows:
-            block = Block(left, length, gram)
-            at = left["block"][0].as_py()
-            many = repeated_anchors(block, answers)
-            s = block.candidates(many)
-            pairs, _ = _first_names(block, s)
-            out.deal(n, at, NAMES, pairs.a, pairs.a, pairs.b, pairs.ids)
-            order = np.lexsort((s.name, s.anchor))
-            anchor, begin = np.unique(s.anchor[order], return_index=True)
-            end = np.append(begin[1:], len(order)) - 1
-            kind = s.name[order[begin]]
-            out.deal(n, at, KINDS, anchor, anchor, np.where(kind == s.name[order[end]], kind | np.uint64(1), np.uint64(0)))
-            # The block's note to itself: a bit for each of its anchors.
-            out.rows.append((at, at, ANCHORS, np.packbits(np.isin(np.unique(block.all.anchor), many, assume_unique=True)).tobytes()))
-        return out.table()
-
-    def settle(table: pa.Table) -> pa.Table:
-        """To each block: names that an earlier document elsewhere has; anchors with several kinds of stretches."""
-        out = Messages()
-        (name, anchor, ids), at = _gather(table, NAMES, "uhi")
-        least = Pairs(name, anchor, ids).smallest()
-        later = np.flatnonzero(least < ids)
-        for block, w in _by_bucket(at[later]):
-            out.rows.append((block, 0, NAMES, _pack(name[later[w]], anchor[later[w]], least[later[w]])))
-        (anchor, kind), at = _gather(table, KINDS, "uu")
-        order = np.lexsort((kind, anchor))
-        _, begin, inverse = np.unique(anchor[order], return_index=True, return_inverse=True)
-        end = np.append(begin[1:], len(anchor)) - 1
-        several = ((kind[order][begin] != kind[order][end]) | (kind[order][begin] == 0))[inverse] if len(anchor) else np.empty(0, bool)
-        which = order[several]
-        for block, w in _by_bucket(at[which]):
-            out.rows.append((block, 0, KINDS, anchor[which[w]].tobytes()))
-        for to, _, kind_, data in zip(*[table[c].to_pylist() for c in ("to", "at", "kind", "data")]):
-            if kind_ == ANCHORS:
-                out.rows.append((to, 0, ANCHORS, data))
-        return out.table()
-
-    def opened(block: Block, answers: pa.Table) -> tuple[Stretches, np.ndarray, np.ndarray]:
-        """The block's candidates, the smallest id of each one's name, and those to order suffix by suffix."""
-        note = next(d for k, d in zip(answers["kind"].to_pylist(), answers["data"].to_pylist()) if k == ANCHORS)
-        mine = np.unique(block.all.anchor)
-        s = block.candidates(mine[np.unpackbits(np.frombuffer(note, np.uint8), count=len(mine)).astype(bool)])
-        _, least = _first_names(block, s)
-        (name, anchor, ids), _ = _gather(answers, NAMES, "uhi")
-        least = _lookup(s.name, _upper(s.anchor), Pairs(name, anchor, ids), least)
-        (several,), _ = _gather(answers, KINDS, "u")
-        first = least == block.ids[s.doc]
-        return s, least, np.flatnonzero(first & np.isin(s.anchor, several))
-
-    def suffixes(left: pa.Table, answers: pa.Table) -> pa.Table:
-        out = Messages()
-        if left.num_rows and answers.num_rows:
-            block = Block(left, length, gram)
-            s, _, which = opened(block, answers)
-            one, two, doc, _ = block.suffixes(s, which)
-            pairs = Pairs(one, two, block.ids[doc])
-            out.deal(n, left["block"][0].as_py(), SUFFIXES, pairs.a, pairs.a, pairs.b, pairs.ids)
-        return out.table()
-
-    def previous(table: pa.Table) -> pa.Table:
-        """To each block: suffixes with a previous factor in an earlier document elsewhere, and the earliest's id."""
-        out = Messages()
-        (one, two, ids), at = _gather(table, SUFFIXES, "uui")
-        least = Pairs(one, two, ids).smallest()
-        later = np.flatnonzero(least < ids)
-        for block, w in _by_bucket(at[later]):
-            out.rows.append((block, 0, SUFFIXES, _pack(one[later[w]], two[later[w]], least[later[w]])))
-        return out.table()
+                rows.append((block, to, ANCHORS, mine.tobytes()))
+        return _messages(rows)
+
+    def stretches(left: pa.Table, answers: pa.Table) -> pa.Table:
+        """The block's stretches with repeated anchors, each once, to their buckets; where they stand, to itself."""
+        rows: list[tuple[int, int, int, bytes]] = []
+        known = [np.uint64(b) << np.uint64(32) | np.frombuffer(d, np.uint32).astype(np.uint64) for b, d in _of_kind(answers, ANCHORS)]
+        if left.num_rows and known:
+            at, texts, ids = left["block"][0].as_py(), left["data"].to_pylist(), _ids(left["doc_id"])
+            s = stretches_of(texts, length, gram)
+            keys = (s.anchor % np.uint64(n)) << np.uint64(32) | (s.anchor >> np.uint64(32) & np.uint64(0xFFFFFFFE))
+            s = s.of(np.flatnonzero(np.isin(keys, np.concatenate(known))))
+            if len(s.doc):
+                sizes = np.array([len(t) for t in texts], np.int64)
+                raw = np.frombuffer(b"".join(texts), np.uint8)
+                begins = (np.cumsum(sizes) - sizes)[s.doc] + s.start
+                group, first = grouped(raw, begins, s, ids, length)
+                # Groups are numbered by their first place in the text.
+                seen, place = np.unique(group, return_index=True)
+                number = np.empty(len(seen), np.int64)
+                number[np.argsort(place)] = np.arange(len(seen))
+                group, first = number[group], first[np.argsort(place)]
+                for to, w in _by_bucket((s.anchor[first] % np.uint64(n)).astype(np.int64)):
+                    f = first[w]
+                    anchor, size = (s.anchor[f] >> np.uint64(32)).astype(np.uint32), s.size[f]
+                    data = _squeezed(np.array([len(f)], np.int64), anchor, w.astype(np.uint32), ids[s.doc[f]], size, _bytes_at(raw, begins[f], size.astype(np.int64) + length - 1))
+                    rows.append((to, at, STRETCHES, data))
+                rows.append((at, at, NOTE, _squeezed(_steps(s.doc), _steps(s.start), _steps(group), s.size)))
+        return _messages(rows)
+
+    def factors(table: pa.Table) -> pa.Table:
+        """To each block, of its groups with a previous factor in another block the bits of the positions."""
+        rows = [(at, at, NOTE, data) for at, data in _of_kind(table, NOTE)]
+        sent = _of_kind(table, STRETCHES)
+        parts: list[list[np.ndarray]] = []
+        for at, data in sent:
+            body = _spread(data)
+            m = int(body[:8].view(np.int64)[0])
+            edges = np.cumsum([8, 4 * m, 4 * m, 8 * m, m])
+            a, g, i, z = (body[b:e] for b, e in zip(edges, edges[1:]))
+            parts.append([a.view(np.uint32), g.view(np.uint32), np.frombuffer(i.tobytes(), np.int64), z, body[edges[-1] :], np.full(m, at)])
+        if parts:
+            anchor, group, ids, size, raw, block = (np.concatenate(c) for c in zip(*parts))
+            sizes = size.astype(np.int64) + length - 1
+            begins = np.cumsum(sizes) - sizes
+            order = np.argsort(anchor, kind="stable")
+            edges = np.flatnonzero(np.append(True, anchor[order[1:]] != anchor[order[:-1]]))
+            bits = np.zeros(len(order), np.uint32)
+            b = 0
+            while b < len(order):
+                later = edges[np.searchsorted(edges, b + TOGETHER) :]
+                e = int(later[0]) if len(later) else len(order)
+                w = order[b:e]
+                bits[w] = factors_of(anchor[w], ids[w], size[w], raw, begins[w], length)
+                b = e
+            some = np.flatnonzero(bits)
+            for to, w in _by_bucket(block[some]):
+                rows.append((to, 0, FACTORS, group[some[w]].tobytes() + bits[some[w]].tobytes()))
+        return _messages(rows)
+
+    def spans(left: pa.Table, answers: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, begin and end of removed strings, in order."""
+        note = _of_kind(answers, NOTE)
+        if not note:
+            none = np.empty(0, np.int64)
+            return none, none, none
+        body = _spread(note[0][1])
+        m = len(body) // 13
+        doc, start, group = (_summed(body[k * 4 * m : (k + 1) * 4 * m]) for k in range(3))
+        size = body[12 * m :]
+        least = np.full(group.max() + 1, LAST)
+        np.minimum.at(least, group, ids[doc])
+        bits = np.zeros(len(least), np.uint32)
+        for _, data in _of_kind(answers, FACTORS):
+            found, its = np.frombuffer(data, np.uint32).reshape(2, -1)
+            bits[found] |= its
+        mine = np.where(ids[doc] > least[group], _full(size), bits[group])
+        whole = mine == _full(size)
+        part = np.flatnonzero(~whole & (mine > 0))
+        row, place = np.nonzero(mine[part, None] >> np.arange(STRETCH, dtype=np.uint32) & np.uint32(1))
+        whole = np.flatnonzero(whole)
+        doc = np.concatenate([doc[whole], doc[part[row]]])
+        begin = np.concatenate([start[whole], start[part[row]] + place])
+        end = begin + np.concatenate([size[whole].astype(np.int64), np.ones(len(row), np.int64)]) + length - 1
+        order = np.lexsort((begin, doc))
+        return doc[order], begin[order], end[order]
 
     def finish(left: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            block = Block(left, length, gram) if answers.num_rows else None
-            begins = np.empty(0, np.int64)
-            doc = size = begins
-            if block is not None:
-                s, least, which = opened(block, answers)
-                whole = np.flatnonzero(least < block.ids[s.doc])
-                one, two, sdoc, sstart = block.suffixes(s, which)
-                (a, b, ids), _ = _gather(answers, SUFFIXES, "uui")
-                earliest = _lookup(one, two, Pairs(a, b, ids), Pairs(one, two, block.ids[sdoc]).smallest())
-                hit = np.flatnonzero(earliest < block.ids[sdoc])
-                doc = np.concatenate([s.doc[whole], sdoc[hit]])
-                begins = np.concatenate([s.start[whole], sstart[hit]])
-                size = np.concatenate([s.size[whole], np.ones(len(hit), np.int64)])
-                order = np.lexsort((begins, doc))
-                doc, begins, size = doc[order], begins[order], size[order]
+            doc, begin, end = spans(left, answers, _ids(left["doc_id"]))
             ids, texts = left["doc_id"].to_pylist(), left["data"].to_pylist()
             bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
             for i, (doc_id, text) in enumerate(zip(ids, texts)):
-                keep, removed, spans, at = [], 0, 0, 0
+                keep, removed, runs, at = [], 0, 0, 0
                 b, e = bounds[i], bounds[i + 1]
                 if e > b:
-                    starts, ends = begins[b:e], np.maximum.accumulate(begins[b:e] + size[b:e] + length - 1)
+                    starts, ends = begin[b:e], np.maximum.accumulate(end[b:e])
                     new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
                     for x, y in zip(starts[new].tolist(), ends[np.append(new[1:], len(ends)) - 1].tolist()):
                         keep.append(text[at:x])
-                        removed, spans, at = removed + y - x, spans + 1, y
+                        removed, runs, at = removed + y - x, runs + 1, y
                 keep.append(text[at:])
                 kept = b"".join(keep)
-                row = (doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest())
+                row = (doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest())
                 rows.append((*row, kept.decode("utf-8", "ignore")) if keep_text else row)
         columns = list(zip(*rows)) if rows else [()] * (6 if keep_text else 5)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -455,13 +455,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def in_place(answers: DataFrame, f, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(f, schema)
 
-    many = blocks.select("block", "data").mapInArrow(anchors, MESSAGE).groupBy("to").applyInArrow(repeated, MESSAGE)
-    settled = materialize(in_place(many, names, MESSAGE).groupBy("to").applyInArrow(settle, MESSAGE), "suffix-settled")
-    factors = in_place(settled, suffixes, MESSAGE).groupBy("to").applyInArrow(previous, MESSAGE)
+    many = blocks.select("block", "doc_id", "data").mapInArrow(anchors, MESSAGE).groupBy("to").applyInArrow(repeated, MESSAGE)
+    found = in_place(many, stretches, MESSAGE).groupBy("to").applyInArrow(factors, MESSAGE)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
         schema += f", kept string, carried {blocks.schema['carried'].dataType.simpleString()}"
-    return in_place(settled.unionByName(factors), finish, schema)
+    done = materialize(in_place(found, finish, schema), "suffix-kept")
+    spark.sql(f"DROP TABLE {name}")
+    return done
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

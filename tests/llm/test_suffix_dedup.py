@@ -81,3 +81,55 @@ def test_cut_keeps_columns_and_whole_characters(spark):
     assert cut_repeats(docs).columns == docs.columns
     assert [r.text for r in rows] == ["é" * 40 + "tail", "xx", None, "short"]
     assert [r.n_chars for r in rows] == [44, 2, 0, 5]
+
+
+def test_long_documents_in_slices(spark, monkeypatch):
+    from rotaspark.llm import suffix_dedup
+
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(3000))
+    texts = [t.encode() for t in (long, "", "short", long[500:1800] + "x", "y" + long, "ab" * 300)]
+
+    def anchors():
+        s = suffix_dedup.stretches_of(texts)
+        return {(d, p + k): a for d, p, n, a in zip(*[c.tolist() for c in s[:4]]) for k in range(n)}
+
+    want = anchors()
+    assert len(want) == sum(max(0, len(t) - 49) for t in texts)
+    for size in (50, 97, 1000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        assert anchors() == want
+    monkeypatch.undo()
+    check(frame(spark, ["x" + "".join(rng.choice("abcdefgh") for _ in range(2_500_000)), "z" * 60] * 2))
+
+
+def test_unequal_bytes_under_one_name(monkeypatch):
+    import numpy as np
+    from rotaspark.llm.suffix_dedup import grouped, stretches_of
+
+    texts = [b"a" * 50 + bytes([k]) * 70 for k in (1, 2, 1)]
+    s = stretches_of(texts)
+    same = s._replace(name=np.zeros_like(s.name), anchor=np.zeros_like(s.anchor))
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    begins = np.array([0, 120, 240])[s.doc] + s.start
+    group, first = grouped(raw, begins, same, np.array([5, 6, 7]), 50)
+    strings = [bytes(raw[b : b + n + 49]) for b, n in zip(begins, s.size.astype(int))]
+    for k, g in enumerate(group):
+        assert strings[first[g]] == strings[k]
+
+
+def test_previous_smaller():
+    import numpy as np
+    from rotaspark.llm.suffix_dedup import previous_smaller
+
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        ids, agrees = rng.integers(0, 9, 40), rng.random(40) < 0.8
+        agrees[0] = False
+        want = []
+        for i in range(40):
+            j = i
+            while agrees[j] and ids[j - 1] >= ids[i]:
+                j -= 1
+            want.append(j - 1 if agrees[j] else -1)
+        assert previous_smaller(ids, agrees).tolist() == want
