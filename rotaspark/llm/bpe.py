@@ -34,7 +34,7 @@ CUT_MASK = 1023
 #: Bytes the rolling hash looks back over (a power of two).
 CUT_WINDOW = 32
 #: About so many bytes of words and chunks a worker remembers before it starts afresh; texts whose new words it learns together.
-MEMORY_BYTES, TOGETHER = 240_000_000, 512
+MEMORY_BYTES, TOGETHER = 100_000_000, 512
 _GEAR = np.random.default_rng(20240607).integers(0, 2**32, 256, dtype=np.uint32)
 
 

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as the sum of its own vector and of the vectors of its character
-n-grams (hashed tables), so unseen words are known by their characters.  Two
+n-grams (hashed tables) over the root of their number, so unseen words are known
+by their characters, also where only a few of them tell.  Two
 gated recurrent units read a window of words in both directions, attention
 pools the states, and a linear layer gives the window's logit.  Runs of more
 than LONGEST word characters are read as several words, overlapping pieces of
@@ -21,7 +22,6 @@ Repeated ids are scored one by one; other columns are never read.
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,8 +48,8 @@ SHARED = 4
 THRESHOLD = 0.7
 #: Characters of the longest word read as one; longer ones (writing without blanks) are read in pieces that overlap.
 LONGEST, PIECE, OVERLAP = 40, 16, 8
-#: Windows scored at a time, texts whose new words are learned at a time, distinct words a worker remembers.
-SCORE_WINDOWS, TOGETHER, MEMORY_WORDS = 2048, 256, 400_000
+#: Windows scored at a time, texts whose new words are learned at a time, distinct words a task remembers.
+SCORE_WINDOWS, TOGETHER, MEMORY_WORDS = 2048, 256, 200_000
 
 WORDS = re.compile(r"\w+")
 
@@ -73,6 +73,11 @@ class Features(NamedTuple):
     begins: np.ndarray
     counts: np.ndarray
 
+    @property
+    def shares(self) -> np.ndarray:
+        """What each of a word's n-grams counts: a few telling ones must be heard among many."""
+        return (1 / np.sqrt(np.maximum(1, self.counts))).astype(np.float32)
+
     def of(self, which: np.ndarray) -> Features:
         counts = self.counts[which]
         ends = np.cumsum(counts)
@@ -128,11 +133,11 @@ class Network:
         }
 
     def vectors(self, f: Features) -> np.ndarray:
-        """Each word's own row plus the mean of its n-gram rows."""
+        """Each word's own row plus the sum of its n-gram rows over the root of their number."""
         out = self.table[f.own].copy()
         some = np.flatnonzero(f.counts)
         if len(some):
-            out[some] += np.add.reduceat(self.table[f.grams], f.begins[some], 0) / f.counts[some, None]
+            out[some] += np.add.reduceat(self.table[f.grams], f.begins[some], 0) * f.shares[some, None]
         return out
 
     def step(self, h: np.ndarray, x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -262,7 +267,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Network | float:
                 sums[k] += g * g
                 net.w[k] -= (RATE * g / np.sqrt(sums[k])).astype(np.float32)
             g = summed(words.own, dvectors, len(net.table))
-            g += summed(words.grams, np.repeat(dvectors / np.maximum(1, words.counts)[:, None], words.counts, 0), len(net.table))
+            g += summed(words.grams, np.repeat(dvectors * words.shares[:, None], words.counts, 0), len(net.table))
             g[rare] = 0
             where = np.flatnonzero(g.any(1))
             row_sums[where] += (g[where] ** 2).mean(1)
@@ -318,18 +323,6 @@ class Scorer:
         return sigmoid(best.astype(np.float64))
 
 
-_SCORERS: dict[int, Scorer] = {}
-_KEYS = itertools.count(1)
-
-
-def scorer_of(key: int, net: Network) -> Scorer:
-    """The worker's scorer for a broadcast model; one at a time is kept."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(net)
-    return _SCORERS[key]
-
-
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3."""
     return F.crc32(F.col(id_col).cast("string")) % 3
@@ -351,26 +344,27 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Net
     return train(kept)
 
 
-def score_documents(docs: DataFrame, net: Network | float, threshold: float = THRESHOLD) -> DataFrame:
-    """docs and the columns score and predicted."""
+def score_documents(docs: DataFrame, net: Network | float, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs and the columns score and predicted, in place of columns that docs has by these names."""
     place = docs.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the input
-    key, columns = next(_KEYS), docs.columns
+    columns = [c for c in docs.columns if c not in (score, predicted)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = place.value
+        scorer = None if isinstance(model, float) else Scorer(model)  # its words are forgotten with the task
         for batch in batches:
             texts = batch.column(len(columns)).to_pylist()
-            score = np.full(len(texts), model) if isinstance(model, float) else scorer_of(key, model).scores(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())], [*columns, "score", "predicted"])
+            found = np.full(len(texts), model) if scorer is None else scorer.scores(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64()), pa.array(found >= threshold).cast(pa.int32())], [*columns, score, predicted])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(*columns, text_of().alias("__text")).mapInArrow(run, f"{kinds}, score double, predicted int")
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns] + [f"`{score}` double, `{predicted}` int"])
+    return docs.select(*[F.col(f"`{c}`") for c in columns], text_of().alias("__text")).mapInArrow(run, kinds)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the network does not predict as toxic, columns unchanged."""
-    scored = score_documents(docs, fit(docs, labels))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = score_documents(docs, fit(docs, labels), score="__score", predicted="__predicted")
+    return scored.filter("__predicted = 0").select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

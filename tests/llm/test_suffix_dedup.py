@@ -100,7 +100,7 @@ def test_long_documents_in_slices(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "SLICE", size)
         assert anchors() == want
     monkeypatch.undo()
-    check(frame(spark, ["x" + "".join(rng.choice("abcdefgh") for _ in range(2_500_000)), "z" * 60] * 2))
+    check(frame(spark, ["x" + "".join(rng.choice("abcdefgh") for _ in range(1_060_000)), "z" * 60] * 2))
 
 
 def test_unequal_bytes_under_one_name(monkeypatch):
