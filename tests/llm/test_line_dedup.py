@@ -2,7 +2,9 @@ import hashlib
 import random
 
 from rotaspark.llm.common import read
-from rotaspark.llm.line_dedup import _blank, dedup_lines, op6_line_dedup
+from rotaspark.llm.line_dedup import OP6_SQL, dedup_lines, op6_line_dedup
+
+from tests.oracle import connect, difference
 
 from .util import ODD, frame
 
@@ -11,7 +13,7 @@ def brute(rows, k):
     docs, seen = [], {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         lines = (t or "").split("\n")
-        full = [x for x, line in enumerate(lines) if not _blank(line)]
+        full = [x for x, line in enumerate(lines) if line.strip(" \t\r\x0b\x0c")]
         ids = [lines[x] for x in full]
         gone = [False] * len(ids)
         for p in range(len(ids) - k + 1):
@@ -40,7 +42,9 @@ def check(docs, k):
 
 def test_documents(spark, sf):
     docs = read(spark, sf, "documents")
-    assert found(op6_line_dedup(spark, sf)) == brute([(r.doc_id, r.text) for r in docs.collect()], 1)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert found(op6_line_dedup(spark, sf)) == brute(rows, 2)
+    check(docs, 1)
 
 
 def test_runs_of_several_lines(spark):
@@ -53,8 +57,8 @@ def test_runs_of_several_lines(spark):
 def test_odd(spark):
     docs = frame(spark, ODD + ["x\ny\nz", "q\nx\ny\nz\n\nend", "a\n" * 300])
     check(docs, 1)
-    longest = {r.doc_id: r.longest_run for r in dedup_lines(docs).collect()}
-    assert longest[len(ODD) + 1] == 2 and longest[len(ODD) + 2] == 256
+    longest = {r.doc_id: r.longest_copy for r in dedup_lines(docs).collect()}
+    assert longest[len(ODD) + 1] == 3 and longest[len(ODD) + 2] == 299
     assert dedup_lines(docs.limit(0)).count() == 0
     null = docs.selectExpr("cast(null as long) doc_id", "text").limit(3)
     assert dedup_lines(null).count() == 3
@@ -64,7 +68,7 @@ def brute_copies(rows, k):
     """By id: the maximal copies as (line, size, source id, source line)."""
     out, before = {}, []
     for i, t in sorted(rows, key=lambda r: r[0]):
-        ids = [x for x in (t or "").split("\n") if not _blank(x)]
+        ids = [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
         best = []
         for p in range(len(ids)):
             size, source = 0, None
@@ -90,3 +94,18 @@ def test_exact_maximal_copies(spark):
         got = dedup_lines(docs, min_lines=k).collect()
         assert {r.doc_id: [tuple(c) for c in r.copies] for r in got} == want
         assert {r.doc_id: r.longest_copy for r in got} == {i: max([c[1] for c in x], default=0) for i, x in want.items()}
+
+
+def test_query_equals_its_sql(spark, sf):
+    assert difference(op6_line_dedup(spark, sf), OP6_SQL, connect(sf)) is None
+
+
+def test_blocks_and_buckets_agree_with_one_block(spark, monkeypatch):
+    from rotaspark.llm import line_dedup
+
+    rng = random.Random(4)
+    docs = frame(spark, ["\n".join(["hot", rng.choice("abc"), rng.choice("ab")] * rng.randrange(1, 9)) for _ in range(60)])
+    want = sorted(dedup_lines(docs).collect())
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 60)
+    assert sorted(dedup_lines(docs).collect()) == want
+    check(docs, 2)
