@@ -73,8 +73,8 @@ def salt(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.lit(17)), F.lit(n)).cast("int")
 
 
-def salted_groups(df: DataFrame, keys: list[str], id_col: str, salts: int, best: str = "max", sums: tuple[str, ...] = ()) -> DataFrame:
-    """df with group_keep (largest or smallest id of its keys), group_size and sums, without gathering a group.
+def salted_groups(df: DataFrame, keys: list[str], id_col: str, salts: int, best: str = "max", sums: tuple[str, ...] = (), mins: tuple[str, ...] = ()) -> DataFrame:
+    """df with group_keep (largest or smallest id of its keys), group_size, sums and smallest values, without gathering a group.
 
     Three aggregations of narrow rows: by (keys, salt), by keys over at most
     `salts` rows a group, and back by (keys, salt), so that a group that holds
@@ -82,8 +82,8 @@ def salted_groups(df: DataFrame, keys: list[str], id_col: str, salts: int, best:
     """
     pick = F.max if best == "max" else F.min
     salted = df.withColumn("__salt", salt(salts, id_col))
-    slots = salted.groupBy(*keys, "__salt").agg(pick(id_col).alias("__top"), F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
-    totals = slots.groupBy(*keys).agg(pick("__top").alias("group_keep"), F.sum("__n").alias("group_size"), *[F.sum(f"__{c}").alias(f"group_{c}") for c in sums])
+    slots = salted.groupBy(*keys, "__salt").agg(pick(id_col).alias("__top"), F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums], *[F.min(c).alias(f"__min_{c}") for c in mins])
+    totals = slots.groupBy(*keys).agg(pick("__top").alias("group_keep"), F.sum("__n").alias("group_size"), *[F.sum(f"__{c}").alias(f"group_{c}") for c in sums], *[F.min(f"__min_{c}").alias(f"group_min_{c}") for c in mins])
     slots = slots.select(*keys, "__salt").join(totals, keys)
     return salted.join(slots, [*keys, "__salt"]).drop("__salt")
 

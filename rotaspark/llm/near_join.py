@@ -1,18 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Documents become sets of hashed shingles of five words.  Equal sets are one
-node.  A node's signature of minimum hashes fills TREES tries of DEPTH levels;
-two nodes are candidates where they share a prefix in a trie.  Matching starts
-from full prefixes and shortens them until the chance to miss a pair at the
-threshold falls under 1 - RECALL: with prefixes of k values that is
-(1 - t**k)**TREES.  The nodes under one prefix stand in the order of their full
-signatures, are compared by signature (a pair far below the threshold is
-dropped), and what remains is a spanning forest of links, never all pairs.  A
-prefix shared by more than CROWD nodes is cut in blocks, and pairs of blocks go
-to separate tasks.
+node.  A node's signature of minimum hashes gives it a path of DEPTH values in
+each of TREES prefix tries.
+
+1. The tries are sorted by path (ranges of paths to tasks), and neighbours that
+   share a whole path are compared by signature.  Their links join what is very
+   much alike without comparing all pairs of a crowd.
+2. The similarities found say how short matched prefixes must become: a pair of
+   similarity s meets at k values with the chance 1 - (1 - s**k)**TREES, so each
+   pair found stands for those missed at the whole path.  The prefix is shortened
+   until the expected share of missed pairs falls under 1 - RECALL.
+3. Nodes under one such prefix that are not joined yet are compared by signature
+   (a pair far below the threshold is dropped); a prefix whose nodes are joined
+   already is left out, and one of more than CROWD nodes is cut in blocks, of
+   which pairs go to separate tasks.
 
 Candidate links are joined to connected candidate groups, each node's shingle
-set is sent once to its group (again in blocks if the group is large), and all
+set is sent once to its group (in blocks if the group is large), and all
 pairs of a group are verified exactly: shingles that the same nodes hold are one
 weighted column, and a product of matrices counts the common ones.  So a pair
 is found if it meets in any trie, or if its ends are in one candidate group in
@@ -45,7 +50,7 @@ TREES, DEPTH, RECALL = 16, 8, 0.99998
 #: standard deviations below the threshold.
 MARGIN = 4.3
 #: Nodes of a prefix, and of a candidate group, that one task takes; shingles of a group likewise.
-CROWD, GROUP, GROUP_SHINGLES = 1024, 2048, 2_000_000
+CROWD, GROUP, GROUP_SHINGLES = 1024, 2048, 600_000
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -88,10 +93,26 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which enough pairs at the threshold meet in some tree."""
-    length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
+def meets(similarity: float, length: int, trees: int = TREES) -> float:
+    """Chance that a pair of this similarity shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def prefix_length(found: dict[int, int], threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix that leaves the recall; found: pairs that shared a whole path, by agreeing values of their signatures.
+
+    One pair at the threshold is supposed beside those found.  Similarities count
+    a standard deviation less than the signatures say, and never below the threshold.
+    """
+    values = TREES * DEPTH
+    pairs = [(threshold, 1.0)]
+    for agreeing, n in found.items():
+        x = agreeing / values
+        similarity = max(threshold, x - np.sqrt(x * (1 - x) / values))
+        pairs.append((similarity, n / meets(similarity, DEPTH)))
+    total = sum(n for _, n in pairs)
+    length = DEPTH
+    while length > 1 and sum(n * (1 - meets(s, length)) for s, n in pairs) > (1 - recall) * total:
         length -= 1
     return length
 
@@ -127,39 +148,89 @@ def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _least(threshold: float) -> int:
+    values = TREES * DEPTH
+    return int(np.floor(values * (threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / values))))
+
+
+def neighbour_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, agreeing: nodes next to each other in a sorted trie that share a whole path and look alike."""
+    n = shuffle_partitions(nodes.sparkSession)
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
+            raw = sig.astype(">u2").tobytes()
+            size = 2 * DEPTH
+            node, tree = np.repeat(batch.column(0).to_numpy(), TREES), np.tile(np.arange(TREES, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary()), pa.array(node)], ["tree", "path", "node"])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            path = np.array(batch.column(1).to_pylist(), f"V{2 * DEPTH}")
+            same = np.append(before is not None and before[:2] == (tree[0], path[0].tobytes()), (tree[1:] == tree[:-1]) & (path[1:] == path[:-1]))
+            other = np.append(before[2] if before else 0, node[:-1])
+            w = np.flatnonzero(same & (other != node))
+            before = (tree[-1], path[-1].tobytes(), node[-1])
+            if len(w):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[w], other[w])), pa.array(np.maximum(node[w], other[w]))], ["a", "b"])
+
+    # The node is part of the order, so a path that very many nodes share is cut over tasks as well.
+    tries = nodes.select("node", "sig").mapInArrow(paths, "tree int, path binary, node long").repartitionByRange(n, "tree", "path", "node")
+    pairs = tries.sortWithinPartitions("tree", "path", "node").mapInArrow(neighbours, "a long, b long").distinct()
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("one")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("two")), "b")
+    least = _least(threshold)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH) for k in (2, 3))
+            agreeing = (one == two).sum(1)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agreeing.astype(np.int32))], ["a", "b", "agreeing"])
+            yield found.filter(pa.array(agreeing >= least))
+
+    return both.select("a", "b", "one", "two").mapInArrow(alike, "a long, b long, agreeing int")
+
+
 def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) that join nodes (node, sig) which share a prefix and look alike."""
-    spark, length = nodes.sparkSession, prefix_length(threshold)
-    n = shuffle_partitions(spark)
-    values = TREES * DEPTH
-    least = int(np.floor(values * (threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / values))))
+    n = shuffle_partitions(nodes.sparkSession)
+    values, least = TREES * DEPTH, _least(threshold)
+    begun = materialize(neighbour_links(nodes, threshold), "near-begun")
+    # At most TREES * DEPTH + 1 rows.
+    length = prefix_length({r["agreeing"]: r["n"] for r in begun.groupBy("agreeing").agg(F.count(F.lit(1)).alias("n")).collect()}, threshold)
+    joined = nodes.select("node", "sig").join(components(begun.select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = materialize(joined, "near-joined")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)[:, :, :length]
-            keys = [xxhash.xxh3_64_intdigest(sig[r, t].tobytes(), seed=t) - 2**63 for r in range(len(sig)) for t in range(TREES)]
-            node = np.repeat(batch.column(0).to_numpy(), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(node)], ["prefix", "node"])
+            raw, size = np.ascontiguousarray(sig).tobytes(), 2 * length
+            keys = [xxhash.xxh3_64_intdigest(raw[k : k + size], seed=k // size % TREES) - 2**63 for k in range(0, len(raw), size)]
+            node, component = (np.repeat(batch.column(k).to_numpy(), TREES) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(node), pa.array(component)], ["prefix", "node", "component"])
 
-    met = nodes.select("node", "sig").mapInArrow(prefixes, "prefix long, node long")
-    met = salted_groups(met, ["prefix"], "node", n).filter("group_size > 1")
-    met = met.select("prefix", "node", F.ceil(F.col("group_size") / CROWD).cast("long").alias("blocks"))
-    met = met.join(nodes.select("node", "sig"), "node")
+    met = joined.select("node", "sig", "component").mapInArrow(prefixes, "prefix long, node long, component long")
+    # Nodes that are joined already need not meet again.
+    met = salted_groups(met, ["prefix"], "component", n, mins=("component",)).filter("group_keep > group_min_component")
+    met = met.select("prefix", "node", "component", F.ceil(F.col("group_size") / CROWD).cast("long").alias("blocks"))
+    met = met.join(joined.select("node", "sig"), "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), group in sorted_groups(batches, 3):
-            node, block = group["node"].to_numpy(), group["block"].to_numpy()
+            node, block, component = (group[c].to_numpy() for c in ("node", "block", "component"))
             sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, values)
-            order = np.lexsort(sig[:, :DEPTH].T[::-1])  # trie order: neighbours share the longest prefixes
-            node, block, sig = node[order], block[order], sig[order]
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             a, b = [], []
-            wide = np.ascontiguousarray(sig[right])
+            wide, theirs = np.ascontiguousarray(sig[right]), component[right]
             for at in left:
-                alike = right[(wide == sig[at]).sum(1) >= least]
-                alike = alike[alike > at] if i == j else alike
+                apart = np.flatnonzero((theirs != component[at]) & ((right > at) | (i != j)))
+                alike = right[apart[(wide[apart] == sig[at]).sum(1) >= least]]
                 a.append(np.full(len(alike), at))
                 b.append(alike)
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -168,7 +239,8 @@ def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
-    return _dealt(_block_pairs(met, "prefix", "blocks"), n).mapInArrow(link, "a long, b long").distinct()
+    later = _dealt(_block_pairs(met, "prefix", "blocks"), n).mapInArrow(link, "a long, b long")
+    return begun.select("a", "b").unionByName(later).distinct()
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -1,10 +1,11 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 from rotaspark.llm.common import read
 from rotaspark.llm.graph import components, forest
-from rotaspark.llm.near_join import common_counts, drop_near_copies, near_groups, op2_ngram_jaccard, prefix_length, shingles
+from rotaspark.llm.near_join import common_counts, drop_near_copies, meets, near_groups, op2_ngram_jaccard, prefix_length
 
 from .util import ODD, frame
 
@@ -23,8 +24,14 @@ def union(nodes, pairs):
     return {x: find(x) for x in nodes}
 
 
+def words_shingles(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    size = min(5, len(words))
+    return [tuple(words[k : k + size]) for k in range(len(words) - size + 1)] if words else []
+
+
 def brute(rows):
-    sets = {i: set(shingles(t or "").tolist()) for i, t in rows}
+    sets = {i: set(words_shingles(t)) for i, t in rows}
     holders = defaultdict(list)
     for i, s in sets.items():
         for x in s:
@@ -88,10 +95,29 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.class_id, r.n_links) for r in near_groups(docs).collect()) == [(0, 7, 2), (7, 7, 2), (7, 7, 2)]
 
 
-def test_prefixes_are_as_long_as_the_recall_allows():
-    k = prefix_length()
-    miss = lambda k: (1 - 0.8**k) ** 16
-    assert miss(k) <= 2e-5 < miss(k + 1)
+def test_prefixes_shorten_with_what_was_found():
+    assert prefix_length({}) == 3
+    assert meets(0.8, 3) >= 1 - 2e-5 > meets(0.8, 4)
+    assert prefix_length({128: 10**9}) == 8
+    lengths = [prefix_length({k: 10**6}) for k in (104, 112, 120, 126)]
+    assert lengths == sorted(lengths) and lengths[0] == 3 and lengths[-1] > 4
+
+
+def test_recall_over_all_documents(spark):
+    """Ids divisible by 20 against all rows, found by shared shingles."""
+    rows = [(r.doc_id, r.text) for r in read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()]
+    sets = {i: set(words_shingles(t)) for i, t in rows}
+    holders = defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    want = {(i, j) for i in sets if i % 20 == 0 for j in set().union(*[holders[x] for x in sets[i]]) if i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    class_of = {r.doc_id: (r.class_id, r.n_links) for r in op2_ngram_jaccard(spark, "/root/testdata/sf0.1").collect()}
+    assert len(want) > 20 and all(class_of[i][0] == class_of[j][0] for i, j in want)
+    links = defaultdict(int)
+    for i, _ in want:
+        links[i] += 1
+    assert {i: class_of[i][1] for i in sets if i % 20 == 0} == {i: links[i] for i in sets if i % 20 == 0}
 
 
 def test_common_counts():
