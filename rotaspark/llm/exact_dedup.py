@@ -1,23 +1,27 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the normalised texts, each partition is
-sorted, and rows that stand next to each other are compared in full.  The sort
-key ends in a salt of the id, so the splitters also fall inside a text that a
-large part of the rows share; what is known of each stretch of equal rows is
-then merged by digest over narrow rows.
+Sampled splitters range-partition the normalised texts by their first HEAD
+characters and their digest (what is sampled is bounded, whatever the texts),
+each partition is sorted by the whole texts, and rows that stand next to each
+other are compared in full.  The key ends in a salt of the id, so the splitters
+also fall inside a text that a large part of the rows share; what is known of
+each stretch of equal rows is then merged by digest over narrow rows.
 
 Null text is the empty text.  An empty table gives an empty result.  Ids may be
-null or repeat: of rows with the same text and the same largest id one is kept.
-Other columns are not read and cannot clash.
+null or repeat: of rows with the same text and the same largest id one is kept,
+the first by its other columns.  Other columns cannot clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from rotaspark.llm.common import materialize, read, salt, salted_groups, shuffle_partitions, text_of
 
+#: Characters of a text that its place in the order starts with.
+HEAD = 48
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,14 +37,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm"))
-    sorted_rows = rows.withColumn("salt", salt(n, "doc_id")).repartitionByRange(n, "norm", "salt")
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "digest": F.unhex(F.sha2("norm", 256)), "salt": salt(n, "doc_id")})
+    sorted_rows = rows.repartitionByRange(n, "head", "digest", "salt")
     # The range partitioning serves as the window's distribution: no second shuffle of texts.
-    stretch = Window.partitionBy("norm", "salt")
-    narrow = sorted_rows.select(
-        "doc_id",
-        F.unhex(F.sha2("norm", 256)).alias("digest"),
-        F.row_number().over(stretch.orderBy(F.desc_nulls_last("doc_id"))).alias("place"),
-    )
+    stretch = Window.partitionBy("head", "digest", "salt", "norm")
+    narrow = sorted_rows.select("doc_id", "digest", F.row_number().over(stretch.orderBy(F.desc_nulls_last("doc_id"))).alias("place"))
     narrow = materialize(narrow, "exact")
     found = salted_groups(narrow, ["digest"], "doc_id", n)
     return found.select(
@@ -57,7 +58,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
     same = docs.withColumn("__digest", F.unhex(F.sha2(normalised(), 256)))
     joined = same.join(kept.withColumnRenamed("__digest", "__kept"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    once = Window.partitionBy("doc_id", "__digest").orderBy(F.lit(0))
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    once = Window.partitionBy("doc_id", "__digest").orderBy(*ordered)
     return joined.withColumn("__place", F.row_number().over(once)).filter("__place = 1").select(*docs.columns)
 
 
