@@ -3,8 +3,9 @@
 A rolling hash cuts texts into chunks at places that depend on a few bytes
 around them only, so texts that share a passage share chunks.  Texts are dealt
 by their smallest chunk hash, which brings texts that share most of their
-chunks to the same task, and a task encodes each distinct chunk once.  The cut
-falls anywhere, so the two ends of a chunk are provisional: at every join the
+chunks to the same task; a task encodes each distinct chunk once, all new chunks
+of a batch together, and takes the ids of chunks it knows from its table.  The
+cut falls anywhere, so the two ends of a chunk are provisional: at every join the
 stretch between the last white space before it and the first one after it is
 encoded again as one piece.  Tokens of the vocabulary never span white space,
 so at those two places the new tokens and the chunk's own agree exactly; a
@@ -20,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +171,7 @@ class Encoder:
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.kept = 0
+        self.kept = self.encoded_chunks = 0
 
     def forget(self) -> None:
         if self.kept > MEMORY_BYTES:
@@ -206,14 +208,6 @@ class Encoder:
         self.learn(set().union(*split))
         return split
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return self.joined(words)
-        except KeyError:
-            self.learn(set(words))
-            return self.joined(words)
-
     def joined(self, words: list[str]) -> bytes:
         known = self.words
         return b"".join([known[w] for w in words])
@@ -267,24 +261,46 @@ def _safe(chunk: str) -> tuple[int, int]:
     return (min(first), max(chunk.rfind(" "), chunk.rfind("\n"))) if first else (-1, -1)
 
 
-def encode_chunked(enc: Encoder, text: str, mask: int = CUT_MASK) -> bytes:
-    """Ids of a text out of its chunks' and the repaired joins'."""
-    ids: list[bytes] = []
-    open_end = ""
+class Plan(NamedTuple):
+    """A text as its chunks with white space and the stretches around them: one stretch more than chunks."""
+
+    chunks: list[str]
+    stretches: list[str]
+
+
+def plan_of(text: str, mask: int = CUT_MASK) -> Plan:
+    chunks, stretches, open_end = [], [], ""
     for chunk in chunks_of(text, mask):
         first, last = _safe(chunk)
         if first < 0:  # no agreement inside this chunk: the stretch goes on
             open_end += chunk
             continue
-        ids.append(enc.encode(open_end + chunk[:first]))
-        body = enc.chunks.get(chunk)
-        if body is None:
-            body = enc.chunks[chunk] = enc.encode(chunk[first : last + 1])
-            enc.kept += 6 * len(chunk) + 200
-        ids.append(body)
+        chunks.append(chunk)
+        stretches.append(open_end + chunk[:first])
         open_end = chunk[last + 1 :]
-    ids.append(enc.encode(open_end))
-    return b"".join(ids)
+    return Plan(chunks, [*stretches, open_end])
+
+
+def encode_chunked(enc: Encoder, texts: list[str], mask: int = CUT_MASK) -> list[bytes]:
+    """Ids of texts out of their chunks' and the repaired joins'; chunks that are not known are encoded once, together."""
+    plans = [plan_of(text, mask) for text in texts]
+    new = list({c: None for p in plans for c in p.chunks if c not in enc.chunks})
+    bodies = []
+    for chunk in new:
+        first, last = _safe(chunk)
+        bodies.append(chunk[first : last + 1])
+    words = enc.prepare([*bodies, *[s for p in plans for s in p.stretches]])
+    for chunk, found in zip(new, words):
+        enc.chunks[chunk] = enc.joined(found)
+        enc.kept += 6 * len(chunk) + 200
+    enc.encoded_chunks += len(new)
+    joins, out = iter(words[len(new) :]), []
+    for plan in plans:
+        ids = [enc.joined(next(joins))]
+        for chunk in plan.chunks:
+            ids += [enc.chunks[chunk], enc.joined(next(joins))]
+        out.append(b"".join(ids))
+    return out
 
 
 def least_chunk(text: str) -> int:
@@ -308,9 +324,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(texts), TOGETHER):
                 enc.forget()
-                enc.prepare(texts[at : at + TOGETHER])
-                for doc_id, text in zip(ids_of[at : at + TOGETHER], texts[at : at + TOGETHER]):
-                    ids = encode_chunked(enc, text)
+                for doc_id, ids in zip(ids_of[at : at + TOGETHER], encode_chunked(enc, texts[at : at + TOGETHER])):
                     decoded = enc.decode(ids)
                     row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids, decoded)
                     for column, value in zip(out, row):
@@ -318,6 +332,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
             names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], list(names[: len(out)]))
+        enc.clear()  # the worker lives on
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return _dealt_by_chunk(rows).mapInArrow(run, schema)

@@ -54,6 +54,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
                             column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.clear()  # the worker lives on
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

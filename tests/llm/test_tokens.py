@@ -50,13 +50,32 @@ def test_all_documents_match_the_library(spark, sf):
 def test_joins_are_exact_whatever_the_cut(text):
     enc = bpe.encoder(bpe.vocabulary_path())
     for mask in (1, 3, 1023):
-        ids = bpe.encode_chunked(enc, text, mask)
+        (ids,) = bpe.encode_chunked(enc, [text], mask)
         want, decoded = library(text)
         assert ids == np.array(want, "<u4").tobytes()
         assert enc.decode(ids) == decoded.encode()
         assert "".join(bpe.chunks_of(text, mask)) == text
 
 
+def test_a_shared_chunk_is_encoded_once():
+    import random
+
+    rng = random.Random(3)
+    shared = " ".join(f"word{rng.randrange(3000)}" for _ in range(3000))
+    texts = [f"start {k} {shared} end {k * k}" for k in range(5)]
+    enc = bpe.encoder(bpe.vocabulary_path())
+    enc.clear()
+    learned = []
+    learn, enc.learn = enc.learn, lambda words: (learned.append(len(words)), learn(words))
+    found = [*bpe.encode_chunked(enc, texts[:3]), *bpe.encode_chunked(enc, texts[3:])]
+    enc.learn = learn
+    assert found == [np.array(library(t)[0], "<u4").tobytes() for t in texts]
+    inside = len(bpe.chunks_of(shared))
+    assert inside > 10 and enc.encoded_chunks <= inside + 2 * len(texts)
+    assert learned[1] < learned[0] / 3  # only the words of new chunks and of joins
+    enc.clear()
+
+
 def check_packing(docs, n_rows_at_most=None):
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = pack_documents(docs).collect()
