@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import discard, materialize, read, text_of
+from rotaspark.llm.common import discard, materialize, read, shuffle_partitions, text_of
 
 #: Shortest repeated run whose later copies are deleted: a single line that recurs is no run.
 MIN_LINES = 2
@@ -308,7 +308,7 @@ def copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The longest from each line; a line may have shorter ones as well.
     """
     size = docs.select(F.octet_length(text_of(text_col)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(1, min(BLOCKS, -(-int(size) // BLOCK_BYTES)))
+    blocks = min(BLOCKS, max(shuffle_partitions(docs.sparkSession), -(-int(size) // BLOCK_BYTES)))
     state = materialize(line_ids(docs, id_col, text_col, blocks).groupBy("block").applyInArrow(_build, STATE), "lines-0")
     levels = 0
     while True:
