@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaspark.functions import metrics as m
+from rotaspark.plans.schedule import prefix_sums
 
 CELL = ["n", "nz"]
-#: Display names by tag (fixed values); other tags show themselves.
+#: Display names by tag unless others are given; other tags show themselves.
 NAMES = {"seq": "sequential", "base": "threads baseline", "ab": "threads A+B", "cde": "threads C+D+E", "pool": "thread pool", "omp": "OpenMP tasks", "cde_numa": "threads NUMA", "pool_numa": "pool NUMA", "omp_numa": "OpenMP NUMA", "mpi": "MPI", "mpiov": "MPI overlap"}
 #: Which variant stands for the threaded versions, best first (fixed values).
 PRIORITY = ("cde", "threads", "ab", "base")
+#: Values of a setting at most: a grid is made of settings, not of measurements.
+SETTINGS = 10_000
 
 
 def medians(times: DataFrame, *keys: str) -> DataFrame:
@@ -90,13 +93,17 @@ def merged_grid(times: DataFrame, *keys: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).filter("value is not null").distinct().orderBy("key", F.length("value"), "value")
 
 
+def _few(column: str) -> Column:
+    """The distinct values of a setting, in order; fails where there are too many for one."""
+    values = F.sort_array(F.collect_set(column))
+    return F.when(F.size(values) <= SETTINGS, values).otherwise(F.raise_error(F.lit(f"{column} has more than {SETTINGS} values")))
+
+
 def grid(times: DataFrame, *keys: str) -> DataFrame:
-    """Every combination of the keys' values; their numbers are small and checked."""
-    out = None
+    """Every combination of the keys' values, of which there are SETTINGS each at most."""
+    out = times.agg(*[_few(k).alias(k) for k in keys])
     for k in keys:
-        values = times.agg(F.sort_array(F.collect_set(k)).alias("v"))
-        part = values.select(F.explode("v").alias(k))
-        out = part if out is None else out.join(F.broadcast(part))
+        out = out.withColumn(k, F.explode(k))
     return out
 
 
@@ -123,6 +130,26 @@ def leaderboard(times: DataFrame) -> DataFrame:
     return top.select(*CELL, "src", "tag", "threads", "speedup").orderBy(*CELL, F.desc("speedup"), "src", "tag")
 
 
+def leaderboard_geometries(times: DataFrame, block: str = "mpi", overlap: str = "mpiov") -> DataFrame:
+    """n, nz, src, version, config, speedup, time: the best configuration of each version.
+
+    Versions of one process are ranked over threads; the two of several processes
+    over ranks and threads, and over ranks, threads and chunks.  In a tie the first
+    configuration by its name stays.
+    """
+    tag, number = F.col("tag"), lambda c: F.col(c).cast("string")
+    name = F.concat(F.lit("r"), number("ranks"), F.lit("xt"), number("threads"))
+    config = F.when(tag == block, name).when(tag == overlap, F.concat(name, F.lit("c"), number("chunks"))).otherwise(F.concat(F.lit("t"), number("threads")))
+    version = F.when(tag == block, "mpi_block").when(tag == overlap, "mpi_overlap").otherwise(tag)
+    rows = times.filter("tag <> 'seq'").withColumns({"version": version, "config": config}).filter("config is not null")
+    order = F.when(F.col("version").startswith("mpi_"), 0).otherwise(F.col("threads")).alias("place")
+    cells = medians(rows.withColumn("place", order), "src", "version", *CELL, "config", "place").join(pooled_baseline(times).drop("n_samples"), CELL)
+    cells = cells.withColumn("speedup", F.round(m.speedup(F.col("seq_time"), F.col("time")), 2)).filter("speedup is not null")
+    best = F.row_number().over(Window.partitionBy(*CELL, "src", "version").orderBy(F.desc("speedup"), "place", "config"))
+    top = cells.withColumn("__best", best).filter("__best = 1")
+    return top.select(*CELL, "src", "version", "config", "speedup", "time").orderBy(*CELL, F.desc("speedup"), "src", "version")
+
+
 def geometry_report(times: DataFrame) -> DataFrame:
     """n, nz, variant, chunks, ranks, threads, cores, time, speedup, efficiency, gbs; in order of cores, variant, chunks."""
     variant = F.when(F.col("chunks").isNull(), "block").otherwise("overlap")
@@ -150,9 +177,32 @@ def checksum_against(checksums: DataFrame, reference: str, *keys: str) -> DataFr
     return met.withColumn("status", F.when(F.col("checksum") == F.col("reference"), "match").otherwise("DIFF"))
 
 
-def unfinished(times: DataFrame, reps: int, *keys: str) -> DataFrame:
-    """The grid's cells with fewer than reps samples."""
-    done = times.groupBy(*keys).agg(F.count("time_sec").alias("__n")).filter(F.col("__n") >= reps).select(*keys)
+def checksum_pairs(checksums: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """n, nz, threads, base, other, base_checksum, other_checksum, status at the largest number of threads of all; a missing one never matches."""
+    most = checksums.agg(F.max("threads").alias("__most"))
+    top = checksums.join(F.broadcast(most), F.col("threads") == F.col("__most")).groupBy(*CELL, "threads", "tag").agg(F.max("checksum").alias("checksum"))  # one row is broadcast
+    shapes_ = checksums.select(*CELL).distinct().join(F.broadcast(most)).select(*CELL, F.col("__most").alias("threads"))
+    wanted = shapes_.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("base"), F.lit(b).alias("other")) for a, b in pairs])).alias("p")).select(*CELL, "threads", "p.*")
+    for side in ("base", "other"):
+        named = top.select(*CELL, "threads", F.col("tag").alias(side), F.col("checksum").alias(f"{side}_checksum"))
+        wanted = wanted.join(named, [*CELL, "threads", side], "left")
+    return wanted.withColumn("status", F.when(F.col("base_checksum") == F.col("other_checksum"), "match").otherwise("DIFF"))
+
+
+def verification(logs: DataFrame, tag: str = "seq") -> DataFrame:
+    """tag, n, nz, threads, time_sec, speedup, percent_efficiency, status (match, MISMATCH, FAILED) of scanned logs against the sequential one's."""
+    ref = logs.filter(F.col("tag") == tag).groupBy(*CELL).agg(F.min("time_sec").alias("__time"), F.min("checksum").alias("__checksum"))
+    met = logs.filter(F.col("tag") != tag).join(ref, CELL, "left")
+    failed = F.coalesce(F.col("time_sec"), F.lit(0.0)) == 0
+    sp = F.col("__time") / F.col("time_sec")
+    status = F.when(failed, "FAILED").when(F.col("checksum") == F.col("__checksum"), "match").otherwise("MISMATCH")
+    return met.select("tag", *CELL, "threads", "time_sec", F.when(~failed, F.round(sp, 2)).alias("speedup"), F.when(~failed, F.round(sp / F.col("threads") * 100, 1)).alias("percent_efficiency"), status.alias("status"))
+
+
+def unfinished(times: DataFrame, reps: int, *keys: str, numeric: bool = True) -> DataFrame:
+    """The grid's cells with fewer than reps samples; with numeric=False a run that failed counts as a sample too."""
+    samples = F.count("time_sec") if numeric else F.count(F.lit(1))
+    done = times.groupBy(*keys).agg(samples.alias("__n")).filter(F.col("__n") >= reps).select(*keys)
     return grid(times, *keys).join(done, list(keys), "left_anti")
 
 
@@ -187,17 +237,19 @@ def shapes(times: DataFrame) -> DataFrame:
 
 
 def within_budget(times: DataFrame, seconds: float) -> DataFrame:
-    """src, tag, n_runs, used: the runs that start before the budget of their source and tag is used up."""
-    before = F.sum(F.coalesce("time_sec", F.lit(0.0))).over(Window.partitionBy("src", "tag").orderBy("rep").rowsBetween(Window.unboundedPreceding, -1))
-    ran = times.withColumn("__before", F.coalesce(before, F.lit(0.0))).filter(F.col("__before") < seconds)
+    """src, tag, n_runs, used: the runs before which the source and tag had used less than so many seconds."""
+    spent = times.select("src", "tag", "rep", "time_sec", F.coalesce("time_sec", F.lit(0.0)).alias("__time"))
+    ran = prefix_sums(spent, "rep", "__time", by=("src", "tag"), kind="double").filter(F.col("ptr") < seconds)
     return ran.groupBy("src", "tag").agg(F.count(F.lit(1)).alias("n_runs"), F.round(F.sum("time_sec"), 4).alias("used"))
 
 
 def sweep(shape_text: DataFrame, split_text: DataFrame, nodes: DataFrame) -> DataFrame:
-    """nodes, rpn, tpr, n, nz from texts `n:nz` and `rpn:tpr`; the tables are short lists of settings."""
-    a = shape_text.select(F.split("text", ":")[0].cast("long").alias("n"), F.split("text", ":")[1].cast("long").alias("nz"))
-    b = split_text.select(F.split("text", ":")[0].cast("int").alias("rpn"), F.split("text", ":")[1].cast("int").alias("tpr"))
-    return nodes.join(F.broadcast(b)).join(F.broadcast(a)).select("nodes", "rpn", "tpr", "n", "nz")
+    """nodes, rpn, tpr, n, nz from texts `n:nz` and `rpn:tpr`, of which there are SETTINGS each at most."""
+    number = lambda c, k, kind: F.split(c, ":")[k].cast(kind)
+    splits, shapes_ = (t.select(F.col("text").alias(k)).agg(_few(k).alias(k)) for t, k in ((split_text, "split"), (shape_text, "shape")))
+    met = nodes.join(F.broadcast(splits)).join(F.broadcast(shapes_))  # one row each
+    met = met.withColumn("split", F.explode("split")).withColumn("shape", F.explode("shape"))
+    return met.select("nodes", number("split", 0, "int").alias("rpn"), number("split", 1, "int").alias("tpr"), number("shape", 0, "long").alias("n"), number("shape", 1, "long").alias("nz"))
 
 
 def first_checksum(checksums: DataFrame, tag: str = "seq") -> DataFrame:

@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Measured figures to hold others against (fixed values).
+#: threads, peak GFLOP/s, peak GB/s
+CEILINGS = [(1, 19.6, 9.9), (32, 287.3, 49.2)]
+#: product: matrix, GFLOP/s, intensity with x from memory, with x cached
+PRODUCT = [("100k / 4M  (40 nnz/row)", 5.60, 0.1005, 0.1653), ("100k / 20M (200 nnz/row)", 6.12, 0.1001, 0.1664), ("500k / 4M  (8 nnz/row)", 4.60, 0.1023, 0.1607), ("500k / 20M (40 nnz/row)", 5.34, 0.1005, 0.1653)]
+#: scaling: matrix, GFLOP/s, intensity
+SCALING = [("100k / 4M", 0.2966, 0.0625), ("100k / 20M", 0.2872, 0.0625), ("500k / 4M", 0.5826, 0.0625), ("500k / 20M", 0.3048, 0.0625)]
+#: level of memory, GB/s, KB
+LEVELS = [("L1", 1000.0, 32.0), ("L2", 580.0, 256.0), ("L3", 325.0, 20480.0), ("DRAM", 51.0, None)]
+#: KB worked on, GB/s
+SWEEP = [(2.0, 984.5), (4.0, 1018.6), (8.0, 615.0), (16.0, 607.4), (32.0, 555.3), (64.0, 357.9), (128.0, 330.5), (256.0, 322.4), (512.0, 172.9), (1024.0, 59.9), (2048.0, 59.7), (4096.0, 59.7), (8192.0, 59.1), (16384.0, 58.4), (32768.0, 59.1)]
+
+
+def measured(spark: SparkSession) -> dict[str, DataFrame]:
+    """The figures above as tables: ceilings, product, scaling, levels, sweep."""
+    return {
+        "ceilings": spark.createDataFrame(CEILINGS, "threads int, peak_gflops double, peak_gbs double"),
+        "product": spark.createDataFrame(PRODUCT, "label string, gflops double, ai double, ai_cached double"),
+        "scaling": spark.createDataFrame(SCALING, "label string, gflops double, ai double"),
+        "levels": spark.createDataFrame(LEVELS, "level string, gbs double, cache_kb double"),
+        "sweep": spark.createDataFrame(SWEEP, "buffer_kb double, gbs double"),
+    }
+
 
 def spmv_flops(nnz: Column, n: Column) -> Column:
     return 2.0 * (nnz + n)

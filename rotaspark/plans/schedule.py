@@ -1,4 +1,4 @@
-"""Row rotation schedule, balanced partitions, grains and exchange chunks."""
+"""Row rotation schedule, ranges of rows with equal sums, equal pieces of ranges."""
 
 from __future__ import annotations
 
@@ -35,19 +35,19 @@ def clamp_parts(parts: int, n: int) -> int:
     return min(max(parts, 1), n)
 
 
-def prefix_sums(counts: DataFrame, key: str, value: str, block: int = 65_536) -> DataFrame:
-    """counts and `ptr`, the sum of value over smaller keys, in two levels.
+def prefix_sums(counts: DataFrame, key: str, value: str, block: int = 65_536, by: tuple[str, ...] = (), kind: str = "long") -> DataFrame:
+    """counts and `ptr`, the sum of value over smaller keys (of the same group by), in two levels.
 
     Windows run inside blocks of keys; only one row a block meets in the window over blocks.
     """
     blocked = counts.withColumn("__block", F.floor(F.col(key) / block).cast("long"))
-    sums = blocked.groupBy("__block").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(*by, "__block").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*by, "__block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     ptr = F.coalesce(F.sum(value).over(inside), F.lit(0))
-    joined = blocked.withColumn("__inside", ptr).join(offsets, "__block")
-    return joined.withColumn("ptr", (F.col("__inside") + F.col("__offset")).cast("long")).drop("__block", "__inside", "__offset")
+    joined = blocked.withColumn("__inside", ptr).join(offsets, [*by, "__block"])
+    return joined.withColumn("ptr", (F.col("__inside") + F.col("__offset")).cast(kind)).drop("__block", "__inside", "__offset")
 
 
 def balanced_parts(counts: DataFrame, key: str, value: str, parts: int, n: int) -> DataFrame:

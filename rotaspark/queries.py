@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from rotaspark.operators.iterate import power_iterate, unrolled
 from rotaspark.plans import schedule
 from rotaspark.plans.pattern import Pattern
 from rotaspark.sources import generated, results, tables
+from rotaspark.sources.scratch import shared_dir
 from rotaspark.sources.tables import CHECKSUMS_SQL, TIMES_SQL, count, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,7 +331,7 @@ def p_nnz_partition(spark, sf_dir):
 
 @query("WITH c AS (SELECT p_partkey AS r, count(l_partkey) AS k, (SELECT greatest(1, count(*) // 128) FROM part) AS g FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1) SELECT (r // g)::BIGINT AS chunk, min(r)::BIGINT AS lo, (max(r) + 1)::BIGINT AS hi, sum(k)::BIGINT AS nnz FROM c GROUP BY 1")
 def p_grain_chunks(spark, sf_dir):
-    """Chunks of n / (8 * 16) rows."""
+    """Line items over 128 ranges of parts of one width."""
     grain, _ = schedule.grain_chunks(count(spark, sf_dir, "part"), 16)
     counts = tables.part_counts(spark, sf_dir)
     return counts.groupBy(F.floor(F.col("row") / grain).cast("long").alias("chunk")).agg(F.min("row").alias("lo"), (F.max("row") + 1).alias("hi"), F.sum("k").alias("nnz"))
@@ -338,6 +340,7 @@ def p_grain_chunks(spark, sf_dir):
 @query(f"""WITH {PTR}, b AS (SELECT part AS rank, lo, hi - lo AS len FROM parts WHERE hi IS NOT NULL)
 SELECT c::INT AS chunk, rank::INT AS rank, (len // 4 + CASE WHEN c < len % 4 THEN 1 ELSE 0 END)::BIGINT AS cnt, (lo + (len // 4) * c + least(c, len % 4))::BIGINT AS displ FROM b, unnest(range(4)) AS q(c)""")
 def p_chunk_plan(spark, sf_dir):
+    """The sixteen balanced ranges of parts in four pieces each."""
     return schedule.chunk_plan(_parts(spark, sf_dir).withColumnRenamed("part", "rank"), 4)
 
 
@@ -489,6 +492,32 @@ def q_unfinished(spark, sf_dir):
     return report.unfinished(_times(spark, sf_dir), 30, "tag", "n", "nz", "threads", "ranks")
 
 
+@query(f"{GRID} SELECT tag, n, nz, threads, ranks FROM grid LEFT JOIN times USING (tag, n, nz, threads, ranks) GROUP BY ALL HAVING count(times.rep) < 30")
+def q_unfinished_any(spark, sf_dir):
+    """Failed runs count as well."""
+    return report.unfinished(_times(spark, sf_dir), 30, "tag", "n", "nz", "threads", "ranks", numeric=False)
+
+
+PAIRS = [("click", "view"), ("error", "signup")]
+
+
+@query(f"""WITH {TIMES_SQL}, {CHECKSUMS_SQL}, m AS (SELECT max(threads) AS threads FROM cksum), top AS (SELECT n, nz, threads, tag, max(checksum) AS checksum FROM cksum JOIN m USING (threads) GROUP BY ALL),
+w AS (SELECT * FROM (SELECT DISTINCT n, nz FROM cksum), m, (VALUES {", ".join(map(str, PAIRS))}) p(base, other))
+SELECT w.n, w.nz, w.threads, base, other, a.checksum AS base_checksum, b.checksum AS other_checksum, CASE WHEN a.checksum = b.checksum THEN 'match' ELSE 'DIFF' END AS status
+FROM w LEFT JOIN top a ON a.n = w.n AND a.nz = w.nz AND a.tag = base LEFT JOIN top b ON b.n = w.n AND b.nz = w.nz AND b.tag = other""")
+def q_checksum_pairs(spark, sf_dir):
+    return report.checksum_pairs(tables.bench_checksums(spark, sf_dir), PAIRS)
+
+
+@query(f"""WITH {TIMES_SQL}, {SEQ}, v AS (SELECT *, CASE tag WHEN 'error' THEN 'mpi_block' WHEN 'purchase' THEN 'mpi_overlap' ELSE tag END AS version,
+  CASE tag WHEN 'error' THEN 'r' || ranks || 'xt' || threads WHEN 'purchase' THEN 'r' || ranks || 'xt' || threads || 'c' || chunks ELSE 't' || threads END AS config FROM times WHERE tag <> 'seq'),
+c AS (SELECT src, version, n, nz, config, CASE WHEN starts_with(version, 'mpi_') THEN 0 ELSE threads END AS place, round(median(time_sec), 6) AS time FROM v WHERE config IS NOT NULL GROUP BY ALL),
+s AS (SELECT n, nz, src, version, config, place, round(CASE WHEN time > 0 THEN seq_time / time END, 2) AS speedup, time FROM c JOIN seq USING (n, nz))
+SELECT n, nz, src, version, config, speedup, time FROM s WHERE speedup IS NOT NULL QUALIFY row_number() OVER (PARTITION BY n, nz, src, version ORDER BY speedup DESC, place, config) = 1""")
+def q_leaderboard_geometries(spark, sf_dir):
+    return report.leaderboard_geometries(_times(spark, sf_dir), "error", "purchase")
+
+
 @query(f"WITH {TIMES_SQL} SELECT DISTINCT threads, ranks, ceil(ranks / 2)::BIGINT AS nodes_needed FROM times WHERE threads <= 16 AND ceil(ranks / 2) <= 1")
 def q_runnable(spark, sf_dir):
     return report.runnable(_times(spark, sf_dir).select("threads", "ranks").distinct(), 16, 1, F.lit(2))
@@ -557,6 +586,59 @@ def s_log_parse(spark, sf_dir):
     return events.select("event_id", found["time_sec"].alias("time_sec"), found["checksum"].alias("checksum"))
 
 
+RUNS = f"""WITH {TIMES_SQL}, runs AS (SELECT tag, n, nz, threads, round(arg_max_null(time_sec, rep), 6) AS time_sec, max(rep) AS rep FROM times GROUP BY tag, n, nz, threads),
+logs AS (SELECT *, CASE WHEN time_sec IS NOT NULL THEN '0x' || lower(hex(n + threads % 2)) END AS checksum, CASE WHEN time_sec IS NOT NULL THEN round(time_sec / 8, 6) END AS rayleigh FROM runs)"""
+
+
+def _run_logs(spark, sf_dir) -> DataFrame:
+    """The last run of each cell as a log, written and scanned."""
+    last = _times(spark, sf_dir).groupBy("tag", "n", "nz", "threads").agg(F.round(F.max_by("time_sec", "rep"), 6).alias("time_sec"), F.max("rep").alias("rep"))
+    one = F.lit(1).cast("long")
+    text = results.log_text(F.upper("tag"), F.col("n"), F.col("nz"), one, F.col("threads").cast("long"), F.col("rep") / 1000, F.round(F.col("time_sec") / 8, 6), F.lower(F.hex(F.col("n") + F.col("threads") % 2)), F.col("time_sec"))
+    name = F.format_string("%s_n%d_nz%d_t%d", "tag", "n", "nz", "threads")
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    results.write_logs(last.select(name.alias("run"), text.alias("text")), path)
+    return results.scan_logs(spark, path)
+
+
+@query(f"""{RUNS} SELECT tag, n, nz, threads, n AS rows, nz AS total_nnz, 1::BIGINT AS min_nnz, threads::BIGINT AS max_nnz, round(nz / n, 3) AS avg_nnz, round(rep / 1000, 3) AS generation_time_sec, rayleigh, checksum, time_sec FROM logs""")
+def s_log_scan(spark, sf_dir):
+    columns = ["tag", "n", "nz", "threads", "rows", "total_nnz", "min_nnz", "max_nnz", "avg_nnz", "generation_time_sec", "rayleigh", "checksum", "time_sec"]
+    return _run_logs(spark, sf_dir).select(*columns)
+
+
+@query(f"""{RUNS}, ref AS (SELECT n, nz, min(time_sec) AS t, min(checksum) AS c FROM logs WHERE tag = 'seq' GROUP BY ALL)
+SELECT tag, n, nz, threads, time_sec, CASE WHEN coalesce(time_sec, 0) <> 0 THEN round(t / time_sec, 2) END AS speedup, CASE WHEN coalesce(time_sec, 0) <> 0 THEN round(t / time_sec / threads * 100, 1) END AS percent_efficiency,
+  CASE WHEN coalesce(time_sec, 0) = 0 THEN 'FAILED' WHEN checksum = c THEN 'match' ELSE 'MISMATCH' END AS status FROM logs LEFT JOIN ref USING (n, nz) WHERE tag <> 'seq'""")
+def q_verification(spark, sf_dir):
+    """Written logs against the sequential one's."""
+    return report.verification(_run_logs(spark, sf_dir))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice AS v FROM orders")
+def s_dump_scan(spark, sf_dir):
+    """Order totals dumped in the order of their keys and read back by position."""
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    results.write_dump(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), path)
+    return results.scan_dump(spark, path)
+
+
+@query(f"""WITH {TIMES_SQL}, v AS (SELECT DISTINCT 'SIZES' AS key, n AS v FROM times UNION SELECT 'THREADS', threads FROM times UNION SELECT 'CHUNKS', chunks FROM times WHERE chunks IS NOT NULL)
+SELECT key, string_agg(v::VARCHAR, ' ' ORDER BY v) AS joined FROM v GROUP BY 1""")
+def s_config_scan(spark, sf_dir):
+    """The settings of two sources merged, written and read back."""
+    times = _times(spark, sf_dir)
+
+    def settings(rows: DataFrame) -> DataFrame:
+        parts = [rows.select(F.lit(k).alias("key"), F.col(c).cast("string").alias("v")) for k, c in (("SIZES", "n"), ("THREADS", "threads"), ("CHUNKS", "chunks"))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("key").agg(F.collect_set("v").alias("values"))
+
+    path = f"{shared_dir(spark)}/config-{uuid.uuid4().hex}"
+    results.write_config(results.merge_configs(settings(times.filter("src = 'run0'")), settings(times.filter("src <> 'run0'"))), path)
+    found = results.scan_config(spark, path)
+    return found.select("key", F.array_join("values", " ").alias("joined"))
+
+
 @query(f"""WITH {TIMES_SQL} SELECT rep, tag, n, nz, threads, CASE WHEN rep % 2 = 0 THEN ranks END AS ranks, CASE WHEN rep % 2 = 0 THEN chunks END AS chunks,
   CASE WHEN rep % 2 = 0 AND chunks IS NOT NULL THEN 'overlap' WHEN rep % 2 = 0 THEN 'block' END AS variant FROM times""")
 def s_name_parse(spark, sf_dir):
@@ -586,7 +668,8 @@ KERNELS = "k AS (SELECT l_suppkey, count(*) AS nnz, count(DISTINCT l_partkey) AS
 
 def _kernels(spark, sf_dir) -> DataFrame:
     k = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("nnz"), F.countDistinct("l_partkey").alias("n"), (F.sum("l_extendedprice") / 1e9).alias("seconds"))
-    return k.withColumns({"peak_gflops": F.lit(287.3), "peak_gbs": F.lit(49.2)})
+    _, gflops, gbs = roofline.CEILINGS[-1]
+    return k.withColumns({"peak_gflops": F.lit(gflops), "peak_gbs": F.lit(gbs)})
 
 
 @query(f"""WITH {KERNELS} SELECT l_suppkey, round(2.0::DOUBLE * (nnz + n) / seconds / 1e9::DOUBLE, 6) AS gflops, round(2.0::DOUBLE * (nnz + n) / (20.0::DOUBLE * nnz + 16 * n), 6) AS ai,

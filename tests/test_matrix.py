@@ -7,12 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rotaspark.functions.bits import GAMMA, MASK, MULTIPLIERS, draw, mix, mixed, unit, units
-from rotaspark.operators import linear
+from rotaspark.operators import linear, roofline
 from rotaspark.operators.iterate import power_iterate
 from rotaspark.plans import schedule
 from rotaspark.plans.pattern import Pattern, validate
 from rotaspark.sources import generated
-from rotaspark.sources.results import merge_configs, scan_config, scan_dump, scan_logs, scan_times, write_dump
+from rotaspark.sources.results import merge_configs, scan_config, scan_dump, scan_logs, scan_times, write_config, write_dump
 
 #: n, nz, seed, mode, smallest and largest row, rayleigh, first element, sum of x after 500 iterations.
 GOLDEN = [
@@ -247,6 +247,17 @@ def test_files(spark, tmp_path):
     x = generated.raw_vector(spark, 50)
     write_dump(x, str(tmp_path / "dump"))
     assert linear.compare_vectors(x, scan_dump(spark, str(tmp_path / "dump"))).first().verdict == "identical"
+    (tmp_path / "plain.dump").write_text("".join(f"{v:.17g}\n" for v in (0.1, 1e-300, 3.0)))
+    assert sorted((r.i, r.v) for r in scan_dump(spark, str(tmp_path / "plain.dump")).collect()) == [(0, 0.1), (1, 1e-300), (2, 3.0)]
+    sizes = spark.createDataFrame([("SIZES", ["10", "9", "x"]), ("EMPTY", [])], "key string, values array<string>")
+    write_config(merge_configs(sizes, spark.createDataFrame([("SIZES", ["100", "9"])], "key string, values array<string>")), str(tmp_path / "out"))
+    assert [(r.key, r["values"]) for r in scan_config(spark, str(tmp_path / "out")).collect()] == [("SIZES", ["9", "10", "100", "x"])]
+
+
+def test_measured_figures(spark):
+    tables = roofline.measured(spark)
+    assert {k: t.count() for k, t in tables.items()} == {"ceilings": 2, "product": 4, "scaling": 4, "levels": 4, "sweep": 15}
+    assert tables["levels"].filter("cache_kb is null").first().level == "DRAM"
 
 
 def test_units_are_below_one():
