@@ -89,7 +89,7 @@ def salted_groups(df: DataFrame, keys: list[str], id_col: str, salts: int, best:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, salts: int, how: str = "inner") -> DataFrame:
-    """big joined to small, which has one row a key, when very many rows of big may share a key.
+    """big joined to small, which has few rows a key, when very many rows of big may share a key.
 
     small's rows are repeated once for each salt that big has with their key.
     """

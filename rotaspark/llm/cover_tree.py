@@ -1,13 +1,19 @@
 """Near-dedup of embeddings by a dual traversal of cover trees.
 
 Vectors of one label are compared by cosine.  On unit vectors a cosine of at
-least t is a distance of at most sqrt(2 - 2t), so metric bounds apply.  The top
-of the tree is built with Spark: up to PIVOTS vectors of a label are its
-centres, every vector joins its nearest centre, and a cell's covering radius is
-its largest distance.  Pairs of cells whose centres are further apart than both
-radii and the threshold distance are pruned before any vector moves.  A cell of
-more than CELL vectors is cut in blocks.  Each remaining pair of blocks is one
-group, in which a cover tree is built for both blocks (nested levels of centres,
+least t is a distance of at most sqrt(2 - 2t), so metric bounds apply.
+
+The upper levels of the tree are built with Spark, one level a round: a cell of
+more than CELL vectors is cut by up to PIVOTS of them and its own centre (a centre
+stays one), every vector joins its nearest centre, and a cell's covering radius is
+its largest distance.  Both sides of the tree are descended with it: the pairs of
+cells of a level are the pairs of children of the level above whose centres are
+not further apart than both radii and the threshold distance.  A cell that is so
+small in radius that all its pairs link is cut no further; its links, and those of
+two such cells that are near enough, are counted and not enumerated.
+
+Each remaining pair of leaves is one group (in blocks, if a cell could not be
+cut), in which a cover tree is built for both leaves (nested levels of centres,
 radii halving from level to level) and both trees are descended together: a pair
 of nodes is dropped by the same bound, and the pairs of leaves that are left are
 verified by their cosine in double precision.
@@ -17,7 +23,8 @@ group is the number of links of each vector and a spanning forest of them.
 
 Vectors link only within a label that is not null.  Vectors that are null, zero
 or hold nulls or numbers that are not finite link with nothing, nor do vectors
-of different lengths with each other.  Ids may be null or repeat; a component's
+of different lengths with each other.  Very large and very small numbers are
+scaled by a power of two first.  Ids may be null or repeat; a component's
 id is its smallest one.  Other columns are ignored.
 """
 
@@ -30,18 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import materialize, read, salted_groups, salted_join, shuffle_partitions, sorted_groups
+from rotaspark.llm.common import discard, materialize, read, salted_groups, salted_join, shuffle_partitions, sorted_groups
 from rotaspark.llm.graph import components, forest
 
 THRESHOLD = 0.98
-#: Vectors of a block, and centres of a label at most (about: they are chosen by hash).
-CELL, PIVOTS = 1024, 64
+#: Vectors of a leaf, centres a cell is cut by at most (about: they are chosen by hash), levels above the leaves.
+CELL, PIVOTS, LEVELS = 1024, 64, 16
 #: Slack of the metric bounds for rounding; the verification decides.
 SLACK = 1e-6
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
     """Rows divided by their length, in double precision."""
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1))[1][:, None])
     return raw / np.sqrt((raw * raw).sum(1))[:, None]
 
 
@@ -124,9 +132,8 @@ def vector_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
                 raw = None
                 if label is not None and values and None not in values:
                     v = np.array(values, np.float64)
-                    with np.errstate(over="ignore"):
-                        if np.isfinite(v).all() and 0 < (v * v).sum() < np.inf:
-                            raw = (v + 0.0).tobytes()
+                    if np.isfinite(v).all() and v.any():
+                        raw = (np.ldexp(v, -np.frexp(np.abs(v).max())[1]) + 0.0).tobytes()
                 raws.append(raw)
                 node.append(None if raw is None else xxhash.xxh3_64_intdigest(raw + str(label).encode()) >> 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(raws, pa.binary())], ["vec_id", "label", "node", "raw"])
@@ -135,67 +142,88 @@ def vector_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
     return rows.mapInArrow(run, "vec_id long, label string, node long, raw binary")
 
 
-def cells(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their cell, pairs of cells that may hold links): the tree's top, space by space.
+def _points(raws: list[bytes]) -> np.ndarray:
+    return unit(np.array([np.frombuffer(r) for r in raws]))
 
-    A space is a label and a length of vectors.
+
+def _reach(threshold: float) -> float:
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, node, copies, raw, pivots) with the cell of the nearest pivot and the distance to it."""
+    import xxhash
+
+    for batch in batches:
+        cells_, raws, tops = (batch.column(k).to_pylist() for k in (0, 3, 4))
+        cell, apart, centre = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.empty(batch.num_rows, object)
+        by_cell: dict[int, list[int]] = {}
+        for row, c in enumerate(cells_):
+            by_cell.setdefault(c, []).append(row)
+        for c, rows in by_cell.items():
+            top = tops[rows[0]]
+            d = distances(_points([raws[r] for r in rows]), _points(top))
+            names = [xxhash.xxh3_64_intdigest(c.to_bytes(8, "little", signed=True) + t) - 2**63 for t in top]
+            for r, k, x in zip(rows, d.argmin(1).tolist(), d.min(1).tolist()):
+                cell[r], apart[r], centre[r] = names[k], x, top[k]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), *batch.columns[1:4], pa.array(apart), pa.array(centre.tolist(), pa.binary())], ["parent", "cell", "node", "copies", "raw", "apart", "centre"])
+
+
+PLACED = "parent long, cell long, node long, copies long, raw binary, apart double, centre binary"
+
+
+def _summary(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("cell").agg(F.first("parent").alias("parent"), F.count(F.lit(1)).alias("size"), F.sum("copies").alias("copies"), F.max("apart").alias("radius"), F.first("centre").alias("centre"), F.min("node").alias("least"))
+
+
+def cells(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaves of the upper tree: (nodes with their cell, cells, pairs of cells that may hold links).
+
+    A root is a space: a label and a length of vectors.
     """
-    nodes = nodes.withColumn("space", F.xxhash64("label", F.length("raw")))
-    sized = salted_groups(nodes, ["space"], "node", n)
-    wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("group_size") / CELL))
-    # About `wanted` vectors of each space, those with the smallest hashes; a space of one cell needs none.
-    chosen = (wanted > 1) & (F.pmod(F.xxhash64("node", F.lit(9)), F.col("group_size")) < wanted)
-    sized = materialize(sized.withColumn("pivot", chosen), "cover-nodes")
-    pivots = sized.filter("pivot").groupBy("space").agg(F.slice(F.sort_array(F.collect_list("raw")), 1, 4 * PIVOTS).alias("pivots"))
-    spaces = sized.select("space").distinct().join(pivots, "space", "left")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, apart = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, 2.0)
-            spaces_, raws, tops = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            by_space: dict[int, list[int]] = {}
-            for row, space in enumerate(spaces_):
-                by_space.setdefault(space, []).append(row)
-            for rows in by_space.values():
-                top = tops[rows[0]]
-                if top:
-                    centres = unit(np.array([np.frombuffer(t) for t in top]))
-                    d = distances(unit(np.array([np.frombuffer(raws[r]) for r in rows])), centres)
-                    cell[rows], apart[rows] = d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell), pa.array(apart)], ["space", "node", "raw", "cell", "apart"])
-
-    placed = salted_join(sized.select("space", "node", "raw"), spaces, ["space"], "node", n).select("space", "node", "raw", "pivots")
-    placed = placed.mapInArrow(nearest, "space long, node long, raw binary, cell long, apart double")
-    placed = materialize(placed.join(nodes.select("node", "copies"), "node"), "cover-cells")
-    sizes = placed.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("apart").alias("radius"))
-    sizes = sizes.select("space", "cell", F.ceil(F.col("size") / CELL).cast("long").alias("blocks"), "radius").groupBy("space").agg(F.collect_list(F.struct("cell", "blocks", "radius")).alias("cells"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each space (at most 4 * PIVOTS cells), the pairs of blocks that the covering radii do not rule out."""
-        reach = np.sqrt(2 - 2 * THRESHOLD) + SLACK
+    reach = _reach(threshold)
+    dense = (reach - SLACK) / 2
+    roots = nodes.select(F.xxhash64("label", F.length("raw")).alias("cell"), "node", "copies", "raw")
+    first = roots.groupBy("cell").agg(F.min_by("raw", "node").alias("centre"))
+    rooted = salted_join(roots, first.select("cell", F.array("centre").alias("pivots")), ["cell"], "node", n).select("cell", "node", "copies", "raw", "pivots")
+    placed = materialize(rooted.mapInArrow(_nearest, PLACED), "cover-cells")
+    found = materialize(_summary(placed), "cover-summary")
+    pairs = materialize(found.select(F.col("cell").alias("a"), F.col("cell").alias("b")), "cover-pairs")
+    for level in range(LEVELS):
+        large = found.filter((F.col("size") > CELL) & (F.col("radius") > dense))
+        if not large.head(1):
+            break
+        # About `wanted` vectors of each large cell, those with the smallest hashes, and its centre.
+        wanted = F.least(F.lit(PIVOTS), 2 * F.ceil(F.col("size") / CELL))
+        cut = salted_join(placed.select("cell", "node", "copies", "raw"), large.select("cell", "size", "centre"), ["cell"], "node", n)
+        chosen = cut.filter(F.pmod(F.xxhash64("node", F.lit(level)), F.col("size")) < wanted).select("cell", "raw").unionByName(large.select("cell", F.col("centre").alias("raw")))
+        pivots = chosen.distinct().groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("raw")), 1, 4 * PIVOTS).alias("pivots"))
+        moved = salted_join(cut.select("cell", "node", "copies", "raw"), pivots, ["cell"], "node", n).select("cell", "node", "copies", "raw", "pivots").mapInArrow(_nearest, PLACED)
+        stay = placed.join(large.select("cell"), "cell", "left_anti").withColumn("parent", F.col("cell")).select(*moved.columns)
+        following = materialize(moved.unionByName(stay), "cover-cells")
+        discard(placed)
+        placed = following
+        found = materialize(_summary(placed), "cover-summary")
+        kids = found.groupBy("parent").agg(F.collect_list(F.struct("cell", "centre", "radius")).alias("kids"))  # at most 4 * PIVOTS
+        both = pairs.join(kids.select(F.col("parent").alias("a"), F.col("kids").alias("left")), "a").join(kids.select(F.col("parent").alias("b"), F.col("kids").alias("right")), "b")
+        pairs = materialize(both.select("a", "b", "left", "right").mapInArrow(_descend(reach + SLACK), "a long, b long"), "cover-pairs")
+    return placed, found, pairs
+
+
+def _descend(reach: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each pair of cells, the pairs of their children that the covering radii do not rule out."""
         for batch in batches:
-            out: list[tuple] = []
-            for space, found, top in zip(*[c.to_pylist() for c in batch.columns]):
-                number = np.array([c["cell"] for c in found])
-                radius = np.array([c["radius"] for c in found])
-                near = np.ones((len(found), len(found)), bool)
-                if top:
-                    centres = unit(np.array([np.frombuffer(t) for t in top]))[number]
-                    near = distances(centres, centres) <= reach + radius[:, None] + radius
-                parts = [(c["cell"], b) for c in found for b in range(c["blocks"])]
-                index = [k for k, c in enumerate(found) for _ in range(c["blocks"])]
-                for x, (cell, block) in enumerate(parts):
-                    for y in range(x, len(parts)):
-                        if near[index[x], index[y]]:
-                            pair = len(out)
-                            out.append((space, cell, block, x, y, 0))
-                            if x != y:
-                                out.append((space, *parts[y], x, y, 1))
-            columns = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["space", "cell", "block", "i", "j", "side"])
-
-    pairs = sizes.join(pivots, "space", "left").select("space", "cells", "pivots").mapInArrow(meet, "space long, cell long, block long, i long, j long, side long")
-    return placed, pairs
+            for a, b, left, right in zip(*[c.to_pylist() for c in batch.columns]):
+                near = distances(_points([k["centre"] for k in left]), _points([k["centre"] for k in right]))
+                near = near <= reach + np.array([k["radius"] for k in left])[:, None] + np.array([k["radius"] for k in right])
+                i, j = np.nonzero(near)
+                one, two = np.array([k["cell"] for k in left])[i], np.array([k["cell"] for k in right])[j]
+                if a == b:
+                    one, two = one[one <= two], two[one <= two]
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -204,25 +232,56 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = materialize(vector_nodes(vectors, id_col, vector_col, label_col), "cover-rows")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.min("raw").alias("raw"))
     nodes = materialize(nodes, "cover-distinct")
-    placed, pairs = cells(nodes, n)
-    counts = pairs.groupBy("space", "cell").agg(F.max("block").alias("last"))
-    blocked = salted_join(placed, counts, ["space", "cell"], "node", n).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("last") + 1))
-    wanted = pairs.groupBy("space", "cell", "block").agg(F.collect_list(F.struct("i", "j", "side")).alias("pairs"))
-    dealt = salted_join(blocked, wanted, ["space", "cell", "block"], "node", n).select("space", F.explode("pairs").alias("pair"), "node", "copies", "raw")
-    dealt = dealt.select("space", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.col("pair.side").alias("side"), "node", "copies", "raw")
-    dealt = dealt.repartition(n, "space", "i", "j").sortWithinPartitions("space", "i", "j")
+    placed, found, pairs = cells(nodes, threshold, n)
+
+    # Pairs of cells all of whose vectors link (a cell with itself among them) are counted; the others are traversed.
+    inside = _reach(threshold) - SLACK
+    side = lambda s: found.select(F.col("cell").alias(s), F.struct("copies", "radius", "centre", "least", F.ceil(F.col("size") / CELL).cast("int").alias("blocks")).alias(f"of_{s}"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (_points(batch.column(k).field("centre").to_pylist()) if batch.num_rows else np.empty((0, 1)) for k in (2, 3))
+            radius = sum(batch.column(k).field("radius").to_numpy(zero_copy_only=False) for k in (2, 3))
+            same = batch.column(0).to_numpy() == batch.column(1).to_numpy()
+            apart = np.where(same, 0, np.sqrt(np.maximum(0, 2 - 2 * (one * two).sum(1))))
+            values = [batch.column(k).field(c) for c in ("copies", "least", "blocks") for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values, pa.array(apart + radius <= inside)], ["a", "b", "copies_a", "copies_b", "least_a", "least_b", "blocks_a", "blocks_b", "whole"])
+
+    known = materialize(known.mapInArrow(_by_length(measured), "a long, b long, copies_a long, copies_b long, least_a long, least_b long, blocks_a int, blocks_b int, whole boolean"), "cover-known")
+    whole = known.filter("whole")
+    own = F.col("a") == F.col("b")
+    more = whole.select(F.col("a").alias("cell"), F.col("copies_b").alias("more"), F.col("least_b").alias("hub"), own.alias("own"))
+    more = more.unionByName(whole.filter(~own).select(F.col("b").alias("cell"), F.col("copies_a").alias("more"), F.col("least_a").alias("hub"), F.lit(False).alias("own")))
+    # All vectors of a cell link to the hub: one of its own, if these all link, else one of a partner's.
+    hub = F.coalesce(F.max(F.when(F.col("own"), F.col("hub"))), F.min("hub"))
+    more = more.groupBy("cell").agg(F.sum("more").alias("more"), hub.alias("hub"), F.max("own").alias("own"))
+    counted = salted_join(placed.select("cell", "node", "copies"), more, ["cell"], "node", n)
+    # Of a cell whose vectors all link, `more` holds the vector itself.
+    counted = materialize(counted.select("node", "hub", F.when(F.col("own"), F.col("more") - F.col("copies")).otherwise(F.col("more")).alias("more")), "cover-counted")
+    joined = counted.filter("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(whole.filter(~own).select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+    open_pairs = known.filter("not whole").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).filter("a <> b or i <= j")
+    open_pairs = open_pairs.withColumn("pair", F.xxhash64("a", "b", "i", "j")).select("pair", "a", "b", "i", "j")
+    same = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+    wanted = open_pairs.select(F.col("a").alias("cell"), F.col("i").alias("block"), "pair", F.when(same, 2).otherwise(0).alias("side")).unionByName(open_pairs.filter(~same).select(F.col("b").alias("cell"), F.col("j").alias("block"), "pair", F.lit(1).alias("side")))
+    counts = found.select("cell", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
+    blocked = salted_join(placed.select("cell", "node", "copies", "raw"), counts, ["cell"], "node", n).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = salted_join(blocked, wanted, ["cell", "block"], "node", n).select("pair", "side", "node", "copies", "raw")
+    dealt = dealt.repartition(n, "pair").sortWithinPartitions("pair")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in sorted_groups(batches, 3):
+        for _, group in sorted_groups(batches, 1):
             side, node, copies = (group[c].to_numpy() for c in ("side", "node", "copies"))
-            points = unit(np.array([np.frombuffer(r) for r in group["raw"].to_pylist()]))
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if i == j else 1))
+            points = _points(group["raw"].to_pylist())
+            itself = side[0] == 2
+            left, right = (np.flatnonzero(side == 2),) * 2 if itself else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             if not len(left) or not len(right):
                 continue
             tree = CoverTree(points[left])
-            a, b = close_pairs(tree, tree if i == j else CoverTree(points[right]), threshold)
+            a, b = close_pairs(tree, tree if itself else CoverTree(points[right]), threshold)
             a, b = left[a], right[b]
-            if i == j:
+            if itself:
                 a, b = a[a < b], b[a < b]
             links = np.zeros(len(node), np.int64)
             np.add.at(links, a, copies[b])
@@ -232,9 +291,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             kind = np.repeat([0, 1], [len(some), len(linked)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([node[some], node[linked]])), pa.array(np.concatenate([links[some], node[root[linked]]]))], ["kind", "a", "b"])
 
-    found = materialize(dealt.mapInArrow(traverse, "kind int, a long, b long"), "cover-links")
-    classes = components(found.filter("kind = 1").select("a", "b"))
-    links = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    traversed = materialize(dealt.mapInArrow(traverse, "kind int, a long, b long"), "cover-links")
+    classes = components(traversed.filter("kind = 1").select("a", "b").unionByName(joined))
+    links = traversed.filter("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("more")).unionByName(counted.select("node", "more")).groupBy("node").agg(F.sum("more").alias("links"))
     known = nodes.select("node", "first_id", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = salted_groups(known, ["component"], "first_id", n, "min")
     known = materialize(known.select("node", F.col("group_keep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "cover-classes")
@@ -244,5 +303,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _by_length(run):
+    """run over parts of the batches whose vectors have one length."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(c) for c in batch.column(2).field("centre").to_pylist()], np.int64)
+            for size in np.unique(sizes):
+                yield batch.take(pa.array(np.flatnonzero(sizes == size)))
+
+    return lambda batches: run(parts(batches))
+
+
 def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))

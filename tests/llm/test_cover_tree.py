@@ -38,9 +38,10 @@ def test_embeddings(spark, sf):
     assert found(op9_cover_tree(spark, sf)) == brute(rows)
 
 
-@pytest.mark.parametrize("cell", [8, 1024])
+@pytest.mark.parametrize("cell", [4, 1024])
 def test_clusters_copies_and_odd_vectors(spark, monkeypatch, cell):
     monkeypatch.setattr(cover_tree, "CELL", cell)
+    monkeypatch.setattr(cover_tree, "PIVOTS", 4)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((12, 16))
     data = []
@@ -54,6 +55,22 @@ def test_clusters_copies_and_odd_vectors(spark, monkeypatch, cell):
     assert sum(x[1] for x in want) > 100
 
 
+def test_dense_cells_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "CELL", 6)
+    monkeypatch.setattr(cover_tree, "PIVOTS", 3)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((4, 8))
+    data = [(i, (centres[i % 4] + 0.002 * (i % 9) * rng.standard_normal(8)).tolist(), 1, 0, "") for i in range(200)]
+    data += [(300 + i, (v * 3**i).tolist(), 1, 0, "") for i, v in enumerate(np.tile(centres[:1], (5, 1)))]
+    assert found(near_vectors(spark.createDataFrame(data, SCHEMA))) == brute([d[:3] for d in data])
+
+
+def test_very_large_and_small_numbers(spark):
+    data = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [1e300, -1e300], 0), (5, [3.0, 3.0], 0)]
+    rows = found(near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")))
+    assert rows == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 3, 1, False)]
+
+
 def test_nothing(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
