@@ -317,3 +317,18 @@ def _by_length(run):
 
 def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= {THRESHOLD}),
+reach AS (SELECT vec_id AS m, vec_id FROM embeddings UNION SELECT r.m, p.b FROM reach r JOIN pairs p ON p.a = r.vec_id),
+least AS (SELECT vec_id, min(m) AS component_id FROM reach GROUP BY 1),
+links AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN links USING (vec_id)
+"""

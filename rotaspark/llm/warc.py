@@ -162,3 +162,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(materialize(resolve(read(spark, sf_dir, "pages")), "warc-records"), path)
     found = materialize(read_archives(spark, path), "warc-headers")
     return resolve_read(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32_sql(x: str) -> str:
+    """SQL of base32_sha1."""
+    letters = []
+    for i in range(8):
+        bits = f"('0x' || substr(sha1({x}), {5 * i + 1}, 5))::INT"
+        letters += [f"substr('{ALPHABET}', (({bits} >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), top AS (SELECT h, max(page_id) AS top FROM p GROUP BY 1)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_base32_sql('h')} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN top USING (h)
+"""
