@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rotaspark.llm.bpe import op3_bpe
 from rotaspark.llm.cover_tree import OP9_SQL, op9_cover_tree
 from rotaspark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
-from rotaspark.llm.html_extract import op5_html
+from rotaspark.llm.html_extract import OP5_SQL, op5_html
 from rotaspark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from rotaspark.llm.near_join import op2_ngram_jaccard
 from rotaspark.llm.packing import op1_packing
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_cover_tree": OP9_SQL}
+    return {"op5_html": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_cover_tree": OP9_SQL}

@@ -375,3 +375,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
+
+
+#: For pages like the given ones: one article element, which holds blocks, b and br only, and few kinds of references.
+OP5_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '\s+', ' ', 'g'), '<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' ', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)) AS l FROM a),
+c AS (SELECT page_id, url, list_transform(l, lambda y: trim(regexp_replace(replace(replace(replace(replace(y, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '\s+', ' ', 'g'))) AS l FROM b)
+SELECT page_id, url, array_to_string(list_filter(l, lambda y: y <> ''), chr(10)) AS text, length(array_to_string(list_filter(l, lambda y: y <> ''), chr(10)))::BIGINT AS n_chars FROM c
+"""

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 from rotaspark.llm.html_extract import extract_pages, lines_of, main_text, op5_html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -44,6 +46,42 @@ def test_pages(spark, sf):
         assert "track(" not in r.text and "©" not in r.text
 
 
+class Article(HTMLParser):
+    """The given pages' articles: blocks of text between tags, but for those inside a line."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks = 0, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag == "br":
+            self.blocks[-1].append(" ")
+        elif tag not in ("b", "a"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag not in ("b", "a"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1].append(data)
+
+
+def test_whole_texts_of_all_pages():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist()
+    for page in pages:
+        p = Article()
+        p.feed(page)
+        p.close()
+        blocks = [" ".join("".join(b).split()) for b in p.blocks]
+        assert main_text(page) == "\n".join(b for b in blocks if b)
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     assert {(r.page_id, r.n_chars) for r in extract_pages(df).collect()} == {(1, len(main_text(PAGE))), (None, 0)}
