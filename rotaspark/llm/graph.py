@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import materialize, salted_groups, shuffle_partitions
+from rotaspark.llm.common import discard, materialize, salted_groups, shuffle_partitions
 
 #: Rounds after which something must be wrong; the number needed grows with the logarithm of the longest chain.
 ROUNDS = 60
@@ -22,9 +22,9 @@ ROUNDS = 60
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node of it) for the ends of links(a long, b long); a node may link itself."""
     n = shuffle_partitions(links.sparkSession)
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    loops = edges.filter("u = v").select("u")
-    edges = edges.filter("u <> v")
+    given = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    loops = given.filter("u = v").select("u")
+    edges, written = given.filter("u <> v"), None
     mark = _mark(edges)
     for _ in range(ROUNDS):
         if mark[0] == 0:
@@ -34,6 +34,9 @@ def components(links: DataFrame) -> DataFrame:
         small = salted_groups(large, ["u"], "v", n, "min")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("group_keep").alias("v")), F.struct(F.col("u"), F.col("group_keep").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        if written is not None:
+            discard(written)
+        written = edges
         before, mark = mark, _mark(edges)
         if before == mark:
             break

@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,23 +91,36 @@ def write_archives(records: DataFrame, path: str) -> None:
     spread.select("value").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
-HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
+#: Bytes of a block read at a time.
+PIECE = 1 << 20
 
 
-def records_in(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers and block of each record, by its Content-Length."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        found = {k.decode().lower(): v.decode() for k, v in HEADER.findall(data, at, head)}
-        begin = head + 4
-        end = begin + int(found["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield found, view[begin:end]
-        at = end + 4
+def records_in(archive: BinaryIO) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+    """Headers of each record and its block in pieces, by its Content-Length; a block is read before the next record."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {line[:20]!r} stands")
+        found: dict[str, str] = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.partition(b":")
+            found[name.decode().lower()] = value.strip(b" \t\r\n").decode()
+        left = int(found["content-length"])
+
+        def block() -> Iterator[bytes]:
+            nonlocal left
+            while left:
+                piece = archive.read(min(left, PIECE))
+                if not piece:
+                    raise ValueError("an archive ends within a record")
+                left -= len(piece)
+                yield piece
+
+        pieces = block()
+        yield found, pieces
+        for _ in pieces:  # what the caller left
+            pass
+        if archive.read(4) != b"\r\n\r\n":
+            raise ValueError("a record doesn't end where its length says")
 
 
 def _page(urn: str | None) -> int | None:
@@ -125,10 +138,16 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                for h, block in records_in(gzip.decompress(batch.column(0)[i].as_buffer())):
-                    digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
-                    row = (_page(h["warc-record-id"]), h["warc-type"], _page(h.get("warc-refers-to")), h["warc-target-uri"], len(block), digest, h["warc-payload-digest"].removeprefix("sha1:"))
-                    rows.append((*row, bytes(block).decode()) if keep_payload else row)
+                for h, block in records_in(gzip.open(pa.BufferReader(batch.column(0)[i].as_buffer()))):
+                    sha, size, kept = hashlib.sha1(), 0, []
+                    for piece in block:
+                        sha.update(piece)
+                        size += len(piece)
+                        if keep_payload:
+                            kept.append(piece)
+                    digest = base64.b32encode(sha.digest()).decode()
+                    row = (_page(h["warc-record-id"]), h["warc-type"], _page(h.get("warc-refers-to")), h["warc-target-uri"], size, digest, h["warc-payload-digest"].removeprefix("sha1:"))
+                    rows.append((*row, b"".join(kept).decode()) if keep_payload else row)
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 names = ["page_id", "record_type", "refers_to", "url", "payload_bytes", "block_digest", "declared", "payload"]
                 columns = list(zip(*rows)) if rows else [()] * (8 if keep_payload else 7)

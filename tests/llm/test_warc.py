@@ -1,5 +1,8 @@
 import base64
 import hashlib
+import io
+
+import pytest
 
 from rotaspark.llm.common import scratch_path
 from rotaspark.llm.warc import op8_warc, read_archives, records_in, resolve, resolve_read, write_archives
@@ -63,6 +66,14 @@ def test_small_payloads_stay_whole(spark):
     assert sorted((r.page_id, r.record_type) for r in resolve(df, min_bytes=5).collect()) == [(0, "response"), (1, "response"), (2, "revisit"), (3, "response")]
 
 
-def test_record_parser():
-    data = b"WARC/1.1\r\nA: b\r\nContent-Length: 4\r\n\r\n\r\n\r\n\r\n\r\n"
-    assert [(h, bytes(b)) for h, b in records_in(data)] == [({"a": "b", "content-length": "4"}, b"\r\n\r\n")]
+def test_record_parser(monkeypatch):
+    from rotaspark.llm import warc
+
+    monkeypatch.setattr(warc, "PIECE", 3)
+    one = b"WARC/1.1\r\nA: b\r\nContent-Length: 4\r\n\r\n\r\n\r\n\r\n\r\n"
+    two = b"WARC/1.1\r\nContent-Length: 8\r\n\r\nWARC/1.1\r\n\r\n"
+    assert [(h, b"".join(b)) for h, b in records_in(io.BytesIO(one + two))] == [({"a": "b", "content-length": "4"}, b"\r\n\r\n"), ({"content-length": "8"}, b"WARC/1.1")]
+    assert [h["content-length"] for h, _ in records_in(io.BytesIO(one + two))] == ["4", "8"]
+    for bad in (one[:-1], one[:-6], b"x" + one):
+        with pytest.raises(ValueError):
+            [b"".join(b) for _, b in records_in(io.BytesIO(bad))]
