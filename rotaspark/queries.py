@@ -615,6 +615,15 @@ def q_verification(spark, sf_dir):
     return report.verification(_run_logs(spark, sf_dir))
 
 
+@query(f"WITH {TIMES_SQL} SELECT tag, n, nz, threads, round(time_sec, 6) AS time_sec, count(*) AS n_runs FROM times GROUP BY ALL")
+def s_times_scan(spark, sf_dir):
+    """All measurements written as files of samples and scanned."""
+    path = f"{shared_dir(spark)}/times-{uuid.uuid4().hex}"
+    name = F.format_string("%s_n%d_nz%d_t%d", "tag", "n", "nz", "threads")
+    results.write_times(_times(spark, sf_dir).select(name.alias("run"), F.round("time_sec", 6).alias("time_sec")), path)
+    return results.scan_times(spark, path).groupBy("tag", "n", "nz", "threads", F.round("time_sec", 6).alias("time_sec")).agg(F.count(F.lit(1)).alias("n_runs"))
+
+
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice AS v FROM orders")
 def s_dump_scan(spark, sf_dir):
     """Order totals dumped in the order of their keys and read back by position."""

@@ -57,10 +57,14 @@ def parse_config(line: Column) -> dict[str, Column]:
     return {"key": found(line, r'^\s*(\w+)="?([^"]*)"?\s*$'), "values": F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")}
 
 
+def run_name() -> Column:
+    """A file's name, or NAME where it is a part of a folder run=NAME."""
+    return F.regexp_extract("_metadata.file_path", r"(?:run=)?([^/]+?)(?:/part-[^/]*)?$", 1)
+
+
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     """A row a log: its dimensions and what it says.  Logs are files, or folders run=NAME as write_logs makes them."""
-    name = F.regexp_extract("_metadata.file_path", r"(?:run=)?([^/]+?)(?:/part-[^/]*)?$", 1)
-    raw = spark.read.text(path, wholetext=True).select(name.alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(run_name().alias("file"), "value")
     return raw.select("file", *[c.alias(k) for k, c in (dimensions(F.col("file")) | parse_log(F.col("value"))).items()])
 
 
@@ -71,10 +75,16 @@ def write_logs(logs: DataFrame, path: str) -> None:
 
 def scan_times(spark: SparkSession, path: str) -> DataFrame:
     """A row a line: dimensions and time_sec (null for NA)."""
-    raw = spark.read.text(path).select(F.col(FILE).alias("file"), F.trim("value").alias("value")).filter("value <> ''")
+    raw = spark.read.text(path).select(run_name().alias("file"), F.trim("value").alias("value")).filter("value <> ''")
     return raw.select("file", *[c.alias(k) for k, c in dimensions(F.col("file")).items()], F.col("value").try_cast("double").alias("time_sec"))
 
 
+def write_times(times: DataFrame, path: str) -> None:
+    """Samples (run, time_sec), a line each (NA for none) in a folder for each run; fails if the path exists."""
+    lines = times.select("run", F.coalesce(F.col("time_sec").cast("string"), F.lit("NA")).alias("value"))
+    lines.repartition("run").write.partitionBy("run").text(path)
+
+
 def scan_config(spark: SparkSession, path: str) -> DataFrame:
     """file, key, values."""
     raw = spark.read.text(path).select(F.col(FILE).alias("file"), "value")
