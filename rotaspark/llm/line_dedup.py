@@ -5,9 +5,10 @@ Blank lines have no id of their own: they go with the line after them.
 
 Suffixes are ranked by their first 1, 2, 4, ... lines.  The rank of 2k lines is
 the order of the pair (rank of k lines here, rank of k lines k lines further on).
-Ranks are ordered by ranges: a range of ranks stays with one bucket, and with a
-bucket for each range of following ranks below a first line that is very common,
-so ranks of all buckets compare without being counted through.  A class of equal
+A bucket ranks the suffixes whose first line's id is in its range, so ranks of all
+buckets compare without being counted through.  A first line that is very common
+has a place of its own in that order, and below it there is a bucket for each range
+of following lines.  A class of equal
 ranks with at least two suffixes is an interval of the suffix array whose longest
 common prefix has at least so many lines; other suffixes are settled.  Doubling
 ends when no interval is left.
@@ -48,12 +49,16 @@ from rotaspark.llm.common import discard, materialize, read, shuffle_partitions,
 
 #: Shortest repeated run whose later copies are deleted: a single line that recurs is no run.
 MIN_LINES = 2
+#: A line is very common if it makes so large a part of its bucket's lines.
+COMMON = 0.01
+#: Bits of a rank below the bucket: common lines passed (odd: at one), range of the following line, place.
+PASSED, FOLLOWING = np.uint64(40), np.uint64(24)
 #: Bytes of text whose lines make a block (about), and blocks at most (ranks hold 16 bits of a bucket).
 BLOCK_BYTES, BLOCKS = 12_000_000, 1 << 16
 LAST = np.iinfo(np.int64).max
 BLANK = " \t\r\x0b\x0c"
 
-_ENTRY = np.dtype([("key", "<u8", 4), ("doc", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("number", "<i4"), ("several", "?")])
+_ENTRY = np.dtype([("key", "<u8", 4), ("doc", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("number", "<i4"), ("count", "<i4")])
 _ANSWER = np.dtype([("rank", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("number", "<i4")])
 MESSAGE = "to int, at int, data binary"
 STATE = "block int, open long, data binary"
@@ -112,32 +117,34 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of keys its number among the distinct ones; of these, the first row and whether there are several."""
+    """Of each row of keys its number among the distinct ones; of these, the first row and how many there are."""
     order = np.lexsort(keys.T[::-1])
     new = np.ones(len(order), bool)
     new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    return number, order[new], np.diff(np.flatnonzero(new), append=len(order)) > 1
+    return number, order[new], np.diff(np.flatnonzero(new), append=len(order))
 
 
 def pairs_up(b: Lines, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions, keys and buckets for the next doubling."""
+    top = np.uint64(48)
     if not b.ranks:
         at, a = np.arange(len(b.row)), b.ids
-        high = ((a[:, 0] >> np.uint64(48)) * np.uint64(blocks) >> np.uint64(16)) << np.uint64(48)
+        high = (a[:, 0] >> top) * np.uint64(blocks) >> np.uint64(16) << top
         keys = np.stack([high, a[:, 0], a[:, 1], np.zeros(len(a), np.uint64)], 1)
     else:
         rank, k = b.ranks[-1], 1 << (len(b.ranks) - 1)
         at = np.flatnonzero((rank > 0) & (b.left > k))
         at = at[rank[at + k] > 0]
         one, two = rank[at], rank[at + k]
-        if k == 1:  # a first line that is very common is dealt by what follows it
-            high = one >> np.uint64(48) << np.uint64(48) | two >> np.uint64(48) << np.uint64(32)
-        else:
-            high = one >> np.uint64(32) << np.uint64(32)
+        high = one >> FOLLOWING << FOLLOWING
+        if k == 1:
+            common = (one >> PASSED & np.uint64(1)) > 0
+            high = np.where(common, high | two >> top << FOLLOWING, high)
         keys = np.stack([high, one, two, np.zeros(len(at), np.uint64)], 1)
-    mixed = (keys[:, 0] >> np.uint64(48)) * np.uint64(40503) + (keys[:, 0] >> np.uint64(32) & np.uint64(0xFFFF))
+    high = keys[:, 0]
+    mixed = (high >> top) * np.uint64(40503) + (high >> PASSED & np.uint64(255)) * np.uint64(977) + (high >> FOLLOWING & np.uint64(0xFFFF))
     return at, keys, (mixed % np.uint64(blocks)).astype(np.int64)
 
 
@@ -178,8 +185,8 @@ def _build(table: pa.Table) -> pa.Table:
     return _state(table["block"][0].as_py(), b, len(ids))
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Keys of all blocks: those that occur again get their rank in the bucket's range and their first place."""
+def _merge(table: pa.Table, lines: bool) -> pa.Table:
+    """Keys of all blocks: those that occur again get their rank in the bucket's range and their first place; lines: keys are single lines."""
     at = np.repeat(table["at"].to_numpy(), [len(d) // _ENTRY.itemsize for d in table["data"].to_pylist()])
     e = np.frombuffer(b"".join(table["data"].to_pylist()), _ENTRY)
     k = e["key"]
@@ -188,9 +195,13 @@ def _merge(table: pa.Table) -> pa.Table:
     new[1:] = (k[order[1:]] != k[order[:-1]]).any(1)
     group = np.cumsum(new) - 1
     first = order[new]
-    again = np.add.reduceat(1 + e["several"][order].astype(np.int64), np.flatnonzero(new)) > 1
+    count = np.add.reduceat(e["count"][order].astype(np.int64), np.flatnonzero(new))
+    again = count > 1
     # Ranks count on within the range that the key's first part names.
     high = k[first, 0]
+    if lines:
+        common = again & (count > COMMON * count.sum())  # less than 1 / COMMON of them
+        high = high | (2 * np.cumsum(common) - common).astype(np.uint64) << PASSED
     begins = np.flatnonzero(np.append(True, high[1:] != high[:-1]))
     inside = np.arange(len(first)) - np.repeat(begins, np.diff(begins, append=len(first)))
     rank = high | (inside + 1).astype(np.uint64)
@@ -247,7 +258,7 @@ def _extended(b: Lines, at: np.ndarray, rank: np.ndarray, first: np.ndarray, lev
     return len(b.threads["at"])
 
 
-def _round(state: DataFrame, name: str, blocks: int, pairs: Callable, update: Callable[[Lines, np.ndarray, np.ndarray, np.ndarray], int]) -> DataFrame:
+def _round(state: DataFrame, name: str, blocks: int, pairs: Callable, update: Callable[[Lines, np.ndarray, np.ndarray, np.ndarray], int], lines: bool = False) -> DataFrame:
     """One exchange: blocks send their distinct keys to buckets and take back the ranks of those that occur again."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +268,11 @@ def _round(state: DataFrame, name: str, blocks: int, pairs: Callable, update: Ca
                 at, keys, to = pairs(b, blocks)
                 if not len(at):
                     continue
-                _, first, several = _distinct(keys)
+                _, first, count = _distinct(keys)
                 # The lines stand in order, so the first row of a key is its first place here.
                 where = b.places(at[first] if b.threads is None else b.threads["at"][at[first]])
                 e = np.empty(len(first), _ENTRY)
-                e["key"], e["number"], e["several"] = keys[first], np.arange(len(first)), several
+                e["key"], e["number"], e["count"] = keys[first], np.arange(len(first)), count
                 for c in ("doc", "tie", "line"):
                     e[c] = where[c]
                 order = np.argsort(to[first], kind="stable")
@@ -280,7 +291,10 @@ def _round(state: DataFrame, name: str, blocks: int, pairs: Callable, update: Ca
         rank[a["number"]], place[a["number"]] = a["rank"], a
         return _state(block, b, update(b, at, rank[number], place[number]))
 
-    sent = state.select("block", "data").mapInArrow(send, MESSAGE).groupBy("to").applyInArrow(_merge, MESSAGE)
+    def merge(table: pa.Table) -> pa.Table:
+        return _merge(table, lines)
+
+    sent = state.select("block", "data").mapInArrow(send, MESSAGE).groupBy("to").applyInArrow(merge, MESSAGE)
     following = materialize(state.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(take, STATE), name)
     discard(state)
     return following
@@ -312,7 +326,7 @@ def copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = materialize(line_ids(docs, id_col, text_col, blocks).groupBy("block").applyInArrow(_build, STATE), "lines-0")
     levels = 0
     while True:
-        state = _round(state, f"lines-{1 << levels}", blocks, pairs_up, _raised)
+        state = _round(state, f"lines-{1 << levels}", blocks, pairs_up, _raised, levels == 0)
         if not state.agg(F.sum("open")).first()[0]:
             break
         levels += 1

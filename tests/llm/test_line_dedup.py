@@ -103,3 +103,27 @@ def test_blocks_and_buckets_agree_with_one_block(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 60)
     assert sorted(dedup_lines(docs).collect()) == want
     check(docs, 2)
+
+
+def test_ranks_are_in_suffix_order(spark):
+    """Ranks of 1, 2 and 4 lines compare like the lines' ids, common first lines among them."""
+    from rotaspark.llm import line_dedup as ld
+
+    rng = random.Random(9)
+    docs = frame(spark, ["\n".join(rng.choice(["hot"] * 6 + [f"line {k}" for k in range(12)]) for _ in range(30)) for _ in range(40)])
+    blocks = 4
+    state = ld.materialize(ld.line_ids(docs, "doc_id", "text", blocks).groupBy("block").applyInArrow(ld._build, ld.STATE), "test")
+    ids = {}
+    for r in state.collect():
+        b = ld._lines(r.data)
+        ids |= {(b.doc[b.row[i]], b.line[i]): tuple(b.ids[i].tolist()) for i in range(len(b.row))}
+    for level in range(3):
+        state = ld._round(state, "test", blocks, ld.pairs_up, ld._raised, level == 0)
+        found = []
+        for r in state.collect():
+            b = ld._lines(r.data)
+            found += [(int(b.ranks[-1][i]), [ids[b.doc[b.row[i]], b.line[i] + k] for k in range(1 << level)]) for i in range(len(b.row)) if b.ranks[-1][i]]
+        assert len(found) > 20
+        found.sort()
+        for (x, a), (y, c) in zip(found, found[1:]):
+            assert (x < y and a < c) or (x == y and a == c)
