@@ -3,8 +3,8 @@
 times: src, tag, n, nz, threads, ranks, chunks, rep, time_sec (null: no sample)
 checksums: src, tag, n, nz, threads, checksum
 
-Cells are small groups of samples; medians are grouped aggregations, lookups of
-baselines are joins of aggregated tables, and nothing is collected.
+Medians are exact and take cells of any size; lookups of baselines are joins of
+aggregated tables, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -26,14 +26,37 @@ PRIORITY = ("cde", "threads", "ab", "base")
 SETTINGS = 10_000
 
 
+def _step(x: Column) -> Column:
+    """A number's place on a coarse scale that keeps the order: 4096 steps each time it doubles."""
+    up = lambda c: F.floor(F.log2(c) * 4096)
+    return F.when(x > 0, up(x)).when(x == 0, F.lit(-(2**40))).otherwise(F.lit(-(2**41)) - up(-x)).cast("long")
+
+
 def medians(times: DataFrame, *keys: str) -> DataFrame:
-    """keys, time: the median of the samples there are, 6 places; null if there are none."""
-    return times.groupBy(*keys).agg(F.round(F.median("time_sec"), 6).alias("time"))
+    """keys, time: the median of the samples there are, 6 places; null if there are none.
+
+    No task holds a cell: samples are counted by coarse steps, the counts say in
+    which step or two the middle lies, and only these steps' samples are ordered.
+    """
+    rows = times.select(*keys, F.col("time_sec").alias("__x")).withColumn("__step", F.when(F.col("__x").isNotNull(), _step(F.col("__x"))))
+    counts = rows.groupBy(*keys, "__step").agg(F.count("__x").alias("__n"))
+    cell = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(cell.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(*keys, "__step", "__n", before.alias("__before"), F.sum("__n").over(cell).alias("__total"))
+    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    middle = placed.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__n") > low) & (F.col("__total") > 0))
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "__step")]
+    met = rows.alias("r").join(middle.alias("m"), same).select(*[f"r.{k}" for k in keys], "__x", "m.__step", "__before", "__total")
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__step").orderBy("__x")) - 1
+    found = met.withColumn("__rank", rank).filter((F.col("__rank") == low) | (F.col("__rank") == high)).select(*keys, "__x")
+    empty = placed.filter("__total = 0").select(*keys, F.lit(None).cast("double").alias("__x"))
+    return found.unionByName(empty).groupBy(*keys).agg(F.round(F.avg("__x"), 6).alias("time"))
 
 
 def pooled_baseline(times: DataFrame, tag: str = "seq") -> DataFrame:
     """n, nz, seq_time, n_samples over all sources together."""
-    return times.filter(F.col("tag") == tag).groupBy(*CELL).agg(F.round(F.median("time_sec"), 6).alias("seq_time"), F.count("time_sec").alias("n_samples"))
+    rows = times.filter(F.col("tag") == tag)
+    return medians(rows, *CELL).withColumnRenamed("time", "seq_time").join(rows.groupBy(*CELL).agg(F.count("time_sec").alias("n_samples")), CELL)
 
 
 def scaling(times: DataFrame, tag: str = "seq") -> DataFrame:
@@ -153,7 +176,7 @@ def leaderboard_geometries(times: DataFrame, block: str = "mpi", overlap: str =
 def geometry_report(times: DataFrame) -> DataFrame:
     """n, nz, variant, chunks, ranks, threads, cores, time, speedup, efficiency, gbs; in order of cores, variant, chunks."""
     variant = F.when(F.col("chunks").isNull(), "block").otherwise("overlap")
-    cells = times.filter("tag <> 'seq'").withColumn("variant", variant).groupBy(*CELL, "variant", "chunks", "ranks", "threads").agg(F.round(F.median("time_sec"), 6).alias("time"))
+    cells = medians(times.filter("tag <> 'seq'").withColumn("variant", variant), *CELL, "variant", "chunks", "ranks", "threads")
     met = cells.join(pooled_baseline(times).drop("n_samples"), CELL, "left").withColumn("cores", F.col("ranks") * F.col("threads"))
     sp = m.speedup(F.col("seq_time"), F.col("time"))
     return met.select(*CELL, "variant", "chunks", "ranks", "threads", "cores", "time", F.round(sp, 2).alias("speedup"), F.round(m.efficiency(sp, F.col("cores")), 2).alias("efficiency"), F.round(m.bandwidth(F.col("nz"), F.col("time")), 1).alias("gbs")).orderBy(*CELL, "cores", "variant", "chunks")
