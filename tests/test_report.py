@@ -86,3 +86,19 @@ def test_stream_of_samples(spark, tmp_path):
     stream.awaitTermination(60)
     got = {r.threads: (r.n_samples, r.fastest, r.mean) for r in spark.table("cells").collect()}
     assert got == {1: (2, 1.0, 2.0), 2: (0, None, None)}
+
+
+def test_medians_of_ties_nulls_and_any_sign(spark):
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    cells = {
+        ("a", None): [0.0, -0.0, 1.0], ("b", 1): [None, None], ("c", 1): [-5.0, -1e-9, 3.0, 1e12], ("d", 2): [2.0] * 7, ("e", 2): [7.0, None],
+        ("f", 3): [rng.choice([1.0, 1.0001, 2.5, -3.0, 0.0]) for _ in range(200)], ("g", 3): [rng.gauss(0, 100) for _ in range(301)],
+    }
+    rows = [(tag, n, x) for (tag, n), xs in cells.items() for x in xs]
+    got = {(r.tag, r.n): r.time for r in report.medians(spark.createDataFrame(rows, "tag string, n int, time_sec double"), "tag", "n").collect()}
+    want = {k: (round(statistics.median(v), 6) if (v := [x for x in xs if x is not None]) else None) for k, xs in cells.items()}
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if want[k] is None else abs(got[k] - want[k]) <= 1e-6 * max(1, abs(want[k])) for k in want)
