@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotaspark.llm.common import materialize, read
+from rotaspark.llm.common import discard, materialize, read
 from rotaspark.llm.exact_dedup import drop_exact_copies
 from rotaspark.llm.near_join import drop_near_copies
 from rotaspark.llm.packing import pack_documents
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, written = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if written is not None:  # the stage before is read no more
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
