@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import discard, materialize, shuffle_partitions
+from rotaspark.llm.common import discard, materialize
 
 #: Steps after which something must be wrong; the number needed grows with the logarithm of the longest chain.
 STEPS = 120
 #: Links of a block (about).
-BLOCK_LINKS = 1_000_000
+BLOCK_LINKS = 100_000
 
 STATE = "block int, changed long, data binary"
 MESSAGE = "to int, at int, data binary"
@@ -120,7 +120,7 @@ def _step(state: DataFrame, large: bool, blocks: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node of it) for the ends of links(a long, b long); a node may link itself."""
     given = materialize(links.select("a", "b"), "links")
-    blocks = max(shuffle_partitions(links.sparkSession), -(-given.count() // BLOCK_LINKS))
+    blocks = max(1, -(-given.count() // BLOCK_LINKS))
     dealt = given.filter("a <> b").withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).cast("int"))
     state = materialize(dealt.groupBy("block").applyInArrow(_begin, STATE), "components")
     still = 0
