@@ -483,3 +483,20 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(read(spark, sf_dir, "documents"))
+
+
+#: By the definition, over the hexadecimal digits of all strings of LENGTH bytes.
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS x FROM d, unnest(range(n - {LENGTH - 1})) AS u(p)),
+first AS (SELECT x, min(doc_id) AS least FROM s GROUP BY 1 HAVING count(*) > 1),
+hits AS MATERIALIZED (SELECT doc_id, p FROM s JOIN first USING (x) WHERE least < doc_id),
+runs AS (SELECT doc_id, p, sum(CASE WHEN p > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -{2 * LENGTH}) AS before FROM hits)),
+spans AS MATERIALIZED (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM spans UNION ALL SELECT doc_id, max(b), n FROM spans JOIN d USING (doc_id) GROUP BY doc_id, n),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f, t) AS k FROM gaps JOIN d USING (doc_id) GROUP BY 1),
+counts AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
