@@ -360,3 +360,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS l FROM documents),
+k AS (SELECT doc_id, l, least(5, len(l)) AS k FROM w WHERE len(l) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(l) - k + 2), lambda i: array_to_string(l[i:i + k - 1], ' '))) AS x FROM k),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 5 * c >= 4 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS m, doc_id FROM documents UNION SELECT r.m, l.b FROM reach r JOIN links l ON l.a = r.doc_id),
+least_of AS (SELECT doc_id, min(m) AS class_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links, doc_id = class_id AS kept FROM least_of LEFT JOIN counts USING (doc_id)
+"""
