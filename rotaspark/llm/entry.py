@@ -13,6 +13,7 @@ from rotaspark.llm.html_extract import OP5_SQL, op5_html
 from rotaspark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from rotaspark.llm.near_join import OP2_SQL, op2_ngram_jaccard
 from rotaspark.llm.packing import op1_packing
+from rotaspark.llm.quality import OP12_SQL, op12_quality
 from rotaspark.llm.suffix_dedup import OP4_SQL, op4_suffix_dedup
 from rotaspark.llm.toxicity import op10_toxicity
 from rotaspark.llm.warc import OP8_SQL, op8_warc
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_cover_tree": op9_cover_tree,
         "op10_toxicity": op10_toxicity,
+        "op12_quality": op12_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_html": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_cover_tree": OP9_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_html": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_cover_tree": OP9_SQL, "op12_quality": OP12_SQL}
