@@ -2,13 +2,15 @@
 
 The matrix is written once; two ways to run the iterations over it:
 
-blocks   one small job an iteration over cached blocks of rows, with the vector
-         broadcast to them and its parts brought back.  For vectors of at most
-         BLOCK_ROWS rows; the matrix never leaves its blocks.
+barrier  one barrier stage for SAVED iterations: a task holds a range of rows with
+         about as many entries as the others, and pieces of the vector go round from
+         task to task.  For vectors of at most BLOCK_ROWS rows.  Bits of the result
+         do not depend on the number of tasks.  A lost executor costs the
+         iterations since the vector was written last.
 join     one grouped join an iteration; the vector is written to the shared
          folder every few of them.  Takes vectors of any length.
 
-`auto` takes blocks where the bound is met.
+`auto` takes barrier where the bound is met and all tasks can run at once.
 """
 
 from __future__ import annotations
@@ -17,19 +19,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaspark.operators.linear import normalize, rayleigh, spmv
-from rotaspark.plans.schedule import EPOCH, ITERATIONS, final_shift, shift_at
+from rotaspark.operators.linear import exact_sums, normalize, rayleigh, spmv
+from rotaspark.operators.ring import Ring
+from rotaspark.plans.schedule import EPOCH, ITERATIONS, final_shift, part_bounds, repartition_by_bounds, shift_at
 from rotaspark.sources.scratch import materialize
 
-#: Rows of a vector that may be broadcast and brought back (8 bytes each).
-BLOCK_ROWS = 1_000_000
-#: Entries of a block at least (but for a smaller matrix): a task must be worth its start.
-BLOCK_ENTRIES = 250_000
+#: Rows of a vector that every task may hold (8 bytes each).
+BLOCK_ROWS = 10_000_000
+#: Entries of a task at least (but for a smaller matrix): it must be worth its start.
+BLOCK_ENTRIES = 100_000
+#: Iterations of a barrier stage: what a lost executor costs at most.
+SAVED = 250
 #: Iterations of the join between two times the vector is scaled and written: short plans, no overflow.
 JOINED = 5
 
@@ -45,11 +50,12 @@ class Iterated:
 def power_iterate(a: DataFrame, x0: DataFrame, n: int, iterations: int = ITERATIONS, epoch: int = EPOCH, strategy: str = "auto", tasks: int | None = None) -> Iterated:
     """iterations times y = shift(A) x, x = y / |y|; a is (row, col, val) and may have (pos)."""
     if strategy == "auto":
-        strategy = "blocks" if n <= BLOCK_ROWS else "join"
-    run = {"join": _join, "blocks": _blocks}.get(strategy)
+        fixed = a.sparkSession.conf.get("spark.dynamicAllocation.enabled", "false") != "true"
+        strategy = "barrier" if n <= BLOCK_ROWS and fixed else "join"
+    run = {"join": _join, "barrier": _barrier}.get(strategy)
     if run is None:
-        raise ValueError(f"strategy must be auto, join or blocks, not {strategy!r}")
-    if strategy == "blocks" and n > BLOCK_ROWS:
+        raise ValueError(f"strategy must be auto, join or barrier, not {strategy!r}")
+    if strategy == "barrier" and n > BLOCK_ROWS:
         raise ValueError(f"n = {n} is beyond the bound of strategy {strategy}")
     return run(materialize(a, "matrix"), x0, n, iterations, epoch, tasks)
 
@@ -76,55 +82,61 @@ def _join(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, task
     return Iterated(x, rayleigh(a, x, n, s).withColumn("final_row_shift", F.lit(s).cast("long")))
 
 
-def _packed(a: DataFrame, parts: int) -> DataFrame:
-    """Ranges of rows with about equally many entries, a record each: row numbers, where each row begins, columns, values."""
-    pos = F.col("pos") if "pos" in a.columns else F.col("col")
-    entries = a.select(F.col("row").cast("long").alias("row"), pos.cast("long").alias("pos"), F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if found:
-            table = pa.Table.from_batches(found)
-            row, col, val = (table[c].to_numpy() for c in ("row", "col", "val"))
-            heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (row[heads], heads, col, val)], ["rows", "heads", "col", "val"])
-
-    return entries.repartitionByRange(parts, "row").sortWithinPartitions("row", "pos", "col").mapInArrow(pack, "rows binary, heads binary, col binary, val binary")
+ENTRIES = pa.schema([("row", pa.int64()), ("pos", pa.int64()), ("col", pa.int64()), ("val", pa.float64())])
 
 
-def _blocks(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
+def _barrier(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
     spark = a.sparkSession
-    # A cached block that is lost with its executor is made again from the written matrix.
-    packed = _packed(a, tasks or max(1, min(a.count() // BLOCK_ENTRIES, spark.sparkContext.defaultParallelism, n))).persist()
-
-    def product(x: np.ndarray, shift: int) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(x)
-
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                z = []
-                for heads, col, val in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)]):
-                    z.append(np.add.reduceat(np.frombuffer(val) * sent.value[np.frombuffer(col, np.int64)], np.frombuffer(heads, np.int64)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["rows", "z"])
-
-        y = np.zeros(n)
-        for rows, z in packed.mapInArrow(multiply, "rows binary, z binary").collect():
-            y[(np.frombuffer(rows, np.int64) + shift) % n] = np.frombuffer(z)
-        sent.destroy()
-        return y
-
-    def scaled(x: np.ndarray) -> np.ndarray:
-        size = np.sqrt(x @ x)
-        return x * (1 / size) if size > 0 else x
-
-    begin = x0.toPandas()  # at most BLOCK_ROWS rows
-    x = np.zeros(n)
-    x[begin["i"].to_numpy(np.int64)] = begin["v"].to_numpy()
-    x = scaled(x)
-    for k in range(iterations):
-        x = scaled(product(x, shift_at(k, n, epoch)))
-    last = final_shift(n, iterations, epoch)
-    value = float(x @ product(x, last))
-    packed.unpersist()
-    vector = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "v": x}), "i long, v double")
-    return Iterated(vector, spark.createDataFrame([(value, last)], "rayleigh double, final_row_shift long"))
+    counts = a.groupBy("row").agg(F.count(F.lit(1)).alias("k"))
+    parts = tasks or max(1, min(a.count() // BLOCK_ENTRIES, spark.sparkContext.defaultParallelism))
+    every = spark.range(n).select(F.col("id").alias("row")).join(counts, "row", "left").select("row", F.coalesce("k", F.lit(0)).alias("k"))
+    bounds = part_bounds(every, "row", "k", parts, n)
+    pos = F.col("pos") if "pos" in a.columns else F.col("col")
+    entries = a.select(F.col("row").cast("long").alias("row"), pos.cast("long").alias("pos"), F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val"))
+    x = x0
+    for at in range(0, iterations, SAVED) or [0]:
+        last = min(iterations, at + SAVED)
+        x = materialize(_stage(entries, x, n, bounds, at, last, epoch, last == iterations), "power")
+    value = exact_sums(x.select((F.col("v") * F.col("z")).alias("t")), "t").select(F.col("total").alias("rayleigh"), F.lit(final_shift(n, iterations, epoch)).cast("long").alias("final_row_shift"))
+    return Iterated(x.select("i", "v"), value)
+
+
+def _stage(entries: DataFrame, x: DataFrame, n: int, bounds: list[int], first: int, last: int, epoch: int, product: bool) -> DataFrame:
+    """Iterations first to last in one barrier stage: i, v, and z = shift(A) v by the last rotation if product."""
+    # The vector comes to the tasks as entries before all others of their rows.
+    none = F.lit(-1).cast("long")
+    given = x.select(F.col("i").cast("long").alias("row"), none.alias("pos"), none.alias("col"), F.col("v").cast("double").alias("val"))
+    dealt = repartition_by_bounds(entries.unionByName(given), "row", bounds).sortWithinPartitions("row", "pos", "col")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Ring(BarrierTaskContext.get(), bounds) as ring:
+            low, high = bounds[ring.rank], bounds[ring.rank + 1]
+            row, pos, col, val = (c.to_numpy() for c in pa.Table.from_batches(batches, ENTRIES).columns)
+            if len(row) and not low <= row[0] <= row[-1] < high:
+                raise ValueError(f"rows {row[0]} to {row[-1]} came to the task of rows {low} to {high - 1}")
+            x = np.zeros(n)
+            x[row[pos < 0]] = val[pos < 0]
+            row, col, val = row[pos >= 0], col[pos >= 0], val[pos >= 0]
+            heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+            ring.gather(x)
+
+            def product_of(x: np.ndarray, shift: int) -> np.ndarray:
+                """shift(A) x: sums of this task's rows, then those of the others."""
+                y = np.zeros(n)
+                if len(row):
+                    y[row[heads]] = np.add.reduceat(val * x[col], heads)
+                ring.gather(y)
+                return np.roll(y, shift)
+
+            def scaled(x: np.ndarray) -> np.ndarray:
+                size = np.sqrt(np.sum(x * x))  # over the whole vector in each task, so the same however rows are dealt
+                return x * (1 / size) if size > 0 else x
+
+            x = x if first else scaled(x)
+            for k in range(first, last):
+                x = scaled(product_of(x, shift_at(k, n, epoch)))
+            z = product_of(x, final_shift(n, last, epoch)) if product else x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(x[low:high]), pa.array(z[low:high])], ["i", "v", "z"])
+
+    # Spark starts a barrier stage again only if a shuffle follows it.
+    return dealt.mapInArrow(run, "i long, v double, z double", barrier=True).repartition(len(bounds) - 1, "i")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from rotaspark.functions.bits import element_mark, whole_mark
+from rotaspark.functions.bits import LEAST, MANTISSA, whole_mark, with_bits, with_mix, with_parts
 
 #: A vector of at most so many rows may be broadcast (16 bytes each: 32 MB).
 BROADCAST_ROWS = 2_000_000
@@ -33,6 +35,42 @@ def spmv_ordered(rows: DataFrame, x: DataFrame, n: int, shift: int = 0) -> DataF
     return terms.select(((F.col("row") + shift) % n).cast("long").alias("i"), F.aggregate("terms", F.lit(0.0), lambda s, e: s + e["t"]).alias("v"))
 
 
+#: Bits of the pieces that a mantissa is summed in: 2**45 values fit a sum.
+LIMB = 18
+
+
+@F.pandas_udf(DoubleType())
+def _rounded(bins: pd.Series) -> pd.Series:
+    """The double nearest to the sum of (lo + mid 2**18 + hi 2**36) 2**(e - 52); at most one entry an exponent."""
+
+    def nearest(found) -> float:
+        low = min((b["e"] for b in found), default=0)
+        total = sum((int(b["lo"]) + (int(b["mid"]) << LIMB) + (int(b["hi"]) << 2 * LIMB)) << (b["e"] - low) for b in found)
+        k = low - MANTISSA
+        try:
+            return float(total << k) if k >= 0 else total / (1 << -k)  # a quotient of whole numbers is rounded once
+        except OverflowError:
+            return float("inf") if total > 0 else float("-inf")
+
+    return bins.map(nearest)
+
+
+def exact_sums(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """keys, total: the sum of a double without any error but the last rounding, whatever the order and partitions.
+
+    Values are whole mantissas times powers of two; mantissas are summed by exponent,
+    in pieces that cannot overflow, before the shuffle and after it.  Nulls are left
+    out, an empty sum is null (without keys a row of null), infinities and NaN add as usual.
+    """
+    parts = with_parts(df.select(*keys, F.col(value).cast("double").alias("__v")), "__v", "__p")
+    sign, m = F.when(F.col("__v") < 0, -1).otherwise(1), F.col("__p_m")
+    piece = lambda k: (sign * F.shiftright(m, k * LIMB).bitwiseAND(F.lit(2**LIMB - 1))).cast("long")
+    odd = F.when(F.col("__p_e").isNull(), F.col("__v"))
+    bins = parts.filter("__v is not null").groupBy(*keys, F.coalesce("__p_e", F.lit(LEAST)).alias("e")).agg(*[F.coalesce(F.sum(piece(k)), F.lit(0)).alias(c) for k, c in enumerate(("lo", "mid", "hi"))], F.sum(odd).alias("__odd"))
+    whole = bins.groupBy(*keys).agg(F.collect_list(F.struct("e", "lo", "mid", "hi")).alias("__bins"), F.sum("__odd").alias("__odd"), F.count(F.lit(1)).alias("__some"))
+    return whole.select(*keys, F.when(F.col("__some") > 0, F.coalesce("__odd", _rounded("__bins"))).alias("total"))
+
+
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: dot."""
     return a.join(b.withColumnRenamed("v", "w"), "i").agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("dot"))
@@ -45,8 +83,27 @@ def l2_norm(x: DataFrame) -> DataFrame:
 
 def normalize(x: DataFrame) -> DataFrame:
     """x scaled to unit length; a zero vector stays.  x is read twice: give a cheap or a written one."""
+    return _scaled(x, l2_norm(x))
+
+
+def exact_dot(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: dot, the rounded products summed without error."""
+    return exact_sums(a.join(b.withColumnRenamed("v", "w"), "i").select((F.col("v") * F.col("w")).alias("t")), "t").select(F.coalesce("total", F.lit(0.0)).alias("dot"))
+
+
+def exact_norm(x: DataFrame) -> DataFrame:
+    """One row: norm, the rounded squares summed without error."""
+    return exact_sums(x.select((F.col("v") * F.col("v")).alias("t")), "t").select(F.coalesce(F.sqrt("total"), F.lit(0.0)).alias("norm"))
+
+
+def normalize_exactly(x: DataFrame) -> DataFrame:
+    """x scaled to unit length with the same bits however its rows are dealt; a zero vector stays."""
+    return _scaled(x, exact_norm(x))
+
+
+def _scaled(x: DataFrame, norm: DataFrame) -> DataFrame:
     scaled = F.when(F.col("norm") > 0, F.col("v") * (F.lit(1.0) / F.col("norm"))).otherwise(F.col("v"))
-    return x.join(F.broadcast(l2_norm(x))).select("i", scaled.alias("v"))  # one row is broadcast
+    return x.join(F.broadcast(norm)).select("i", scaled.alias("v"))  # one row is broadcast
 
 
 def normalize_rows(a: DataFrame) -> DataFrame:
@@ -62,7 +119,8 @@ def rayleigh(a: DataFrame, x: DataFrame, n: int, shift: int) -> DataFrame:
 
 def checksum(x: DataFrame) -> DataFrame:
     """One row: the xor over i of mix(bits(v) ^ mix(i)), in lower-case hex without leading zeros."""
-    terms = x.select(element_mark(F.col("i").cast("long"), F.col("v").cast("double")).alias("t"))
+    terms = with_mix(with_bits(x.select(F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v")), "v", "bits"), "i", "t")
+    terms = with_mix(terms.select(F.col("bits").bitwiseXOR(F.col("t")).alias("t")), "t", "t")
     return terms.agg(F.lower(F.hex(F.coalesce(F.bit_xor("t"), F.lit(0).cast("long")))).alias("checksum"))
 
 

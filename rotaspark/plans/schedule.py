@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ITERATIONS, EPOCH = 500, 25
@@ -72,6 +72,28 @@ def balanced_parts(counts: DataFrame, key: str, value: str, parts: int, n: int)
     return spans.filter(F.col("part") < p)
 
 
+def part_bounds(counts: DataFrame, key: str, value: str, parts: int, n: int) -> list[int]:
+    """Where the balanced parts begin, and n: parts + 1 numbers."""
+    return [r.lo for r in balanced_parts(counts, key, value, parts, n).orderBy("part").collect()] + [n]
+
+
+def part_of(key: Column, bounds: list[int]) -> Column:
+    """The part k with bounds[k] <= key < bounds[k + 1], by bisection; empty parts take nothing."""
+
+    def between(low: int, high: int) -> Column:
+        if high - low == 1:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], between(low, middle)).otherwise(between(middle, high))
+
+    return between(0, len(bounds) - 1)
+
+
+def repartition_by_bounds(df: DataFrame, key: str, bounds: list[int]) -> DataFrame:
+    """df with the rows of part k in partition k, whatever the keys' spread: no sample, no hash."""
+    return df.repartitionById(len(bounds) - 1, part_of(F.col(key), bounds).cast("int"))
+
+
 def grain_chunks(n: int, parts: int, grain: int | None = None) -> tuple[int, int]:
     """(rows a chunk, chunks): n / (8 parts) rows, at least one, unless grain says otherwise."""
     g = grain or max(1, n // (8 * max(1, parts)))

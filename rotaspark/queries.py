@@ -271,6 +271,15 @@ def l_power_500(spark, sf_dir):
     return x.join(names, "i").select("i", "n_name", F.round("v", 8).alias("v"), F.row_number().over(Window.orderBy(F.desc("v"), "i")).alias("place"))
 
 
+FINAL = sql_mix(sql_mix("(SELECT i, round(v * 1000000)::BIGINT::UBIGINT AS w, i::UBIGINT AS y FROM last)", "y", "m0"), "xor(w, m0)", "t")
+
+
+@query(f"{TRADE_500} SELECT {sql_signed('bit_xor(t)')} AS checksum FROM {FINAL}")
+def l_power_checksum(spark, sf_dir):
+    """The checksum of the final vector in millionths."""
+    return linear.whole_checksum(power_iterate(_trade(spark, sf_dir), generated.raw_vector(spark, NATIONS), NATIONS).x)
+
+
 @query(f"{TRADE_500} SELECT round(sum(val * p.v * q.v), 8) AS rayleigh, max(shift)::BIGINT AS final_row_shift FROM a JOIN last p ON a.col = p.i JOIN final ON true JOIN last q ON (a.row + shift) % 25 = q.i")
 def l_rayleigh_500(spark, sf_dir):
     found = power_iterate(_trade(spark, sf_dir), generated.raw_vector(spark, NATIONS), NATIONS).result
@@ -289,9 +298,46 @@ def l_power_generated(spark, sf_dir):
     return x.select("i", F.round("v", 9).alias("v"))
 
 
-@query()
+def sql_whole(x: str, places: int = 53) -> str:
+    """The double nearest to the sum of x, which are multiples of 2**-places: whole numbers are summed, and rounded once."""
+    s = f"sum(({x} * 2.0::DOUBLE ** {places})::HUGEINT)"
+    return f"(({s} >> 40)::DOUBLE * 2.0::DOUBLE ** 40 + ({s} & 1099511627775)::DOUBLE) / 2.0::DOUBLE ** {places}"
+
+
+def sql_bits(v: str) -> str:
+    """The bits of a positive double from its exponent and mantissa."""
+    e = f"(floor(log2({v})) + CASE WHEN {v} >= 2.0::DOUBLE ** (floor(log2({v})) + 1) THEN 1 WHEN {v} < 2.0::DOUBLE ** floor(log2({v})) THEN -1 ELSE 0 END)"
+    return f"((({e} + 1023)::UBIGINT << 52) | (({v} * 2.0::DOUBLE ** (52 - {e}))::UBIGINT & 4503599627370495::UBIGINT))"
+
+
+MARKS = sql_mix(sql_mix(f"(SELECT i, {sql_bits('v')} AS bits, i::UBIGINT AS y FROM unit)", "y", "m0"), "xor(bits, m0)", "t")
+
+
+@query(f"""WITH {PRICES}, norm AS (SELECT sqrt({sql_whole('v * v')}) AS d FROM p), unit AS (SELECT i, v * (1.0::DOUBLE / d) AS v FROM p, norm)
+SELECT lower(hex(bit_xor(t))) AS checksum FROM {MARKS}""")
 def l_checksum_bits(spark, sf_dir):
-    return linear.checksum(linear.normalize(_prices(spark, sf_dir)[0]))
+    """The bits of the parts' prices as a unit vector, whose norm has no error but the last rounding."""
+    return linear.checksum(linear.normalize_exactly(_prices(spark, sf_dir)[0]))
+
+
+@query(f"WITH {PRICES} SELECT {sql_whole('p.v * q.v', 64)} AS dot FROM p JOIN q USING (i)")
+def l_dot_exact(spark, sf_dir):
+    return linear.exact_dot(*_prices(spark, sf_dir))
+
+
+@query(f"WITH {PRICES} SELECT sqrt({sql_whole('v * v')}) AS norm FROM p")
+def l_norm_exact(spark, sf_dir):
+    return linear.exact_norm(_prices(spark, sf_dir)[0])
+
+
+REVENUE = "SELECT l_suppkey, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem"
+
+
+@query(f"SELECT l_suppkey, {sql_whole('revenue', 52)} AS total FROM ({REVENUE}) GROUP BY 1")
+def l_sum_exact(spark, sf_dir):
+    """Each supplier's revenue, the same bits for any order and number of tasks."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    return linear.exact_sums(lines, "revenue", "l_suppkey")
 
 
 WHOLE = sql_mix(f"(SELECT i, w, {{m}} AS m0 FROM {{src}})".format(m="m0", src=sql_mix(f"(SELECT p_partkey AS i, round(p_retailprice * 100)::BIGINT::UBIGINT AS w, p_partkey::UBIGINT AS y FROM part)", "y", "m0")), "xor(w, m0)", "t")

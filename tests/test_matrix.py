@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -6,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rotaspark.functions.bits import GAMMA, MASK, MULTIPLIERS, draw, mix, mixed, unit, units
-from rotaspark.operators import linear, roofline
+from rotaspark.functions.bits import GAMMA, MASK, MULTIPLIERS, draw, mix, mixed, unit, units, with_bits, with_mix
+from rotaspark.operators import iterate, linear, roofline
 from rotaspark.operators.iterate import power_iterate
 from rotaspark.plans import schedule
 from rotaspark.plans.pattern import Pattern, validate
@@ -94,7 +97,7 @@ def test_strategies_agree(spark):
     a = generated.matrix(spark, n, 200).cache()
     x0 = generated.raw_vector(spark, n)
     value, want = plain_run(a.collect(), [r.v for r in x0.orderBy("i").collect()], n, 7, 3)
-    for s in ("blocks", "join"):
+    for s in ("barrier", "join"):
         found = power_iterate(a, x0, n, 7, 3, s)
         row = found.result.first()
         assert math.isclose(row.rayleigh, value, rel_tol=1e-9) and row.final_row_shift == schedule.final_shift(n, 7, 3)
@@ -102,14 +105,129 @@ def test_strategies_agree(spark):
     with pytest.raises(ValueError):
         power_iterate(a, x0, n, strategy="other")
     with pytest.raises(ValueError):
-        power_iterate(a, x0, 10**9, strategy="blocks")
+        power_iterate(a, x0, 10**9, strategy="barrier")
+
+
+def test_bits_do_not_depend_on_tasks(spark):
+    n = 300
+    a = generated.matrix(spark, n, 4000)
+    runs = [power_iterate(a, generated.raw_vector(spark, n), n, 60, 25, "barrier", tasks) for tasks in (1, 3, 8)]
+    assert len({linear.checksum(r.x).first().checksum for r in runs}) == 1
+    assert len({r.result.first().rayleigh for r in runs}) == 1
+
+
+def test_barrier_stages_go_on_where_the_last_ended(spark, monkeypatch):
+    n = 40
+    a, x0 = generated.matrix(spark, n, 200), generated.raw_vector(spark, n)
+    once = power_iterate(a, x0, n, 23, 4, "barrier", 3)
+    monkeypatch.setattr(iterate, "SAVED", 5)
+    often = power_iterate(a, x0, n, 23, 4, "barrier", 2)
+    assert once.result.first() == often.result.first()
+    assert sorted(map(tuple, once.x.collect())) == sorted(map(tuple, often.x.collect()))
+
+
+LOST = """
+import os, sys
+from pyspark import BarrierTaskContext
+from pyspark.sql import SparkSession
+from rotaspark.operators import iterate, linear
+from rotaspark.operators.ring import Ring
+from rotaspark.sources import generated
+
+marker = sys.argv[1]
+
+class OnceLost(Ring):
+    rounds = 0
+
+    def gather(self, y):
+        self.rounds += 1
+        if self.rank == 1 and self.rounds == 9 and not os.path.exists(marker):
+            open(marker, "w").close()
+            os._exit(1)
+        super().gather(y)
+
+spark = SparkSession.builder.master("local[4, 4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+a, x0 = generated.matrix(spark, 40, 200), generated.raw_vector(spark, 40)
+if sys.argv[2] == "lost":
+    iterate.Ring = OnceLost
+found = iterate.power_iterate(a, x0, 40, 23, 4, "barrier", 3)
+print("SUM", linear.checksum(found.x).first().checksum)
+"""
+
+
+def test_a_lost_worker_costs_a_stage_only(tmp_path):
+    """A worker dies in the middle of the exchange; the stage starts again and gives the same bits."""
+    sums = []
+    for how in ("whole", "lost"):
+        script = tmp_path / "lost.py"
+        script.write_text(LOST.replace("from rotaspark", "sys.path.insert(0, %r)\nfrom rotaspark" % os.getcwd(), 1))
+        run = subprocess.run([sys.executable, str(script), str(tmp_path / "marker"), how], capture_output=True, text=True, timeout=300)
+        sums += [x for x in run.stdout.splitlines() if x.startswith("SUM")] or [run.stderr[-2000:]]
+    assert (tmp_path / "marker").exists() and sums[0] == sums[1] and sums[0].startswith("SUM")
+
+
+def test_rows_by_balanced_bounds(spark):
+    sizes = [5, 0, 0, 9, 1, 1, 1, 3, 20, 0, 2, 7, 7, 7]
+    rows = spark.createDataFrame([(i, k) for i, size in enumerate(sizes) for k in range(size)], "row long, k int")
+    counts = spark.createDataFrame(list(enumerate(sizes)), "row long, k long")
+    for parts in (1, 3, 5, 9):
+        bounds = schedule.part_bounds(counts, "row", "k", parts, len(sizes))
+        dealt = schedule.repartition_by_bounds(rows, "row", bounds)
+        assert dealt.rdd.getNumPartitions() == parts
+        found = dealt.select(F.spark_partition_id().alias("p"), "row").distinct().collect()
+        assert all(bounds[r.p] <= r.row < bounds[r.p + 1] for r in found) and len(found) == sum(s > 0 for s in sizes)
+        largest = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest <= sum(sizes) / parts + max(sizes)
+
+
+def test_skewed_matrix_is_dealt_evenly(spark):
+    """The first tenth of the rows has over half of the entries."""
+    n, nz = 2000, 60_000
+    a = generated.matrix(spark, n, nz)
+    bounds = schedule.part_bounds(generated.pattern_counts(spark, n, nz), "row", "k", 8, n)
+    sizes = [r["count"] for r in schedule.repartition_by_bounds(a, "row", bounds).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 1.1 * nz / 8
+
+
+SPECIAL = [0.0, -0.0, 1.0, -1.5, 0.1, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1e300, 1e-300, 2.0**52, 2.0**53 + 2, 1 - 2.0**-53, 3.0, float("inf"), float("-inf"), float("nan")]
+
+
+def test_bits_in_columns(spark):
+    rng = np.random.default_rng(3)
+    values = SPECIAL + (rng.standard_normal(500) * 10.0 ** rng.integers(-300, 300, 500)).tolist() + [s * 2.0**k for k in range(-1074, 1024, 7) for s in (1, -1)] + [np.nextafter(2.0**k, 0) for k in range(-1000, 1000, 9)]
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "i long, v double")
+    got = [r.b for r in with_bits(df, "v", "b").orderBy("i").collect()]
+    assert got == np.array(values, np.float64).view(np.int64).tolist()
+    numbers = [0, 1, -1, 2**63 - 1, -(2**63), *rng.integers(-(2**63), 2**63, 500).tolist()]
+    longs = spark.createDataFrame([(k, int(x)) for k, x in enumerate(numbers)], "i long, x long")
+    got = [r.t for r in with_mix(longs, "x", "t").orderBy("i").collect()]
+    assert got == mixed(np.array(numbers, np.int64).view(np.uint64)).view(np.int64).tolist()
+
+
+def test_exact_sums(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "wide": (rng.standard_normal(2000) * 10.0 ** rng.integers(-200, 200, 2000)).tolist(), "cancels": [1e16, 1.0, -1e16, 1e-30, 5e-324], "tiny": [5e-324] * 7, "tie": [1.0, 2.0**-53, 2.0**-53],
+        "inf": [1.0, float("inf")], "nan": [float("inf"), float("-inf")], "zero": [0.0, -0.0], "large": [1.7976931348623157e308, -1.7976931348623157e308, 3.5], "over": [1.7976931348623157e308] * 2,
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None), ("tie", None)], "k string, v double")
+    for parts in (1, 5):
+        got = {r.k: r.total for r in linear.exact_sums(df.repartition(parts), "v", "k").collect()}
+        assert got.pop("over") == float("inf") and math.isnan(got.pop("nan"))
+        assert got == {k: math.fsum(vs) for k, vs in groups.items() if k not in ("over", "nan")}
+    assert linear.exact_sums(df.limit(0), "v").first().total is None
+    x = spark.createDataFrame([(0, 3.0), (1, 4.0)], "i long, v double")
+    assert linear.exact_norm(x).first().norm == 5.0 and linear.exact_dot(x, x).first().dot == 25.0
+    assert sorted(r.v for r in linear.normalize_exactly(x).collect()) == [3 * (1 / 5), 4 * (1 / 5)]
+    assert linear.normalize_exactly(x.withColumn("v", F.lit(0.0))).first().v == 0.0
 
 
 def test_empty_rows_are_zero(spark):
     a = spark.createDataFrame([(0, 1, 1.0), (2, 0, 1.0)], "row long, col long, val double")
     x0 = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0)], "i long, v double")
     want = None
-    for s in ("blocks", "join"):
+    for s in ("barrier", "join"):
         got = power_iterate(a, x0, 3, 2, 25, s)
         x = {r.i: r.v for r in got.x.collect() if r.v}
         want = want or x
