@@ -7,8 +7,9 @@ barrier  one barrier stage for SAVED iterations: a task holds a range of rows wi
          task to task.  For vectors of at most BLOCK_ROWS rows.  Bits of the result
          do not depend on the number of tasks.  A lost executor costs the
          iterations since the vector was written last.
-join     one grouped join an iteration; the vector is written to the shared
-         folder every few of them.  Takes vectors of any length.
+grid     the matrix in blocks of two dimensions, written once; pieces of the vector
+         are joined to them in place.  The vector is written to the shared folder
+         every WRITTEN iterations.  Takes vectors of any length.
 
 `auto` takes barrier where the bound is met and all tasks can run at once.
 """
@@ -24,10 +25,11 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaspark.operators.linear import exact_sums, normalize, rayleigh, spmv
+from rotaspark.operators.grid import Grid
+from rotaspark.operators.linear import exact_dot, exact_sums, normalize, spmv
 from rotaspark.operators.ring import Ring
 from rotaspark.plans.schedule import EPOCH, ITERATIONS, final_shift, part_bounds, repartition_by_bounds, shift_at
-from rotaspark.sources.scratch import materialize
+from rotaspark.sources.scratch import discard, materialize
 
 #: Rows of a vector that every task may hold (8 bytes each).
 BLOCK_ROWS = 10_000_000
@@ -35,8 +37,8 @@ BLOCK_ROWS = 10_000_000
 BLOCK_ENTRIES = 100_000
 #: Iterations of a barrier stage: what a lost executor costs at most.
 SAVED = 250
-#: Iterations of the join between two times the vector is scaled and written: short plans, no overflow.
-JOINED = 5
+#: Iterations over a grid between two times the vector is scaled and written: short plans, no overflow.
+WRITTEN = 5
 
 
 @dataclass
@@ -51,10 +53,10 @@ def power_iterate(a: DataFrame, x0: DataFrame, n: int, iterations: int = ITERATI
     """iterations times y = shift(A) x, x = y / |y|; a is (row, col, val) and may have (pos)."""
     if strategy == "auto":
         fixed = a.sparkSession.conf.get("spark.dynamicAllocation.enabled", "false") != "true"
-        strategy = "barrier" if n <= BLOCK_ROWS and fixed else "join"
-    run = {"join": _join, "barrier": _barrier}.get(strategy)
+        strategy = "barrier" if n <= BLOCK_ROWS and fixed else "grid"
+    run = {"grid": _grid, "barrier": _barrier}.get(strategy)
     if run is None:
-        raise ValueError(f"strategy must be auto, join or barrier, not {strategy!r}")
+        raise ValueError(f"strategy must be auto, grid or barrier, not {strategy!r}")
     if strategy == "barrier" and n > BLOCK_ROWS:
         raise ValueError(f"n = {n} is beyond the bound of strategy {strategy}")
     return run(materialize(a, "matrix"), x0, n, iterations, epoch, tasks)
@@ -71,15 +73,24 @@ def unrolled(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int) -
     return normalize(materialize(x, "power"))
 
 
-def _join(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
-    x = normalize(materialize(x0, "power"))
-    for at in range(0, iterations, JOINED):
-        for k in range(at, min(at + JOINED, iterations)):
-            x = spmv(a, x, n, shift_at(k, n, epoch))
-        x = normalize(materialize(x, "power"))
-    s = final_shift(n, iterations, epoch)
-    x = materialize(x, "power")
-    return Iterated(x, rayleigh(a, x, n, s).withColumn("final_row_shift", F.lit(s).cast("long")))
+def _grid(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:
+    grid = Grid(a, n, (tasks, tasks) if tasks else None)
+    x = materialize(grid.pieces(x0), "power")
+    for at in range(0, iterations, WRITTEN):
+        before, size = x, grid.length(x)
+        for k in range(at, min(at + WRITTEN, iterations)):
+            # Sums are linear, so the length is only needed now and then, against overflow.
+            x = grid.product(x, shift_at(k, n, epoch), 1 / size if k == at and size > 0 else 1.0)
+        x = materialize(x, "power")
+        discard(before)
+    size = grid.length(x)
+    scale = 1 / size if size > 0 else 1.0
+    z = materialize(grid.vector(grid.product(x, final_shift(n, iterations, epoch), scale)), "power")
+    v = materialize(grid.vector(x, scale), "power")
+    discard(x)
+    grid.drop()
+    value = exact_dot(v, z).select(F.col("dot").alias("rayleigh"), F.lit(final_shift(n, iterations, epoch)).cast("long").alias("final_row_shift"))
+    return Iterated(v, value)
 
 
 ENTRIES = pa.schema([("row", pa.int64()), ("pos", pa.int64()), ("col", pa.int64()), ("val", pa.float64())])

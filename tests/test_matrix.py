@@ -10,12 +10,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rotaspark.functions.bits import GAMMA, MASK, MULTIPLIERS, draw, mix, mixed, unit, units, with_bits, with_mix
-from rotaspark.operators import iterate, linear, roofline
+from rotaspark.operators import grid, iterate, linear, roofline
 from rotaspark.operators.iterate import power_iterate
 from rotaspark.plans import schedule
 from rotaspark.plans.pattern import Pattern, validate
 from rotaspark.sources import generated
 from rotaspark.sources.results import merge_configs, scan_config, scan_dump, scan_logs, scan_times, write_config, write_dump
+from rotaspark.sources.scratch import materialize
 
 #: n, nz, seed, mode, smallest and largest row, rayleigh, first element, sum of x after 500 iterations.
 GOLDEN = [
@@ -97,7 +98,7 @@ def test_strategies_agree(spark):
     a = generated.matrix(spark, n, 200).cache()
     x0 = generated.raw_vector(spark, n)
     value, want = plain_run(a.collect(), [r.v for r in x0.orderBy("i").collect()], n, 7, 3)
-    for s in ("barrier", "join"):
+    for s in ("barrier", "grid"):
         found = power_iterate(a, x0, n, 7, 3, s)
         row = found.result.first()
         assert math.isclose(row.rayleigh, value, rel_tol=1e-9) and row.final_row_shift == schedule.final_shift(n, 7, 3)
@@ -167,6 +168,40 @@ def test_a_lost_worker_costs_a_stage_only(tmp_path):
     assert (tmp_path / "marker").exists() and sums[0] == sums[1] and sums[0].startswith("SUM")
 
 
+def test_products_over_a_grid(spark, monkeypatch):
+    """Any number of ranges and small records give the product; the matrix is joined where it lies."""
+    n = 60
+    a = materialize(generated.matrix(spark, n, 700), "matrix")
+    x = generated.raw_vector(spark, n)
+    entries, values = a.collect(), np.array([r.v for r in x.orderBy("i").collect()])
+    for sides, record in (((1, 1), 1000), ((3, 4), 1000), ((5, 2), 7), ((6, 5), 3)):
+        monkeypatch.setattr(grid, "RECORD_ENTRIES", record)
+        g = grid.Grid(a, n, sides)
+        for shift in (0, 17):
+            want = np.zeros(n)
+            np.add.at(want, [(r.row + shift) % n for r in entries], [r.val * values[r.col] * 0.5 for r in entries])
+            y = g.product(g.pieces(x), shift, 0.5)
+            got = {r.i: r.v for r in g.vector(y).collect()}
+            assert got.keys() == set(range(n)) and np.allclose([got[i] for i in range(n)], want, rtol=1e-12)
+            assert math.isclose(g.length(y), np.linalg.norm(want), rel_tol=1e-12)
+        g.drop()
+    g = grid.Grid(a, n, (2, 3))
+    y = g.product(g.pieces(x))
+    y.collect()
+    plan = y._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = plan.split("\n")
+    scan = next(k for k, line in enumerate(lines) if g.name in line or "vals" in line and "FileScan" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, at = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):
+        if depth(line) < at:
+            above.append(line)
+            at = depth(line)
+    until_join = above[: next(k for k, line in enumerate(above) if "Join" in line)]
+    assert not any("Exchange" in line for line in until_join)
+    g.drop()
+
+
 def test_rows_by_balanced_bounds(spark):
     sizes = [5, 0, 0, 9, 1, 1, 1, 3, 20, 0, 2, 7, 7, 7]
     rows = spark.createDataFrame([(i, k) for i, size in enumerate(sizes) for k in range(size)], "row long, k int")
@@ -227,7 +262,7 @@ def test_empty_rows_are_zero(spark):
     a = spark.createDataFrame([(0, 1, 1.0), (2, 0, 1.0)], "row long, col long, val double")
     x0 = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0)], "i long, v double")
     want = None
-    for s in ("barrier", "join"):
+    for s in ("barrier", "grid"):
         got = power_iterate(a, x0, 3, 2, 25, s)
         x = {r.i: r.v for r in got.x.collect() if r.v}
         want = want or x
