@@ -14,7 +14,7 @@ from rotaspark.operators import linear, report, roofline
 from rotaspark.operators.iterate import power_iterate, unrolled
 from rotaspark.plans import schedule
 from rotaspark.plans.pattern import Pattern
-from rotaspark.sources import generated, results, tables
+from rotaspark.sources import formats, generated, results, tables
 from rotaspark.sources.scratch import shared_dir
 from rotaspark.sources.tables import CHECKSUMS_SQL, TIMES_SQL, count, read
 
@@ -147,6 +147,27 @@ def g_matrix_coo(spark, sf_dir):
     return a.withColumn("val", F.round("val", 9))
 
 
+@query(f"""{_matrix_sql()}, a AS (SELECT row, val / sqrt(sum(val * val) OVER (PARTITION BY row)) AS val FROM raw)
+SELECT p_brand, count(*) AS n_entries, round(sum(val), 6) AS weight FROM a JOIN part ON row = p_partkey WHERE row >= (SELECT count(*) FROM part) // 4 AND row < (SELECT count(*) FROM part) // 2 GROUP BY 1""")
+def s_matrix_source(spark, sf_dir):
+    """Entries of the second quarter of the rows by the brand of their part; the data source generates no others."""
+    formats.register(spark)
+    n, nz = count(spark, sf_dir, "part"), count(spark, sf_dir, "lineitem")
+    a = spark.read.format("generated_matrix").options(n=n, nz=nz).load().filter((F.col("row") >= n // 4) & (F.col("row") < n // 2))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), "p_brand")
+    return a.join(part, "row").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_entries"), F.round(F.sum("val"), 6).alias("weight"))
+
+
+@query(f"WITH {VECTOR} SELECT c_mktsegment, count(*) AS n_elements, round(sum(v), 6) AS total, round(sum(v * c_acctbal), 2) AS weighted FROM vec JOIN customer ON i = c_custkey WHERE i >= (SELECT count(*) FROM customer) // 2 GROUP BY 1")
+def s_vector_source(spark, sf_dir):
+    """Draws for the second half of the customers by their segment."""
+    formats.register(spark)
+    n = count(spark, sf_dir, "customer")
+    x = spark.read.format("generated_vector").options(n=n).load().filter(F.col("i") >= n // 2)
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), "c_mktsegment", "c_acctbal")
+    return x.join(customers, "i").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_elements"), F.round(F.sum("v"), 6).alias("total"), F.round(F.sum(F.col("v") * F.col("c_acctbal")), 2).alias("weighted"))
+
+
 @query(f"WITH {PATTERN} SELECT count(*) AS rows, sum(nnz)::BIGINT AS total_nnz, min(nnz)::BIGINT AS min_nnz, max(nnz)::BIGINT AS max_nnz, round(sum(nnz)::DOUBLE / count(*), 3) AS avg_nnz FROM pattern")
 def g_matrix_stats(spark, sf_dir):
     n, nz = count(spark, sf_dir, "part"), count(spark, sf_dir, "lineitem")
