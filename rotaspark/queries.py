@@ -14,7 +14,7 @@ from rotaspark.operators import linear, report, roofline
 from rotaspark.operators.iterate import power_iterate, unrolled
 from rotaspark.plans import schedule
 from rotaspark.plans.pattern import Pattern
-from rotaspark.sources import formats, generated, results, tables
+from rotaspark.sources import cells, formats, generated, results, tables
 from rotaspark.sources.scratch import shared_dir
 from rotaspark.sources.tables import CHECKSUMS_SQL, TIMES_SQL, count, read
 
@@ -715,6 +715,56 @@ def s_config_scan(spark, sf_dir):
     return found.select("key", F.array_join("values", " ").alias("joined"))
 
 
+SAMPLES = f"""WITH {TIMES_SQL}, given AS (SELECT src, tag, n, nz, threads, rep, round(time_sec, 6) AS time_sec, CASE WHEN rep % 4 <> 0 THEN '0x' || lower(hex(rep)) END AS checksum FROM times)"""
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    checksum = F.when(F.col("rep") % 4 != 0, F.concat(F.lit("0x"), F.lower(F.hex("rep"))))
+    name = F.format_string("%s_n%d_nz%d_t%d", "tag", "n", "nz", "threads")
+    return _times(spark, sf_dir).select("src", "tag", "threads", name.alias("run"), "rep", F.round("time_sec", 6).alias("time_sec"), checksum.alias("checksum"))
+
+
+@query(f"""{SAMPLES}, again AS (SELECT * FROM given WHERE src = 'run1' AND threads <= 4), more AS (SELECT * FROM given WHERE src = 'run2' AND tag = 'view'),
+kept AS (SELECT * FROM given WHERE src = 'run0' AND (tag, n, nz, threads) NOT IN (SELECT (tag, n, nz, threads) FROM again)),
+now AS (SELECT *, 1 AS step FROM kept UNION ALL SELECT *, 2 FROM again UNION ALL SELECT *, 3 FROM more)
+SELECT tag, n, nz, threads, count(*) AS n_samples, count(time_sec) AS n_times, round(sum(time_sec), 4) AS total, arg_max_null(checksum, (step, rep)) AS checksum FROM now GROUP BY ALL""")
+def s_cell_rerun(spark, sf_dir):
+    """Cells of one source written, half of them run again, some repeated further, and scanned."""
+    path, given = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}", _samples(spark, sf_dir)
+    cells.replace_cells(given.filter("src = 'run0'"), path)
+    cells.replace_cells(given.filter("src = 'run1' and threads <= 4"), path)
+    cells.append_cells(given.filter("src = 'run2' and tag = 'view'"), path)
+    key = ["tag", "n", "nz", "threads"]
+    times = cells.scan_cells(spark, path).groupBy(*key).agg(F.count(F.lit(1)).alias("n_samples"), F.count("time_sec").alias("n_times"), F.round(F.sum("time_sec"), 4).alias("total"))
+    return times.join(cells.scan_checksums(spark, path).select(*key, "checksum"), key)
+
+
+@query(f"""{SAMPLES}, first AS (SELECT * FROM given WHERE src = 'run0' AND threads > 2)
+SELECT DISTINCT tag, n, nz, threads FROM given LEFT JOIN (SELECT tag, n, nz, threads, count(time_sec) AS k FROM first GROUP BY ALL) USING (tag, n, nz, threads) WHERE coalesce(k, 0) < 20""")
+def s_cells_unfinished(spark, sf_dir):
+    """The cells that a second start has to run again: fewer than twenty times in the files."""
+    path, given = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}", _samples(spark, sf_dir)
+    cells.replace_cells(given.filter("src = 'run0' and threads > 2"), path)
+    left = cells.unfinished_cells(spark, path, given, 20)
+    found = results.dimensions(F.col("run"))
+    return left.select(*[found[k].alias(k) for k in ("tag", "n", "nz", "threads")])
+
+
+@query(f"""WITH {TIMES_SQL}, v AS (SELECT DISTINCT 'SIZES' AS key, n AS v FROM times WHERE threads <= 8 UNION SELECT 'THREADS', threads FROM times WHERE src <> 'run2' UNION SELECT 'CHUNKS', max(chunks) FROM times WHERE src = 'run1' UNION SELECT 'RANKS', max(ranks) FROM times WHERE src = 'run0')
+SELECT key, string_agg(v::VARCHAR, ' ' ORDER BY v) AS joined FROM v GROUP BY 1""")
+def s_config_merge(spark, sf_dir):
+    """Settings of two sources merged into one file, which is replaced whole each time."""
+    times, path = _times(spark, sf_dir), f"{shared_dir(spark)}/settings-{uuid.uuid4().hex}.env"
+
+    def settings(rows: DataFrame, last: str) -> DataFrame:
+        parts = [rows.filter("threads <= 8").select(F.lit("SIZES").alias("key"), F.col("n").cast("string").alias("v")), rows.select(F.lit("THREADS"), F.col("threads").cast("string")), rows.agg(F.max(last).cast("string").alias("v")).select(F.lit(last.upper()), "v")]
+        return parts[0].union(parts[1]).union(parts[2]).groupBy("key").agg(F.collect_set("v").alias("values"))
+
+    cells.merge_config(settings(times.filter("src = 'run0'"), "ranks"), path, "SIZES", "THREADS")
+    cells.merge_config(settings(times.filter("src = 'run1'"), "chunks"), path, "SIZES", "THREADS")
+    return results.scan_config(spark, path).select("key", F.array_join("values", " ").alias("joined"))
+
+
 @query(f"""WITH {TIMES_SQL} SELECT rep, tag, n, nz, threads, CASE WHEN rep % 2 = 0 THEN ranks END AS ranks, CASE WHEN rep % 2 = 0 THEN chunks END AS chunks,
   CASE WHEN rep % 2 = 0 AND chunks IS NOT NULL THEN 'overlap' WHEN rep % 2 = 0 THEN 'block' END AS variant FROM times""")
 def s_name_parse(spark, sf_dir):

@@ -149,11 +149,6 @@ def log_text(title: Column, rows: Column, total_nnz: Column, min_nnz: Column, ma
     return F.concat_ws("\n", title, stats, F.concat(F.lit("generation_time_sec="), F.format_string("%.3f", generation_sec)), F.lit(""), F.when(seconds.isNotNull(), end))
 
 
-def append_times(times: DataFrame, path: str) -> None:
-    """Add samples to a table of measurements."""
-    times.write.mode("append").parquet(path)
-
-
 def latest_checksums(runs: DataFrame, *keys: str) -> DataFrame:
     """keys, checksum: the last repetition's, whether or not it has one."""
     return runs.groupBy(*keys).agg(F.max_by("checksum", "rep").alias("checksum"))
