@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotaspark.operators.grid import Grid
-from rotaspark.operators.linear import exact_dot, exact_sums, normalize, spmv
+from rotaspark.operators.linear import exact_dot, exact_sums, normalize, spmv, spmv_measured
 from rotaspark.operators.ring import Ring
 from rotaspark.plans.schedule import EPOCH, ITERATIONS, final_shift, part_bounds, repartition_by_bounds, shift_at
 from rotaspark.sources.scratch import discard, materialize
@@ -63,14 +63,18 @@ def power_iterate(a: DataFrame, x0: DataFrame, n: int, iterations: int = ITERATI
 
 
 def unrolled(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int) -> DataFrame:
-    """A few iterations as one lazy plan over a, which is written first.
+    """A few iterations as one plan over a, which is written first.
 
-    The norm is taken once at the end: it is linear in the steps before it.
+    The norm is taken once, while the last product is written: it is linear in the
+    steps before it.
     """
     a, x = materialize(a, "matrix"), x0
-    for k in range(iterations):
+    for k in range(iterations - 1):
         x = spmv(a, x, n, shift_at(k, n, epoch))
-    return normalize(materialize(x, "power"))
+    if not iterations:
+        return normalize(x)
+    y, size = spmv_measured(a, x, n, shift_at(iterations - 1, n, epoch))
+    return y.withColumn("v", F.col("v") * F.lit(1 / size)) if size > 0 else y
 
 
 def _grid(a: DataFrame, x0: DataFrame, n: int, iterations: int, epoch: int, tasks: int | None) -> Iterated:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from rotaspark.functions.bits import LEAST, MANTISSA, whole_mark, with_bits, with_mix, with_parts
+from rotaspark.sources.scratch import materialize
 
 #: A vector of at most so many rows may be broadcast (16 bytes each: 32 MB).
 BROADCAST_ROWS = 2_000_000
@@ -28,6 +31,13 @@ def spmv(a: DataFrame, x: DataFrame, n: int, shift: int = 0) -> DataFrame:
     return y.select(((F.col("row") + shift) % n).cast("long").alias("i"), "v")
 
 
+def spmv_measured(a: DataFrame, x: DataFrame, n: int, shift: int = 0) -> tuple[DataFrame, float]:
+    """y = shift(A) x, written to the shared folder, and its length, whose squares are summed while y is written."""
+    squares = Observation()
+    seen = spmv(a, x, n, shift).observe(squares, F.sum(F.col("v") * F.col("v")).alias("squares"))
+    return materialize(seen, "product"), math.sqrt(squares.get["squares"] or 0.0)
+
+
 def spmv_ordered(rows: DataFrame, x: DataFrame, n: int, shift: int = 0) -> DataFrame:
     """The same over (row, pos, col, val), each row summed in the order of pos."""
     met = rows.join(small(x, n).withColumnRenamed("i", "__i"), F.col("col") == F.col("__i"))

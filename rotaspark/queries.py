@@ -13,6 +13,7 @@ from rotaspark.functions import metrics as m
 from rotaspark.operators import linear, report, roofline
 from rotaspark.operators.iterate import power_iterate, unrolled
 from rotaspark.plans import schedule
+from rotaspark.plans.apportion import apportion
 from rotaspark.plans.pattern import Pattern
 from rotaspark.sources import cells, formats, generated, results, tables
 from rotaspark.sources.scratch import shared_dir
@@ -125,6 +126,14 @@ def g_row_ptr(spark, sf_dir):
     return generated.row_pointers(spark, count(spark, sf_dir, "part"), count(spark, sf_dir, "lineitem"))
 
 
+@query(f"""{SHAPE.replace("shape AS", "WITH shape AS", 1)}, weights AS (SELECT p_partkey AS i, n, nz, (p_size * p_size)::HUGEINT AS w FROM part, shape),
+{PATTERN[PATTERN.index("shares AS"):]} SELECT i AS row, nnz::BIGINT AS nnz FROM pattern""")
+def g_pattern_weights(spark, sf_dir):
+    """As many nonzeros as line items, shared out to the parts by the square of their size."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), (F.col("p_size") * F.col("p_size")).alias("w"))
+    return apportion(part, count(spark, sf_dir, "part"), count(spark, sf_dir, "lineitem"))
+
+
 def _matrix_sql() -> str:
     seeds = sql_mix("(SELECT i, n, nnz::BIGINT AS k, (i + 1)::UBIGINT AS x FROM pattern)", "x", "m")
     rows = f"(SELECT i, n, k, xor({u(111)}, m) AS s FROM {seeds})"
@@ -217,6 +226,14 @@ def l_spmv_supply(spark, sf_dir):
     return y.withColumn("v", F.round("v", 8))
 
 
+@query(f"WITH {SUPPLY}, y AS (SELECT row, sum(val * v) AS v FROM s JOIN sx ON col = i GROUP BY row) SELECT row AS i, round(v, 8) AS v, round(v / (SELECT sqrt(sum(v * v)) FROM y), 10) AS unit FROM y")
+def l_spmv_measured(spark, sf_dir):
+    """The same product and its length in one pass."""
+    x = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 10000).alias("v"))
+    y, size = linear.spmv_measured(tables.supply(spark, sf_dir), x, 2**62)
+    return y.select("i", F.round("v", 8).alias("v"), F.round(F.col("v") / F.lit(size), 10).alias("unit"))
+
+
 PRICES = "p AS (SELECT p_partkey AS i, p_retailprice / 1000 AS v FROM part), q AS (SELECT p_partkey AS i, p_size / 50.0::DOUBLE AS v FROM part)"
 
 

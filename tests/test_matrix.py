@@ -13,6 +13,7 @@ from rotaspark.functions.bits import GAMMA, MASK, MULTIPLIERS, draw, mix, mixed,
 from rotaspark.operators import grid, iterate, linear, roofline
 from rotaspark.operators.iterate import power_iterate
 from rotaspark.plans import schedule
+from rotaspark.plans.apportion import apportion, place_of
 from rotaspark.plans.pattern import Pattern, validate
 from rotaspark.sources import generated
 from rotaspark.sources.results import merge_configs, scan_config, scan_dump, scan_logs, scan_times, write_config, write_dump
@@ -287,6 +288,55 @@ def brute_pattern(n, nz):
     return k
 
 
+def shares(weights, units, cap):
+    """One unit after the other."""
+    n, extras, total = len(weights), units - len(weights), max(1, sum(weights))
+    k = [min(extras * w // total, cap - 1) for w in weights]
+    left = extras - sum(k)
+    for i in sorted((i for i in range(n) if extras * weights[i] // total < cap - 1), key=lambda i: (-(extras * weights[i] % total), i))[:left]:
+        k[i] += 1
+    left = extras - sum(k)
+    for i in range(n):
+        add = min(cap - 1 - k[i], left)
+        k[i] += add
+        left -= add
+    return [1 + x for x in k]
+
+
+@pytest.mark.parametrize("bins", [3, 4096])
+def test_apportion(spark, monkeypatch, bins):
+    monkeypatch.setattr(place_of, "__defaults__", (bins,))
+    rng = np.random.default_rng(bins)
+    cases = [([5], 1), ([0, 0, 0], 7), ([1, 1, 1, 1], 6), ([10**12, 1, 10**11, 3], 9), ([7] * 40, 59), ([100, 0, 0, 0, 1], 25), ([9, 1, 1, 1], 16)]
+    cases += [(w := rng.integers(0, 9, n).tolist(), int(rng.integers(n, n * n + 1))) for n in (12, 30)]
+    for weights, units in cases:
+        n = len(weights)
+        df = spark.createDataFrame([(i, int(w)) for i, w in enumerate(weights)], "row long, w long")
+        got = [r.nnz for r in apportion(df, n, units).orderBy("row").collect()]
+        assert got == shares(weights, units, n) and sum(got) == units
+    with pytest.raises(ValueError, match="do not go"):
+        apportion(df, n, n - 1)
+    with pytest.raises(ValueError, match="each row"):
+        apportion(df.filter("row > 0"), n, n)
+
+
+def test_apportioned_classes_are_the_closed_form(spark):
+    n, nz = 300, 5000
+    weight = F.when(F.col("id") < n // 10, F.when(F.col("id") % 16 < 2, 160).otherwise(40)).when(F.col("id") < n // 4, F.when(F.col("id") % 16 == 0, 20).otherwise(10)).when(F.col("id") < 3 * n // 5, 3).otherwise(1)
+    df = spark.range(n).select(F.col("id").alias("row"), weight.alias("w"))
+    assert [r.nnz for r in apportion(df, n, nz).orderBy("row").collect()] == [Pattern(n, nz).nnz(i) for i in range(n)]
+
+
+def test_length_is_taken_while_the_product_is_written(spark):
+    a = spark.createDataFrame([(0, 1, 3.0), (1, 0, 2.0), (2, 2, 0.0)], "row long, col long, val double")
+    x = spark.createDataFrame([(0, 2.0), (1, 1.0), (2, 9.0)], "i long, v double")
+    y, size = linear.spmv_measured(a, x, 3, 1)
+    assert size == 5.0 and {r.i: r.v for r in y.collect()} == {1: 3.0, 2: 4.0, 0: 0.0}
+    last = iterate.unrolled(a, x, 3, 2, 25)
+    assert last._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert linear.spmv_measured(a, x.limit(0), 3)[1] == 0.0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 120), st.data())
 def test_pattern_in_closed_form(n, data):
