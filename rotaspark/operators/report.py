@@ -35,22 +35,24 @@ def _step(x: Column) -> Column:
 def medians(times: DataFrame, *keys: str) -> DataFrame:
     """keys, time: the median of the samples there are, 6 places; null if there are none.
 
-    No task holds a cell: samples are counted by coarse steps, the counts say in
-    which step or two the middle lies, and only these steps' samples are ordered.
+    No task holds a cell: equal samples are counted first, counts by coarse steps say in
+    which step or two the middle lies, and only the values of these steps are ordered.
     """
-    rows = times.select(*keys, F.col("time_sec").alias("__x")).withColumn("__step", F.when(F.col("__x").isNotNull(), _step(F.col("__x"))))
-    counts = rows.groupBy(*keys, "__step").agg(F.count("__x").alias("__n"))
+    values = times.groupBy(*keys, F.col("time_sec").alias("__x")).agg(F.count("time_sec").alias("__n"))
+    values = values.withColumn("__step", F.when(F.col("__x").isNotNull(), _step(F.col("__x"))))
+    counts = values.groupBy(*keys, "__step").agg(F.sum("__n").alias("__n"))
     cell = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("__n").over(cell.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.select(*keys, "__step", "__n", before.alias("__before"), F.sum("__n").over(cell).alias("__total"))
+    upto = lambda order: F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(*keys, "__step", "__n", upto(cell.orderBy("__step")).alias("__upto"), F.sum("__n").over(cell).alias("__total"))
     low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
-    middle = placed.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__n") > low) & (F.col("__total") > 0))
-    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "__step")]
-    met = rows.alias("r").join(middle.alias("m"), same).select(*[f"r.{k}" for k in keys], "__x", "m.__step", "__before", "__total")
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__step").orderBy("__x")) - 1
-    found = met.withColumn("__rank", rank).filter((F.col("__rank") == low) | (F.col("__rank") == high)).select(*keys, "__x")
-    empty = placed.filter("__total = 0").select(*keys, F.lit(None).cast("double").alias("__x"))
-    return found.unionByName(empty).groupBy(*keys).agg(F.round(F.avg("__x"), 6).alias("time"))
+    has = lambda before, after: (before <= high) & (after > low)
+    middle = placed.filter(has(F.col("__upto") - F.col("__n"), F.col("__upto")) | ((F.col("__total") == 0) & F.col("__step").isNull()))
+    middle = middle.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__step").alias("__at"), (F.col("__upto") - F.col("__n")).alias("__before"), "__total")
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys] + [F.col("__step").eqNullSafe(F.col("__at"))]
+    met = values.join(middle, same).withColumn("__upto", F.col("__before") + upto(Window.partitionBy(*keys, "__step").orderBy("__x")))
+    # A value that holds both middle places stands for both.
+    there = has(F.col("__upto") - F.col("__n"), F.col("__upto"))
+    return met.filter(there | F.col("__x").isNull()).groupBy(*keys).agg(F.round(F.avg("__x"), 6).alias("time"))
 
 
 def pooled_baseline(times: DataFrame, tag: str = "seq") -> DataFrame:
