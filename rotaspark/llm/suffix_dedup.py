@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import materialize, read, shuffle_partitions, text_of
+from rotaspark.llm.common import delete, materialize, read, scratch_path, shuffle_partitions, text_of
 
 LENGTH = 50
 GRAM = 24
@@ -289,8 +289,11 @@ def factors_of(anchor: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.nd
     return np.where(ids > ids[first[kind]], _full(size), bits[kind])
 
 
-def blocks_table(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[str, int]:
-    """A bucketed table (block, doc_id, data); its buckets are read in place by every pass."""
+def blocks_table(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[str, str, int]:
+    """A bucketed table (block, doc_id, data) in the shared folder; its buckets are read in place by every pass.
+
+    Its name, its path and the number of blocks.
+    """
     spark = docs.sparkSession
     carried = F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__null")) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "utf-8").alias("data"), carried.alias("carried"))
@@ -298,15 +301,15 @@ def blocks_table(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tu
     n = max(shuffle_partitions(spark), -(-int(size) // BLOCK_BYTES))
     # Copies go to blocks of their own: the id alone decides, with the text's hash for rows that repeat an id.
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("data")), F.lit(n)).cast("int"))
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    rows.repartition(n, "block").write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
-    return name, n
+    name, path = f"suffix_blocks_{uuid.uuid4().hex}", scratch_path(spark, "suffix-blocks")
+    rows.repartition(n, "block").write.option("compression", "zstd").option("path", path).bucketBy(n, "block").saveAsTable(name)
+    return name, path, n
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept (text, without characters cut in two) and carried (the other columns)."""
     spark = docs.sparkSession
-    name, n = blocks_table(docs, id_col, text_col, keep_text)
+    name, path, n = blocks_table(docs, id_col, text_col, keep_text)
     blocks = spark.table(name)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,9 +463,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
         schema += f", kept string, carried {blocks.schema['carried'].dataType.simpleString()}"
-    done = materialize(in_place(found, finish, schema), "suffix-kept")
-    spark.sql(f"DROP TABLE {name}")
-    return done
+    try:
+        return materialize(in_place(found, finish, schema), "suffix-kept")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        delete(spark, path)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

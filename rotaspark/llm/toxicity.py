@@ -29,7 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rotaspark.llm.common import read, text_of
@@ -328,20 +328,18 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | float:
-    """Train on at most train_docs labelled rows of each class outside the fold 1."""
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Network | float:
+    """Train on at most train_docs labelled rows of each class outside the fold 1, and on train_chars characters."""
     marked = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     pool = marked.filter(F.col("doc_id").isNotNull()).filter(fold() != 1).withColumn("__order", F.xxhash64("doc_id", F.lit(3)))
     chosen = pool.filter("__toxic = 1").orderBy("__order").limit(train_docs).unionByName(pool.filter("__toxic = 0").orderBy("__order").limit(train_docs))
     found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * train_docs narrow rows
-    rows = found.select("__order", "doc_id", "__toxic", "text").orderBy("__order", "doc_id", "text").limit(4 * train_docs).collect()
-    kept, chars = [], 0
-    for r in rows:  # in hash order: as many whole texts as the bound on characters admits
-        chars += len(r["text"])
-        if chars > TRAIN_CHARS and kept:
-            break
-        kept.append((r["text"], r["__toxic"]))
-    return train(kept)
+    some = found.select("__order", "doc_id", "__toxic", "text").orderBy("__order", "doc_id", "text").limit(4 * train_docs)
+    # In hash order as many whole texts as the bound on characters admits, one at least; no others come to the driver.
+    order = Window.orderBy("__order", "doc_id", "text")  # 4 * train_docs rows
+    chars = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fit_in = some.select("*", chars.alias("__chars"), F.row_number().over(order).alias("__place")).filter((F.col("__chars") <= train_chars) | (F.col("__place") == 1))
+    return train([(r["text"], r["__toxic"]) for r in fit_in.orderBy("__place").select("text", "__toxic").collect()])
 
 
 def score_documents(docs: DataFrame, net: Network | float, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:

@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 
-from rotaspark.llm.common import read
+from rotaspark.llm import suffix_dedup as sd
+from rotaspark.llm.common import delete, read
 from rotaspark.llm.suffix_dedup import cut_repeats, op4_suffix_dedup, removed_spans
 
 from .util import ODD, frame
@@ -133,3 +135,11 @@ def test_previous_smaller():
                 j -= 1
             want.append(j - 1 if agrees[j] else -1)
         assert previous_smaller(ids, agrees).tolist() == want
+
+
+def test_blocks_lie_in_the_shared_folder_and_go(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sd, "delete", lambda spark, path: (seen.append((path, os.path.isdir(path))), delete(spark, path)))
+    sd.removed_spans(frame(spark, ["a" * 80, "b" * 80, "a" * 80])).collect()
+    assert [there for path, there in seen] == [True] and seen[0][0].startswith(spark.conf.get("spark.checkpoint.dir")) and not os.path.exists(seen[0][0])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_blocks")]

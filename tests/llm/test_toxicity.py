@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from rotaspark.llm import toxicity as tx
 from rotaspark.llm.toxicity import LONGEST, OVERLAP, WINDOW, Network, Scorer, drop_toxic, fit, op10_toxicity, score_documents, train, window_starts, words_of
 
 from .util import ODD, frame
@@ -110,3 +111,15 @@ def test_toxic_term_after_character_40_of_a_run():
     net = train([(run(i % 3 == 0), int(i % 3 == 0)) for i in range(900)])
     y = np.arange(200) % 2 == 0
     assert np.mean((Scorer(net).scores([run(int(t)) for t in y]) >= 0.7) == y) > 0.95
+
+
+def test_only_what_fits_comes_to_the_driver(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(tx, "train", lambda rows: given.append(rows) or 0.5)
+    docs = frame(spark, [c * 100 for c in "abcdefghij"])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    tx.fit(docs, labels)
+    tx.fit(docs, labels, train_chars=350)
+    tx.fit(docs, labels, train_chars=20)
+    whole, part, one = given
+    assert len(whole) == docs.filter(tx.fold() != 1).count() and part == whole[:3] and one == whole[:1]
