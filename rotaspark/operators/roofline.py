@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotaspark.operators.linear import spmv
+from rotaspark.sources.scratch import discard, materialize
+
 #: Measured figures to hold others against (fixed values).
 #: threads, peak GFLOP/s, peak GB/s
 CEILINGS = [(1, 19.6, 9.9), (32, 287.3, 49.2)]
@@ -72,5 +77,42 @@ def scale_model(kernels: DataFrame) -> DataFrame:
     return kernels.withColumn("k2_gflops", F.round(F.when(t > 0, n / t / 1e9), 6)).withColumn("k2_gbs", F.round(F.when(t > 0, 16.0 * n / t / 1e9), 6))
 
 
+def memory_level(kernels: DataFrame) -> DataFrame:
+    """kernels (…, nnz, n) with working_kb, the level of memory that holds it, that level's GB/s, the sweep's GB/s at that size, and the roof.
+
+    The working set is the matrix and both vectors; a level holds it if its size
+    does, and the last of the levels holds anything.  The sweep counts the smallest measured
+    size that is not below it, or its largest one.
+    """
+    kb = F.col("working_kb")
+
+    def first(rows: list[tuple], place: int, value: int) -> Column:
+        """value of the first row whose size at place holds kb; of the last row otherwise."""
+        out = F.lit(rows[-1][value])
+        for row in reversed(rows[:-1]):
+            out = F.when(kb <= row[place], row[value]).otherwise(out)
+        return out
+
+    intensity = spmv_flops(F.col("nnz"), F.col("n")) / spmv_bytes_cached(F.col("nnz"), F.col("n"))
+    sized = kernels.withColumn("working_kb", (12.0 * F.col("nnz") + 16.0 * F.col("n")) / 1024)
+    found = sized.withColumns({"level": first(LEVELS, 2, 0), "level_gbs": first(LEVELS, 2, 1), "sweep_gbs": first(SWEEP, 0, 1)})
+    return found.withColumn("level_roof", attainable(F.lit(CEILINGS[-1][1]), F.col("level_gbs"), intensity))
+
+
+def timed_product(a: DataFrame, x: DataFrame, n: int, reps: int = 3) -> DataFrame:
+    """rep, nnz, n, seconds of the product A x, run so often over the written matrix and vector; its peaks are those of the largest machine measured."""
+    spark = a.sparkSession
+    a, x = materialize(a, "matrix"), materialize(x, "vector")
+    nnz, times = a.count(), []
+    for _ in range(reps):
+        began = time.perf_counter()
+        spmv(a, x, n).write.format("noop").mode("overwrite").save()
+        times.append(time.perf_counter() - began)
+    discard(a)
+    discard(x)
+    _, gflops, gbs = CEILINGS[-1]
+    return spark.createDataFrame([(k + 1, nnz, n, t, gflops, gbs) for k, t in enumerate(times)], "rep int, nnz long, n long, seconds double, peak_gflops double, peak_gbs double")
+
+
 def triad(b: Column, c: Column, s: float = 3.0) -> Column:
     return b + s * c

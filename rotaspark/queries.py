@@ -819,10 +819,36 @@ def _kernels(spark, sf_dir) -> DataFrame:
   round(2.0::DOUBLE * (nnz + n) / (12.0::DOUBLE * nnz + 16 * n), 6) AS ai_cached, round(least(pf, pb * (2.0::DOUBLE * (nnz + n) / (20.0::DOUBLE * nnz + 16 * n))), 6) AS roof, round(pf / pb, 6) AS ridge,
   round((12.0::DOUBLE * nnz + 16 * n) / seconds / 1e9::DOUBLE, 6) AS dram_gbs, CASE WHEN 2.0::DOUBLE * (nnz + n) / (20.0::DOUBLE * nnz + 16 * n) < pf / pb THEN 'memory' ELSE 'compute' END AS bound FROM k""")
 def r_roofline_model(spark, sf_dir):
-    """Each supplier's lines as one kernel run."""
+    """Each supplier's lines as one kernel run; its seconds are an input, here what the lines cost in thousand millions."""
     return roofline.roofline(_kernels(spark, sf_dir)).select("l_suppkey", "gflops", "ai", "ai_cached", "roof", "ridge", "dram_gbs", "bound")
 
 
 @query(f"WITH {KERNELS} SELECT l_suppkey, round(n / seconds / 1e9::DOUBLE, 6) AS k2_gflops, round(16.0::DOUBLE * n / seconds / 1e9::DOUBLE, 6) AS k2_gbs FROM k")
 def r_scale_model(spark, sf_dir):
     return roofline.scale_model(_kernels(spark, sf_dir)).select("l_suppkey", "k2_gflops", "k2_gbs")
+
+
+def sql_first(rows: list[tuple], place: int, value: int, kind: str) -> str:
+    whens = " ".join(f"WHEN kb <= {r[place]}::DOUBLE THEN {r[value]!r}{kind}" for r in rows[:-1])
+    return f"CASE {whens} ELSE {rows[-1][value]!r}{kind} END"
+
+
+@query(f"""WITH c AS (SELECT p_brand, count(*) AS nnz, count(DISTINCT l_partkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+k AS (SELECT *, (12.0::DOUBLE * nnz + 16 * n) / 1024 AS kb FROM c UNION ALL SELECT 'all', sum(nnz), sum(n), (12.0::DOUBLE * sum(nnz) + 16 * sum(n)) / 1024 FROM c),
+w AS (SELECT *, {sql_first(roofline.LEVELS, 2, 0, "")} AS level, {sql_first(roofline.LEVELS, 2, 1, "::DOUBLE")} AS level_gbs, {sql_first(roofline.SWEEP, 0, 1, "::DOUBLE")} AS sweep_gbs FROM k)
+SELECT p_brand, round(kb, 4) AS working_kb, level, level_gbs, sweep_gbs, round(least(287.3::DOUBLE, level_gbs * (2.0::DOUBLE * (nnz + n) / (12.0::DOUBLE * nnz + 16 * n))), 6) AS level_roof FROM w""")
+def r_memory_levels(spark, sf_dir):
+    """The lines of each brand's parts, and all of them, as matrices: which level of memory holds them, and how fast it is."""
+    lines, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    each = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("nnz"), F.countDistinct("l_partkey").alias("n"))
+    every = each.agg(F.lit("all").alias("p_brand"), F.sum("nnz").alias("nnz"), F.sum("n").alias("n"))
+    found = roofline.memory_level(each.unionByName(every))
+    return found.select("p_brand", F.round("working_kb", 4).alias("working_kb"), "level", "level_gbs", "sweep_gbs", F.round("level_roof", 6).alias("level_roof"))
+
+
+@query()
+def r_product_timed(spark, sf_dir):
+    """The model over measured times of the product of ordered quantities and the suppliers' balances."""
+    x = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 10000).alias("v"))
+    runs = roofline.timed_product(tables.supply(spark, sf_dir), x, count(spark, sf_dir, "part"))
+    return roofline.scale_model(roofline.roofline(runs))

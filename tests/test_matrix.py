@@ -463,5 +463,20 @@ def test_measured_figures(spark):
     assert tables["levels"].filter("cache_kb is null").first().level == "DRAM"
 
 
+def test_memory_levels(spark):
+    """12 bytes a nonzero and 16 a row, at the edges of the measured sizes."""
+    sizes = [(0, 128, "L1", 984.5), (0, 129, "L1", 1018.6), (1024, 1280, "L1", 555.3), (1024, 1281, "L2", 357.9), (0, 1310720, "L3", 59.1), (0, 1310721, "DRAM", 59.1), (10**9, 10**6, "DRAM", 59.1)]
+    df = spark.createDataFrame([(k, nnz, n) for k, (nnz, n, _, _) in enumerate(sizes)], "k int, nnz long, n long")
+    rows = roofline.memory_level(df).orderBy("k").collect()
+    assert [(r.level, r.sweep_gbs) for r in rows] == [(level, gbs) for _, _, level, gbs in sizes]
+    assert rows[-1].level_gbs == 51.0 and math.isclose(rows[-1].level_roof, 51.0 * 2 * (10**9 + 10**6) / (12 * 10**9 + 16 * 10**6))
+
+
+def test_model_over_measured_times(spark):
+    a, x = generated.matrix(spark, 50, 400), generated.raw_vector(spark, 50)
+    rows = roofline.roofline(roofline.timed_product(a, x, 50, 2)).collect()
+    assert [r.rep for r in rows] == [1, 2] and all(r.seconds > 0 and r.nnz == 400 and r.gflops == round(900 / r.seconds / 1e9, 6) for r in rows)
+
+
 def test_units_are_below_one():
     assert units(np.array([MASK, 0], np.uint64)).tolist() == [1 - 2.0**-53, 0]
