@@ -118,7 +118,7 @@ def prefix_length(found: dict[int, int], threshold: float = THRESHOLD, recall: f
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """doc_id, node (null without words), n_shingles, sig."""
+    """doc_id, mark (64 bits of the text), node (null without words), n_shingles, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +128,10 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
                 size.append(len(found))
                 node.append(node_of(found) if len(found) else None)
                 sig.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "node", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "mark", "node", "n_shingles", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n_shingles long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, n_shingles long, sig binary")
 
 
 def _block_pairs(df: DataFrame, key: str, blocks: str) -> DataFrame:
@@ -317,14 +317,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     sketched = materialize(sketch(docs, id_col, text_col, words), "near-sketch")
-    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    nodes = materialize(nodes, "near-nodes")
+    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    # The document whose text is read again: ids may be null or repeat, so its text's mark goes with the id.
+    nodes = materialize(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("mark"), "copies", "n_shingles", "sig"), "near-nodes")
     groups = materialize(components(candidate_links(nodes, threshold)), "near-groups")
 
     members = groups.join(nodes.drop("sig"), "node")
     members = salted_groups(members, ["component"], "node", n, sums=("n_shingles",))
     blocks = F.greatest(F.ceil(F.col("group_size") / GROUP), F.ceil(F.col("group_n_shingles") / GROUP_SHINGLES)).cast("long")
-    members = members.select("component", blocks.alias("blocks"), "node", "first_id", "copies")
+    members = members.select("component", blocks.alias("blocks"), "node", "first_id", "mark", "copies")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +335,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield part.filter(pa.array(mine))
 
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text"))
-    fetched = texts.join(members, F.col("__id").eqNullSafe(F.col("first_id"))).select("component", "blocks", "node", "copies", "__text")
+    texts = texts.withColumn("__mark", F.xxhash64("__text"))
+    fetched = texts.join(members, F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__mark") == F.col("mark"))).select("component", "blocks", "node", "copies", "__text")
     fetched = fetched.mapInArrow(sets, "component long, blocks long, node long, copies long, found binary")
     found = materialize(verified(_dealt(_block_pairs(fetched, "component", "blocks"), n), threshold), "near-links")
 

@@ -141,3 +141,12 @@ def test_components(spark):
     for x, y in zip(a, b):
         assert root[x] == root[y]
     assert {2000 + i: 2000 + int(root[i]) for i in range(60) if 2000 + i in want} == {k: v for k, v in want.items() if 2000 <= k < 2060}
+
+
+def test_many_null_ids(spark):
+    """Texts are told apart by more than their ids: pairs of near copies, all without an id."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    docs = frame(spark, [words(k // 2) + (" more" if k % 2 else "") for k in range(120)]).selectExpr("if(doc_id < 110, null, doc_id) doc_id", "text")
+    rows = near_groups(docs).collect()
+    assert len(rows) == 120 and all(r.n_links == 1 for r in rows)
+    assert sorted(r.class_id for r in rows if r.doc_id is not None) == [110 + k // 2 * 2 for k in range(10)]
