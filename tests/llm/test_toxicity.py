@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -37,8 +38,12 @@ def test_gradients():
     kept = net.forward(net.gates(vectors), ids, keep=True)
     grad, dgates = net.backward(ids, kept, weight, 6)
     grad |= {f"b{d}": dgates[d].sum(0) for d in (0, 1)}
-    for name in ("u0", "u1", "a", "o", "b0", "b1"):
-        flat = net.w[name].reshape(-1)
+    grad |= {f"x{d}": vectors.T @ dgates[d] for d in (0, 1)}
+    grad["vectors"] = sum(dgates[d] @ net.w[f"x{d}"].T for d in (0, 1))
+    places = net.w | {"vectors": vectors[1:]}  # row 0 stands for no word
+    grad["vectors"] = grad["vectors"][1:]
+    for name in ("u0", "u1", "a", "o", "b0", "b1", "x0", "x1", "vectors"):
+        flat = places[name].reshape(-1)
         for k in range(0, len(flat), max(1, len(flat) // 7)):
             old = flat[k]
             flat[k] = old + 1e-4
@@ -123,3 +128,45 @@ def test_only_what_fits_comes_to_the_driver(spark, monkeypatch):
     tx.fit(docs, labels, train_chars=20)
     whole, part, one = given
     assert len(whole) == docs.filter(tx.fold() != 1).count() and part == whole[:3] and one == whole[:1]
+
+
+def plain_gru(net, words, vectors, d):
+    """States of one direction, one word and one number after the other."""
+    s, logistic = tx.STATE, lambda x: 1 / (1 + math.exp(-x))
+    x_, u, b = (net.w[f"{k}{d}"].astype(float) for k in "xub")
+    h, states = [0.0] * s, {}
+    for t in range(len(words)) if d == 0 else reversed(range(len(words))):
+        if words[t] is not None:
+            g = [float(sum(vectors[words[t]][k] * x_[k, j] for k in range(tx.WIDTH)) + b[j]) for j in range(3 * s)]
+            z = [logistic(g[j] + sum(h[k] * u[k, j] for k in range(s))) for j in range(s)]
+            r = [logistic(g[s + j] + sum(h[k] * u[k, s + j] for k in range(s))) for j in range(s)]
+            n = [math.tanh(g[2 * s + j] + sum(r[k] * h[k] * u[k, 2 * s + j] for k in range(s))) for j in range(s)]
+            h = [(1 - z[j]) * h[j] + z[j] * n[j] for j in range(s)]
+        states[t] = h
+    return states
+
+
+def test_scores_against_a_plain_forward_pass():
+    """All windows of a text, each with attention over its own words, from the weights alone."""
+    rng = np.random.default_rng(6)
+    net = Network(5)
+    net.table[:] = rng.standard_normal(net.table.shape).astype(np.float32) * 0.3
+    for text in ("one two three", "", " ".join(f"word{k % 7}" for k in range(WINDOW + 5)), "a" * (LONGEST + 9) + " end"):
+        words = words_of(text)
+        found = tx.features([""] + words)
+        vectors = {}
+        for k, w in enumerate(words, 1):
+            grams = found.grams[found.begins[k] : found.begins[k] + found.counts[k]]
+            v = net.table[found.own[k]].astype(float)
+            vectors[w] = v + (sum(net.table[g].astype(float) for g in grams) / math.sqrt(len(grams)) if len(grams) else 0)
+        logits = []
+        for start in window_starts(len(words)):
+            window = [words[i] if i < len(words) else None for i in range(start, start + WINDOW)]
+            both = [plain_gru(net, window, vectors, d) for d in (0, 1)]
+            states = {t: np.array([*both[0][t], *both[1][t]]) for t, w in enumerate(window) if w is not None}
+            score = {t: float(h @ net.w["a"]) for t, h in states.items()}
+            total = sum(math.exp(x) for x in score.values())
+            pooled = sum((math.exp(score[t]) / total * h for t, h in states.items()), np.zeros(2 * tx.STATE))
+            logits.append(float(pooled @ net.w["o"] + net.w["c"][0]))
+        want = 1 / (1 + math.exp(-max(logits)))
+        assert abs(Scorer(net).scores([text])[0] - want) < 1e-4
