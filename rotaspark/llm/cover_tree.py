@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import discard, materialize, read, salted_groups, salted_join, shuffle_partitions, sorted_groups
+from rotaspark.llm.common import discard, materialize, read, salt, salted_groups, salted_join, shuffle_partitions, sorted_groups
 from rotaspark.llm.graph import components, forest
 
 THRESHOLD = 0.98
@@ -151,22 +151,34 @@ def _reach(threshold: float) -> float:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, node, copies, raw, pivots) with the cell of the nearest pivot and the distance to it."""
+    """Sorted rows (cell, salt, node, copies, raw, pivots), a group's pivots before its vectors: the vectors with the cell of the nearest pivot and the distance to it."""
     import xxhash
 
+    key, top, points, names = None, [], np.empty((0, 0)), []
     for batch in batches:
-        cells_, raws, tops = (batch.column(k).to_pylist() for k in (0, 3, 4))
-        cell, apart, centre = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.empty(batch.num_rows, object)
-        by_cell: dict[int, list[int]] = {}
-        for row, c in enumerate(cells_):
-            by_cell.setdefault(c, []).append(row)
-        for c, rows in by_cell.items():
-            top = tops[rows[0]]
-            d = distances(_points([raws[r] for r in rows]), _points(top))
-            names = [xxhash.xxh3_64_intdigest(c.to_bytes(8, "little", signed=True) + t) - 2**63 for t in top]
-            for r, k, x in zip(rows, d.argmin(1).tolist(), d.min(1).tolist()):
-                cell[r], apart[r], centre[r] = names[k], x, top[k]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), *batch.columns[1:4], pa.array(apart), pa.array(centre.tolist(), pa.binary())], ["parent", "cell", "node", "copies", "raw", "apart", "centre"])
+        cells_, salts = (batch.column(k).to_numpy() for k in (0, 1))
+        new = np.append(True, (cells_[1:] != cells_[:-1]) | (salts[1:] != salts[:-1])) if len(cells_) else np.empty(0, bool)
+        begins = np.flatnonzero(new).tolist()
+        for low, high in zip(begins, [*begins[1:], len(cells_)]):
+            part, here = batch.slice(low, high - low), (int(cells_[low]), int(salts[low]))
+            if here != key:
+                key, top = here, part.column(5)[0].as_py()
+                points, names = _points(top), [xxhash.xxh3_64_intdigest(here[0].to_bytes(8, "little", signed=True) + t) - 2**63 for t in top]
+                part = part.slice(1)
+            if part.num_rows:
+                d = distances(_points(part.column(4).to_pylist()), points)
+                near = d.argmin(1).tolist()
+                columns = [part.column(0), pa.array([names[k] for k in near], pa.int64()), *[part.column(k) for k in (2, 3, 4)], pa.array(d.min(1)), pa.array([top[k] for k in near], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["parent", "cell", "node", "copies", "raw", "apart", "centre"])
+
+
+def _moved(vectors: DataFrame, pivots: DataFrame, n: int) -> DataFrame:
+    """Vectors (cell, node, copies, raw) to the nearest of their cell's pivots (cell, pivots), which travel once for each cell and salt."""
+    salted = vectors.select("cell", salt(n, "node").alias("salt"), "node", "copies", "raw", F.lit(None).cast("array<binary>").alias("pivots"))
+    wanted = salted.select("cell", "salt").distinct().join(pivots, "cell")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("node", "long"), ("copies", "long"), ("raw", "binary"))]
+    rows = salted.unionByName(wanted.select("cell", "salt", *none, "pivots")).repartition(n, "cell", "salt")
+    return rows.sortWithinPartitions("cell", "salt", F.asc_nulls_first("node")).mapInArrow(_nearest, PLACED)
 
 
 PLACED = "parent long, cell long, node long, copies long, raw binary, apart double, centre binary"
@@ -185,8 +197,7 @@ def cells(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
     dense = (reach - SLACK) / 2
     roots = nodes.select(F.xxhash64("label", F.length("raw")).alias("cell"), "node", "copies", "raw")
     first = roots.groupBy("cell").agg(F.min_by("raw", "node").alias("centre"))
-    rooted = salted_join(roots, first.select("cell", F.array("centre").alias("pivots")), ["cell"], "node", n).select("cell", "node", "copies", "raw", "pivots")
-    placed = materialize(rooted.mapInArrow(_nearest, PLACED), "cover-cells")
+    placed = materialize(_moved(roots, first.select("cell", F.array("centre").alias("pivots")), n), "cover-cells")
     found = materialize(_summary(placed), "cover-summary")
     pairs = materialize(found.select(F.col("cell").alias("a"), F.col("cell").alias("b")), "cover-pairs")
     for level in range(LEVELS):
@@ -198,7 +209,7 @@ def cells(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
         cut = salted_join(placed.select("cell", "node", "copies", "raw"), large.select("cell", "size", "centre"), ["cell"], "node", n)
         chosen = cut.filter(F.pmod(F.xxhash64("node", F.lit(level)), F.col("size")) < wanted).select("cell", "raw").unionByName(large.select("cell", F.col("centre").alias("raw")))
         pivots = chosen.distinct().groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("raw")), 1, 4 * PIVOTS).alias("pivots"))
-        moved = salted_join(cut.select("cell", "node", "copies", "raw"), pivots, ["cell"], "node", n).select("cell", "node", "copies", "raw", "pivots").mapInArrow(_nearest, PLACED)
+        moved = _moved(cut, pivots, n)
         stay = placed.join(large.select("cell"), "cell", "left_anti").withColumn("parent", F.col("cell")).select(*moved.columns)
         following = materialize(moved.unionByName(stay), "cover-cells")
         discard(placed)
