@@ -16,33 +16,38 @@ from rotaspark.sources.scratch import materialize
 BROADCAST_ROWS = 2_000_000
 
 
-def small(vector: DataFrame, n: int) -> DataFrame:
-    """The vector, marked for broadcast if its number of rows allows it."""
-    return F.broadcast(vector) if n <= BROADCAST_ROWS else vector
+def small(vector: DataFrame, n: int | None) -> DataFrame:
+    """A vector of n rows, marked for broadcast if that is few enough; one of unknown length is left to Spark."""
+    return F.broadcast(vector) if n is not None and n <= BROADCAST_ROWS else vector
 
 
-def spmv(a: DataFrame, x: DataFrame, n: int, shift: int = 0) -> DataFrame:
+def _rotated(row: Column, n: int | None, shift: int) -> Column:
+    return (row if n is None else (row + shift) % n).cast("long")
+
+
+def spmv(a: DataFrame, x: DataFrame, n: int | None, shift: int = 0) -> DataFrame:
     """y = shift(A) x, with i = (row + shift) % n; rows without entries are left out.
 
     The rotation is applied after the sum: it permutes whole rows, so the
-    grouping by source row stays good.
+    grouping by source row stays good.  A square matrix has n rows; n None is for
+    others, and for vectors whose length is not known, and then nothing rotates.
     """
     y = a.join(small(x, n).withColumnRenamed("i", "__i"), F.col("col") == F.col("__i")).groupBy("row").agg(F.sum(F.col("val") * F.col("v")).alias("v"))
-    return y.select(((F.col("row") + shift) % n).cast("long").alias("i"), "v")
+    return y.select(_rotated(F.col("row"), n, shift).alias("i"), "v")
 
 
-def spmv_measured(a: DataFrame, x: DataFrame, n: int, shift: int = 0) -> tuple[DataFrame, float]:
+def spmv_measured(a: DataFrame, x: DataFrame, n: int | None, shift: int = 0) -> tuple[DataFrame, float]:
     """y = shift(A) x, written to the shared folder, and its length, whose squares are summed while y is written."""
     squares = Observation()
     seen = spmv(a, x, n, shift).observe(squares, F.sum(F.col("v") * F.col("v")).alias("squares"))
     return materialize(seen, "product"), math.sqrt(squares.get["squares"] or 0.0)
 
 
-def spmv_ordered(rows: DataFrame, x: DataFrame, n: int, shift: int = 0) -> DataFrame:
+def spmv_ordered(rows: DataFrame, x: DataFrame, n: int | None, shift: int = 0) -> DataFrame:
     """The same over (row, pos, col, val), each row summed in the order of pos."""
     met = rows.join(small(x, n).withColumnRenamed("i", "__i"), F.col("col") == F.col("__i"))
     terms = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("val") * F.col("v")).alias("t")))).alias("terms"))
-    return terms.select(((F.col("row") + shift) % n).cast("long").alias("i"), F.aggregate("terms", F.lit(0.0), lambda s, e: s + e["t"]).alias("v"))
+    return terms.select(_rotated(F.col("row"), n, shift).alias("i"), F.aggregate("terms", F.lit(0.0), lambda s, e: s + e["t"]).alias("v"))
 
 
 #: Bits of the pieces that a mantissa is summed in: 2**45 values fit a sum.

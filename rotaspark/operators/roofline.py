@@ -99,14 +99,15 @@ def memory_level(kernels: DataFrame) -> DataFrame:
     return found.withColumn("level_roof", attainable(F.lit(CEILINGS[-1][1]), F.col("level_gbs"), intensity))
 
 
-def timed_product(a: DataFrame, x: DataFrame, n: int, reps: int = 3) -> DataFrame:
-    """rep, nnz, n, seconds of the product A x, run so often over the written matrix and vector; its peaks are those of the largest machine measured."""
+def timed_product(a: DataFrame, x: DataFrame, reps: int = 3) -> DataFrame:
+    """rep, nnz, n (rows with entries), seconds of the product A x, run so often over the written matrix and vector; the peaks are those of the largest machine measured."""
     spark = a.sparkSession
     a, x = materialize(a, "matrix"), materialize(x, "vector")
-    nnz, times = a.count(), []
+    nnz, n = a.agg(F.count(F.lit(1)), F.countDistinct("row")).first()
+    times = []
     for _ in range(reps):
         began = time.perf_counter()
-        spmv(a, x, n).write.format("noop").mode("overwrite").save()
+        spmv(a, x, None).write.format("noop").mode("overwrite").save()
         times.append(time.perf_counter() - began)
     discard(a)
     discard(x)

@@ -222,7 +222,7 @@ sx AS (SELECT s_suppkey AS i, s_acctbal / 10000 AS v FROM supplier)"""
 def l_spmv_supply(spark, sf_dir):
     """Ordered quantities by part and supplier times the suppliers' balances."""
     x = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 10000).alias("v"))
-    y = linear.spmv(tables.supply(spark, sf_dir), x, 2**62)
+    y = linear.spmv(tables.supply(spark, sf_dir), x, None)
     return y.withColumn("v", F.round("v", 8))
 
 
@@ -230,7 +230,7 @@ def l_spmv_supply(spark, sf_dir):
 def l_spmv_measured(spark, sf_dir):
     """The same product and its length in one pass."""
     x = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 10000).alias("v"))
-    y, size = linear.spmv_measured(tables.supply(spark, sf_dir), x, 2**62)
+    y, size = linear.spmv_measured(tables.supply(spark, sf_dir), x, None)
     return y.select("i", F.round("v", 8).alias("v"), F.round(F.col("v") / F.lit(size), 10).alias("unit"))
 
 
@@ -850,5 +850,5 @@ def r_memory_levels(spark, sf_dir):
 def r_product_timed(spark, sf_dir):
     """The model over measured times of the product of ordered quantities and the suppliers' balances."""
     x = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 10000).alias("v"))
-    runs = roofline.timed_product(tables.supply(spark, sf_dir), x, count(spark, sf_dir, "part"))
+    runs = roofline.timed_product(tables.supply(spark, sf_dir), x)
     return roofline.scale_model(roofline.roofline(runs))

@@ -406,6 +406,8 @@ def test_worked_product(spark):
     plain = {r.i: r.v for r in linear.spmv(a, x, 4).collect()}
     assert plain == {0: 5.0, 1: 6.0, 2: 17.0, 3: 24.0}
     assert {r.i: r.v for r in linear.spmv(a, x, 4, 1).collect()} == {1: 5.0, 2: 6.0, 3: 17.0, 0: 24.0}
+    wide = a.filter("row < 2").unionByName(spark.createDataFrame([(9, 3, 2.0)], "row long, col long, val double"))
+    assert {r.i: r.v for r in linear.spmv(wide, x, None).collect()} == {0: 5.0, 1: 6.0, 9: 8.0}
     pos = a.withColumn("pos", F.col("col"))
     assert {r.i: r.v for r in linear.spmv_ordered(pos, x, 4, 1).collect()} == {1: 5.0, 2: 6.0, 3: 17.0, 0: 24.0}
     assert math.isclose(linear.l2_norm(linear.spmv(a, x, 4)).first().norm, math.sqrt(926))
@@ -474,7 +476,7 @@ def test_memory_levels(spark):
 
 def test_model_over_measured_times(spark):
     a, x = generated.matrix(spark, 50, 400), generated.raw_vector(spark, 50)
-    rows = roofline.roofline(roofline.timed_product(a, x, 50, 2)).collect()
+    rows = roofline.roofline(roofline.timed_product(a, x, 2)).collect()
     assert [r.rep for r in rows] == [1, 2] and all(r.seconds > 0 and r.nnz == 400 and r.gflops == round(900 / r.seconds / 1e9, 6) for r in rows)
 
 
