@@ -28,8 +28,8 @@ from rotaspark.sources.scratch import delete, shared_dir
 
 #: Entries of a block (about), entries of a record, rows of a range of the vector at most (8 bytes each).
 BLOCK_ENTRIES, RECORD_ENTRIES, RANGE_ROWS = 4_000_000, 1_000_000, 4_000_000
-#: Blocks a core at least, so that buckets with two do not hold up a product.
-BLOCKS_A_CORE = 2
+#: Blocks a core at least, so that buckets with two do not hold up a product; Spark's bound on buckets.  Beyond it blocks grow, in records of one size.
+BLOCKS_A_CORE, MOST_BLOCKS = 2, 100_000
 
 BLOCK = "c int, r int, k int, rows binary, heads binary, cols binary, vals binary"
 PIECE = "c int, data binary"
@@ -56,7 +56,7 @@ class Grid:
         """sides: ranges of rows and of columns; found from the number of entries if not given."""
         self.spark, self.n = a.sparkSession, n
         if sides is None:
-            blocks = max(BLOCKS_A_CORE * self.spark.sparkContext.defaultParallelism, a.count() // BLOCK_ENTRIES)
+            blocks = min(MOST_BLOCKS, max(BLOCKS_A_CORE * self.spark.sparkContext.defaultParallelism, a.count() // BLOCK_ENTRIES))
             columns = max(math.isqrt(blocks), -(-n // RANGE_ROWS))
             sides = max(1, blocks // columns), columns
         self.rows, self.columns = (part_bounds(_counts(a, side, n), "at", "k", parts, n) for side, parts in zip(("row", "col"), sides))
