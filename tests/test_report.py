@@ -21,6 +21,18 @@ def test_medians_speedups_and_serial_fraction(spark):
     assert report.spread(df.filter("src = 'a'")).count() == 0
 
 
+def test_medians_of_tied_samples(spark):
+    """Equal samples count as one value however many there are; the middle may fall between two values."""
+    df = spark.range(100_000).select((F.col("id") % 2).alias("n"), F.when(F.col("id") % 4 < 2, 1.5).otherwise(F.when(F.col("id") < 90_000, 2.5).otherwise(None)).alias("time_sec"))
+    want = {r.n: r.m for r in df.groupBy("n").agg(F.median("time_sec").alias("m")).collect()}
+    assert {r.n: r.time for r in report.medians(df, "n").collect()} == want == {0: 1.5, 1: 1.5}
+    even = spark.createDataFrame([(1.0,)] * 500 + [(2.0,)] * 500, "time_sec double")
+    assert report.medians(even).first().time == 1.5
+    odd = spark.createDataFrame([(-1.0,), (0.0,), (0.0,), (-0.0,), (None,), (3e-9,), (7e300,)], "time_sec double")
+    assert report.medians(odd).first().time == 0.0
+    assert report.medians(odd.limit(0), "time_sec").count() == 0
+
+
 def test_ratio_of_one_is_neither(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (0.5,), (None,), (0.0,)], "ratio double")
     r = report.geometric_mean(df).first()
