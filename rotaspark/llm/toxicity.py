@@ -22,6 +22,7 @@ Repeated ids are scored one by one; other columns are never read.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -328,18 +329,30 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Network | float:
-    """Train on at most train_docs labelled rows of each class outside the fold 1, and on train_chars characters."""
+def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
+    """text, toxic: at most train_docs labelled rows of each class outside the fold 1, of train_chars characters, in hash order and in one partition."""
     marked = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     pool = marked.filter(F.col("doc_id").isNotNull()).filter(fold() != 1).withColumn("__order", F.xxhash64("doc_id", F.lit(3)))
     chosen = pool.filter("__toxic = 1").orderBy("__order").limit(train_docs).unionByName(pool.filter("__toxic = 0").orderBy("__order").limit(train_docs))
     found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * train_docs narrow rows
     some = found.select("__order", "doc_id", "__toxic", "text").orderBy("__order", "doc_id", "text").limit(4 * train_docs)
-    # In hash order as many whole texts as the bound on characters admits, one at least; no others come to the driver.
     order = Window.orderBy("__order", "doc_id", "text")  # 4 * train_docs rows
     chars = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    fit_in = some.select("*", chars.alias("__chars"), F.row_number().over(order).alias("__place")).filter((F.col("__chars") <= train_chars) | (F.col("__place") == 1))
-    return train([(r["text"], r["__toxic"]) for r in fit_in.orderBy("__place").select("text", "__toxic").collect()])
+    placed = some.select("*", chars.alias("__chars"), F.row_number().over(order).alias("__place"))
+    # As many whole texts as the bound on characters admits, one at least.
+    admitted = placed.filter((F.col("__chars") <= train_chars) | (F.col("__place") == 1))
+    return admitted.coalesce(1).sortWithinPartitions("__place").select("text", F.col("__toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Network | float:
+    """The network trained on training_rows, in a task; only its weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(text, toxic) for batch in batches for text, toxic in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["net"])
+
+    found = training_rows(docs, labels, train_docs, train_chars).mapInArrow(run, "net binary").first()
+    return pickle.loads(found.net) if found else train([])
 
 
 def score_documents(docs: DataFrame, net: Network | float, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:

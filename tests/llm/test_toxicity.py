@@ -118,16 +118,14 @@ def test_toxic_term_after_character_40_of_a_run():
     assert np.mean((Scorer(net).scores([run(int(t)) for t in y]) >= 0.7) == y) > 0.95
 
 
-def test_only_what_fits_comes_to_the_driver(spark, monkeypatch):
-    given = []
-    monkeypatch.setattr(tx, "train", lambda rows: given.append(rows) or 0.5)
+def test_only_what_fits_is_trained_on(spark):
     docs = frame(spark, [c * 100 for c in "abcdefghij"])
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
-    tx.fit(docs, labels)
-    tx.fit(docs, labels, train_chars=350)
-    tx.fit(docs, labels, train_chars=20)
-    whole, part, one = given
+    whole, part, one = ([tuple(r) for r in tx.training_rows(docs, labels, train_chars=n).collect()] for n in (10_000, 350, 20))
     assert len(whole) == docs.filter(tx.fold() != 1).count() and part == whole[:3] and one == whole[:1]
+    assert all(toxic == "abcdefghij".index(text[0]) % 2 for text, toxic in whole)
+    assert tx.training_rows(docs, labels).rdd.getNumPartitions() == 1
+    assert tx.fit(docs, labels.limit(0)) == 0.0 and tx.fit(docs.limit(0), labels) == 0.0 and tx.fit(docs, labels.filter("toxic = 1")) == 1.0
 
 
 def plain_gru(net, words, vectors, d):
