@@ -121,9 +121,11 @@ def _scaled(x: DataFrame, norm: DataFrame) -> DataFrame:
     return x.join(F.broadcast(norm)).select("i", scaled.alias("v"))  # one row is broadcast
 
 
-def normalize_rows(a: DataFrame) -> DataFrame:
+def normalize_rows(a: DataFrame, exact: bool = False) -> DataFrame:
     """a with rows of unit length; rows of zeros stay."""
-    lengths = a.groupBy("row").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("__length"))
+    squares = a.select("row", (F.col("val") * F.col("val")).alias("total"))
+    sums = exact_sums(squares, "total", "row") if exact else squares.groupBy("row").agg(F.sum("total").alias("total"))
+    lengths = sums.select("row", F.sqrt("total").alias("__length"))
     return a.join(lengths, "row").withColumn("val", F.when(F.col("__length") > 0, F.col("val") / F.col("__length")).otherwise(F.col("val"))).drop("__length")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotaspark.operators.linear import exact_sums
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -14,14 +16,17 @@ def count(spark: SparkSession, sf_dir: str, table: str) -> int:
     return read(spark, sf_dir, table).count()
 
 
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row, col, val): revenue by customer nation and supplier nation."""
+def trade(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """(row, col, val): revenue by customer nation and supplier nation; exact sums have the same bits however rows are dealt."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.groupBy(F.col("c_nationkey").cast("long").alias("row"), F.col("s_nationkey").cast("long").alias("col")).agg(F.sum("revenue").alias("val"))
+    cells = joined.select(F.col("c_nationkey").cast("long").alias("row"), F.col("s_nationkey").cast("long").alias("col"), "revenue")
+    if exact:
+        return exact_sums(cells, "revenue", "row", "col").withColumnRenamed("total", "val")
+    return cells.groupBy("row", "col").agg(F.sum("revenue").alias("val"))
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:

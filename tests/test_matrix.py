@@ -15,6 +15,7 @@ from rotaspark.operators.iterate import power_iterate
 from rotaspark.plans import schedule
 from rotaspark.plans.apportion import apportion, place_of
 from rotaspark.plans.pattern import Pattern, validate
+from rotaspark.queries import QUERIES
 from rotaspark.sources import generated
 from rotaspark.sources.results import merge_configs, scan_config, scan_dump, scan_logs, scan_times, write_config, write_dump
 from rotaspark.sources.scratch import materialize
@@ -118,6 +119,18 @@ def test_bits_do_not_depend_on_tasks(spark):
     assert len({r.result.first().rayleigh for r in runs}) == 1
 
 
+def test_bits_of_the_trade_run(spark, sf):
+    """From the line items to the final vector nothing depends on how rows are dealt."""
+    before, sums = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    for n in ("1", "3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(20_000 * int(n)))
+        sums.add(QUERIES["l_power_bits"](spark, sf).first().checksum)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sums) == 1
+
+
 def test_barrier_stages_go_on_where_the_last_ended(spark, monkeypatch):
     n = 40
     a, x0 = generated.matrix(spark, n, 200), generated.raw_vector(spark, n)
