@@ -42,6 +42,58 @@ def test_odd_pages_round_trip(spark):
     assert {r.page_id: r.payload for r in found.collect() if r.record_type == "response"} == {i: html[i] or "" for i, _, _, t, _ in brute(list(enumerate(html))) if t == "response"}
 
 
+def test_archives_are_conforming(spark):
+    import gzip
+    import re
+    from pathlib import Path
+
+    data = [(i, f"http://host/{i}", "long text " * (1 + i % 3), "") for i in range(40)]
+    path = scratch_path(spark, "warc-test")
+    write_archives(resolve(spark.createDataFrame(data, SCHEMA)), path)
+    by_id, files = {}, sorted(Path(path).glob("part-*"))
+    for file in files:
+        found = [(h, b"".join(b)) for h, b in records_in(gzip.open(file))]
+        assert [h["warc-type"] == "warcinfo" for h, _ in found] == [True] + [False] * (len(found) - 1)
+        for h, block in found:
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", h["warc-record-id"])
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"])
+            by_id[h["warc-record-id"]] = h, block
+    assert len(by_id) == len(data) + len(files)  # no id twice
+    pages = {int(h["page-id"]): (h, block) for h, block in by_id.values() if h["warc-type"] != "warcinfo"}
+    for i, url, text, _ in data:
+        h, block = pages[i]
+        head, _, payload = block.partition(b"\r\n\r\n")
+        assert h["content-type"].startswith("application/http") and head.startswith(b"HTTP/1.1 200")
+        assert f"Content-Length: {len(text)}".encode() in head and h["warc-target-uri"] == url
+        if i >= 37:
+            assert (h["warc-type"], payload) == ("response", text.encode())
+        else:
+            first, _ = by_id[h["warc-refers-to"]]
+            assert (h["warc-type"], payload, first["warc-type"]) == ("revisit", b"", "response")
+            assert int(first["page-id"]) == 37 + (i - 37) % 3 and h["warc-refers-to-target-uri"] == first["warc-target-uri"]
+            assert h["warc-profile"].endswith("identical-payload-digest") and h["warc-payload-digest"] == first["warc-payload-digest"]
+
+
+def test_long_payload_and_several_files(spark, monkeypatch):
+    from rotaspark.llm import warc
+
+    monkeypatch.setattr(warc, "LEAST_FILE_BYTES", 100_000)
+    html = ["<p>" + "x\r\n\r\n" * 600_000, "y" * 3_000_000 + "é", "z", "z"]
+    path = scratch_path(spark, "warc-test")
+    write_archives(resolve(spark.createDataFrame([(i, "u", h, "") for i, h in enumerate(html)], SCHEMA)), path)
+    found = read_archives(spark, path, keep_payload=True)
+    assert rows(resolve_read(found.drop("payload"))) == brute(list(enumerate(html)))
+    assert {r.page_id: r.payload for r in found.collect() if r.record_type == "response"} == {i: html[i] for i in (0, 1, 3)}
+
+
+def test_payload_after_a_head_in_pieces():
+    from rotaspark.llm.warc import payload_in
+
+    for cut in range(1, 12):
+        raw = b"H: 1\r\n\r\nab\r\n\r\nc"
+        assert b"".join(payload_in(iter([raw[i : i + cut] for i in range(0, len(raw), cut)]))) == b"ab\r\n\r\nc"
+
+
 def test_hot_payload_and_nothing(spark):
     df = spark.createDataFrame([(i, "u", "same", "") for i in range(300)], SCHEMA)
     path = scratch_path(spark, "warc-test")
