@@ -213,11 +213,14 @@ def cells(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
         stay = placed.join(large.select("cell"), "cell", "left_anti").withColumn("parent", F.col("cell")).select(*moved.columns)
         following = materialize(moved.unionByName(stay), "cover-cells")
         discard(placed)
+        discard(found)
         placed = following
         found = materialize(_summary(placed), "cover-summary")
         kids = found.groupBy("parent").agg(F.collect_list(F.struct("cell", "centre", "radius")).alias("kids"))  # at most 4 * PIVOTS
         both = pairs.join(kids.select(F.col("parent").alias("a"), F.col("kids").alias("left")), "a").join(kids.select(F.col("parent").alias("b"), F.col("kids").alias("right")), "b")
-        pairs = materialize(both.select("a", "b", "left", "right").mapInArrow(_descend(reach + SLACK), "a long, b long"), "cover-pairs")
+        below = materialize(both.select("a", "b", "left", "right").mapInArrow(_descend(reach + SLACK), "a long, b long"), "cover-pairs")
+        discard(pairs)
+        pairs = below
     return placed, found, pairs
 
 
@@ -259,8 +262,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             values = [batch.column(k).field(c) for c in ("copies", "least", "blocks") for k in (2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values, pa.array(apart + radius <= inside)], ["a", "b", "copies_a", "copies_b", "least_a", "least_b", "blocks_a", "blocks_b", "whole"])
 
-    known = materialize(known.mapInArrow(_by_length(measured), "a long, b long, copies_a long, copies_b long, least_a long, least_b long, blocks_a int, blocks_b int, whole boolean"), "cover-known")
-    whole = known.filter("whole")
+    measures = materialize(known.mapInArrow(_by_length(measured), "a long, b long, copies_a long, copies_b long, least_a long, least_b long, blocks_a int, blocks_b int, whole boolean"), "cover-known")
+    whole = measures.filter("whole")
     own = F.col("a") == F.col("b")
     more = whole.select(F.col("a").alias("cell"), F.col("copies_b").alias("more"), F.col("least_b").alias("hub"), own.alias("own"))
     more = more.unionByName(whole.filter(~own).select(F.col("b").alias("cell"), F.col("copies_a").alias("more"), F.col("least_a").alias("hub"), F.lit(False).alias("own")))
@@ -272,7 +275,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counted = materialize(counted.select("node", "hub", F.when(F.col("own"), F.col("more") - F.col("copies")).otherwise(F.col("more")).alias("more")), "cover-counted")
     joined = counted.filter("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(whole.filter(~own).select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
 
-    open_pairs = known.filter("not whole").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).filter("a <> b or i <= j")
+    open_pairs = measures.filter("not whole").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).filter("a <> b or i <= j")
     open_pairs = open_pairs.withColumn("pair", F.xxhash64("a", "b", "i", "j")).select("pair", "a", "b", "i", "j")
     same = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
     wanted = open_pairs.select(F.col("a").alias("cell"), F.col("i").alias("block"), "pair", F.when(same, 2).otherwise(0).alias("side")).unionByName(open_pairs.filter(~same).select(F.col("b").alias("cell"), F.col("j").alias("block"), "pair", F.lit(1).alias("side")))
@@ -308,6 +311,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = nodes.select("node", "first_id", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = salted_groups(known, ["component"], "first_id", n, "min")
     known = materialize(known.select("node", F.col("group_keep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "cover-classes")
+    for used in (nodes, placed, found, pairs, measures, counted, traversed, classes):
+        discard(used)
     narrow = rows.select("vec_id", "node")
     linked = salted_join(narrow.filter("node is not null"), known, ["node"], "vec_id", n).select("vec_id", "n_links", "component_id")
     alone = narrow.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

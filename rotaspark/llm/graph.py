@@ -118,7 +118,7 @@ def _step(state: DataFrame, large: bool, blocks: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (smallest node of it) for the ends of links(a long, b long); a node may link itself."""
+    """node, component (smallest node of it) for the ends of links(a long, b long), as a written table; a node may link itself."""
     given = materialize(links.select("a", "b"), "links")
     blocks = max(1, -(-given.count() // BLOCK_LINKS))
     dealt = given.filter("a <> b").withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).cast("int"))
@@ -140,7 +140,10 @@ def components(links: DataFrame) -> DataFrame:
 
     found = state.select("data").mapInArrow(ends, "node long, component long")
     alone = given.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return found.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+    settled = materialize(found.unionByName(alone).groupBy("node").agg(F.min("component").alias("component")), "components")
+    discard(state)
+    discard(given)
+    return settled
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

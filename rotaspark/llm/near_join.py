@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import materialize, read, salt, salted_groups, salted_join, shuffle_partitions, sorted_groups, text_of
+from rotaspark.llm.common import discard, materialize, read, salt, salted_groups, salted_join, shuffle_partitions, sorted_groups, text_of
 from rotaspark.llm.graph import components, forest
 
 WORDS, THRESHOLD = 5, 0.8
@@ -195,15 +195,17 @@ def neighbour_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return both.select("a", "b", "one", "two").mapInArrow(alike, "a long, b long, agreeing int")
 
 
-def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) that join nodes (node, sig) which share a prefix and look alike."""
+def candidate_groups(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, component: nodes (node, sig) joined by links between those that share a prefix and look alike, as a written table."""
     n = shuffle_partitions(nodes.sparkSession)
     values, least = TREES * DEPTH, _least(threshold)
     begun = materialize(neighbour_links(nodes, threshold), "near-begun")
     # At most TREES * DEPTH + 1 rows.
     length = prefix_length({r["agreeing"]: r["n"] for r in begun.groupBy("agreeing").agg(F.count(F.lit(1)).alias("n")).collect()}, threshold)
-    joined = nodes.select("node", "sig").join(components(begun.select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = components(begun.select("a", "b"))
+    joined = nodes.select("node", "sig").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = materialize(joined, "near-joined")
+    discard(classes)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -240,7 +242,10 @@ def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
     later = _dealt(_block_pairs(met, "prefix", "blocks"), n).mapInArrow(link, "a long, b long")
-    return begun.select("a", "b").unionByName(later).distinct()
+    groups = components(begun.select("a", "b").unionByName(later).distinct())
+    discard(begun)
+    discard(joined)
+    return groups
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -320,7 +325,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     # The document whose text is read again: ids may be null or repeat, so its text's mark goes with the id.
     nodes = materialize(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("mark"), "copies", "n_shingles", "sig"), "near-nodes")
-    groups = materialize(components(candidate_links(nodes, threshold)), "near-groups")
+    groups = candidate_groups(nodes, threshold)
 
     members = groups.join(nodes.drop("sig"), "node")
     members = salted_groups(members, ["component"], "node", n, sums=("n_shingles",))
@@ -347,6 +352,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = salted_groups(known.select("node", "first_id", "copies", "links", "component"), ["component"], "first_id", n, "min")
     known = known.select("node", F.col("group_keep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = materialize(known, "near-classes")
+    for used in (nodes, groups, found, classes):
+        discard(used)
 
     rows = sketched.select("doc_id", "node")
     linked = salted_join(rows.filter("node is not null"), known, ["node"], "doc_id", n).select("doc_id", "class_id", "n_links")

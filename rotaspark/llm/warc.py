@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.llm.common import read, salt, salted_groups, scratch_path, shuffle_partitions, text_of
+from rotaspark.llm.common import discard, materialize, read, salt, salted_groups, scratch_path, shuffle_partitions, text_of
 
 CRLF = "\r\n"
 #: About so many bytes of records, before compression, go to one archive file, which is read back by one task.
@@ -225,10 +225,9 @@ def resolve_read(found: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rotaspark.llm.common import materialize
-
-    path = scratch_path(spark, "warc")
-    write_archives(materialize(resolve(read(spark, sf_dir, "pages")), "warc-records"), path)
+    path, records = scratch_path(spark, "warc"), materialize(resolve(read(spark, sf_dir, "pages")), "warc-records")
+    write_archives(records, path)
+    discard(records)
     found = materialize(read_archives(spark, path), "warc-headers")
     return resolve_read(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
