@@ -61,7 +61,8 @@ def balanced_parts(counts: DataFrame, key: str, value: str, parts: int, n: int)
     total = counts.agg(F.coalesce(F.sum(value), F.lit(0)).cast("long")).first()[0]
     ptr = prefix_sums(counts.select(key, value), key, value)
     wide = lambda c: c.cast("decimal(30,0)")
-    above = lambda c: F.ceil(wide(c + 1) * p / F.lit(max(total, 1))).cast("long")
+    # The smallest t whose target is above c, in whole numbers: a quotient of decimals is rounded to 6 places.
+    above = lambda c: F.call_function("div", wide(c + 1) * p + (max(total, 1) - 1), F.lit(max(total, 1)))
     reached = ptr.select((F.col(key) + 1).cast("long").alias("lo"), (F.col("ptr") + F.col(value)).cast("long").alias("at"), above(F.col("ptr")).alias("t1"), F.least(above(F.col("ptr") + F.col(value)) - 1, F.lit(p)).alias("t2"))
     begins = reached.filter("t1 <= t2").select(F.explode(F.sequence(F.col("t1").cast("int"), F.col("t2").cast("int"))).alias("part"), "lo", "at").filter(F.col("part") < p)
     # Targets of 0 are reached by row 0; the last part ends with the matrix.

@@ -444,6 +444,17 @@ def test_balanced_parts(spark):
         assert [(r.lo, r.hi, r.nnz) for r in rows] == [(a, b, ptr[b] - ptr[a]) for a, b in zip(edges, edges[1:])]
 
 
+#: A total for which a sixteenth of a unit is below the sixth place, and rows at both sides of the targets.
+LARGE = [1, 2_249_998, 1, 1, 2_249_998, 2_250_001, 0, 2_250_001, 11_249_999, 15_749_999, 1, 0]
+
+
+def test_bounds_of_a_large_total(spark):
+    """A barrier stage has a task for each part: no more parts than asked for, in order."""
+    df = spark.createDataFrame(list(enumerate(LARGE)), "row long, k long")
+    bounds = schedule.part_bounds(df, "row", "k", 8, len(LARGE))
+    assert len(bounds) == 9 and bounds == sorted(bounds) and bounds[0] == 0
+
+
 def test_files(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
