@@ -444,7 +444,7 @@ def test_balanced_parts(spark):
         assert [(r.lo, r.hi, r.nnz) for r in rows] == [(a, b, ptr[b] - ptr[a]) for a, b in zip(edges, edges[1:])]
 
 
-#: A total for which a sixteenth of a unit is below the sixth place, and rows at both sides of the targets.
+#: A total of which a unit is below the sixth place of a quotient, and rows at both sides of the targets.
 LARGE = [1, 2_249_998, 1, 1, 2_249_998, 2_250_001, 0, 2_250_001, 11_249_999, 15_749_999, 1, 0]
 
 
@@ -455,6 +455,19 @@ def test_bounds_of_a_large_total(spark):
     assert len(bounds) == 9 and bounds == sorted(bounds) and bounds[0] == 0
 
 
+def large_edges(parts):
+    ptr = [0, *np.cumsum(LARGE).tolist()]
+    return ptr, [next(r for r in range(len(ptr)) if ptr[r] >= ptr[-1] * t // parts) for t in range(parts)] + [len(LARGE)]
+
+
+def test_pieces_of_a_large_total(spark):
+    _, edges = large_edges(12)
+    df = spark.createDataFrame(list(enumerate(LARGE)), "row long, k long")
+    ranges = schedule.balanced_parts(df, "row", "k", 12, len(LARGE)).withColumnRenamed("part", "rank")
+    want = sorted((t, c, (b - a) // 2 + (c < (b - a) % 2)) for t, (a, b) in enumerate(zip(edges, edges[1:])) for c in range(2))
+    assert sorted((r["rank"], r.chunk, r.cnt) for r in schedule.chunk_plan(ranges, 2).collect()) == want
+
+
 def test_files(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
