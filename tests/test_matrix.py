@@ -468,6 +468,13 @@ def test_pieces_of_a_large_total(spark):
     assert sorted((r["rank"], r.chunk, r.cnt) for r in schedule.chunk_plan(ranges, 2).collect()) == want
 
 
+def test_ranges_of_a_large_total(spark):
+    ptr, edges = large_edges(12)
+    df = spark.createDataFrame(list(enumerate(LARGE)), "row long, k long")
+    rows = schedule.balanced_parts(df, "row", "k", 12, len(LARGE)).orderBy("part").collect()
+    assert [(r.part, r.lo, r.hi, r.nnz) for r in rows] == [(t, a, b, ptr[b] - ptr[a]) for t, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+
 def test_files(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
