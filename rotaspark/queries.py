@@ -764,8 +764,9 @@ def s_cell_rerun(spark, sf_dir):
     cells.replace_cells(given.filter("src = 'run1' and threads <= 4"), path)
     cells.append_cells(given.filter("src = 'run2' and tag = 'view'"), path)
     key = ["tag", "n", "nz", "threads"]
-    times = cells.scan_cells(spark, path).groupBy(*key).agg(F.count(F.lit(1)).alias("n_samples"), F.count("time_sec").alias("n_times"), F.round(F.sum("time_sec"), 4).alias("total"))
-    return times.join(cells.scan_checksums(spark, path).select(*key, "checksum"), key)
+    # Cells meet by name, so names are taken apart once a cell and not for each of its lines.
+    times = cells.scan_cells(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("n_samples"), F.count("time_sec").alias("n_times"), F.round(F.sum("time_sec"), 4).alias("total"))
+    return times.join(cells.scan_checksums(spark, path), "file").select(*key, "n_samples", "n_times", "total", "checksum")
 
 
 @query(f"""{SAMPLES}, first AS (SELECT * FROM given WHERE src = 'run0' AND threads > 2)

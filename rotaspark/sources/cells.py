@@ -18,7 +18,7 @@ from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.sources.results import dimensions, merge_configs, run_name, scan_config, scan_times
+from rotaspark.sources.results import dimensions, merge_configs, named_lines, scan_config, scan_times
 from rotaspark.sources.scratch import delete
 
 NONE = "NA"
@@ -63,7 +63,7 @@ def scan_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_checksums(spark: SparkSession, path: str) -> DataFrame:
     """file and its dimensions, checksum (null where the last repetition had none); empty cells are left out."""
-    raw = spark.read.text(f"{path}/checksums").select(run_name().alias("file"), F.trim("value").alias("value")).filter("value <> ''")
+    raw = named_lines(spark, f"{path}/checksums")
     return raw.select("file", *[c.alias(k) for k, c in dimensions(F.col("file")).items()], F.nullif("value", F.lit(NONE)).alias("checksum"))
 
 

@@ -62,6 +62,17 @@ def run_name() -> Column:
     return F.regexp_extract("_metadata.file_path", r"(?:run=)?([^/]+?)(?:/part-[^/]*)?$", 1)
 
 
+def named_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, value: lines and their file's name, or NAME in a folder run=NAME.
+
+    Of folders the name is a column of the table's partitions, so a filter on what the name says
+    is decided once a folder and not by patterns over each line's path.
+    """
+    raw = spark.read.text(path)
+    name = F.col("run") if dict(raw.dtypes).get("run") == "string" else run_name()
+    return raw.select(name.alias("file"), F.trim("value").alias("value")).filter("value <> ''")
+
+
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     """A row a log: its dimensions and what it says.  Logs are files, or folders run=NAME as write_logs makes them."""
     raw = spark.read.text(path, wholetext=True).select(run_name().alias("file"), "value")
@@ -75,7 +86,7 @@ def write_logs(logs: DataFrame, path: str) -> None:
 
 def scan_times(spark: SparkSession, path: str) -> DataFrame:
     """A row a line: dimensions and time_sec (null for NA)."""
-    raw = spark.read.text(path).select(run_name().alias("file"), F.trim("value").alias("value")).filter("value <> ''")
+    raw = named_lines(spark, path)
     return raw.select("file", *[c.alias(k) for k, c in dimensions(F.col("file")).items()], F.col("value").try_cast("double").alias("time_sec"))
 
 
