@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -86,6 +86,16 @@ def exact_sums(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return whole.select(*keys, F.when(F.col("__some") > 0, F.coalesce("__odd", _rounded("__bins"))).alias("total"))
 
 
+def ordered_sums(df: DataFrame, value: str, place: str, *keys: str) -> DataFrame:
+    """keys, total: the sum of a double, added in the order of place, so with the same bits however rows are dealt.
+
+    A window adds up, so no list of a key's values is held.  Nulls are left out, an empty sum is null.
+    """
+    upto = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.select(*keys, place, F.sum(value).over(upto).alias("__upto"))
+    return sums.groupBy(*keys).agg(F.max_by("__upto", place).alias("total"))
+
+
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: dot."""
     return a.join(b.withColumnRenamed("v", "w"), "i").agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("dot"))

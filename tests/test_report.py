@@ -1,7 +1,10 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from rotaspark.operators import report, roofline
+from rotaspark.queries import DUMPS, QUERIES, SQL, _dumps
 from rotaspark.streaming.samples import running_cells, watch
+from tests.oracle import difference
 
 TIMES = "src string, tag string, n long, nz long, threads int, ranks int, chunks int, rep long, time_sec double"
 
@@ -73,6 +76,24 @@ def test_verdicts(spark):
     assert report.all_pass(got.limit(1)).first().ok is True
 
 
+def test_sums_of_a_dump_keep_the_order_of_the_file(spark, tmp_path):
+    """Lines of an order lie in many tasks, and ties at the tolerance hang on the last bit: as the SQL in one thread."""
+    db = duckdb.connect()
+    db.sql("SET threads = 1")
+    db.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.01/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (ROW_GROUP_SIZE 2048)")
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = sorted((i, float(a), float(c)) for i, a, c in db.sql(f"WITH {DUMPS} SELECT i, a.v, b.v FROM a JOIN b USING (i)").fetchall())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        a, c = _dumps(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in a.join(c.withColumnRenamed("v", "w"), "i").collect())
+        verdicts = difference(QUERIES["q_tolerance"](spark, str(tmp_path)), SQL["q_tolerance"], db)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and verdicts is None
+
+
 def test_names_priority_budget_sweep(spark):
     df = times(spark, [("a", "base", 1, 3.0), ("a", "ab", 1, 4.0), ("a", "cde", 1, None), ("a", "new", 1, 5.0)])
     assert report.preferred_tag(df).first().tag == "ab"
