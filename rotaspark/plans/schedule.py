@@ -51,24 +51,26 @@ def prefix_sums(counts: DataFrame, key: str, value: str, block: int = 65_536, by
 
 
 def balanced_parts(counts: DataFrame, key: str, value: str, parts: int, n: int) -> DataFrame:
-    """part, lo, hi, nnz: contiguous row ranges of about equal value; counts has every row of [0, n).
+    """part, lo, hi, nnz: contiguous row ranges of about equal value; counts has each row once, as a rule those of [0, n).
 
-    Part t begins at the first row whose prefix sum reaches floor(total t / parts).
-    Each row computes from its own prefix sum which t these are, so targets are
+    Part t begins at the first row whose prefix sum reaches floor(total t / parts),
+    or at n, where the whole sum is reached, if that is smaller: keys may leave gaps.
+    Each row computes from its own prefix sum the last such t, so targets are
     not joined with rows.
     """
     spark, p = counts.sparkSession, clamp_parts(parts, n)
     total = counts.agg(F.coalesce(F.sum(value), F.lit(0)).cast("long")).first()[0]
     ptr = prefix_sums(counts.select(key, value), key, value)
-    wide = lambda c: c.cast("decimal(30,0)")
-    # The smallest t whose target is above c, in whole numbers: a quotient of decimals is rounded to 6 places.
-    above = lambda c: F.call_function("div", wide(c + 1) * p + (max(total, 1) - 1), F.lit(max(total, 1)))
-    reached = ptr.select((F.col(key) + 1).cast("long").alias("lo"), (F.col("ptr") + F.col(value)).cast("long").alias("at"), above(F.col("ptr")).alias("t1"), F.least(above(F.col("ptr") + F.col(value)) - 1, F.lit(p)).alias("t2"))
-    begins = reached.filter("t1 <= t2").select(F.explode(F.sequence(F.col("t1").cast("int"), F.col("t2").cast("int"))).alias("part"), "lo", "at").filter(F.col("part") < p)
-    # Targets of 0 are reached by row 0; the last part ends with the matrix.
-    ends = [(t, 0, 0) for t in range(p) if total * t // p == 0] + [(p, n, total)]
-    edges = begins.unionByName(spark.createDataFrame(ends, "part int, lo long, at long"))
-    following = Window.orderBy("part")  # parts + 1 rows
+    # The smallest t whose target is above a sum, in whole numbers: a quotient of decimals is rounded to 6 places.
+    above = F.call_function("div", (F.col("ptr").cast("decimal(30,0)") + 1) * p + (max(total, 1) - 1), F.lit(max(total, 1)))
+    reached = ptr.select(F.least(above - 1, F.lit(p)).cast("int").alias("last"), F.col(key).cast("long").alias("lo"), F.col("ptr").alias("at"))
+    end = spark.createDataFrame([(p, n, total)], "last int, lo long, at long")
+    firsts = reached.unionByName(end).groupBy("last").agg(F.min("lo").alias("lo"), F.min("at").alias("at"))
+    # parts + 1 rows; each begins the parts above the row before it.
+    firsts = firsts.withColumn("first", F.coalesce(F.lag("last").over(Window.orderBy("last")) + 1, F.lit(0)))
+    begins = firsts.select(F.explode(F.sequence("first", "last")).alias("part"), F.least("lo", F.lit(n)).alias("lo"), F.when(F.col("lo") > n, total).otherwise(F.col("at")).alias("at"))
+    edges = begins.filter(F.col("part") < p).unionByName(end.withColumnRenamed("last", "part"))
+    following = Window.orderBy("part")
     spans = edges.select("part", "lo", F.lead("lo").over(following).alias("hi"), (F.lead("at").over(following) - F.col("at")).alias("nnz"))
     return spans.filter(F.col("part") < p)
 

@@ -4,6 +4,8 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,10 +17,11 @@ from rotaspark.operators.iterate import power_iterate
 from rotaspark.plans import schedule
 from rotaspark.plans.apportion import apportion, place_of
 from rotaspark.plans.pattern import Pattern, validate
-from rotaspark.queries import QUERIES
+from rotaspark.queries import QUERIES, SQL
 from rotaspark.sources import generated
 from rotaspark.sources.results import merge_configs, scan_config, scan_dump, scan_logs, scan_times, write_config, write_dump
 from rotaspark.sources.scratch import materialize
+from tests.oracle import connect, difference
 
 #: n, nz, seed, mode, smallest and largest row, rayleigh, first element, sum of x after 500 iterations.
 GOLDEN = [
@@ -475,6 +478,21 @@ def test_ranges_of_a_large_total(spark):
     assert [(r.part, r.lo, r.hi, r.nnz) for r in rows] == [(t, a, b, ptr[b] - ptr[a]) for t, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
+def keyed(path, parts, lines):
+    """Tables of the given keys, all that the ranges of parts read."""
+    pq.write_table(pa.table({"p_partkey": pa.array(parts, pa.int64())}), path / "part.parquet")
+    pq.write_table(pa.table({"l_partkey": pa.array(lines, pa.int64())}), path / "lineitem.parquet")
+    return str(path)
+
+
+GAPS = [1000 * i + k for i in range(3) for k in range(20)]
+
+
+def test_pieces_of_keys_with_gaps(spark, tmp_path):
+    sf = keyed(tmp_path, GAPS, [r for r in GAPS for _ in range(r % 7)])
+    assert difference(QUERIES["p_chunk_plan"](spark, sf), SQL["p_chunk_plan"], connect(sf)) is None
+
+
 def test_files(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
