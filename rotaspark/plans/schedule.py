@@ -50,15 +50,15 @@ def prefix_sums(counts: DataFrame, key: str, value: str, block: int = 65_536, by
     return joined.withColumn("ptr", (F.col("__inside") + F.col("__offset")).cast(kind)).drop("__block", "__inside", "__offset")
 
 
-def balanced_parts(counts: DataFrame, key: str, value: str, parts: int, n: int) -> DataFrame:
+def balanced_parts(counts: DataFrame, key: str, value: str, parts: int, n: int, clamp: bool = True) -> DataFrame:
     """part, lo, hi, nnz: contiguous row ranges of about equal value; counts has each row once, as a rule those of [0, n).
 
     Part t begins at the first row whose prefix sum reaches floor(total t / parts),
     or at n, where the whole sum is reached, if that is smaller: keys may leave gaps.
     Each row computes from its own prefix sum the last such t, so targets are
-    not joined with rows.
+    not joined with rows.  More parts than rows are left out, or empty without clamp.
     """
-    spark, p = counts.sparkSession, clamp_parts(parts, n)
+    spark, p = counts.sparkSession, clamp_parts(parts, n) if clamp or not n else parts
     total = counts.agg(F.coalesce(F.sum(value), F.lit(0)).cast("long")).first()[0]
     ptr = prefix_sums(counts.select(key, value), key, value)
     # The smallest t whose target is above a sum, in whole numbers: a quotient of decimals is rounded to 6 places.

@@ -415,8 +415,8 @@ parts AS (SELECT t AS part, lo, lead(lo) OVER (ORDER BY t) AS hi FROM edges)"""
 
 
 def _parts(spark, sf_dir, parts: int = 16) -> DataFrame:
-    counts = tables.part_counts(spark, sf_dir)
-    return schedule.balanced_parts(counts, "row", "k", parts, count(spark, sf_dir, "part"))
+    keys = read(spark, sf_dir, "part").select("p_partkey").distinct().count()
+    return schedule.balanced_parts(tables.part_counts(spark, sf_dir), "row", "k", parts, keys, clamp=False)
 
 
 @query(f"WITH {PTR} SELECT part::INT AS part, lo::BIGINT AS lo, hi::BIGINT AS hi, ((SELECT p FROM ptr WHERE r = hi) - (SELECT p FROM ptr WHERE r = lo))::BIGINT AS nnz FROM parts WHERE hi IS NOT NULL")

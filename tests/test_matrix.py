@@ -493,6 +493,12 @@ def test_pieces_of_keys_with_gaps(spark, tmp_path):
     assert difference(QUERIES["p_chunk_plan"](spark, sf), SQL["p_chunk_plan"], connect(sf)) is None
 
 
+@pytest.mark.parametrize("parts", [[*range(40), 39, 39, *range(40, 60)], range(5), []])
+def test_ranges_of_repeated_and_few_keys(spark, tmp_path, parts):
+    sf = keyed(tmp_path, parts, [r for r in range(60) for _ in range(r % 7)])
+    assert difference(QUERIES["p_nnz_partition"](spark, sf), SQL["p_nnz_partition"], connect(sf)) is None
+
+
 def test_files(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
