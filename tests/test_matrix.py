@@ -185,6 +185,55 @@ def test_a_lost_worker_costs_a_stage_only(tmp_path):
     assert (tmp_path / "marker").exists() and sums[0] == sums[1] and sums[0].startswith("SUM")
 
 
+WEIGHED = """
+import resource, sys
+from pyspark.sql import SparkSession
+from rotaspark.operators import iterate
+from rotaspark.operators.ring import Ring
+from rotaspark.sources import generated
+
+PLACE = sys.argv[1]
+
+def peak():
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+
+class Weighed(Ring):
+    def __init__(self, context, bounds):
+        super().__init__(context, bounds)
+        self.before = peak()
+
+    def __exit__(self, *error):
+        with open(PLACE, "w") as out:
+            out.write(str(peak() - self.before))
+        super().__exit__(*error)
+
+n, nz = 3000, 3_000_000
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.python.worker.reuse", "false").getOrCreate()
+iterate.Ring = Weighed
+iterate.power_iterate(generated.matrix(spark, n, nz), generated.raw_vector(spark, n), n, 3, 2, "barrier", 1)
+"""
+
+
+def test_a_task_holds_few_bytes_an_entry(tmp_path):
+    """12 bytes an entry and what a batch takes, not the copies of whole columns."""
+    script = tmp_path / "weighed.py"
+    script.write_text(WEIGHED.replace("from rotaspark", "sys.path.insert(0, %r)\nfrom rotaspark" % os.getcwd(), 1))
+    run = subprocess.run([sys.executable, str(script), str(tmp_path / "peak")], capture_output=True, text=True, timeout=300)
+    assert (tmp_path / "peak").exists(), run.stderr[-2000:]
+    assert int((tmp_path / "peak").read_text()) < 40 * 3_000_000
+
+
+def test_many_entries_a_task_go_over_the_grid(spark, monkeypatch):
+    a, x0 = generated.matrix(spark, 40, 200), generated.raw_vector(spark, 40)
+    taken = []
+    monkeypatch.setattr(iterate, "_grid", lambda *given: taken.append("grid"))
+    monkeypatch.setattr(iterate, "_barrier", lambda *given: taken.append("barrier"))
+    for most in (100, 99):
+        monkeypatch.setattr(iterate, "TASK_ENTRIES", most)
+        iterate.power_iterate(a, x0, 40, 7, 3, tasks=2)
+    assert taken == ["barrier", "grid"]
+
+
 def test_products_over_a_grid(spark, monkeypatch):
     """Any number of ranges and small records give the product; the matrix is joined where it lies."""
     n = 60
