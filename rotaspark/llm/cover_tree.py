@@ -12,14 +12,17 @@ not further apart than both radii and the threshold distance.  A cell that is so
 small in radius that all its pairs link is cut no further; its links, and those of
 two such cells that are near enough, are counted and not enumerated.
 
-Each remaining pair of leaves is one group (in blocks, if a cell could not be
-cut), in which a cover tree is built for both leaves (nested levels of centres,
-radii halving from level to level) and both trees are descended together: a pair
-of nodes is dropped by the same bound, and the pairs of leaves that are left are
-verified by their cosine in double precision.
+In each leaf (a block of one, if a cell could not be cut) a cover tree is built
+once: nested levels of centres, radii halving from level to level, down to nodes
+all of whose vectors link.  Leaves go in bins, in the order of the upper tree, and
+a task meets two bins: of the pairs of leaves that remain, the pairs of nodes are
+dropped by the same bound, after a product of their centres in single precision.
+Nodes that link as a whole are counted; pairs of vectors of the nodes that are
+left are verified by their cosine in double precision.  So a vector travels as
+often as its label has bins, not leaves.
 
 Equal vectors of a label are one node with a number of copies.  What leaves a
-group is the number of links of each vector and a spanning forest of them.
+task is the number of links of each vector and a spanning forest of them.
 
 Vectors link only within a label that is not null.  Vectors that are null, zero
 or hold nulls or numbers that are not finite link with nothing, nor do vectors
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rotaspark.llm.common import discard, materialize, read, salt, salted_groups, salted_join, shuffle_partitions, sorted_groups
@@ -43,6 +46,10 @@ from rotaspark.llm.graph import components, forest
 THRESHOLD = 0.98
 #: Vectors of a leaf, centres a cell is cut by at most (about: they are chosen by hash), levels above the leaves.
 CELL, PIVOTS, LEVELS = 1024, 64, 16
+#: Vectors of a bin (about), centres of one that are met at once, pairs of vectors verified at once.
+BIN, BATCH_CENTRES, BATCH_PAIRS = 32_768, 8192, 50_000
+#: Slack of a cosine in single precision, which only rules out.
+ROUGH = 1e-5
 #: Slack of the metric bounds for rounding; the verification decides.
 SLACK = 1e-6
 
@@ -60,24 +67,31 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class CoverTree:
     """Levels of nodes: centre (row), parent (node of the level above), covering radius; the last level holds the rows."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, least: float = 1e-3):
+        """Radii are halved as long as they are above `least`."""
         n = len(points)
         self.points = points
         from_root = distances(points, points[:1])[:, 0]
         radius = float(from_root.max())
         self.levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([radius]))]
         member = np.zeros(n, np.int64)  # of each row, its node in the last level
-        while radius > 1e-3 and len(self.levels[-1][0]) < n and len(self.levels) < 12:
+        while radius > least and len(self.levels[-1][0]) < n and len(self.levels) < 12:
             radius /= 2
             centres, parents, node = [], [], np.empty(n, np.int64)
-            for k, top in enumerate(self.levels[-1][0]):
-                rows = np.flatnonzero(member == k)
-                best = distances(points[rows], points[[top]])[:, 0]
+            groups = np.split(np.argsort(member, kind="stable"), np.cumsum(np.bincount(member, minlength=len(self.levels[-1][0])))[:-1])
+            for k, (top, rows) in enumerate(zip(self.levels[-1][0], groups)):
+                if len(rows) == 1:
+                    node[rows] = len(centres)
+                    centres.append(top)
+                    parents.append(k)
+                    continue
+                held = points[rows]
+                best = distances(held, points[[top]])[:, 0]
                 mine = np.full(len(rows), len(centres))
                 centres.append(top)  # nested: a centre stays one
                 parents.append(k)
                 while (far := np.flatnonzero(best > radius)).size:
-                    d = distances(points[rows], points[[rows[far[0]]]])[:, 0]
+                    d = distances(held, held[far[:1]])[:, 0]
                     closer = d < best
                     mine[closer], best[closer] = len(centres), d[closer]
                     centres.append(rows[far[0]])
@@ -121,7 +135,7 @@ def close_pairs(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarra
 
 
 def vector_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, node (null if it can link with nothing), raw: the vector's doubles."""
+    """vec_id, label, node (null if it can link with nothing), raw: the vector's doubles, or floats if these are as exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -133,7 +147,7 @@ def vector_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
                 if label is not None and values and None not in values:
                     v = np.array(values, np.float64)
                     if np.isfinite(v).all() and v.any():
-                        raw = (np.ldexp(v, -np.frexp(np.abs(v).max())[1]) + 0.0).tobytes()
+                        raw = _raw(np.ldexp(v, -np.frexp(np.abs(v).max())[1]) + 0.0)
                 raws.append(raw)
                 node.append(None if raw is None else xxhash.xxh3_64_intdigest(raw + str(label).encode()) >> 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(raws, pa.binary())], ["vec_id", "label", "node", "raw"])
@@ -142,8 +156,24 @@ def vector_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
     return rows.mapInArrow(run, "vec_id long, label string, node long, raw binary")
 
 
+def _raw(v: np.ndarray) -> bytes:
+    """The bytes of doubles, or where nothing is lost those of floats and one more: an odd number."""
+    short = v.astype(np.float32)
+    return short.tobytes() + b"f" if (short == v).all() else v.tobytes()
+
+
+def _vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[:-1], np.float32).astype(np.float64) if len(raw) % 2 else np.frombuffer(raw)
+
+
+def _width(raw: Column | str) -> Column:
+    """Components of a raw vector."""
+    n = F.length(raw)
+    return F.when(n % 2 == 1, F.floor(n / 4)).otherwise(F.floor(n / 8))
+
+
 def _points(raws: list[bytes]) -> np.ndarray:
-    return unit(np.array([np.frombuffer(r) for r in raws]))
+    return unit(np.array([_vector(r) for r in raws]))
 
 
 def _reach(threshold: float) -> float:
@@ -188,17 +218,23 @@ def _summary(placed: DataFrame) -> DataFrame:
     return placed.groupBy("cell").agg(F.first("parent").alias("parent"), F.count(F.lit(1)).alias("size"), F.sum("copies").alias("copies"), F.max("apart").alias("radius"), F.first("centre").alias("centre"), F.min("node").alias("least"))
 
 
+def _named(cell: str) -> Column:
+    return F.lpad(F.hex(cell), 16, "0")
+
+
 def cells(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Leaves of the upper tree: (nodes with their cell, cells, pairs of cells that may hold links).
 
-    A root is a space: a label and a length of vectors.
+    A root is a space: a label and a length of vectors.  Of each cell its space, and its path from there.
+    nodes, a written table, goes once its vectors are placed.
     """
     reach = _reach(threshold)
     dense = (reach - SLACK) / 2
-    roots = nodes.select(F.xxhash64("label", F.length("raw")).alias("cell"), "node", "copies", "raw")
+    roots = nodes.select(F.xxhash64("label", _width("raw")).alias("cell"), "node", "copies", "raw")
     first = roots.groupBy("cell").agg(F.min_by("raw", "node").alias("centre"))
     placed = materialize(_moved(roots, first.select("cell", F.array("centre").alias("pivots")), n), "cover-cells")
-    found = materialize(_summary(placed), "cover-summary")
+    discard(nodes)
+    found = materialize(_summary(placed).withColumns({"space": F.col("parent"), "path": _named("cell")}), "cover-summary")
     pairs = materialize(found.select(F.col("cell").alias("a"), F.col("cell").alias("b")), "cover-pairs")
     for level in range(LEVELS):
         large = found.filter((F.col("size") > CELL) & (F.col("radius") > dense))
@@ -213,9 +249,11 @@ def cells(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
         stay = placed.join(large.select("cell"), "cell", "left_anti").withColumn("parent", F.col("cell")).select(*moved.columns)
         following = materialize(moved.unionByName(stay), "cover-cells")
         discard(placed)
-        discard(found)
         placed = following
-        found = materialize(_summary(placed), "cover-summary")
+        above = found.select(F.col("cell").alias("parent"), "space", F.col("path").alias("above"))
+        below = materialize(_summary(placed).join(above, "parent").withColumn("path", F.concat("above", _named("cell"))).drop("above"), "cover-summary")
+        discard(found)
+        found = below
         kids = found.groupBy("parent").agg(F.collect_list(F.struct("cell", "centre", "radius")).alias("kids"))  # at most 4 * PIVOTS
         both = pairs.join(kids.select(F.col("parent").alias("a"), F.col("kids").alias("left")), "a").join(kids.select(F.col("parent").alias("b"), F.col("kids").alias("right")), "b")
         below = materialize(both.select("a", "b", "left", "right").mapInArrow(_descend(reach + SLACK), "a long, b long"), "cover-pairs")
@@ -240,13 +278,182 @@ def _descend(reach: float):
     return run
 
 
+def _dealt(placed: DataFrame, found: DataFrame, open_pairs: DataFrame, reach: float, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of two bins and the pairs of their leaves that are to be met, by pair of bins; the tables written on the way.
+
+    pair, side (0 and 1 for the bins, 2 for a bin that meets itself), leaf, fine (node of the leaf's tree), centre, node, copies, raw;
+    and as side 3 the pairs of leaves, (leaf, node).
+    """
+    # A window over the leaves of a space: a row for some hundreds of its vectors.
+    before = Window.partitionBy("space").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    leaves = found.select("cell", "space", "path", "size", blocks.alias("blocks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bin_ = F.floor(F.coalesce(F.sum(F.col("size") / F.col("blocks")).over(before), F.lit(0)) / BIN)
+    leaves = materialize(leaves.select("cell", "block", F.xxhash64("cell", "block").alias("leaf"), F.xxhash64("space", bin_).alias("bin")), "cover-leaves")
+
+    both = open_pairs.select("a", "b", "blocks_a", "blocks_b").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).filter("a <> b or i <= j")
+    for end, block in (("a", "i"), ("b", "j")):
+        both = both.join(leaves.select(F.col("cell").alias(end), F.col("block").alias(block), F.col("leaf").alias(f"leaf_{end}"), F.col("bin").alias(f"bin_{end}")), [end, block])
+    turned = F.col("bin_a") > F.col("bin_b")
+    ends = [F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in ("leaf", "bin") for x, y in (("a", "b"), ("b", "a"))]
+    both = materialize(both.select(*ends).withColumn("pair", F.xxhash64("bin_a", "bin_b")), "cover-open")
+
+    bins = both.select("pair", "bin_a", "bin_b").distinct()
+    same = F.col("bin_a") == F.col("bin_b")
+    wanted = bins.select(F.col("bin_a").alias("bin"), "pair", F.when(same, 2).otherwise(0).alias("side")).unionByName(bins.filter(~same).select(F.col("bin_b").alias("bin"), "pair", F.lit(1).alias("side")))
+
+    kept = both.select(F.col("leaf_a").alias("leaf")).unionByName(both.select(F.col("leaf_b").alias("leaf"))).distinct().withColumn("kept", F.lit(True))
+    of_cell = leaves.join(kept, "leaf", "left").groupBy("cell").agg(F.max("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("block", "kept", "leaf", "bin"))).alias("leaves")).filter("kept").drop("kept")
+    blocked = salted_join(placed.select("cell", "node", "copies", "raw"), of_cell, ["cell"], "node", n)
+    blocked = blocked.withColumn("at", F.col("leaves")[F.pmod(F.xxhash64("node", F.lit(5)), F.size("leaves")).cast("int")]).filter("at.kept")
+    blocked = blocked.select("at.leaf", "at.bin", "node", "copies", "raw").repartition(n, "leaf").sortWithinPartitions("leaf")
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in sorted_groups(batches, 1):
+            tree = CoverTree(_points(group["raw"].to_pylist()), (reach - SLACK) / 2)
+            centre = np.zeros(group.num_rows, bool)
+            centre[tree.levels[-2][0]] = True
+            group = group.combine_chunks().append_column("fine", pa.array(tree.levels[-1][1].astype(np.int32))).append_column("centre", pa.array(centre))
+            yield from group.to_batches()
+
+    rows = blocked.mapInArrow(fine, "leaf long, bin long, node long, copies long, raw binary, fine int, centre boolean")
+    # A row for each bin and bin it meets: few, for tens of thousands of vectors each.
+    rows = rows.join(F.broadcast(wanted), "bin").select("pair", "side", "leaf", "fine", "centre", "node", "copies", "raw")
+    met = both.select("pair", F.lit(3).alias("side"), F.col("leaf_a").alias("leaf"), F.lit(0).alias("fine"), F.lit(False).alias("centre"), F.col("leaf_b").alias("node"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("raw"))
+    return rows.unionByName(met).repartition(n, "pair").sortWithinPartitions("pair", "side", "leaf", "fine"), [leaves, both]
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+class Leaves:
+    """The leaves of a bin: its rows by leaf and node, the nodes' centres, radii and copies."""
+
+    def __init__(self, rows: pa.Table, first: int):
+        leaf, fine, self.copies = (rows[c].to_numpy() for c in ("leaf", "fine", "copies"))
+        self.first, self.points = first, _points(rows["raw"].to_pylist())
+        self.at = _begins(leaf, fine)
+        self.sizes = np.diff(np.append(self.at, len(leaf)))
+        self.centres = self.points[rows["centre"].to_numpy()]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (self.points * np.repeat(self.centres, self.sizes, 0)).sum(1)))
+        self.radius = np.maximum.reduceat(apart, self.at)
+        self.total = np.add.reduceat(self.copies, self.at)
+        self.rough = self.centres.astype(np.float32)
+        #: Leaves and their first nodes; the leaf of each node.
+        self.heads = _begins(leaf[self.at])
+        self.names = leaf[self.at][self.heads]
+        self.heads = np.append(self.heads, len(self.at))
+        self.leaf = np.repeat(np.arange(len(self.names)), np.diff(self.heads))
+        #: Links that all vectors of a node have; whether they link with each other.
+        self.more, self.own = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), bool)
+
+    def rows(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of some nodes, and for each the first row of its node; numbered as in the task."""
+        sizes = self.sizes[nodes]
+        head = np.repeat(self.at[nodes], sizes)
+        return self.first + head + np.arange(len(head)) - np.repeat(np.cumsum(sizes) - sizes, sizes), self.first + head
+
+
+def _near_nodes(a: Leaves, b: Leaves, left: np.ndarray, right: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes of the leaves left of a and right of b that may hold links, and how far apart their centres are."""
+    order = np.argsort(left, kind="stable")
+    left, right = np.searchsorted(a.names, left[order]), np.searchsorted(b.names, right[order])
+    heads = _begins(left)
+    for begin, end in zip(heads, np.append(heads[1:], len(left))):
+        first, last = a.heads[left[begin]], a.heads[left[begin] + 1]
+        to = np.sort(right[begin:end])
+        nodes = np.concatenate([np.arange(b.heads[k], b.heads[k + 1]) for k in to])
+        for at in range(0, len(nodes), BATCH_CENTRES):
+            some = nodes[at : at + BATCH_CENTRES]
+            far = reach + SLACK + a.radius[first:last].max() + b.radius[some].max()
+            hits = np.flatnonzero((a.rough[first:last] @ b.rough[some].T).ravel() >= 1 - far * far / 2 - ROUGH)
+            for k in range(0, len(hits), BATCH_PAIRS):
+                i, j = np.divmod(hits[k : k + BATCH_PAIRS], len(some))
+                i, j = first + i, some[j]
+                if a is b:  # a leaf meets itself: each pair once
+                    once = (a.leaf[i] != a.leaf[j]) | (i <= j)
+                    i, j = i[once], j[once]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (a.centres[i] * b.centres[j]).sum(1)))
+                if a is b:
+                    apart[i == j] = 0
+                near = apart <= reach + SLACK + a.radius[i] + b.radius[j]
+                yield i[near], j[near], apart[near]
+
+
+def _verified(a: Leaves, b: Leaves, i: np.ndarray, j: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (of a, of b) of the pairs of nodes with a cosine of at least the threshold; of a node with itself each pair once."""
+    ends = np.cumsum(a.sizes[i] * b.sizes[j])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, BATCH_PAIRS):
+        flat = np.arange(at, min(int(ends[-1]), at + BATCH_PAIRS))
+        k = np.searchsorted(ends, flat, "right")
+        inside = flat - (ends[k] - a.sizes[i[k]] * b.sizes[j[k]])
+        one, two = a.at[i[k]] + inside // b.sizes[j[k]], b.at[j[k]] + inside % b.sizes[j[k]]
+        if a is b:
+            once = (i[k] != j[k]) | (one < two)
+            one, two = one[once], two[once]
+        good = (a.points[one] * b.points[two]).sum(1) >= threshold
+        yield one[good], two[good]
+
+
+def _met(group: pa.Table, threshold: float) -> pa.RecordBatch:
+    """Of two bins: the links of each vector (kind 0), and links that span what is linked (kind 1)."""
+    side = group["side"].to_numpy()
+    ends = np.searchsorted(side, [0, 1, 2, 3, 4]).tolist()
+    parts = [group.slice(x, y - x) for x, y in zip(ends, ends[1:])]
+    a = Leaves(parts[2] if parts[2].num_rows else parts[0], 0)
+    b = a if parts[2].num_rows else Leaves(parts[1], len(a.copies))
+    n = ends[3]
+    node, links, root = group["node"].to_numpy()[:n], np.zeros(n, np.int64), np.arange(n)
+    reach = _reach(threshold)
+    inside = reach - SLACK
+
+    def join(one: np.ndarray, two: np.ndarray) -> None:
+        nonlocal root
+        one, two = root[one], root[two]
+        new = one != two
+        if new.any():
+            root = forest(n, one[new], two[new])[root]
+
+    for i, j, apart in _near_nodes(a, b, parts[3]["leaf"].to_numpy(), parts[3]["node"].to_numpy(), reach):
+        # Nodes all of whose vectors link, with each other and with those of the other node.
+        whole = (2 * a.radius[i] <= inside) & (2 * b.radius[j] <= inside) & (apart + a.radius[i] + b.radius[j] <= inside)
+        own = whole & (i == j) if a is b else np.zeros(len(i), bool)
+        a.own[i[own]] = True
+        join(*a.rows(i[own]))
+        other = whole & ~own
+        np.add.at(a.more, i[other], b.total[j[other]])
+        np.add.at(b.more, j[other], a.total[i[other]])
+        join(a.first + a.at[i[other]], b.first + b.at[j[other]])
+        for one, two in _verified(a, b, i[~whole], j[~whole], threshold):
+            np.add.at(links, a.first + one, b.copies[two])
+            np.add.at(links, b.first + two, a.copies[one])
+            join(a.first + one, b.first + two)
+    for part in (a,) if a is b else (a, b):
+        here = slice(part.first, part.first + len(part.copies))
+        own = np.repeat(part.own, part.sizes)
+        links[here] += np.repeat(part.more + part.own * part.total, part.sizes) - own * part.copies
+    linked, some = np.flatnonzero(root != np.arange(n)), np.flatnonzero(links)
+    kind = np.repeat([0, 1], [len(some), len(linked)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([node[some], node[linked]])), pa.array(np.concatenate([links[some], node[root[linked]]]))], ["kind", "a", "b"])
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     n = shuffle_partitions(vectors.sparkSession)
     rows = materialize(vector_nodes(vectors, id_col, vector_col, label_col), "cover-rows")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.min("raw").alias("raw"))
-    nodes = materialize(nodes, "cover-distinct")
-    placed, found, pairs = cells(nodes, threshold, n)
+    distinct = materialize(nodes, "cover-distinct")
+    # From here on a vector's numbers are only where it is placed.
+    narrow = materialize(rows.select("vec_id", "node"), "cover-ids")
+    discard(rows)
+    nodes = materialize(distinct.select("node", "first_id", "copies"), "cover-nodes")
+    placed, found, pairs = cells(distinct, threshold, n)
 
     # Pairs of cells all of whose vectors link (a cell with itself among them) are counted; the others are traversed.
     inside = _reach(threshold) - SLACK
@@ -275,35 +482,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counted = materialize(counted.select("node", "hub", F.when(F.col("own"), F.col("more") - F.col("copies")).otherwise(F.col("more")).alias("more")), "cover-counted")
     joined = counted.filter("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(whole.filter(~own).select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
 
-    open_pairs = measures.filter("not whole").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).filter("a <> b or i <= j")
-    open_pairs = open_pairs.withColumn("pair", F.xxhash64("a", "b", "i", "j")).select("pair", "a", "b", "i", "j")
-    same = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
-    wanted = open_pairs.select(F.col("a").alias("cell"), F.col("i").alias("block"), "pair", F.when(same, 2).otherwise(0).alias("side")).unionByName(open_pairs.filter(~same).select(F.col("b").alias("cell"), F.col("j").alias("block"), "pair", F.lit(1).alias("side")))
-    counts = found.select("cell", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
-    blocked = salted_join(placed.select("cell", "node", "copies", "raw"), counts, ["cell"], "node", n).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    dealt = salted_join(blocked, wanted, ["cell", "block"], "node", n).select("pair", "side", "node", "copies", "raw")
-    dealt = dealt.repartition(n, "pair").sortWithinPartitions("pair")
+    dealt, listed = _dealt(placed, found, measures.filter("not whole"), _reach(threshold), n)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in sorted_groups(batches, 1):
-            side, node, copies = (group[c].to_numpy() for c in ("side", "node", "copies"))
-            points = _points(group["raw"].to_pylist())
-            itself = side[0] == 2
-            left, right = (np.flatnonzero(side == 2),) * 2 if itself else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            if not len(left) or not len(right):
-                continue
-            tree = CoverTree(points[left])
-            a, b = close_pairs(tree, tree if itself else CoverTree(points[right]), threshold)
-            a, b = left[a], right[b]
-            if itself:
-                a, b = a[a < b], b[a < b]
-            links = np.zeros(len(node), np.int64)
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            root = forest(len(node), a, b)
-            linked, some = np.flatnonzero(root != np.arange(len(node))), np.flatnonzero(links)
-            kind = np.repeat([0, 1], [len(some), len(linked)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([node[some], node[linked]])), pa.array(np.concatenate([links[some], node[root[linked]]]))], ["kind", "a", "b"])
+            yield _met(group, threshold)
 
     traversed = materialize(dealt.mapInArrow(traverse, "kind int, a long, b long"), "cover-links")
     classes = components(traversed.filter("kind = 1").select("a", "b").unionByName(joined))
@@ -311,9 +494,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = nodes.select("node", "first_id", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = salted_groups(known, ["component"], "first_id", n, "min")
     known = materialize(known.select("node", F.col("group_keep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "cover-classes")
-    for used in (nodes, placed, found, pairs, measures, counted, traversed, classes):
+    for used in (nodes, placed, found, pairs, measures, *listed, counted, traversed, classes):
         discard(used)
-    narrow = rows.select("vec_id", "node")
     linked = salted_join(narrow.filter("node is not null"), known, ["node"], "vec_id", n).select("vec_id", "n_links", "component_id")
     alone = narrow.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

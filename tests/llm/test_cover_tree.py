@@ -65,6 +65,40 @@ def test_dense_cells_are_counted(spark, monkeypatch):
     assert found(near_vectors(spark.createDataFrame(data, SCHEMA))) == brute([d[:3] for d in data])
 
 
+def written(spark):
+    """Bytes written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_vectors_travel_by_bins_not_by_leaves(spark, monkeypatch):
+    """Nothing rules out pairs of leaves here; before, each vector went along once for every leaf (20 MB were written)."""
+    monkeypatch.setattr(cover_tree, "CELL", 32)
+    rng = np.random.default_rng(9)
+    data = [(i, v.tolist(), 1, 0, "") for i, v in enumerate(rng.standard_normal((3000, 16)))]
+    df = spark.createDataFrame(data, SCHEMA).localCheckpoint()
+    before = written(spark)
+    got = found(near_vectors(df))
+    assert written(spark) - before < 40 * 3000 * 128
+    assert got == brute([d[:3] for d in data])
+
+
+@pytest.mark.parametrize("size", [5, 60])
+def test_many_bins(spark, monkeypatch, size):
+    """Leaves of many bins meet; clusters are spread over leaves, nodes link as a whole, in part and not at all."""
+    monkeypatch.setattr(cover_tree, "CELL", 8)
+    monkeypatch.setattr(cover_tree, "PIVOTS", 3)
+    monkeypatch.setattr(cover_tree, "BIN", size)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 8))
+    data = [(i, (centres[i % 6] + 0.05 * (i % 5) * rng.standard_normal(8)).tolist(), i % 2, 0, "") for i in range(300)]
+    data += [(400 + i, d[1], d[2], 0, "") for i, d in enumerate(data[:20])]
+    data += [(500 + i, [float(np.float32(x)) for x in d[1]], d[2], 0, "") for i, d in enumerate(data[:40])]
+    assert found(near_vectors(spark.createDataFrame(data, SCHEMA.replace("float", "double")))) == brute([d[:3] for d in data])
+
+
 def test_very_large_and_small_numbers(spark):
     data = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [1e300, -1e300], 0), (5, [3.0, 3.0], 0)]
     rows = found(near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")))
